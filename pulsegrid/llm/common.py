@@ -139,3 +139,26 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         raise RuntimeError("connected components did not settle")
     roots = flat.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, fold: int = 0, doc_id: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` with ``target`` from at most ``bound`` labels, chosen by a hash of the id.
+
+    Only labels whose crc32(id as text) mod 5 isn't ``fold`` count. The sample is small by its bound, so it is broadcast.
+    """
+    fine = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(doc_id, fold))
+    sample = fine.groupBy(doc_id).agg(F.max(label).cast("int").alias("target")).orderBy(F.xxhash64(doc_id), doc_id).limit(bound)
+    sample = sample.withColumnRenamed(doc_id, "sample_id")
+    return docs.join(F.broadcast(sample), docs[doc_id] == F.col("sample_id")).select(docs["*"], "target")
+
+
+def fit_in_one_task(sample: DataFrame, fit: Callable[[pa.Table], bytes]) -> bytes:
+    """A model's bytes, fitted in one task on a bounded sample; the rows' order is that of their fields."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            yield pa.RecordBatch.from_pydict({"model": [fit(pa.Table.from_batches(held))]})
+
+    found = sample.repartition(1).sortWithinPartitions(*sample.columns).mapInArrow(run, "model binary").collect()
+    return bytes(found[0][0]) if found else b""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import backoff_lm, line_dedup, packing, quality_rules, simhash_bktree
+from pulsegrid.llm import backoff_lm, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash_bktree, toxicity_fm, url_filter, vector_hnsw
 from pulsegrid.llm.common import held_out
 
 
@@ -20,6 +20,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity_fm.fit(docs, table(spark, folder, "labels"))
+    scored = toxicity_fm.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out("doc_id", 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     index = line_dedup.LineIndex.build(docs, min_docs=10, min_chars=1)
@@ -41,10 +48,54 @@ FROM lines LEFT JOIN frequent f USING (key) GROUP BY doc_id
 """
 
 
+def op3_hnsw(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_hnsw.nearest(table(spark, folder, "embeddings"), every=50, k=5)
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_bktree.components(table(spark, folder, "documents"), shingle=3, radius=3)
 
 
+#: The tree of the mixing query, its weights, the part of all tokens to spend, epochs and seed.
+MIX_LEVELS = {"domain": F.concat(F.lit("d"), F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]?)$", 1)), "lang": F.col("lang"), "source": F.col("source")}
+MIX_WEIGHTS = {"lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}, "domain": {"d0": 3.0, "d1": 2.0, "d2": 2.0}}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.8, 2, 1
+
+
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), ["doc_id"], MIX_LEVELS, MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+
+
+def _op5_sql() -> str:
+    names = list(MIX_LEVELS)
+
+    def weight(c: str) -> str:
+        cases = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in MIX_WEIGHTS.get(c, {}).items())
+        return f"(CASE coalesce({c}, '') {cases} ELSE 1.0::DOUBLE END)" if cases else "1.0::DOUBLE"
+
+    steps = []
+    for i, c in enumerate(names):
+        cols, family = ", ".join(names[: i + 1]), ", ".join(names[:i])
+        part = f"PARTITION BY {family}" if family else ""
+        up = f"JOIN f{i - 1} u ON " + " AND ".join(f"g.{x} IS NOT DISTINCT FROM u.{x}" for x in names[:i]) if i else ""
+        budget = "u.share" if i else "(SELECT 0.8::DOUBLE * sum(tokens)::DOUBLE FROM leaves)"
+        steps.append(f"""n{i} AS (SELECT {', '.join(f'g.{x}' for x in names[: i + 1])}, g.capacity, g.weight, {budget} AS budget, g.capacity / g.weight AS ratio
+  FROM (SELECT {cols}, sum(capacity) AS capacity, any_value({weight(c)}) AS weight FROM leaves GROUP BY {cols}) g {up}),
+l{i} AS (SELECT *, (budget - coalesce(sum(capacity) OVER ({part} ORDER BY ratio, {cols} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER ({part} ORDER BY ratio, {cols} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM n{i}),
+f{i} AS (SELECT {cols}, least(capacity, CASE WHEN ratio > level THEN weight * max(CASE WHEN ratio > level THEN level END) OVER ({part}) ELSE capacity END) AS share FROM l{i})""")
+    every = ", ".join(names)
+    same = " AND ".join(f"d.{x} IS NOT DISTINCT FROM s.{x}" for x in names)
+    return rf"""
+WITH docs AS (SELECT doc_id, 'd' || regexp_extract(coalesce(source, ''), '([0-9]?)$', 1) AS domain, lang, source,
+  len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS tokens FROM documents),
+leaves AS (SELECT {every}, sum(tokens)::BIGINT AS tokens, (sum(tokens) * {MIX_EPOCHS})::DOUBLE AS capacity FROM docs GROUP BY {every}),
+{', '.join(steps)},
+spread AS (SELECT d.*, e.epoch::INTEGER AS epoch, md5(concat_ws('|', '{MIX_SEED}', e.epoch, coalesce(doc_id::VARCHAR, ''))) AS place FROM docs d, range(1, {MIX_EPOCHS + 1}) e(epoch)),
+ordered AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY {every} ORDER BY epoch, place, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS tokens_before FROM spread)
+SELECT d.doc_id, d.domain, d.lang, d.source, d.epoch, d.tokens, d.tokens_before FROM ordered d JOIN f{len(names) - 1} s ON {same} WHERE d.tokens_before < s.share
+"""
+
+
 def op6_backoff_lm(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scored = backoff_lm.score(docs, ["doc_id"], ~held_out("doc_id", 1))
@@ -55,6 +106,20 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path(), most=2048, end_id=0)
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality_classifier.fit(docs, table(spark, folder, "labels"))
+    scored = quality_classifier.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out("doc_id", 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"), URL_RULES, ["page_id"])
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, folder, "documents"), ["doc_id"]).drop("dup_line_chars")
 
@@ -93,10 +158,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
+    "op3_hnsw": op3_hnsw,
     "op4_simhash": op4_simhash,
+    "op5_mixing": op5_mixing,
     "op6_backoff_lm": op6_backoff_lm,
     "op7_packing": op7_packing,
+    "op8_quality": op8_quality,
+    "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE = {"op2_line_dedup": OP2_SQL, "op10_quality_rules": _op10_sql()}
+ORACLE = {"op2_line_dedup": OP2_SQL, "op5_mixing": _op5_sql(), "op10_quality_rules": _op10_sql()}
