@@ -202,8 +202,11 @@ class LineIndex:
         refs = both.where("n > 0").select("key", "n")
         return LineIndex(cut(refs, "line-counts"), cut(filters, "line-filters"), self.shards, least, self.min_chars)
 
-    def frequent_lines(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """(text_id, places): for each distinct text with frequent lines, where they are, from 0."""
+    def frequent_lines(self, docs: DataFrame, text: str = "text", keep_first: bool = False) -> DataFrame:
+        """(text_id, places): for each distinct text with frequent lines, where they are, from 0.
+
+        keep_first: without the lines of the text that has the smallest digest of all that hold the key.
+        """
         min_chars, shards = self.min_chars, self.shards
         bounded_batches(docs.sparkSession)
 
@@ -243,6 +246,9 @@ class LineIndex:
 
         hits = dealt.mapInArrow(look, "text_id binary, key binary, places array<int>")
         sure = hits.join(self.refs.where(F.col("n") >= self.min_docs).select("key"), "key")
+        if keep_first:
+            sure = cut(sure, "line-hits")
+            sure = sure.join(sure.groupBy("key").agg(F.min("text_id").alias("owner")), "key").where("text_id != owner")
         return sure.groupBy("text_id").agg(F.flatten(F.collect_set("places")).alias("places"))
 
 
@@ -256,13 +262,13 @@ def filled(data: bytes | None, enter: pd.Series, leave: pd.Series) -> bytes:
     return cuckoo.to_bytes()
 
 
-def drop_frequent_lines(docs: DataFrame, index: LineIndex, keep: list[str], text: str = "text") -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, index: LineIndex, keep: list[str], text: str = "text", keep_first: bool = False) -> DataFrame:
     """The ``keep`` columns of every row with ``kept_text``, n_lines and n_dropped.
 
     Rows meet the places of their frequent lines by the text's digest; exact copies share one such row.
     """
     spark = docs.sparkSession
-    places = index.frequent_lines(docs, text)
+    places = index.frequent_lines(docs, text, keep_first)
     rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), text_bytes(text).alias("t"))
     kinds = [f"k{i} {rows.schema[i].dataType.simpleString()}" for i in range(len(keep))]
     n = len(keep)

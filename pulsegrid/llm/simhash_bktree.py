@@ -180,22 +180,37 @@ def groups_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = new
 
 
-def shard_edges(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each fingerprint to the smallest of its linked group in its shard. Sorted by (group, fp)."""
+def shard_edges(fp: np.ndarray, group: np.ndarray, radius: int, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each fingerprint to the smallest of its linked group in its shard, given in the order of (group, fp).
+
+    nearest: also an edge from each to the nearest of its shard.
+    """
     forest = Forest(fp, group)
     low = np.arange(len(fp))
+    best = np.full(len(fp), (BITS + 1) * len(fp), np.int64)  # distance and place of the nearest as one number
     for i in range(0, len(fp), SHARD):
         for q, node in forest.search(fp[i : i + SHARD], group[i : i + SHARD], radius):
             q = q + i
             other = q != node
+            if nearest:
+                q, node, other = q[other], node[other], np.ones(other.sum(), bool)
+                np.minimum.at(best, q, np.bitwise_count(fp[q] ^ fp[node]).astype(np.int64) * len(fp) + node)
             if other.any():
                 low = groups_of(len(fp), low[q[other]], low[node[other]])[low]
     joined = np.flatnonzero(low != np.arange(len(fp)))
-    return fp[joined].view(np.int64), fp[low[joined]].view(np.int64)
+    a, b = joined, low[joined]
+    if nearest:
+        found = np.flatnonzero(best < (BITS + 1) * len(fp))
+        a, b = np.append(a, found), np.append(b, best[found] % len(fp))
+    a, b = fp[a].view(np.int64), fp[b].view(np.int64)
+    return np.maximum(a, b), np.minimum(a, b)
 
 
-def links(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that keep every component of the links within the radius."""
+def links(fps: DataFrame, radius: int = 3, nearest: bool = False) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints that keep every component of the links within the radius.
+
+    nearest: also those from each fingerprint to the nearest one of each of its shards.
+    """
     rows = sharded(fps.select("fp").distinct(), radius)
     dealt = rows.repartition(F.col("shard")).sortWithinPartitions("shard", "fp")
 
@@ -207,7 +222,7 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
             group = np.cumsum(np.concatenate([[False], shard[1:] != shard[:-1]]))
             some = np.bincount(group)[group] > 1
             _, group = np.unique(group[some], return_inverse=True)
-            a, b = shard_edges(fp[some].view(np.uint64), group, radius)
+            a, b = shard_edges(fp[some].view(np.uint64), group, radius, nearest)
             return pa.RecordBatch.from_pydict({"a": a, "b": b})
 
         for batch in batches:
@@ -235,3 +250,45 @@ def components(docs: DataFrame, doc_id: str = "doc_id", shingle: int = 3, radius
     by_fp = named.join(smallest, "root").select("fp", "component_id")
     result = fps.join(by_fp, "fp", "left")
     return result.select(F.col("id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def shingle_set(text: bytes, shingle: int) -> bytes:
+    """The distinct hashes of a text's shingles, in order."""
+    words = text.lower().split()
+    found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 7) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+    return np.sort(np.fromiter(found, np.uint64, len(found))).tobytes()
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 7) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group, that with the smallest id stays.
+
+    Fingerprints of three-word shingles within ``radius`` bits are candidates; the edges that BK-trees give (to the smallest
+    and to the nearest fingerprint of a shard's group) hold if the texts' ``shingle``-word shingles have a Jaccard
+    similarity of ``least`` or more. Equal fingerprints need no proof. Null ids come last, repeated rows leave one.
+    """
+    names = docs.columns
+    rows = docs.withColumn("_digest", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    fps = cut(fingerprints(rows, [doc_id, "_digest"], 3, text).select(F.col(doc_id).alias("id"), F.col("_digest").alias("digest"), "fp"), "fingerprints")
+    edges = cut(links(fps, radius, nearest=True), "links")
+    ends = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct()
+    shown = fps.groupBy("fp").agg(F.min("digest").alias("digest")).join(ends, "fp")
+    texts = rows.select(F.col("_digest").alias("digest"), F.col(text).alias("t")).join(shown, "digest").select("fp", "t")
+    sets = cut(map_texts(texts, lambda: lambda ts: [[shingle_set(t, shingle) for t in ts]], "grams binary", ["fp"], "t").groupBy("fp").agg(F.first("grams").alias("grams")), "shingles")
+    pairs = edges.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
+
+    def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = pa.array([similarity(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield batch.select([0, 1]).filter(near)
+
+    roots = connected_components(pairs.mapInArrow(prove, "a long, b long"))
+    named = fps.join(roots, fps.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "id", "digest")
+    stays = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("x")).select(F.col("x.id").alias("_id"), F.col("x.digest").alias("_kept"))
+    kept = rows.join(stays, (F.col("_digest") == F.col("_kept")) & F.col(doc_id).eqNullSafe(F.col("_id")))
+    return kept.dropDuplicates([doc_id, "_digest"]).select(*names)
