@@ -1,0 +1,71 @@
+"""Categories and their normalisers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# The public taxonomy.
+SENTIMENTS = ["positive", "negative", "neutral"]
+COMPLAINTS = [
+    "lazy_responses",
+    "hallucinations",
+    "refusals",
+    "coding_quality",
+    "speed",
+    "general_drop",
+    "pricing_value",
+    "censorship",
+    "context_window",
+    "api_reliability",
+    "multimodal_quality",
+    "reasoning",
+]
+COMPLAINT_ALIASES = {"reliability": "api_reliability"}
+PRAISES = [
+    "output_quality",
+    "coding_quality",
+    "speed",
+    "reasoning",
+    "creativity",
+    "value",
+    "reliability",
+    "context_handling",
+    "multimodal_quality",
+    "general_improvement",
+]
+
+
+def member(value: Column, allowed: list[str]) -> Column:
+    """The value if it is one of the allowed ones, else null."""
+    return F.when(value.isin(allowed), value)
+
+
+def sentiment(value: Column) -> Column:
+    return member(value, SENTIMENTS)
+
+
+def complaint(value: Column) -> Column:
+    renamed = value
+    for old, new in COMPLAINT_ALIASES.items():
+        renamed = F.when(value == old, F.lit(new)).otherwise(renamed)
+    return member(renamed, COMPLAINTS)
+
+
+def praise(value: Column) -> Column:
+    return member(value, PRAISES)
+
+
+def complaint_label(value: Column) -> Column:
+    """The label to show: the category in words, but for two that are written otherwise."""
+    category = complaint(value)
+    words = F.replace(category, F.lit("_"), F.lit(" "))
+    named = F.when(category == "pricing_value", "Pricing / value").when(category == "api_reliability", "API reliability")
+    return F.coalesce(named, F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 100)), F.lit("Other"))
+
+
+def complaint_sql(column: str) -> str:
+    """The normaliser as SQL."""
+    values = ", ".join(f"'{c}'" for c in COMPLAINTS)
+    aliases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in COMPLAINT_ALIASES.items())
+    return f"(CASE WHEN (CASE {column} {aliases} ELSE {column} END) IN ({values}) THEN (CASE {column} {aliases} ELSE {column} END) END)"
