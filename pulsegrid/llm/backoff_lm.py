@@ -36,7 +36,7 @@ from pulsegrid.llm.common import bounded_batches, cut, text_bytes, write_table
 from pulsegrid.llm.quality_rules import mixed
 
 #: Bytes of text in a block (a longer text is a block of its own) and n-grams a shard is sized for.
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 22
 SHARD_GRAMS = 1 << 20
 END = np.uint64(0xE0D)
 
@@ -60,7 +60,8 @@ class Encoder:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in self.known), np.uint64, len(self.known))
         hashes[0] = END
         lengths = np.array([len(t) for t in self.texts], np.uint32)
-        return np.concatenate(self.texts).tobytes(), lengths.tobytes(), hashes.tobytes()
+        tokens = np.concatenate(self.texts).tobytes()
+        return len(tokens).to_bytes(8, "little") + pa.compress(tokens, "zstd", asbytes=True), lengths.tobytes(), hashes.tobytes()
 
 
 def longer(histories: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -73,13 +74,15 @@ class Block:
     """The n-grams of a block: for each order, their distinct hashes and, for each token, which of them ends there."""
 
     def __init__(self, tokens: bytes, lengths: bytes, hashes: bytes, trained: list[bool], order: int):
-        ids = np.frombuffer(tokens, np.uint32).astype(np.int64)
+        tokens = pa.decompress(memoryview(tokens)[8:], int.from_bytes(tokens[:8], "little"), "zstd")
+        ids = np.frombuffer(tokens, np.int32)
         self.lengths = np.frombuffer(lengths, np.uint32).astype(np.int64)
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         words = np.frombuffer(hashes, np.uint64)
         self.trained = np.asarray(trained, bool)[self.doc]
         begins = np.cumsum(self.lengths) - self.lengths
-        self.into = np.arange(len(ids)) - np.repeat(begins, self.lengths)  # a token's place in its text
+        # a token's place in its text
+        self.into = np.arange(len(ids), dtype=np.int32) - np.repeat(begins, self.lengths).astype(np.int32)
         at = words[ids]
         self.keys, self.which = [words], [ids]
         # an order-n gram that reaches over a text's beginning starts with its begin token, hash 0
@@ -92,7 +95,7 @@ class Block:
                 history = longer(history, before)
             keys, which = np.unique(longer(history, at), return_inverse=True)
             self.keys.append(keys)
-            self.which.append(which)
+            self.which.append(which.astype(np.int32))
 
     def counts(self, n: int) -> np.ndarray:
         """How often each n-gram of order n ends a place in the block's training texts."""
@@ -141,7 +144,8 @@ def train_and_ask(blocks: DataFrame, order: int, shards: int) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.select(["block", "trained", "tokens", "lengths", "hashes"]).to_pylist():
+            for i in range(batch.num_rows):  # one block at a time in memory
+                x = batch.slice(i, 1).select(["block", "trained", "tokens", "lengths", "hashes"]).to_pylist()[0]
                 b = Block(x["tokens"], x["lengths"], x["hashes"], x["trained"], order)
                 for n in range(1, order + 1):
                     keys, count = b.keys[n - 1], b.counts(n)
@@ -228,7 +232,7 @@ class Automaton:
 
 
 def score(
-    docs: DataFrame, keep: list[str], trained: Column, order: int = 2, mu: float = 8.0, discount: float = 0.5, shards: int | None = None, text: str = "text"
+    docs: DataFrame, keep: list[str], trained: Column, order: int = 2, mu: float = 256.0, discount: float = 0.75, shards: int | None = None, text: str = "text"
 ) -> DataFrame:
     """The ``keep`` columns of every row with n_tokens, n_known, train_tokens, base_score (add-one-half unigrams)
     and score (log10 probability of the text under the automaton)."""

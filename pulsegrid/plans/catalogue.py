@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pulsegrid.plans import queue, reads, scores
+from pulsegrid.plans import queue, reads, rumors, scores, texts
 
-PARTS = (scores, queue, reads)
+PARTS = (scores, queue, reads, texts, rumors)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: sql for part in PARTS for name, sql in part.ORACLE.items()}
