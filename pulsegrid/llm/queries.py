@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import backoff_lm, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash_bktree, toxicity_fm, url_filter, vector_hnsw
@@ -57,17 +57,23 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: The tree of the mixing query, its weights, the part of all tokens to spend, epochs and seed.
-MIX_LEVELS = {"domain": F.concat(F.lit("d"), F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]?)$", 1)), "lang": F.col("lang"), "source": F.col("source")}
+MIX_LEVELS = ["domain", "lang", "source"]
 MIX_WEIGHTS = {"lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}, "domain": {"d0": 3.0, "d1": 2.0, "d2": 2.0}}
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.8, 2, 1
 
 
+def mix_levels(lang: str = "lang", source: str = "source") -> dict[str, Column]:
+    """The tree's columns from the root down; sources whose names end in one digit are a domain."""
+    domain = F.concat(F.lit("d"), F.regexp_extract(F.coalesce(source, F.lit("")), "([0-9]?)$", 1))
+    return dict(zip(MIX_LEVELS, (domain, F.col(lang), F.col(source)), strict=True))
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents"), ["doc_id"], MIX_LEVELS, MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+    return mixing.mix(table(spark, folder, "documents"), ["doc_id"], mix_levels(), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
 
 
 def _op5_sql() -> str:
-    names = list(MIX_LEVELS)
+    names = MIX_LEVELS
 
     def weight(c: str) -> str:
         cases = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in MIX_WEIGHTS.get(c, {}).items())
@@ -78,7 +84,7 @@ def _op5_sql() -> str:
         cols, family = ", ".join(names[: i + 1]), ", ".join(names[:i])
         part = f"PARTITION BY {family}" if family else ""
         up = f"JOIN f{i - 1} u ON " + " AND ".join(f"g.{x} IS NOT DISTINCT FROM u.{x}" for x in names[:i]) if i else ""
-        budget = "u.share" if i else "(SELECT 0.8::DOUBLE * sum(tokens)::DOUBLE FROM leaves)"
+        budget = "u.share" if i else f"(SELECT {MIX_SHARE}::DOUBLE * sum(tokens)::DOUBLE FROM leaves)"
         steps.append(f"""n{i} AS (SELECT {', '.join(f'g.{x}' for x in names[: i + 1])}, g.capacity, g.weight, {budget} AS budget, g.capacity / g.weight AS ratio
   FROM (SELECT {cols}, sum(capacity) AS capacity, any_value({weight(c)}) AS weight FROM leaves GROUP BY {cols}) g {up}),
 l{i} AS (SELECT *, (budget - coalesce(sum(capacity) OVER ({part} ORDER BY ratio, {cols} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER ({part} ORDER BY ratio, {cols} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM n{i}),
@@ -87,7 +93,7 @@ f{i} AS (SELECT {cols}, least(capacity, CASE WHEN ratio > level THEN weight * ma
     same = " AND ".join(f"d.{x} IS NOT DISTINCT FROM s.{x}" for x in names)
     return rf"""
 WITH docs AS (SELECT doc_id, 'd' || regexp_extract(coalesce(source, ''), '([0-9]?)$', 1) AS domain, lang, source,
-  len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS tokens FROM documents),
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents),
 leaves AS (SELECT {every}, sum(tokens)::BIGINT AS tokens, (sum(tokens) * {MIX_EPOCHS})::DOUBLE AS capacity FROM docs GROUP BY {every}),
 {', '.join(steps)},
 spread AS (SELECT d.*, e.epoch::INTEGER AS epoch, md5(concat_ws('|', '{MIX_SEED}', e.epoch, coalesce(doc_id::VARCHAR, ''))) AS place FROM docs d, range(1, {MIX_EPOCHS + 1}) e(epoch)),

@@ -20,7 +20,9 @@ smallest id of a component.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -265,30 +267,64 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
+def spelled(text: bytes) -> tuple[bytes, int, int]:
+    """A digest of a text's words, and its fingerprints by word pairs and by distinct words."""
+    words = text.lower().split()
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest(), fingerprint(text, 2), fingerprint(b" ".join(sorted(set(words))), 1)
+
+
+def candidates(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs of nodes (node, fps) to compare: (a, b), a above b."""
+    each = nodes.select("node", F.explode("fps").alias("fp"))
+    first = cut(each.groupBy("fp").agg(F.min("node").alias("first")), "first-of-fingerprint")
+    equal = each.join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = links(first.select("fp"), radius, nearest=True)
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    return equal.union(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 7) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group, that with the smallest id stays.
 
-    Fingerprints of three-word shingles within ``radius`` bits are candidates; the edges that BK-trees give (to the smallest
-    and to the nearest fingerprint of a shard's group) hold if the texts' ``shingle``-word shingles have a Jaccard
-    similarity of ``least`` or more. Equal fingerprints need no proof. Null ids come last, repeated rows leave one.
+    Texts of the same words are one node. Each node has two fingerprints, of its word pairs and of its distinct words, since
+    texts of a given similarity in ``shingle``-word shingles differ in fewer bits there than in a fingerprint of long shingles.
+    Nodes with one equal fingerprint, and those that BK-trees name (the smallest and the nearest fingerprint of a shard's
+    group), are compared: they are linked if their shingles have a Jaccard similarity of ``least`` or more. One node of each
+    linked group then goes on to a further round, until a round links nothing; so dense groups make few pairs in each round.
+    Null ids come last, repeated rows leave one.
     """
     names = docs.columns
     rows = docs.withColumn("_digest", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    fps = cut(fingerprints(rows, [doc_id, "_digest"], 3, text).select(F.col(doc_id).alias("id"), F.col("_digest").alias("digest"), "fp"), "fingerprints")
-    edges = cut(links(fps, radius, nearest=True), "links")
-    ends = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct()
-    shown = fps.groupBy("fp").agg(F.min("digest").alias("digest")).join(ends, "fp")
-    texts = rows.select(F.col("_digest").alias("digest"), F.col(text).alias("t")).join(shown, "digest").select("fp", "t")
-    sets = cut(map_texts(texts, lambda: lambda ts: [[shingle_set(t, shingle) for t in ts]], "grams binary", ["fp"], "t").groupBy("fp").agg(F.first("grams").alias("grams")), "shingles")
-    pairs = edges.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
+    made = map_texts(rows, lambda: lambda ts: list(zip(*map(spelled, ts), strict=True)), "node binary, pairs long, words long", [doc_id, "_digest"], text)
+    made = made.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_digest").alias("digest")).alias("row"), "node", F.array("pairs", "words").alias("fps"))
+    nodes = cut(made.groupBy("node").agg(F.min("row").alias("row"), F.min("fps").alias("fps")), "nodes")
+    active, sets, proven = nodes.select("node", "fps"), None, []
 
     def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = pa.array([similarity(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
             yield batch.select([0, 1]).filter(near)
 
-    roots = connected_components(pairs.mapInArrow(prove, "a long, b long"))
-    named = fps.join(roots, fps.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "id", "digest")
-    stays = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("x")).select(F.col("x.id").alias("_id"), F.col("x.digest").alias("_kept"))
+    while True:
+        pairs = cut(candidates(active, radius), "candidates")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        if sets is None:  # later rounds compare nodes of the first one
+            shown = nodes.join(ends, "node").select("node", F.col("row.digest").alias("digest"))
+            texts = rows.select(F.col("_digest").alias("digest"), F.col(text).alias("t")).join(shown, "digest").select("node", "t")
+            sets = cut(map_texts(texts, lambda: lambda ts: [[shingle_set(t, shingle) for t in ts]], "grams binary", ["node"], "t").groupBy("node").agg(F.first("grams").alias("grams")), "shingles")
+        held = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+        linked = cut(held.select("a", "b", "x", "y").mapInArrow(prove, "a binary, b binary"), "links")
+        if linked.isEmpty():
+            break
+        proven.append(linked)
+        gone = linked.select(F.col("a").alias("node")).distinct()  # each has a smaller one that it's linked to
+        active = cut(active.join(ends, "node", "left_semi").join(gone, "node", "left_anti"), "active")
+
+    if proven:
+        roots = connected_components(reduce(DataFrame.union, proven))
+        named = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "row")
+    else:
+        named = nodes.select(F.col("node").alias("root"), "row")
+    stays = named.groupBy("root").agg(F.min("row").alias("x")).select(F.col("x.id").alias("_id"), F.col("x.digest").alias("_kept"))
     kept = rows.join(stays, (F.col("_digest") == F.col("_kept")) & F.col(doc_id).eqNullSafe(F.col("_id")))
     return kept.dropDuplicates([doc_id, "_digest"]).select(*names)
