@@ -63,6 +63,6 @@ def models_of_sql(body: str, keywords: list[Keyword]) -> str:
                     hit += f" AND NOT {local}"
             hits.append(f"({hit})")
         parts.append(f"CASE WHEN {' OR '.join(hits)} THEN '{slug}' END")
-    return f"list_filter([{', '.join(parts)}], x -> x IS NOT NULL)"
+    return f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
 
 
