@@ -39,7 +39,7 @@ SHARD = 4096
 PAIRS = 1 << 20
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
+def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
     """Signed 64-bit fingerprint of one text."""
     words = text.lower().split()
     if not words:
@@ -48,10 +48,10 @@ def fingerprint(text: bytes, shingle: int) -> int:
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends]
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(line, 42)]
+        hashes = [xxhash.xxh64_intdigest(line, seed)]
     else:
         of = xxhash.xxh64_intdigest
-        hashes = [of(line[a : b - 1], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=False)]
+        hashes = [of(line[a : b - 1], seed) for a, b in zip(starts, ends[shingle - 1 :], strict=False)]
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(np.array(hashes[i : i + (1 << 16)], ">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -267,10 +267,11 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def spelled(text: bytes) -> tuple[bytes, int, int]:
-    """A digest of a text's words, and its fingerprints by word pairs and by distinct words."""
+def spelled(text: bytes) -> tuple[bytes, int, int, int]:
+    """A digest of a text's words, its fingerprint by word pairs, and two by distinct words."""
     words = text.lower().split()
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest(), fingerprint(text, 2), fingerprint(b" ".join(sorted(set(words))), 1)
+    distinct = b" ".join(sorted(set(words)))
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest(), fingerprint(text, 2), fingerprint(distinct, 1), fingerprint(distinct, 1, 43)
 
 
 def candidates(nodes: DataFrame, radius: int) -> DataFrame:
@@ -283,20 +284,21 @@ def candidates(nodes: DataFrame, radius: int) -> DataFrame:
     return equal.union(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 7) -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 5) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group, that with the smallest id stays.
 
-    Texts of the same words are one node. Each node has two fingerprints, of its word pairs and of its distinct words, since
-    texts of a given similarity in ``shingle``-word shingles differ in fewer bits there than in a fingerprint of long shingles.
-    Nodes with one equal fingerprint, and those that BK-trees name (the smallest and the nearest fingerprint of a shard's
+    Texts of the same words are one node. Each node has three fingerprints, of its word pairs and, with two seeds, of its distinct
+    words: texts of a given similarity in ``shingle``-word shingles differ in fewer bits there than in a fingerprint of long
+    shingles, and three chances at a small radius cost less than one at a large radius, whose shards are few and full.
+    Nodes with an equal fingerprint, and those that BK-trees name (the smallest and the nearest fingerprint of a shard's
     group), are compared: they are linked if their shingles have a Jaccard similarity of ``least`` or more. One node of each
     linked group then goes on to a further round, until a round links nothing; so dense groups make few pairs in each round.
     Null ids come last, repeated rows leave one.
     """
     names = docs.columns
     rows = docs.withColumn("_digest", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    made = map_texts(rows, lambda: lambda ts: list(zip(*map(spelled, ts), strict=True)), "node binary, pairs long, words long", [doc_id, "_digest"], text)
-    made = made.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_digest").alias("digest")).alias("row"), "node", F.array("pairs", "words").alias("fps"))
+    made = map_texts(rows, lambda: lambda ts: list(zip(*map(spelled, ts), strict=True)), "node binary, pairs long, words long, again long", [doc_id, "_digest"], text)
+    made = made.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_digest").alias("digest")).alias("row"), "node", F.array("pairs", "words", "again").alias("fps"))
     nodes = cut(made.groupBy("node").agg(F.min("row").alias("row"), F.min("fps").alias("fps")), "nodes")
     active, sets, proven = nodes.select("node", "fps"), None, []
 
