@@ -93,14 +93,14 @@ def board(spark: SparkSession, folder: str) -> DataFrame:
     """A leaderboard from parts."""
     p, k = read(spark, folder, "part"), F.col("p_partkey")
     return p.select(
-        F.concat(F.lit("n"), k.cast("string")).alias("name"), F.concat("p_brand", F.lit(" Pro "), (k % 7 + 1).cast("string"), F.lit("."), (F.col("p_size") % 5).cast("string")).alias("label"), (k % 10 != 0).alias("ranked"),
+        F.concat(F.lit("n"), k.cast("string")).alias("name"), F.concat(F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(" Pro "), (k % 7 + 1).cast("string"), F.lit("."), (F.col("p_size") % 5).cast("string")).alias("label"), (k % 10 != 0).alias("ranked"),
         F.col("p_retailprice").alias("score"), (F.col("p_retailprice") - F.col("p_size")).alias("lo"), (F.col("p_retailprice") + F.col("p_size")).alias("hi"), F.col("p_brand").alias("brand"),
         F.concat(F.lit("2026-07-"), F.lpad((k % 28 + 1).cast("string"), 2, "0")).alias("price_date"), (F.col("p_size") * 1.0).alias("price"), k.alias("k"),
     )
 
 
-BOARD_SQL = """board AS (SELECT 'n' || p_partkey AS name, p_brand || ' Pro ' || (p_partkey % 7 + 1) || '.' || (p_size % 5) AS label, p_partkey % 10 <> 0 AS ranked, p_retailprice AS score, p_retailprice - p_size AS lo, p_retailprice + p_size AS hi, p_brand AS brand,
-  '2026-07-' || lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0') AS price_date, p_size * 1.0::DOUBLE AS price, p_partkey AS k, lower(p_brand) || ' pro' AS fam, [(p_partkey % 7 + 1)::INTEGER, (p_size % 5)::INTEGER] AS ver FROM part)"""
+BOARD_SQL = """board AS (SELECT 'n' || p_partkey AS name, replace(p_brand, '#', '') || ' Pro ' || (p_partkey % 7 + 1) || '.' || (p_size % 5) AS label, p_partkey % 10 <> 0 AS ranked, p_retailprice AS score, p_retailprice - p_size AS lo, p_retailprice + p_size AS hi, p_brand AS brand,
+  '2026-07-' || lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0') AS price_date, p_size * 1.0::DOUBLE AS price, p_partkey AS k, lower(replace(p_brand, '#', '')) || ' pro' AS fam, [(p_partkey % 7 + 1)::INTEGER, (p_size % 5)::INTEGER] AS ver FROM part)"""
 
 
 def board_lineup(spark: SparkSession, folder: str) -> DataFrame:
