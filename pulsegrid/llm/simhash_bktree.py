@@ -21,7 +21,7 @@ smallest id of a component.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import accumulate
 
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import connected_components, cut, map_texts
+from pulsegrid.llm.common import connected_components, cut, map_texts, text_bytes
 
 BITS = 64
 #: Fingerprints of a shard beyond which it is dealt out again, and pairs looked at in one step.
@@ -284,6 +284,102 @@ def candidates(nodes: DataFrame, radius: int) -> DataFrame:
     return equal.union(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
 
 
+def prefix_length(n: np.ndarray | int, least: float) -> np.ndarray:
+    """How many shingles, first in one order for all texts, of a set of n meet those of every set as similar as ``least``."""
+    return n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
+
+
+def prefixes(shingle: int, least: float, common: np.ndarray) -> Callable[[list[bytes]], list]:
+    """For texts, the number of distinct shingles and the first of them: uncommon ones by their hash, then ``common`` ones as given."""
+    place = np.argsort(common)
+    known = common[place]
+
+    def first(text: bytes) -> tuple[int, np.ndarray]:
+        x = np.frombuffer(shingle_set(text, shingle), np.uint64)
+        if not len(x):
+            return 0, x
+        rank = np.zeros(len(x), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+            rank = np.where(known[at] == x, place[at] + 1, 0)
+        return len(x), x[np.argsort(rank, kind="stable")][: prefix_length(len(x), least)]
+
+    def run(texts: list[bytes]) -> list:
+        made = [first(t) for t in texts]
+        ends = np.cumsum([0, *(len(x) for _, x in made)]).astype(np.int32)
+        flat = np.concatenate([x for _, x in made]).view(np.int64)
+        return [[n for n, _ in made], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+
+    return run
+
+
+def common_shingles(docs: DataFrame, text: str, shingle: int, rows: int = 8192, most: int = 1 << 16) -> np.ndarray:
+    """Shingles held by three or more of some ``rows`` texts, the most common last: they only settle an order, so a part of the texts will do."""
+    every = max(1, docs.count() // rows)
+    some = docs.where(F.crc32(text_bytes(text)) % every == 0)
+    grams = map_texts(some, lambda: lambda ts: [[np.frombuffer(shingle_set(t, shingle), np.int64) for t in ts]], "grams array<bigint>", [], text)
+    counted = grams.select(F.explode("grams").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    found = counted.orderBy(F.desc("n"), "h").limit(most).collect()
+    return np.array([r.h for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def whole_lists(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by the first one, put together so that rows equal there are never apart."""
+    held: list[list[np.ndarray]] = []
+    count = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        count += len(batch)
+        if count >= most and held[0][0][0] != held[-1][0][-1]:
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cutoff = int(np.searchsorted(columns[0], columns[0][-1]))
+            yield [c[:cutoff] for c in columns]
+            held, count = [[c[cutoff:] for c in columns]], len(columns[0]) - cutoff
+    if count:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def shared(nodes: DataFrame, least: float) -> DataFrame:
+    """Rows (h, at, id, many) of the prefixes' shingles that texts of fitting sizes share; at: size and place, many: texts that hold h."""
+    each = nodes.select(F.xxhash64("node").alias("id"), "size", F.posexplode("prefix").alias("place", "h"))
+    dealt = each.select("h", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("place")).alias("at"), "id").repartition("h").sortWithinPartitions("h", "at", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, at, i in whole_lists(batches):
+            size = at >> 32
+            fits = (h[1:] == h[:-1]) & (size[:-1] >= least * size[1:] - 1e-9)
+            keep = np.append(fits, False) | np.append(False, fits)
+            h, at, i = h[keep], at[keep], i[keep]
+            _, back, many = np.unique(h, return_inverse=True, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"h": h, "at": at, "id": i, "many": many[back]})
+
+    return dealt.mapInArrow(run, "h long, at long, id long, many long")
+
+
+def near_in_lists(lists: DataFrame, least: float, low: int, high: int) -> DataFrame:
+    """Pairs (x, y) of ids, of different roots, that can be similar and lie ``low`` to ``high`` - 1 places apart in a list (h, at, id, many, root)."""
+    dealt = lists.select("h", "at", "id", "many", "root").repartition("h").sortWithinPartitions("h", "at", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_lists(batches):
+            for d in range(low, high):
+                rows = [c[rows[3] > d] for c in rows]
+                h, at, i, _, root = rows
+                if not len(h):
+                    break
+                p = np.flatnonzero((h[d:] == h[:-d]) & (root[d:] != root[:-d]))
+                a, b = at[p], at[p + d]
+                (m, k), (n, j) = (a >> 32, a & 0xFFFFFFFF), (b >> 32, b & 0xFFFFFFFF)
+                fits = (m >= least * n - 1e-9) & (np.minimum(m - k, n - j) >= least / (1 + least) * (m + n) - 1e-6)
+                x, y = i[p[fits]], i[p[fits] + d]
+                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+                yield pa.RecordBatch.from_pydict({"x": pairs[:, 0], "y": pairs[:, 1]})
+
+    return dealt.mapInArrow(run, "x long, y long").distinct()
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 5) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group, that with the smallest id stays.
 
@@ -293,13 +389,25 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     Nodes with an equal fingerprint, and those that BK-trees name (the smallest and the nearest fingerprint of a shard's
     group), are compared: they are linked if their shingles have a Jaccard similarity of ``least`` or more. One node of each
     linked group then goes on to a further round, until a round links nothing; so dense groups make few pairs in each round.
+
+    What these rounds leave apart is compared in full. With all shingles in one order, rare ones first, two sets as similar as
+    ``least`` share one of their first ``prefix_length``; so all nodes, also those that left the rounds, meet in the lists of
+    these shingles, and every two of a list that can be similar and aren't in one group yet are compared, first those a few
+    places apart and then those further off, as groups grow. Groups are thus the components of all links.
     Null ids come last, repeated rows leave one.
     """
     names = docs.columns
     rows = docs.withColumn("_digest", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    made = map_texts(rows, lambda: lambda ts: list(zip(*map(spelled, ts), strict=True)), "node binary, pairs long, words long, again long", [doc_id, "_digest"], text)
-    made = made.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_digest").alias("digest")).alias("row"), "node", F.array("pairs", "words", "again").alias("fps"))
-    nodes = cut(made.groupBy("node").agg(F.min("row").alias("row"), F.min("fps").alias("fps")), "nodes")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, text, shingle))
+
+    def make() -> Callable[[list[bytes]], list]:
+        first = prefixes(shingle, least, common.value)
+        return lambda ts: [*zip(*map(spelled, ts), strict=True), *first(ts)]
+
+    made = map_texts(rows, make, "node binary, pairs long, words long, again long, size int, prefix array<bigint>", [doc_id, "_digest"], text)
+    made = made.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_digest").alias("digest")).alias("row"), "node", F.array("pairs", "words", "again").alias("fps"), "size", "prefix")
+    nodes = cut(made.groupBy("node").agg(F.min("row").alias("row"), F.min("fps").alias("fps"), F.min("size").alias("size"), F.min("prefix").alias("prefix")), "nodes")
+    lists = cut(shared(nodes, least), "shared-shingles")
     active, sets, proven = nodes.select("node", "fps"), None, []
 
     def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,10 +418,12 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     while True:
         pairs = cut(candidates(active, radius), "candidates")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        if sets is None:  # later rounds compare nodes of the first one
-            shown = nodes.join(ends, "node").select("node", F.col("row.digest").alias("digest"))
-            texts = rows.select(F.col("_digest").alias("digest"), F.col(text).alias("t")).join(shown, "digest").select("node", "t")
-            sets = cut(map_texts(texts, lambda: lambda ts: [[shingle_set(t, shingle) for t in ts]], "grams binary", ["node"], "t").groupBy("node").agg(F.first("grams").alias("grams")), "shingles")
+        if sets is None:  # later rounds compare nodes of the first one, or of the lists
+            keyed = nodes.select("node", F.xxhash64("node").alias("id"), F.col("row.digest").alias("digest"))
+            listed = keyed.join(lists.select("id").distinct(), "id", "left_semi").select("node")
+            shown = keyed.join(ends.union(listed).distinct(), "node")
+            texts = rows.select(F.col("_digest").alias("digest"), F.col(text).alias("t")).join(shown, "digest").select("node", "id", "t")
+            sets = cut(map_texts(texts, lambda: lambda ts: [[shingle_set(t, shingle) for t in ts]], "grams binary", ["node", "id"], "t").groupBy("node", "id").agg(F.first("grams").alias("grams")), "shingles")
         held = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
         linked = cut(held.select("a", "b", "x", "y").mapInArrow(prove, "a binary, b binary"), "links")
         if linked.isEmpty():
@@ -322,8 +432,25 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
         gone = linked.select(F.col("a").alias("node")).distinct()  # each has a smaller one that it's linked to
         active = cut(active.join(ends, "node", "left_semi").join(gone, "node", "left_anti"), "active")
 
-    if proven:
-        roots = connected_components(reduce(DataFrame.union, proven))
+    roots = connected_components(reduce(DataFrame.union, proven)) if proven else None
+    longest = lists.agg(F.max("many")).first()[0] or 0
+    low, high = 1, 8
+    while low < longest:
+        apart = lists.where(F.col("many") > low)
+        if roots is None:
+            apart = apart.withColumn("root", F.col("id"))
+        else:
+            known = roots.select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("r"))
+            apart = apart.join(known, "id", "left").withColumn("root", F.coalesce("r", "id"))
+        pairs = cut(near_in_lists(apart, least, low, high), "pairs-in-lists")
+        held = pairs.join(sets.select(F.col("id").alias("x"), F.col("node").alias("a"), F.col("grams").alias("s")), "x").join(sets.select(F.col("id").alias("y"), F.col("node").alias("b"), F.col("grams").alias("t")), "y")
+        linked = cut(held.select("a", "b", "s", "t").mapInArrow(prove, "a binary, b binary"), "links")
+        if not linked.isEmpty():
+            proven.append(linked)
+            roots = connected_components(reduce(DataFrame.union, proven))
+        low, high = high, 8 * high
+
+    if roots is not None:
         named = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "row")
     else:
         named = nodes.select(F.col("node").alias("root"), "row")

@@ -129,3 +129,12 @@ def test_texts_of_one_fingerprint_but_little_in_common_both_stay(spark):
     one, two = "alpha beta gamma delta epsilon zeta", "eta theta iota kappa lambda mu"
     kept = sh.one_of_each(spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
+
+
+def test_pairs_beyond_the_radius_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id in (4, 2540, 2789, 8154)").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for a, b in ((4, 2540), (2789, 8154)):
+        assert jaccard(texts[a], texts[b], 5) >= 0.8
+        assert all((x ^ y).bit_count() > 5 for x, y in zip(sh.spelled(texts[a].encode())[1:], sh.spelled(texts[b].encode())[1:], strict=True))
+    assert sorted(r.doc_id for r in sh.one_of_each(docs).collect()) == [4, 2789]
