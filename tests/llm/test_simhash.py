@@ -138,3 +138,35 @@ def test_pairs_beyond_the_radius_are_found(spark):
         assert jaccard(texts[a], texts[b], 5) >= 0.8
         assert all((x ^ y).bit_count() > 5 for x, y in zip(sh.spelled(texts[a].encode())[1:], sh.spelled(texts[b].encode())[1:], strict=True))
     assert sorted(r.doc_id for r in sh.one_of_each(docs).collect()) == [4, 2789]
+
+
+def kept_by_brute_force(rows: list[tuple[int, str]], shingle: int, least: float) -> list[int]:
+    grams = [{tuple(t.split()[i : i + shingle]) for i in range(max(1, len(t.split()) - shingle + 1))} for _, t in rows]
+    low = list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            if low[i] != low[j] and len(grams[i] & grams[j]) >= least * len(grams[i] | grams[j]):
+                a, b = sorted((low[i], low[j]))
+                low = [a if x == b else x for x in low]
+    return sorted({min(rows[j][0] for j in range(len(rows)) if low[j] == k) for k in set(low)})
+
+
+def test_texts_that_share_long_boilerplate_meet_their_partners(spark):
+    rng = random.Random(4)
+    vocabulary = [f"b{i}" for i in range(400)]
+    licence = [rng.choice(vocabulary) for _ in range(600)]
+    rows = []
+    for k in range(60):  # unlike texts, with a near copy each, that differ in few words of many
+        own = [rng.choice(vocabulary) for _ in range(170)]
+        copy = list(own)
+        for _ in range(rng.randint(1, 12)):
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+        rows += [(2 * k, " ".join(licence + own)), (2 * k + 1, " ".join(licence + copy))]
+    chain = [rng.choice(vocabulary) for _ in range(120)]
+    for k in range(12):  # neighbours are alike, the ends are not
+        chain = chain[4:] + [rng.choice(vocabulary) for _ in range(4)]
+        rows.append((1000 + k, " ".join(chain)))
+    want = kept_by_brute_force(rows, 5, 0.8)
+    assert len(want) == 61
+    got = sh.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == want
