@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_ATTEMPTS = 5
-# The marks of passing failures.
-TRANSIENT = ["timeout", "quota", "rate limit", "transient", "fetch", "abort", "503", "529", "overloaded"]
+# The marks of passing failures, wherever they stand and in either case.
+TRANSIENT = [
+    "classifier_error", "quota_deferred", "RESOURCE_EXHAUSTED", "UNAVAILABLE", "fetch failed", "timeout", "ETIMEDOUT", "ECONNRESET", "429", "500", "502",
+    "503", "504", "Expected", "JSON", "position", "unparseable_response", "result_count_mismatch", "missing_result_index",
+]
 
 
 def due(posts: DataFrame, now: Column, limit: int, tie: str = "id") -> DataFrame:
@@ -72,9 +77,9 @@ def error_group(error: Column) -> Column:
     return F.when(any_of("quota"), "quota").when(any_of("timeout", "abort"), "timeout").when(any_of("parse", "json"), "parse").when(any_of("api", "fetch"), "api").when(any_of("transient"), "transient").otherwise("other")
 
 
-def reset_failed(posts: DataFrame) -> DataFrame:
+def reset_failed(posts: DataFrame, marks: list[str] = TRANSIENT) -> DataFrame:
     """Failed posts whose error will pass, put back to the beginning of the queue."""
-    passing = F.lower(F.coalesce("error", F.lit(""))).rlike("|".join(TRANSIENT))
+    passing = reduce(or_, (F.col("error").ilike(f"%{m}%") for m in marks))
     return posts.where((F.col("status") == "failed") & passing).select("id", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("timestamp").alias("next_at"), F.lit(None).cast("string").alias("error"))
 
 
