@@ -60,12 +60,21 @@ def agreement_matrix(votes: DataFrame, on: str, voter: str, value: str) -> DataF
 
 
 def usage(rows: DataFrame, key: str, amount: str, price: float, cached: str, cached_part: float = 0.1) -> DataFrame:
-    """Sums, median, nearest-rank 95th percentile and cost, where cached amounts cost a part of the price."""
-    ordered = F.array_sort(F.collect_list(amount))
-    return rows.groupBy(key).agg(
+    """Sums, median, nearest-rank 95th percentile and cost, where cached amounts cost a part of the price.
+
+    Median and percentile come from the counts of distinct amounts, summed up in order, so that no group is gathered as a whole;
+    null amounts play no part in them.
+    """
+    sums = rows.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"),
+        F.count(amount).alias("_all"),
         F.sum(amount).cast("double").alias("total"),
-        F.round(F.median(amount), 6).alias("median"),
-        F.element_at(ordered, F.least(F.floor(F.size(ordered) * 0.95), F.size(ordered) - 1).cast("int") + 1).cast("double").alias("p95"),
         F.round((F.sum(F.col(amount) - F.col(cached)) + F.sum(cached) * cached_part) * price, 6).alias("cost"),
     )
+    counts = rows.where(F.col(amount).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(amount).cast("double").alias("_amount")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_to", F.sum("_n").over(Window.partitionBy("_key").orderBy("_amount").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    at = lambda place: F.min(F.when(F.col("_to") > place, F.col("_amount")))
+    ranked = sums.join(counts, F.col(key).eqNullSafe(F.col("_key")), "left").groupBy(key, "n", "total", "cost")
+    median = (at(F.floor((F.col("_all") - 1) / 2)) + at(F.floor(F.col("_all") / 2))) / 2
+    p95 = at(F.least(F.floor(F.col("_all") * 0.95), F.col("_all") - 1))
+    return ranked.agg(F.round(median, 6).alias("median"), p95.alias("p95")).select(key, "n", "total", "median", "p95", "cost")
