@@ -4,7 +4,9 @@ A text is the set of its terms: words, lower-cased and without signs at their en
 hashed to a fixed number of buckets. The machine adds a weight for each term and, through factors, one for each pair of
 terms, so that it learns what two words say together. It is fitted by AdaGrad on a bounded sample of labelled rows; a
 term takes part if at least ``MIN_DOCS`` of those rows hold it and its share in the two kinds of rows differs by more than
-``LEAST_Z`` standard errors, so that the many rare words of long texts don't drown the few that matter.
+``LEAST_Z`` standard errors, so that the many rare words of long texts don't drown the few that matter; or if it says
+something with another term: the rows that hold both have label 1 more or less often, by more than ``PAIR_Z`` standard
+errors, than either term alone and the two added up would have it.
 
 Defined results: null and empty texts get the score of no terms at all; repeated rows score alike; without labels of both kinds every
 score is the share of label 1 (0 without labels).
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,10 @@ FACTORS = 6
 SAMPLE = 20_000
 MIN_DOCS = 4
 LEAST_Z = 4.0
+#: For pairs, of which there are many more: rows that must hold both, standard errors, terms paired with all others in one step.
+PAIR_DOCS = 8
+PAIR_Z = 8.0
+STEP = 256
 SIGNS = b".,;:!?\"'()[]{}<>*#$%&|-_"
 
 
@@ -48,6 +55,48 @@ def telling(texts: list[np.ndarray], target: np.ndarray, held: np.ndarray) -> np
     return np.flatnonzero((held >= MIN_DOCS) & (z > LEAST_Z))
 
 
+def telling_pairs(texts: list[np.ndarray], target: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Terms of pairs whose rows have label 1 more or less often than the terms by themselves let expect. Equal texts count once."""
+    first = np.array(list({t.tobytes(): i for i, t in enumerate(texts)}.values()), np.int64)
+    ids = np.flatnonzero(held >= PAIR_DOCS)
+    place = np.full(BUCKETS, -1, np.int64)
+    place[ids] = np.arange(len(ids))
+    rows = [place[texts[i]] for i in first]
+    rows = [r[r >= 0] for r in rows]  # in order, as the terms are
+    y = target[first] > 0
+    share = y.mean() if len(y) else 0.0
+    found = np.zeros(len(ids), bool)
+    if not len(ids) or not 0 < share < 1:
+        return ids[found]
+    flat, ends = np.concatenate(rows), np.cumsum([len(r) for r in rows])
+    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    n, n1 = np.bincount(flat, minlength=len(ids)), np.bincount(flat[y[of]], minlength=len(ids))
+    p = (n1 + share) / (n + 1)  # as if each term had one more row of the mean
+    odds, base = np.log(p / (1 - p)), np.log(share / (1 - share))
+    order = np.argsort(flat, kind="stable")
+    starts = np.searchsorted(flat[order], np.arange(0, len(ids) + STEP, STEP))
+    for a, (start, end) in enumerate(pairwise(starts)):
+        count, count1 = np.zeros(STEP * len(ids), np.int32), np.zeros(STEP * len(ids), np.int32)
+        at = order[start:end]
+        later = ends[of[at]] - at - 1  # terms of the same row that come after
+        cuts = np.flatnonzero(np.diff(np.cumsum(later) >> 22)) + 1
+        for part, many in zip(np.split(at, cuts), np.split(later, cuts), strict=True):
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            key = np.repeat((flat[part] - a * STEP) * len(ids), many) + flat[np.repeat(part + 1, many) + step]
+            count += np.bincount(key, minlength=len(count)).astype(np.int32)
+            count1 += np.bincount(key[np.repeat(y[of[part]], many)], minlength=len(count)).astype(np.int32)
+        key = np.flatnonzero(count >= PAIR_DOCS)
+        i, j, k, ones = key // len(ids) + a * STEP, key % len(ids), count[key], count1[key]
+        added = 1 / (1 + np.exp(-np.clip(odds[i] + odds[j] - base, -30, 30)))
+        alone = np.maximum(p[i], p[j])
+        high, low = np.maximum(added, alone), np.minimum(added, alone)
+        over = (ones - k * high) / np.sqrt(k * high * (1 - high) + 1e-9)
+        under = (k * low - ones) / np.sqrt(k * low * (1 - low) + 1e-9)
+        tells = np.maximum(over, under) > PAIR_Z
+        found[i[tells]] = found[j[tells]] = True
+    return ids[found]
+
+
 class Machine:
     """bias + sum of w_i + sum over pairs of <v_i, v_j> / n, for the n terms with weights that a text holds."""
 
@@ -80,7 +129,7 @@ class Machine:
         share = float(target.mean()) if len(target) else 0.0
         bias = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
         held = np.bincount(np.concatenate(texts), minlength=BUCKETS) if texts else np.zeros(BUCKETS, int)
-        ids = telling(texts, target, held) if 0 < share < 1 else np.zeros(0, int)
+        ids = np.union1d(telling(texts, target, held), telling_pairs(texts, target, held)) if 0 < share < 1 else np.zeros(0, int)
         rng = np.random.default_rng(seed)
         self = cls(float(bias), ids, np.zeros(len(ids)), rng.normal(0, 0.02, (len(ids), FACTORS)))
         seen_w, seen_v = np.full(len(ids), 1e-3), np.full(self.v.shape, 1e-3)
