@@ -41,7 +41,7 @@ def precedence(claim_type: Column) -> Column:
 
 
 def accumulate(claims: DataFrame) -> DataFrame:
-    """One row for each product: distinct origins, platforms, lead claim, span, whether a source is credible."""
+    """One row for each product: distinct handles, platforms, lead claim, span, whether a source is credible."""
     lead = F.min(F.struct(precedence(F.col("claim_type")).alias("p"), (-F.col("posted_at").cast("long")).alias("t"), "claim_type"))["claim_type"]
     return claims.groupBy("family", "cluster_key").agg(
         F.count_distinct("handle").alias("mention_count"), F.array_sort(F.collect_set("platform")).alias("platforms"), lead.alias("claim_type"),
@@ -50,7 +50,7 @@ def accumulate(claims: DataFrame) -> DataFrame:
 
 
 def absorb(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Merge newly accumulated products into stored ones: counts add up, platforms unite, the stronger claim leads."""
+    """Merge newly accumulated products into stored ones: counts add up (a handle in both counts twice), platforms unite, the stronger claim leads."""
     n = new.select("family", "cluster_key", *(F.col(c).alias(f"n_{c}") for c in ("mention_count", "platforms", "claim_type", "first_seen_at", "last_seen_at", "has_credible_source")))
     both = stored.join(n, ["family", "cluster_key"], "full_outer")
     empty = F.array().cast("array<string>")
