@@ -30,9 +30,10 @@ FACTORS = 6
 SAMPLE = 20_000
 MIN_DOCS = 4
 LEAST_Z = 4.0
-#: For pairs, of which there are many more: rows that must hold both, standard errors, terms paired with all others in one step.
+#: For pairs, of which there are many more: rows that must hold both, standard errors, the share that counts as high, terms paired with all others in one step.
 PAIR_DOCS = 8
 PAIR_Z = 8.0
+HIGH = 0.2
 STEP = 256
 SIGNS = b".,;:!?\"'()[]{}<>*#$%&|-_"
 
@@ -55,46 +56,87 @@ def telling(texts: list[np.ndarray], target: np.ndarray, held: np.ndarray) -> np
     return np.flatnonzero((held >= MIN_DOCS) & (z > LEAST_Z))
 
 
+def counted_pairs(rows: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i of ``left``, j of ``right``: masks of terms) that ``least`` rows or more hold, with the number of these rows."""
+    place = np.cumsum(right) - 1
+    flat = np.concatenate([np.zeros(0, np.int64), *rows])
+    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    kept = right[flat]
+    partner, sizes = place[flat[kept]], np.bincount(of[kept], minlength=len(rows))
+    begins = np.cumsum(sizes) - sizes
+    lefts, width = np.flatnonzero(left), int(right.sum())
+    order = np.flatnonzero(left[flat])
+    order = order[np.argsort(flat[order], kind="stable")]
+    bounds = np.searchsorted(flat[order], np.append(lefts[::STEP], len(left)))
+    found = []
+    for a, (start, end) in enumerate(pairwise(bounds)):
+        names, count = lefts[a * STEP : (a + 1) * STEP], 0
+        at = order[start:end]
+        many = sizes[of[at]]
+        for part, n in ((x, y) for c in [np.flatnonzero(np.diff(np.cumsum(many) >> 22)) + 1] for x, y in zip(np.split(at, c), np.split(many, c), strict=True)):
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            key = np.repeat(np.searchsorted(names, flat[part]) * width, n) + partner[np.repeat(begins[of[part]], n) + step]
+            count = count + np.bincount(key, minlength=len(names) * width)
+        key = np.flatnonzero(count >= least) if end > start else np.zeros(0, np.int64)
+        if len(key):
+            i, j, k = names[key // width], np.flatnonzero(right)[key % width], count[key]
+            once = (i < j) | ~(left[j] & right[i])  # what comes from both sides counts from one
+            found.append((i[once].astype(np.int32), j[once].astype(np.int32), k[once].astype(np.int32)))
+    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.int64),) * 3
+
+
 def telling_pairs(texts: list[np.ndarray], target: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """Terms of pairs whose rows have label 1 more or less often than the terms by themselves let expect. Equal texts count once."""
+    """Terms of pairs whose rows have label 1 more or less often than the terms by themselves let expect. Equal texts count once.
+
+    Only pairs that can pass are counted: for more, those in ``PAIR_DOCS`` rows with label 1; for less, k rows of an expected
+    share q with k q / (1 - q) > ``PAIR_Z`` squared, so both terms are frequent or one has a high share by itself.
+    """
     first = np.array(list({t.tobytes(): i for i, t in enumerate(texts)}.values()), np.int64)
     ids = np.flatnonzero(held >= PAIR_DOCS)
     place = np.full(BUCKETS, -1, np.int64)
     place[ids] = np.arange(len(ids))
     rows = [place[texts[i]] for i in first]
-    rows = [r[r >= 0] for r in rows]  # in order, as the terms are
+    rows = [r[r >= 0] for r in rows]
     y = target[first] > 0
     share = y.mean() if len(y) else 0.0
-    found = np.zeros(len(ids), bool)
+    told = np.zeros(len(ids), bool)
     if not len(ids) or not 0 < share < 1:
-        return ids[found]
-    flat, ends = np.concatenate(rows), np.cumsum([len(r) for r in rows])
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    n, n1 = np.bincount(flat, minlength=len(ids)), np.bincount(flat[y[of]], minlength=len(ids))
+        return ids[told]
+    ones = [r for r, one in zip(rows, y, strict=True) if one]
+    n = np.bincount(np.concatenate(rows), minlength=len(ids))
+    n1 = np.bincount(np.concatenate(ones), minlength=len(ids))
     p = (n1 + share) / (n + 1)  # as if each term had one more row of the mean
     odds, base = np.log(p / (1 - p)), np.log(share / (1 - share))
-    order = np.argsort(flat, kind="stable")
-    starts = np.searchsorted(flat[order], np.arange(0, len(ids) + STEP, STEP))
-    for a, (start, end) in enumerate(pairwise(starts)):
-        count, count1 = np.zeros(STEP * len(ids), np.int32), np.zeros(STEP * len(ids), np.int32)
-        at = order[start:end]
-        later = ends[of[at]] - at - 1  # terms of the same row that come after
-        cuts = np.flatnonzero(np.diff(np.cumsum(later) >> 22)) + 1
-        for part, many in zip(np.split(at, cuts), np.split(later, cuts), strict=True):
-            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            key = np.repeat((flat[part] - a * STEP) * len(ids), many) + flat[np.repeat(part + 1, many) + step]
-            count += np.bincount(key, minlength=len(count)).astype(np.int32)
-            count1 += np.bincount(key[np.repeat(y[of[part]], many)], minlength=len(count)).astype(np.int32)
-        key = np.flatnonzero(count >= PAIR_DOCS)
-        i, j, k, ones = key // len(ids) + a * STEP, key % len(ids), count[key], count1[key]
+    # the rows of each term as bits, those with label 1 first
+    bits = np.zeros((len(ids), (len(rows) + 63) // 64), np.uint64)
+    for r, t in enumerate(ones + [t for t, one in zip(rows, y, strict=True) if not one]):
+        bits[t, r // 64] |= np.uint64(1 << r % 64)
+    high = p > HIGH
+    need = PAIR_Z**2 * (1 - np.minimum(p, HIGH)) / np.minimum(p, HIGH)
+    many = n >= PAIR_Z**2 * (1 - HIGH) / HIGH
+    carries = high & (n >= PAIR_Z**2 * (1 - p) / p)
+    more = counted_pairs(ones, n1 >= PAIR_DOCS, n1 >= PAIR_DOCS, PAIR_DOCS)
+    less = [counted_pairs(rows, many & (n >= need), many, int(PAIR_Z**2 * (1 - HIGH) / HIGH)), counted_pairs(rows, carries, np.ones(len(ids), bool), PAIR_DOCS)]
+    for given, (i, j, k) in ((True, more), (False, less[0]), (False, less[1])):
         added = 1 / (1 + np.exp(-np.clip(odds[i] + odds[j] - base, -30, 30)))
         alone = np.maximum(p[i], p[j])
-        high, low = np.maximum(added, alone), np.minimum(added, alone)
-        over = (ones - k * high) / np.sqrt(k * high * (1 - high) + 1e-9)
-        under = (k * low - ones) / np.sqrt(k * low * (1 - low) + 1e-9)
-        tells = np.maximum(over, under) > PAIR_Z
-        found[i[tells]] = found[j[tells]] = True
-    return ids[found]
+        q = np.maximum(added, alone) if given else np.minimum(added, alone)
+        can = (i != j) & (k * ((1 - q) / q if given else q / (1 - q)) > PAIR_Z**2)
+        i, j, k, q = i[can], j[can], k[can], q[can]
+        for a in range(0, len(i), 4096):
+            part = slice(a, a + 4096)
+            if given:
+                have, of = k[part], np.bitwise_count(bits[i[part]] & bits[j[part]]).sum(1)
+            else:
+                whole = (len(ones) + 63) // 64
+                front = bits[i[part], :whole] & bits[j[part], :whole]
+                if len(ones) % 64:
+                    front[:, -1] &= np.uint64((1 << len(ones) % 64) - 1)
+                have, of = np.bitwise_count(front).sum(1), k[part]
+            off = (have - of * q[part]) / np.sqrt(of * q[part] * (1 - q[part]) + 1e-9)
+            tells = off > PAIR_Z if given else off < -PAIR_Z
+            told[i[part][tells]] = told[j[part][tells]] = True
+    return ids[told]
 
 
 class Machine:
