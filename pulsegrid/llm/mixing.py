@@ -24,16 +24,10 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import cut
 
-#: Documents that a range of the order is sized for.
-RANGE = 4096
-
 
 def token_count(text: str = "text") -> Column:
     """Words of a text: what lies between ASCII white space."""
-    spaced = F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    # each word leaves its first character behind
-    squeezed = F.regexp_replace(F.trim(spaced), " +", " ")
-    return F.when(F.length(squeezed) == 0, F.lit(0)).otherwise(F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "))) + 1).cast("long")
+    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def order_key(seed: int, epoch: Column | str, doc_id: str) -> Column:
@@ -85,17 +79,23 @@ def mix(
     """The chosen rows: ``keep`` columns, the level columns, epoch, tokens and tokens_before in the leaf's order.
 
     share: the budget as a part of all tokens of ``docs``. A document comes once for each epoch that takes it.
+
+    Words are counted once: rows with their count and a number of their own are written, everything is decided on the narrow
+    columns of that table, and the chosen rows are joined back by their number, which no two rows share.
     """
     names = [f"level_{i}" for i in range(len(levels))]
-    rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), *(e.alias(n) for n, e in zip(names, levels.values(), strict=True)), F.col(doc_id).alias("id"), token_count(text).alias("tokens"))
-    spread = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
-    spread = spread.withColumn("place", order_key(seed, "epoch", "id"))
+    kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    tagged = docs.select(*kept, *(e.alias(n) for n, e in zip(names, levels.values(), strict=True)), F.col(doc_id).alias("id"), token_count(text).alias("tokens"))
+    wide = cut(tagged.withColumn("row", F.monotonically_increasing_id()), "mixing-rows")
+    rows = wide.select(*names, "id", "tokens", "row")
     leaves = cut(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "leaves")
     size = leaves.agg(F.sum("tokens"), F.sum("rows")).first()
-    total, digits = share * float(size[0] or 0), max(1, len(f"{(size[1] or 0) // RANGE:x}"))
+    # as many ranges as a range has rows: neither step of the sums has more than about the root of them in one group
+    total, digits = share * float(size[0] or 0), max(1, -(-(size[1] or 0).bit_length() // 8))
     given = budgets(leaves, names, dict(zip(names, (weights.get(c, {}) for c in levels), strict=True)), total, epochs)
 
     # tokens before a range: sums of ranges, then within a leaf's epochs and ranges
+    spread = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch")).withColumn("place", order_key(seed, "epoch", "id"))
     part = spread.withColumn("range", F.substring("place", 1, digits))
     ranges = part.groupBy(*names, "epoch", "range").agg(F.sum("tokens").alias("in_range"))
     leaf = Window.partitionBy(*names).orderBy("epoch", "range").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,7 +104,8 @@ def mix(
     quota = ranges.join(given, on(ranges, given, names)).select(*(ranges[c] for c in (*names, "epoch", "range", "before")), "share").where("before < share")
     quota = quota.select(*(F.col(c).alias(f"q_{c}") for c in (*names, "epoch", "range")), "before", "share")
     joined = part.join(quota, reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"q_{c}")) for c in (*names, "epoch", "range"))))
-    within = Window.partitionBy(*names, "epoch", "range").orderBy("place", "id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*names, "epoch", "range").orderBy("place", "id", "tokens", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = joined.withColumn("tokens_before", F.col("before") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
-    chosen = placed.where(F.col("tokens_before") < F.col("share"))
-    return chosen.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *(F.col(n).alias(c) for n, c in zip(names, levels, strict=True)), "epoch", "tokens", "tokens_before")
+    chosen = placed.where(F.col("tokens_before") < F.col("share")).select("row", "epoch", "tokens_before")
+    found = wide.join(chosen, "row")
+    return found.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *(F.col(n).alias(c) for n, c in zip(names, levels, strict=True)), "epoch", "tokens", "tokens_before")
