@@ -3,18 +3,21 @@
 Smoothed n-grams become states: reading token w in the state of a history h follows the arc (h, w) if that
 n-gram was seen, with weight (c(h w) + mu * p(w | h')) / (c(h) + mu), else the failure arc to the state of the
 shorter history h' with weight mu / (c(h) + mu), and so on down to the unigrams. These are the predictive
-probabilities of a hierarchical Dirichlet prior; in every state they sum to one. Unigrams are discounted:
-(c - d) / N for a seen token; the mass d * V / N goes to the unseen token, one type as in the base score.
+probabilities of a hierarchical Dirichlet prior with a mu for each order; in every state they sum to one.
+Unigrams are discounted: (c - d) / N for a seen token; the mass d * V / N goes to the unseen token, one type
+as in the base score.
 
 The model is as large as the corpus asks for, so it's never collected or broadcast. Texts are encoded once
 into blocks of bounded size, written to the shared folder. Each block sends the distinct n-grams it holds,
-with their counts in training texts, to shards by the n-gram's hash; a shard adds up what its blocks sent and
-answers each block for exactly the n-grams it named. So a frequent word or pair is one number for each block,
-shards stay of even size, and a block's part of the automaton fits in a task. A block's texts are then
-traversed from left to right, carrying the state and adding up log10 weights.
+with their counts in training texts, to shards by the first bits of the n-gram's hash; a shard adds up what its
+blocks sent and answers each block for exactly the n-grams it named. So a frequent word or pair is one number
+for each block, shards stay of even size, and the part of the automaton that a block's texts can reach fits in
+a task. There the states and arcs are laid out in flat arrays, and the texts are read from left to right, many at
+once: each carries its state and adds up log10 weights. A long text is read in pieces; a piece is led in by the
+last tokens before it, which alone settle its first state, so nothing differs from one walk.
 
-Words are named by their XXH64, longer n-grams by a 64-bit mix of those hashes, of which 48 bits travel beside the
-shard's number.
+Words are named by their XXH64, longer n-grams by a 64-bit mix of those hashes, of which ``KEY_BITS`` bits count
+beside the shard's number; within a shard they travel as differences of sorted numbers.
 
 Defined results: null and empty texts are the end token alone; repeated rows count each time; a null id hashes
 as empty text; without any training text every token is unseen and has probability one.
@@ -32,12 +35,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import bounded_batches, cut, text_bytes, write_table
+from pulsegrid.llm.common import bounded_batches, text_bytes, write_table
 from pulsegrid.llm.quality_rules import mixed
 
-#: Bytes of text in a block (a longer text is a block of its own) and n-grams a shard is sized for.
+#: Bytes of text in a block (a longer text is a block of its own), tokens that a shard is sized for, bits of an n-gram's number in its shard.
 BLOCK_BYTES = 1 << 22
-SHARD_GRAMS = 1 << 20
+SHARD_TOKENS = 1 << 21
+KEY_BITS = 40
+#: Tokens of a text that are read in one piece.
+PIECE = 256
 END = np.uint64(0xE0D)
 
 
@@ -73,7 +79,7 @@ def longer(histories: np.ndarray, words: np.ndarray) -> np.ndarray:
 class Block:
     """The n-grams of a block: for each order, their distinct hashes and, for each token, which of them ends there."""
 
-    def __init__(self, tokens: bytes, lengths: bytes, hashes: bytes, trained: list[bool], order: int):
+    def __init__(self, tokens: bytes, lengths: bytes, hashes: bytes, trained: list[bool], order: int, shard_bits: int = 8):
         tokens = pa.decompress(memoryview(tokens)[8:], int.from_bytes(tokens[:8], "little"), "zstd")
         ids = np.frombuffer(tokens, np.int32)
         self.lengths = np.frombuffer(lengths, np.uint32).astype(np.int64)
@@ -84,6 +90,7 @@ class Block:
         # a token's place in its text
         self.into = np.arange(len(ids), dtype=np.int32) - np.repeat(begins, self.lengths).astype(np.int32)
         at = words[ids]
+        # words keep all bits; longer n-grams those of the shard's number and KEY_BITS more
         self.keys, self.which = [words], [ids]
         # an order-n gram that reaches over a text's beginning starts with its begin token, hash 0
         for n in range(2, order + 1):
@@ -93,7 +100,7 @@ class Block:
                 before[back:] = at[:-back]
                 before[self.into < back] = 0
                 history = longer(history, before)
-            keys, which = np.unique(longer(history, at), return_inverse=True)
+            keys, which = np.unique(longer(history, at) >> np.uint64(64 - KEY_BITS - shard_bits), return_inverse=True)
             self.keys.append(keys)
             self.which.append(which.astype(np.int32))
 
@@ -101,15 +108,23 @@ class Block:
         """How often each n-gram of order n ends a place in the block's training texts."""
         return np.bincount(self.which[n - 1][self.trained], minlength=len(self.keys[n - 1])).astype(np.uint32)
 
+    def by_shard(self, n: int, shard_bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the order-n keys, sorted, and where each shard's part begins and the last ends."""
+        keys = self.keys[n - 1]
+        place = np.argsort(keys) if n == 1 else np.arange(len(keys))  # longer ones are sorted already
+        width = np.uint64(64 - shard_bits if n == 1 else KEY_BITS)
+        firsts = np.arange(1 << shard_bits, dtype=np.uint64) << width
+        return place, np.append(np.searchsorted(keys[place], firsts), len(keys))
+
 
 def encode(docs: DataFrame, keep: list[str], trained: Column, text: str = "text") -> DataFrame:
-    """Blocks (block, keep columns as lists, trained, tokens, lengths, hashes), written to the shared folder."""
+    """Blocks (block, keep columns as lists, trained, size, tokens, lengths, hashes), written to the shared folder; size: training tokens."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), trained.alias("trained"), text_bytes(text).alias("t"))
     n = len(keep)
     kinds = [f"k{i} array<{rows.schema[i].dataType.simpleString()}>" for i in range(n)]
-    names = ["block", *(f"k{i}" for i in range(n)), "trained", "tokens", "lengths", "hashes"]
+    names = ["block", *(f"k{i}" for i in range(n)), "trained", "size", "tokens", "lengths", "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
@@ -119,7 +134,8 @@ def encode(docs: DataFrame, keep: list[str], trained: Column, text: str = "text"
             table = pa.Table.from_batches(held).combine_chunks()
             lists = [pa.array([c.to_pylist()], pa.list_(c.type)) for c in table.columns]
             data = [pa.array([x], pa.binary()) for x in encoder.row()]
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made], pa.int64()), *lists, *data], names)
+            size = sum(len(t) for t, own in zip(encoder.texts, lists[-1][0].as_py(), strict=True) if own)
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made], pa.int64()), *lists, pa.array([size], pa.int64()), *data], names)
 
         for batch in batches:
             start = 0
@@ -132,60 +148,56 @@ def encode(docs: DataFrame, keep: list[str], trained: Column, text: str = "text"
         if encoder.texts:
             yield row(encoder, held)
 
-    schema = ", ".join(["block long", *kinds, "trained array<boolean>", "tokens binary", "lengths binary", "hashes binary"])
+    schema = ", ".join(["block long", *kinds, "trained array<boolean>", "size long", "tokens binary", "lengths binary", "hashes binary"])
     return spark.read.schema(schema).parquet(write_table(rows.mapInArrow(run, schema), "lm-blocks"))
 
 
-def train_and_ask(blocks: DataFrame, order: int, shards: int) -> DataFrame:
-    """(block, order, shard, counts): for each block, the training counts of its own n-grams in hash order within shards.
+def train_and_ask(blocks: DataFrame, order: int, shard_bits: int) -> DataFrame:
+    """(block, n, shard, counts, types): for each block, the training counts of its own n-grams in the order of ``by_shard``.
 
-    Also one row for each shard with block -1 and the shard's training tokens and types of unigrams.
+    types: how many n-grams of the shard occur in training texts. For unigrams every block asks every shard, so it learns all types.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # one block at a time in memory
                 x = batch.slice(i, 1).select(["block", "trained", "tokens", "lengths", "hashes"]).to_pylist()[0]
-                b = Block(x["tokens"], x["lengths"], x["hashes"], x["trained"], order)
+                b = Block(x["tokens"], x["lengths"], x["hashes"], x["trained"], order, shard_bits)
                 for n in range(1, order + 1):
-                    keys, count = b.keys[n - 1], b.counts(n)
-                    shard = shard_of(keys, shards)
-                    by = np.argsort(shard, kind="stable")
-                    cutoffs = np.searchsorted(shard[by], np.arange(shards + 1))
-                    some = np.flatnonzero(np.diff(cutoffs))
-                    parts = [by[cutoffs[s] : cutoffs[s + 1]] for s in some]
+                    place, bounds = b.by_shard(n, shard_bits)
+                    keys, count = b.keys[n - 1][place], b.counts(n)[place]
+                    some = np.flatnonzero(np.diff(bounds) >= (n > 1))
+                    parts = [slice(bounds[s], bounds[s + 1]) for s in some]
                     yield pa.RecordBatch.from_pydict({
                         "block": np.full(len(some), x["block"]), "n": np.full(len(some), n, np.int32), "shard": some.astype(np.int32),
-                        "keys": pa.array([packed(keys[p], n) for p in parts], pa.binary()),
+                        "keys": pa.array([packed(keys[p]) for p in parts], pa.binary()),
                         "counts": pa.array([small(count[p]) for p in parts], pa.binary()),
                     })
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        each = [unpacked(k, pdf.n.iloc[0]) for k in pdf["keys"]]
+        each = [unpacked(k) for k in pdf["keys"]]
         sizes = [len(k) for k in each]
         keys, inverse = np.unique(np.concatenate(each), return_inverse=True)
         counts = np.concatenate([large(c, k) for c, k in zip(pdf.counts, sizes, strict=True)])
         total = np.bincount(inverse, weights=counts, minlength=len(keys)).astype(np.uint64)
         answers = np.split(total[inverse].astype(np.uint32), np.cumsum(sizes)[:-1])
-        out = pd.DataFrame({"block": pdf.block, "n": pdf.n, "shard": pdf.shard, "counts": [small(a) for a in answers], "tokens": 0, "types": 0})
-        out.loc[len(pdf)] = [-1, pdf.n.iloc[0], pdf.shard.iloc[0], b"", int(total.sum()), int((total > 0).sum())]
-        return out
+        return pd.DataFrame({"block": pdf.block, "n": pdf.n, "shard": pdf.shard, "counts": [small(a) for a in answers], "types": int((total > 0).sum())})
 
     asked = blocks.mapInArrow(split, "block long, n int, shard int, keys binary, counts binary")
-    return asked.groupBy("n", "shard").applyInPandas(add, "block long, n int, shard int, counts binary, tokens long, types long")
+    return asked.groupBy("n", "shard").applyInPandas(add, "block long, n int, shard int, counts binary, types long")
 
 
-def packed(keys: np.ndarray, n: int) -> bytes:
-    return keys.tobytes() if n == 1 else keys.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first one and the differences, of four bytes each where they all fit, else of eight."""
+    steps = np.diff(keys)
+    return keys[:1].tobytes() + steps.astype(np.uint32 if steps.max(initial=0) < 1 << 32 else np.uint64).tobytes() + bytes([int(steps.max(initial=0) >= 1 << 32)])
 
 
-def unpacked(data: bytes, n: int) -> np.ndarray:
-    if n == 1:
-        return np.frombuffer(data, np.uint64)
-    whole = np.zeros((len(data) // 6, 8), np.uint8)
-    whole[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return whole.view(np.uint64).ravel()
+def unpacked(data: bytes) -> np.ndarray:
+    if len(data) < 9:
+        return np.zeros(0, np.uint64)
+    steps = np.frombuffer(data[8:-1], np.uint64 if data[-1] else np.uint32)
+    return np.cumsum(np.append(np.frombuffer(data, np.uint64, 1), steps), dtype=np.uint64)
 
 
 def small(counts: np.ndarray) -> bytes:
@@ -197,51 +209,126 @@ def large(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8 if len(data) == n else np.uint32)
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-
-
 class Automaton:
-    """A block's part of the automaton as flat arrays: one state for each n-gram that the training texts hold."""
+    """The part of the automaton that a block's texts can reach, in flat arrays.
 
-    def __init__(self, counts: list[np.ndarray], docs: int, tokens: int, types: int, mu: float, discount: float):
-        self.counts, self.docs, self.tokens, self.types, self.mu, self.discount = counts, docs, tokens, types, mu, discount
+    State 0 has the empty history; then come the beginnings of a text (histories of begin tokens alone) and one state for each
+    n-gram, shorter than the order, that the training texts hold. ``fail`` and ``fail_weight`` are the failure arcs. ``arcs``
+    holds (state, word) as one sorted number beside ``weight`` and ``target``; the arcs of state 0 are arrays by word.
+    """
 
-    def unigrams(self) -> np.ndarray:
-        """p(w) for each word of the block; all unseen ones are one type."""
-        c = self.counts[0].astype(float)
-        if not self.tokens:
-            return np.ones(len(c))
-        return np.where(c > 0, c - self.discount, self.discount * self.types) / self.tokens
+    def __init__(self, block: Block, counts: list[np.ndarray], docs: int, tokens: int, types: int, mus: tuple[float, ...], discount: float):
+        order = len(counts)
+        self.words = len(block.keys[0])
+        c = counts[0].astype(float)
+        share = np.where(c > 0, c - discount, discount * types) / tokens if tokens else np.ones(self.words)
+        # states: number of each history among the begin states and the n-grams of each length
+        self.begin = order - 1
+        states = [np.full(len(x), -1, np.int64) for x in counts[: order - 1]]
+        held, fail, mu = [np.full(order, float(docs))], [np.maximum(np.arange(-1, order - 1), 0)], [np.array([0.0, *mus])]
+        free = order
+        firsts = [first_places(which, len(x)) for which, x in zip(block.which, counts, strict=True)]
+        for n in range(1, order):
+            seen = np.flatnonzero(counts[n - 1])
+            states[n - 1][seen] = np.arange(free, free + len(seen))
+            free += len(seen)
+            held.append(counts[n - 1][seen].astype(float))
+            mu.append(np.full(len(seen), mus[n - 1]))
+            fail.append(np.zeros(len(seen), np.int64) if n == 1 else np.maximum(states[n - 2][block.which[n - 2][firsts[n - 1][seen]]], 0))
+        self.fail = np.concatenate(fail)
+        held, mu = np.concatenate(held), np.concatenate(mu)
+        with np.errstate(divide="ignore"):
+            self.fail_weight = np.log10(np.where(held > 0, mu / np.maximum(held + mu, 1e-300), 1.0))
+        # arcs, from the short to the long: the weight of each rests on that of the n-gram without its first token
+        self.first_weight = np.log10(share)
+        self.first_target = np.maximum(states[0], 0) if order > 1 else np.zeros(self.words, np.int64)
+        lower, keys, weights, targets = share, [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        for n in range(2, order + 1):
+            seen = np.flatnonzero(counts[n - 1])
+            at = firsts[n - 1][seen]
+            source = np.where(block.into[at] == 0, n - 1, states[n - 2][block.which[n - 2][at - 1]])
+            below = block.which[n - 2][at]
+            p = (counts[n - 1][seen] + mus[n - 2] * lower[below]) / (held[source] + mus[n - 2])
+            target = states[n - 1][seen] if n < order else states[n - 2][below]
+            sound = (source >= 0) & (target >= 0)  # all are, unless two n-grams share a number
+            keys.append(source[sound] * self.words + block.which[0][at[sound]])
+            weights.append(np.log10(p[sound]))
+            targets.append(target[sound])
+            lower = np.zeros(len(counts[n - 1]))
+            lower[seen] = p
+        arcs = np.concatenate(keys)
+        by = np.argsort(arcs)
+        self.arcs, self.weight, self.target = arcs[by], np.concatenate(weights)[by], np.concatenate(targets)[by]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state of each walker and the log10 weight of its way there: failure arcs until an arc has the word."""
+        state, total = state.copy(), np.zeros(len(state))
+        after = np.zeros(len(state), np.int64)
+        open_ = np.arange(len(state))
+        while len(open_):
+            root = state[open_] == 0
+            done = open_[root]
+            total[done] += self.first_weight[word[done]]
+            after[done] = self.first_target[word[done]]
+            open_ = open_[~root]
+            if not len(open_) or not len(self.arcs):
+                break
+            key = state[open_] * self.words + word[open_]
+            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            found = self.arcs[at] == key
+            done, at = open_[found], at[found]
+            total[done] += self.weight[at]
+            after[done] = self.target[at]
+            open_ = open_[~found]
+            total[open_] += self.fail_weight[state[open_]]
+            state[open_] = self.fail[state[open_]]
+        return after, total
 
     def traverse(self, block: Block) -> np.ndarray:
-        """log10 weight of each token, read from left to right within its text.
-
-        The state before a token is the longest history that is a state. Starting from the shortest, each longer
-        history either has the arc (n-gram seen) or fails to the shorter one.
-        """
-        p = self.unigrams()[block.which[0]]
-        for n in range(2, len(self.counts) + 1):
-            seen = self.counts[n - 1][block.which[n - 1]].astype(float)
-            # the history's state is the (n-1)-gram read one token before; at a text's beginning it's the begin state
-            history = np.zeros(len(p))
-            history[1:] = self.counts[n - 2][block.which[n - 2]][:-1]
-            history[block.into == 0] = self.docs
-            p = np.where(history > 0, (seen + self.mu * p) / (history + self.mu), p)
-        return np.log10(p)
+        """log10 weight of each text, read from left to right; a piece after a text's first is led in by ``begin`` tokens that add nothing."""
+        lead = self.begin
+        per_text = -(-block.lengths // PIECE)
+        doc = np.repeat(np.arange(len(per_text)), per_text)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+        begins = np.cumsum(block.lengths) - block.lengths
+        start = begins[doc] + piece * PIECE
+        end = np.minimum(start + PIECE, begins[doc] + block.lengths[doc])
+        at = np.where(piece > 0, start - lead, start)
+        by = np.argsort(at - end, kind="stable")  # the longest walk first: those still on their way stay in front
+        doc, start, end, at, piece = doc[by], start[by], end[by], at[by], piece[by]
+        state, total = np.where(piece > 0, 0, self.begin), np.zeros(len(doc))
+        while len(at):
+            going = int(np.searchsorted(at - end, 0))  # negative while tokens remain
+            if not going:
+                break
+            at, end, start, state = at[:going], end[:going], start[:going], state[:going]
+            state, gain = self.step(state, block.which[0][at].astype(np.int64))
+            total[:going] += np.where(at >= start, gain, 0.0)
+            at = at + 1
+        return np.bincount(doc, weights=total, minlength=len(block.lengths))
+
+
+def first_places(which: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n n-grams ends for the first time."""
+    first = np.full(n, len(which), np.int64)
+    np.minimum.at(first, which, np.arange(len(which)))
+    return first
 
 
 def score(
-    docs: DataFrame, keep: list[str], trained: Column, order: int = 2, mu: float = 256.0, discount: float = 0.75, shards: int | None = None, text: str = "text"
+    docs: DataFrame, keep: list[str], trained: Column, mus: tuple[float, ...] = (256.0, 8.0), discount: float = 0.75, shard_bits: int | None = None, text: str = "text"
 ) -> DataFrame:
     """The ``keep`` columns of every row with n_tokens, n_known, train_tokens, base_score (add-one-half unigrams)
-    and score (log10 probability of the text under the automaton)."""
+    and score (log10 probability of the text under the automaton).
+
+    mus: the prior's weight for each order from two up, so they also settle the order (three by default).
+    """
+    order = 1 + len(mus)
     blocks = encode(docs, keep, trained, text)
-    size = blocks.agg(F.count(F.lit(1)), F.sum(F.length("tokens")), F.sum(F.size(F.filter("trained", lambda x: x)))).first()
-    shards = shards or max(12, (size[1] or 0) // 4 // SHARD_GRAMS)
-    answers = cut(train_and_ask(blocks, order, shards), "lm-counts")
-    totals = answers.where("block = -1 and n = 1").agg(F.sum("tokens"), F.sum("types")).first()
-    tokens, types, trained_docs = totals[0] or 0, totals[1] or 0, size[2] or 0
+    size = blocks.agg(F.sum("size"), F.sum(F.size(F.filter("trained", lambda x: x)))).first()
+    tokens, trained_docs = size[0] or 0, size[1] or 0
+    shard_bits = max(3, (tokens // SHARD_TOKENS).bit_length()) if shard_bits is None else shard_bits
+    answers = train_and_ask(blocks, order, shard_bits)
 
     n = len(keep)
     names = [f"k{i}" for i in range(n)]
@@ -253,22 +340,22 @@ def score(
         from pyspark.sql.pandas.types import to_arrow_type
 
         x = {c: mine.column(c)[0].as_py() for c in ("trained", "tokens", "lengths", "hashes")}
-        block = Block(x["tokens"], x["lengths"], x["hashes"], x["trained"], order)
+        block = Block(x["tokens"], x["lengths"], x["hashes"], x["trained"], order, shard_bits)
         counts = [np.zeros(len(k), np.uint32) for k in block.keys]
-        shard = [shard_of(k, shards) for k in block.keys]
-        places = [np.argsort(s, kind="stable") for s in shard]
-        cutoffs = [np.searchsorted(s[p], np.arange(shards + 1)) for s, p in zip(shard, places, strict=True)]
-        for k, s, c in zip(said.column("n").to_pylist(), said.column("shard").to_pylist(), said.column("counts").to_pylist(), strict=True):
-            place = places[k - 1][cutoffs[k - 1][s] : cutoffs[k - 1][s + 1]]
+        places = [block.by_shard(k, shard_bits) for k in range(1, order + 1)]
+        types = 0
+        for k, s, c, t in zip(*(said.column(c).to_pylist() for c in ("n", "shard", "counts", "types")), strict=True):
+            place, bounds = places[k - 1]
+            place = place[bounds[s] : bounds[s + 1]]
             counts[k - 1][place] = large(c, len(place))
+            types += t if k == 1 else 0
         known = counts[0][block.which[0]]
         base = np.log10((known + 0.5) / (tokens + 0.5 * (types + 1)))
-        walked = Automaton(counts, trained_docs, tokens, types, mu, discount).traverse(block)
+        walked = Automaton(block, counts, trained_docs, tokens, types, mus, discount).traverse(block)
         per = lambda v: np.bincount(block.doc, weights=v, minlength=len(block.lengths))
         lists = [pa.array(mine.column(f"k{i}")[0].as_py(), to_arrow_type(arrow[i])) for i in range(n)]
-        made = [block.lengths, per(known > 0).astype(np.int64), per(base), per(walked)]
+        made = [block.lengths, per(known > 0).astype(np.int64), per(base), walked]
         return pa.Table.from_arrays([pa.array(np.full(len(block.lengths), key[0].as_py())), *lists, *map(pa.array, made)], ["block", *names, "n_tokens", "n_known", "base_score", "score"])
 
-    said = answers.where("block >= 0").select("block", "n", "shard", "counts")
-    result = blocks.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(walk, schema)
+    result = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(walk, schema)
     return result.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

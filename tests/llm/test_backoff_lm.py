@@ -9,7 +9,7 @@ import pytest
 from pulsegrid.llm import backoff_lm
 from pulsegrid.llm.common import held_out
 
-MU, DISCOUNT = 256.0, 0.75
+MUS, DISCOUNT = (256.0, 8.0, 2.0), 0.75
 BEGIN, END = "<b>", "<e>"
 
 
@@ -44,7 +44,8 @@ def brute(rows: list[tuple], order: int) -> list[tuple]:
         history = gram[:-1]
         held = grams[0][()] if set(history) == {BEGIN} else grams[len(history)][history]
         lower = p(gram[1:])
-        return (grams[len(gram)][gram] + MU * lower) / (held + MU) if held else lower
+        mu = MUS[len(gram) - 2]
+        return (grams[len(gram)][gram] + mu * lower) / (held + mu) if held else lower
 
     out = []
     for i, t in rows:
@@ -56,13 +57,13 @@ def brute(rows: list[tuple], order: int) -> list[tuple]:
 
 
 ROWS = [(i, " ".join(f"w{(i * 7 + k * k) % 13}" for k in range(i % 9)) + (" Ünseen%d" % i if i % 4 == 0 else "")) for i in range(60)]
-ROWS += [(100, None), (101, ""), (102, "W1 w2\tW1\nw2"), (102, "W1 w2\tW1\nw2"), (None, "w1 w2 w3"), (103, "w1 " * 3000)]
+ROWS += [(100, None), (101, ""), (102, "W1 w2\tW1\nw2"), (102, "W1 w2\tW1\nw2"), (None, "w1 w2 w3"), (103, "w1 " * 3000), (104, " ".join(f"w{k * k % 17}" for k in range(2000)))]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_equals_a_dictionary_model(spark, order, monkeypatch):
     df = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
-    got = backoff_lm.score(df, ["doc_id"], ~held_out("doc_id", 1), order=order, shards=5)
+    got = backoff_lm.score(df, ["doc_id"], ~held_out("doc_id", 1), mus=MUS[: order - 1], shard_bits=2)
     rows = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got.collect()]
     for a, b in zip(sorted(rows, key=repr), brute(ROWS, order), strict=True):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=1e-4)
@@ -73,7 +74,7 @@ def test_weights_of_a_state_sum_to_one(spark):
     train = list(zip([i for i in range(100) if trains(i)], ["a b a c", "a b b", "c a b"], strict=False))
     asked = [i for i in range(1000, 1100) if not trains(i)][:5]
     probes = [(i, f"a {w}") for i, w in zip(asked, ["a", "b", "c", "never"], strict=False)] + [(asked[4], "a")]
-    got = backoff_lm.score(spark.createDataFrame(train + probes, "doc_id long, text string"), ["doc_id"], ~held_out("doc_id", 1)).collect()
+    got = backoff_lm.score(spark.createDataFrame(train + probes, "doc_id long, text string"), ["doc_id"], ~held_out("doc_id", 1), mus=MUS[:1]).collect()
     scores = {r.doc_id: r.score for r in got}
     # "a x <end>" against "a <end>": take the end's weight after x out by scoring it alone
     counts = {"a": 4, "b": 4, "c": 2, END: 3}
@@ -83,7 +84,7 @@ def test_weights_of_a_state_sum_to_one(spark):
         w = [BEGIN, *tokens(t)]
         pairs.update(zip(w, w[1:], strict=False))
     uni = lambda w: (counts[w] - DISCOUNT) / total if w in counts else DISCOUNT * 4 / total
-    bi = lambda h, w: (pairs[h, w] + MU * uni(w)) / (({BEGIN: 3} | counts).get(h, 0) + MU)
+    bi = lambda h, w: (pairs[h, w] + MUS[0] * uni(w)) / (({BEGIN: 3} | counts).get(h, 0) + MUS[0])
     assert sum(bi("a", w) for w in ["a", "b", "c", END, "never"]) == pytest.approx(1)
     for i, w in zip(asked, ["a", "b", "c"], strict=False):
         assert scores[i] == pytest.approx(math.log10(bi(BEGIN, "a") * bi("a", w) * bi(w, END)), abs=1e-6)
