@@ -39,7 +39,7 @@ from pulsegrid.llm.common import bounded_batches, text_bytes, write_table
 from pulsegrid.llm.quality_rules import mixed
 
 #: Bytes of text in a block (a longer text is a block of its own), tokens that a shard is sized for, bits of an n-gram's number in its shard.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 23
 SHARD_TOKENS = 1 << 21
 KEY_BITS = 40
 #: Tokens of a text that are read in one piece.
@@ -66,8 +66,7 @@ class Encoder:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in self.known), np.uint64, len(self.known))
         hashes[0] = END
         lengths = np.array([len(t) for t in self.texts], np.uint32)
-        tokens = np.concatenate(self.texts).tobytes()
-        return len(tokens).to_bytes(8, "little") + pa.compress(tokens, "zstd", asbytes=True), lengths.tobytes(), hashes.tobytes()
+        return squeezed(np.concatenate(self.texts), 6), lengths.tobytes(), hashes.tobytes()
 
 
 def longer(histories: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -80,8 +79,7 @@ class Block:
     """The n-grams of a block: for each order, their distinct hashes and, for each token, which of them ends there."""
 
     def __init__(self, tokens: bytes, lengths: bytes, hashes: bytes, trained: list[bool], order: int, shard_bits: int = 8):
-        tokens = pa.decompress(memoryview(tokens)[8:], int.from_bytes(tokens[:8], "little"), "zstd")
-        ids = np.frombuffer(tokens, np.int32)
+        ids = unsqueezed(tokens, np.int32)
         self.lengths = np.frombuffer(lengths, np.uint32).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         words = np.frombuffer(hashes, np.uint64)
@@ -174,39 +172,64 @@ def train_and_ask(blocks: DataFrame, order: int, shard_bits: int) -> DataFrame:
                         "counts": pa.array([small(count[p]) for p in parts], pa.binary()),
                     })
 
+    return counted(blocks.mapInArrow(split, "block long, n int, shard int, keys binary, counts binary"))
+
+
+def counted(asked: DataFrame) -> DataFrame:
+    """(block, n, shard, counts, types) for rows (block, n, shard, keys, counts): the sums over all blocks of each block's own keys."""
+
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         each = [unpacked(k) for k in pdf["keys"]]
         sizes = [len(k) for k in each]
         keys, inverse = np.unique(np.concatenate(each), return_inverse=True)
-        counts = np.concatenate([large(c, k) for c, k in zip(pdf.counts, sizes, strict=True)])
+        counts = np.concatenate([large(c) for c in pdf.counts])
         total = np.bincount(inverse, weights=counts, minlength=len(keys)).astype(np.uint64)
         answers = np.split(total[inverse].astype(np.uint32), np.cumsum(sizes)[:-1])
         return pd.DataFrame({"block": pdf.block, "n": pdf.n, "shard": pdf.shard, "counts": [small(a) for a in answers], "types": int((total > 0).sum())})
 
-    asked = blocks.mapInArrow(split, "block long, n int, shard int, keys binary, counts binary")
     return asked.groupBy("n", "shard").applyInPandas(add, "block long, n int, shard int, counts binary, types long")
 
 
+def squeezed(numbers: np.ndarray, level: int = 1) -> bytes:
+    """Numbers, their first bytes together, then their second ones, and so on: high bytes are mostly alike and take little room."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T
+    data = np.ascontiguousarray(planes).tobytes()
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(data, asbytes=True)
+
+
+def unsqueezed(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    if not size:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(memoryview(data)[8:], size, "zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def packed(keys: np.ndarray) -> bytes:
     """Sorted keys as the first one and the differences, of four bytes each where they all fit, else of eight."""
     steps = np.diff(keys)
-    return keys[:1].tobytes() + steps.astype(np.uint32 if steps.max(initial=0) < 1 << 32 else np.uint64).tobytes() + bytes([int(steps.max(initial=0) >= 1 << 32)])
+    wide = int(steps.max(initial=0) >= 1 << 32)
+    return keys[:1].tobytes() + bytes([wide]) + squeezed(steps.astype(np.uint64 if wide else np.uint32)) if len(keys) else b""
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    if len(data) < 9:
+    if not data:
         return np.zeros(0, np.uint64)
-    steps = np.frombuffer(data[8:-1], np.uint64 if data[-1] else np.uint32)
+    steps = unsqueezed(data[9:], np.uint64 if data[8] else np.uint32)
     return np.cumsum(np.append(np.frombuffer(data, np.uint64, 1), steps), dtype=np.uint64)
 
 
 def small(counts: np.ndarray) -> bytes:
-    """Counts in one byte each where they all fit, else in four."""
-    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes()
+    """Counts in one byte each, and those of 255 or more once again in four; most are one."""
+    more = counts[counts >= 255].astype(np.uint32).tobytes()
+    return len(more).to_bytes(8, "little") + more + squeezed(np.minimum(counts, 255).astype(np.uint8))
 
 
-def large(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint8 if len(data) == n else np.uint32)
+def large(data: bytes) -> np.ndarray:
+    end = 8 + int.from_bytes(data[:8], "little")
+    counts = unsqueezed(data[end:], np.uint8).astype(np.uint32)
+    counts[counts == 255] = np.frombuffer(data[8:end], np.uint32)
+    return counts
 
 
 class Automaton:
@@ -347,7 +370,7 @@ def score(
         for k, s, c, t in zip(*(said.column(c).to_pylist() for c in ("n", "shard", "counts", "types")), strict=True):
             place, bounds = places[k - 1]
             place = place[bounds[s] : bounds[s + 1]]
-            counts[k - 1][place] = large(c, len(place))
+            counts[k - 1][place] = large(c)
             types += t if k == 1 else 0
         known = counts[0][block.which[0]]
         base = np.log10((known + 0.5) / (tokens + 0.5 * (types + 1)))
