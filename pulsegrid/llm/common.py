@@ -20,12 +20,15 @@ BATCH_BYTES = "16m"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share.
+    """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    It is ``spark.checkpoint.dir`` of the session; only where that is unset (local tests) a temporary
-    folder of this process is taken.
+    Only a local session may leave that unset: it gets a temporary folder of this process. On a cluster executors wouldn't see
+    that folder, so there it's an error.
     """
-    return (spark.conf.get("spark.checkpoint.dir", None) or local_dir()).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or local_dir()).rstrip("/")
 
 
 @functools.cache
@@ -36,6 +39,17 @@ def local_dir() -> str:
     return f"file://{folder}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more, or all tables of the application: ``remove(spark, tables_dir(spark))``."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def tables_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; a job that has written its results may remove it as a whole."""
+    return f"{shared_dir(spark)}/pulsegrid-{spark.sparkContext.applicationId}"
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by bytes, not only by rows (a text may be very long)."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
@@ -43,7 +57,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def write_table(df: DataFrame, name: str) -> str:
     """Write ``df`` as Parquet to a fresh folder of the shared directory and return its path."""
-    path = f"{shared_dir(df.sparkSession)}/pulsegrid-{name}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
 
@@ -111,26 +125,32 @@ def map_texts(
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Label the nodes of ``edges`` (a, b) with the smallest node of their component: (node, root).
 
-    Alternates large-star and small-star steps; each round is a join-free pair of aggregations and its
-    result is written to the shared directory, so neither a lineage nor a component ever gathers in one
-    task beyond the partial aggregates. Rounds end when the edge set no longer changes; the number of
-    rounds grows with the logarithm of the longest chain.
+    Alternates large-star and small-star steps. Each step finds every node's smallest neighbour by an aggregation that is
+    partial in each task, and hands it to the edges by a join on the node; after the first round a component's edges all end at
+    its few smallest nodes, and the edges are kept by their larger end, so that a join meets each key about once. A round's
+    result is written to the shared directory and the last one's removed. Rounds end when the edges no longer change; their
+    number grows with the logarithm of the longest chain.
     """
     spark = edges.sparkSession
     flat = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    flat = cut(flat, "edges")
+    path, schema = write_table(flat, "edges"), flat.schema
     last = None
     for _ in range(max_rounds):
+        flat = spark.read.schema(schema).parquet(path)
         # large star: each node hands its larger neighbours to its smallest neighbour
         both = flat.select("a", "b").union(flat.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # an edge (a, b) asks its smaller end b for the smallest neighbour; ends that are roots already keep their edges as they are
+        moved = low.where("m < a").select(F.col("a").alias("b"), "m")
+        large = flat.join(moved, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
         large = large.where("a > b").distinct()
         # small star: each node hands its smaller neighbours, and itself, to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        flat = cut(small.distinct(), "edges")
+        new = write_table(small.distinct(), "edges")
+        remove(spark, path)
+        path, flat = new, spark.read.schema(schema).parquet(new)
         now = flat.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if last == tuple(now):
             break
