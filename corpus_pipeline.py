@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import line_dedup, mixing, packing, quality_rules, simhash_bktree
+from pulsegrid.llm import line_dedup, mixing, near_dedup, packing, quality_rules
 from pulsegrid.llm.common import cut
 from pulsegrid.llm.queries import MIX_WEIGHTS, mix_levels, tokenizer_path
 
@@ -47,8 +47,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
-    rows, new, of = by_position(docs)
-    return simhash_bktree.one_of_each(rows, of["doc_id"], of["text"], shingle=5, least=0.8).select(*new).toDF(*docs.columns)
+    return near_dedup.one_of_each(docs, "doc_id", "text", shingle=5, least=0.8)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
