@@ -66,6 +66,30 @@ def test_copies_ties_and_vectors_that_take_no_part(spark):
     assert all(r.score == 1.0 for r in got)
 
 
+def test_scaled_copies_are_ties_by_id(spark):
+    rng = np.random.default_rng(5)
+    one = rng.normal(size=16)
+    rows = [(3 * i, (one * 2.0 ** (i % 40 - 20)).tolist()) for i in range(300)] + [(3 * i + 1, (one * (1 + i % 7)).tolist()) for i in range(50)] + [(3 * i + 2, rng.normal(size=16).tolist()) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = vector_hnsw.nearest(df, 50, 5).collect()
+    for q in (0, 150):
+        found = [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)]
+        assert set(found) == set([i for i in (0, 1, 3, 4, 6, 7) if i != q][:5])
+    big = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e-200, 0.0]), (2, [0.0, 1e300])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in vector_hnsw.nearest(big, 50, 5).orderBy("query_id", "rank").collect()] == [(1, 1.0), (2, 0.0)]
+
+
+def test_nearest_of_no_rows_unusable_rows_and_clashing_names(spark):
+    schema = "vec_id long, embedding array<double>"
+    assert vector_hnsw.nearest(spark.createDataFrame([], schema)).count() == 0
+    assert vector_hnsw.nearest(spark.createDataFrame([(0, None), (50, [0.0]), (100, []), (150, [None])], schema)).count() == 0
+    rows = [(i, [float(i), 1.0]) for i in range(100)] + [(7, [7.0, 1.0]), (200, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, schema).select("*", *(F.lit(1).alias(c) for c in ("id", "v", "key", "held", "shard", "rank", "score", "query_id")))
+    got = vector_hnsw.nearest(df, 50, 5).collect()
+    assert {r.query_id for r in got} == {0, 50} and all(r.vec_id != r.query_id and r.vec_id < 100 for r in got)
+    assert {r.vec_id for r in got if r.query_id == 50} == set(exact(rows[:100], 5, 50)[50])
+
+
 URLS = [
     ("https://Sub.Example.ORG/es/1?x", "sub.example.org", "/es/1", "example.org/es/", "block"),
     ("http://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
