@@ -161,15 +161,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, fold: int = 0, doc_id: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` with ``target`` from at most ``bound`` labels, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, fold: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, target) from at most ``bound`` labels, chosen by a hash of the id; of an id that repeats, the smallest text.
 
-    Only labels whose crc32(id as text) mod 5 isn't ``fold`` count. The sample is small by its bound, so it is broadcast.
+    Only labels whose crc32(id as text) mod 5 isn't ``fold`` count. The sample of ids is small by its bound, so it is broadcast; as
+    each id gives one row at most, so is what is fitted on.
     """
     fine = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(doc_id, fold))
     sample = fine.groupBy(doc_id).agg(F.max(label).cast("int").alias("target")).orderBy(F.xxhash64(doc_id), doc_id).limit(bound)
-    sample = sample.withColumnRenamed(doc_id, "sample_id")
-    return docs.join(F.broadcast(sample), docs[doc_id] == F.col("sample_id")).select(docs["*"], "target")
+    sample = sample.select(F.col(doc_id).alias("sample_id"), "target")
+    met = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(sample), F.col("id") == F.col("sample_id"))
+    return met.groupBy("sample_id", "target").agg(F.min("t").alias("t")).select(F.col("sample_id").alias("doc_id"), F.col("t").alias("text"), "target")
 
 
 def fit_in_one_task(sample: DataFrame, fit: Callable[[pa.Table], bytes]) -> bytes:

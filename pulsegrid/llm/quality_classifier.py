@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
         tokens = Tokens()
         return lambda texts: [list(features(*tokens(texts), shared.value))]
 
-    sample = labelled_sample(docs.select("doc_id", "text"), labels, label, bound, fold)
+    sample = labelled_sample(docs, labels, label, bound, fold)
     pooled = map_texts(sample, make, "features array<double>", ["doc_id", "target"])
 
     def learn(rows: pa.Table) -> bytes:

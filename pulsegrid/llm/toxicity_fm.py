@@ -207,7 +207,7 @@ class Machine:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = SAMPLE, fold: int = 0) -> bytes:
     """A model from at most ``bound`` labelled rows outside the fold; at most 8 MB, whatever the corpus."""
-    sample = labelled_sample(docs.select("doc_id", "text"), labels, label, bound, fold)
+    sample = labelled_sample(docs, labels, label, bound, fold)
     held = map_texts(sample, lambda: lambda texts: [[terms(t) for t in texts]], "terms array<int>", ["doc_id", "target"])
 
     def learn(rows: pa.Table) -> bytes:

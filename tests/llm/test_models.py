@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import mixing, quality_classifier, toxicity_fm, url_filter, vector_hnsw
+from pulsegrid.llm import common, mixing, quality_classifier, toxicity_fm, url_filter, vector_hnsw
 from pulsegrid.llm.queries import QUERIES, URL_RULES
 
 SF = "/root/testdata/sf0.1"
@@ -36,6 +36,19 @@ def test_classifiers_without_labels_texts_or_rows(spark, kind):
     assert kind.score(docs.limit(0), kind.fit(docs.limit(0), none), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize(("kind", "label"), [(toxicity_fm, "toxic"), (quality_classifier, "quality")])
+def test_repeated_ids_very_long_texts_and_clashing_names(spark, kind, label):
+    rows = [(i, ("fine words here " if i % 2 else "vile slur there ") * (1 + i % 3)) for i in range(200)] + [(1, "vile slur there")] * 400 + [(None, None), (999, "vile words " * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.lit(0).alias(c) for c in ("target", "sample_id", "terms", "features", "id", "t", "k0")))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(5, 1), (None, 1)], f"doc_id long, {label} int").withColumn("text", F.lit("clash"))
+    sample = common.labelled_sample(df, labels, label, 50).collect()
+    assert len(sample) == 50 == len({r.doc_id for r in sample})
+    scored = kind.score(df, kind.fit(df, labels, bound=150), ["doc_id", "target"]).collect()
+    assert len(scored) == len(rows) and all(0 <= r.score <= 1 for r in scored)
+    mean = lambda odd: np.mean([r.score for r in scored if r.doc_id not in (None, 1, 999) and r.doc_id % 2 == odd])
+    assert mean(1) > mean(0) + 0.3
+
+
 def exact(rows: list[tuple], k: int, every: int) -> dict[int, list[int]]:
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
