@@ -3,12 +3,14 @@
 The state is a table of reference counts (shard, key, n): in how many documents a line key occurs. A
 key is the 16-byte BLAKE2b digest of the stripped line with A-Z lower-cased. For each shard a cuckoo
 filter holds the keys whose count reaches the threshold, so that most lines are let through by a look
-at two buckets; every hit is confirmed against the exact counts. Insertions and deletions of documents
-add to and subtract from the counts, and move into or out of the filters the keys that cross the
-threshold, so deleting what was inserted gives the former state back.
+at two buckets; every hit is confirmed by the shard's exact list of these keys, which travels with the
+filter. Insertions and deletions of documents add to and subtract from the counts, and move into or out
+of the filters the keys that cross the threshold, so deleting what was inserted gives the former state
+back; a filter that has grown full is made anew from its keys, twice as large.
 
 Work is dealt out by key, never by document alone: a line that a third of all documents hold becomes
-one count for each task before the shuffle, and its look-ups are spread over ``SALTS`` tasks.
+one count for each batch of texts before the shuffle, and its look-ups are spread over ``SALTS`` tasks. Of a
+text that many rows hold, the rows are spread too when they meet the places of its lines.
 
 Defined results: a null or empty text is one empty line; empty lines are never dropped (a key needs
 ``min_chars`` code points); repeated rows count as documents of their own; ids may be null or repeat,
@@ -18,6 +20,7 @@ since rows meet their lines again by the text's digest.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,9 @@ from pulsegrid.llm.common import bounded_batches, cut, text_bytes
 SPACE = b" \t\n\x0b\x0c\r"
 #: Keys that a filter is sized for, and over how many tasks a shard's look-ups are spread.
 SHARD_KEYS = 100_000
-SALTS = 16
+SALTS = 64
+#: A text counts as hot if more than this part of all rows hold it, so there are fewer hot texts than this number.
+HOT = 1000
 SLOTS = 4
 KICKS = 500
 
@@ -70,6 +75,10 @@ class CuckooFilter:
         self.table = np.zeros((self.buckets, SLOTS), np.uint16)
         self.overflow: set[bytes] = set()
 
+    @property
+    def capacity(self) -> int:
+        return int(self.buckets * SLOTS * 0.85)
+
     @staticmethod
     def _scatter(fp: np.ndarray) -> np.ndarray:
         return (fp.astype(np.uint64) * np.uint64(0x5BD1E9955BD1E995)) >> np.uint64(20)
@@ -140,6 +149,10 @@ class CuckooFilter:
         return self
 
 
+def text_digest(text: bytes) -> bytes:
+    return hashlib.sha256(text).digest()
+
+
 def words(keys: list[bytes] | pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
 
@@ -176,7 +189,7 @@ class LineIndex:
         shards = shards or 16 + frequent.count() // SHARD_KEYS
         rows = frequent.select(shard_of(shards).alias("shard"), "key")
         filters = rows.groupBy("shard").applyInPandas(
-            lambda pdf: pd.DataFrame({"shard": pdf.shard[:1], "filter": [filled(None, pdf.key, ())]}), "shard int, filter binary"
+            lambda pdf: pd.DataFrame({"shard": pdf.shard[:1], **filled(None, b"", pdf.key, ())}), "shard int, filter binary, keys binary"
         )
         return cls(refs, cut(filters, "line-filters"), shards, min_docs, min_chars)
 
@@ -195,15 +208,15 @@ class LineIndex:
 
         def change(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
             shard = old.shard.iloc[0] if len(old) else new.shard.iloc[0]
-            data = old["filter"].iloc[0] if len(old) else None
-            return pd.DataFrame({"shard": [shard], "filter": [filled(data, new.key[new.enters], new.key[~new.enters])]})
+            data, keys = (old["filter"].iloc[0], old["keys"].iloc[0]) if len(old) else (None, b"")
+            return pd.DataFrame({"shard": [shard], **filled(data, keys, new.key[new.enters], new.key[~new.enters])})
 
-        filters = self.filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInPandas(change, "shard int, filter binary")
+        filters = self.filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInPandas(change, "shard int, filter binary, keys binary")
         refs = both.where("n > 0").select("key", "n")
         return LineIndex(cut(refs, "line-counts"), cut(filters, "line-filters"), self.shards, least, self.min_chars)
 
     def frequent_lines(self, docs: DataFrame, text: str = "text", keep_first: bool = False) -> DataFrame:
-        """(text_id, places): for each distinct text with frequent lines, where they are, from 0.
+        """(text_id, places, copies): for each distinct text with frequent lines, where they are, from 0, and how many rows hold the text.
 
         keep_first: without the lines of the text that has the smallest digest of all that hold the key.
         """
@@ -212,24 +225,28 @@ class LineIndex:
 
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out: dict[str, list] = {"text_id": [], "key": [], "places": []}
-                for t in set(batch.column(0).to_pylist()):
+                out: dict[str, list] = {"text_id": [], "copies": [], "key": [], "places": []}
+                for t, n in Counter(batch.column(0).to_pylist()).items():
                     found = text_keys(t, min_chars)
-                    out["text_id"] += [digest(t)] * len(found)
+                    out["text_id"] += [text_digest(t)] * len(found)
+                    out["copies"] += [n] * len(found)
                     out["key"] += found.keys()
                     out["places"] += found.values()
-                yield pa.RecordBatch.from_pydict({"text_id": pa.array(out["text_id"], pa.binary()), "key": pa.array(out["key"], pa.binary()), "places": pa.array(out["places"], pa.list_(pa.int32()))})
+                kinds = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_pydict({c: pa.array(x, k) for (c, x), k in zip(out.items(), kinds, strict=True)})
 
         salt = F.pmod(F.xxhash64("text_id"), F.lit(SALTS)).cast("int")
-        lines = docs.select(text_bytes(text).alias("t")).mapInArrow(split, "text_id binary, key binary, places array<int>")
-        lines = lines.select(shard_of(shards).alias("shard"), salt.alias("salt"), F.lit(1).alias("kind"), "text_id", "key", "places", F.lit(None).cast("binary").alias("filter"))
-        none = [F.lit(None).cast(t).alias(c) for c, t in (("text_id", "binary"), ("key", "binary"), ("places", "array<int>"))]
-        filters = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), *none, "filter")
+        line = {"text_id": "binary", "copies": "bigint", "key": "binary", "places": "array<int>"}
+        schema = ", ".join(f"{c} {t}" for c, t in line.items())
+        lines = docs.select(text_bytes(text).alias("t")).mapInArrow(split, schema)
+        lines = lines.select(shard_of(shards).alias("shard"), salt.alias("salt"), F.lit(1).alias("kind"), *line, *(F.lit(None).cast("binary").alias(c) for c in ("filter", "keys")))
+        none = [F.lit(None).cast(t).alias(c) for c, t in line.items()]
+        filters = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), *none, "filter", "keys")
         # a shard's filter comes first in its task, then the lines, one batch at a time
         dealt = filters.union(lines).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, held = None, None
+            at = held = sure = None
             for batch in batches:
                 shard = batch.column("shard").to_numpy()
                 first = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]) if len(shard) else []
@@ -237,47 +254,56 @@ class LineIndex:
                     part = batch.slice(a, b - a)
                     if shard[a] != at:
                         at, held = shard[a], None
-                    for x in part.column("filter").drop_null()[-1:]:
-                        held = CuckooFilter.from_bytes(x.as_py())
+                    some = np.flatnonzero(part.column("kind").to_numpy() == 0)
+                    if len(some):
+                        held = CuckooFilter.from_bytes(part.column("filter")[int(some[-1])].as_py())
+                        sure = np.frombuffer(part.column("keys")[int(some[-1])].as_py(), "S16")
                     part = part.filter(part.column("kind").to_numpy() == 1) if held else part.slice(0, 0)
                     if part.num_rows:
-                        hit = pa.array(held.contains(words(part.column("key").to_pylist())))
-                        yield part.select(["text_id", "key", "places"]).filter(hit)
+                        keys = part.column("key").to_pylist()
+                        hit = np.flatnonzero(held.contains(words(keys)))
+                        asked = np.array([keys[i] for i in hit], "S16")
+                        place = np.minimum(np.searchsorted(sure, asked), len(sure) - 1)
+                        yield part.select(list(line)).take(pa.array(hit[sure[place] == asked]))
 
-        hits = dealt.mapInArrow(look, "text_id binary, key binary, places array<int>")
-        sure = hits.join(self.refs.where(F.col("n") >= self.min_docs).select("key"), "key")
+        hits = dealt.mapInArrow(look, schema)
         if keep_first:
-            sure = cut(sure, "line-hits")
-            sure = sure.join(sure.groupBy("key").agg(F.min("text_id").alias("owner")), "key").where("text_id != owner")
-        return sure.groupBy("text_id").agg(F.flatten(F.collect_set("places")).alias("places"))
-
-
-def filled(data: bytes | None, enter: pd.Series, leave: pd.Series) -> bytes:
-    """A shard's filter after keys left and entered; a new one has room for twice its first keys."""
-    cuckoo = CuckooFilter.from_bytes(data) if data is not None else CuckooFilter(2 * len(enter))
-    if len(leave):
-        cuckoo.delete(words(list(leave)))
-    if len(enter):
-        cuckoo.insert(words(sorted(enter)))
-    return cuckoo.to_bytes()
+            hits = cut(hits, "line-hits").withColumn("salt", salt)
+            owners = hits.groupBy("key").agg(F.min("text_id").alias("owner"))
+            owners = owners.select("key", "owner", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+            hits = hits.join(owners, ["key", "salt"]).where("text_id != owner")
+        # every batch gives one row for each key of a text, and no place belongs to two keys
+        return hits.groupBy("text_id").agg(F.collect_set("places").alias("x"), F.sum("copies").alias("n")).select("text_id", F.flatten("x").alias("places"), (F.col("n") / F.size("x")).cast("long").alias("copies"))
+
+
+def filled(data: bytes | None, keys: bytes, enter: pd.Series, leave: pd.Series) -> dict[str, list[bytes]]:
+    """A shard's filter and sorted keys after keys left and entered; a new filter, or one made anew, has room for twice its keys."""
+    left, came = set(leave), set(enter)
+    held = sorted(({keys[i : i + 16] for i in range(0, len(keys), 16)} - left) | came)
+    cuckoo = CuckooFilter.from_bytes(data) if data is not None else CuckooFilter(2 * len(held))
+    if data is None or len(held) > cuckoo.capacity:
+        cuckoo = CuckooFilter(2 * len(held))
+        left, came = set(), set(held)
+    if left:
+        cuckoo.delete(words(sorted(left)))
+    if came:
+        cuckoo.insert(words(sorted(came)))
+    return {"filter": [cuckoo.to_bytes()], "keys": [b"".join(held)]}
 
 
 def drop_frequent_lines(docs: DataFrame, index: LineIndex, keep: list[str], text: str = "text", keep_first: bool = False) -> DataFrame:
     """The ``keep`` columns of every row with ``kept_text``, n_lines and n_dropped.
 
-    Rows meet the places of their frequent lines by the text's digest; exact copies share one such row.
+    Rows meet the places of their frequent lines by the text's digest; those of hot texts by a salt besides.
     """
     spark = docs.sparkSession
-    places = index.frequent_lines(docs, text, keep_first)
+    places = cut(index.frequent_lines(docs, text, keep_first), "line-places")
+    total = docs.count()
+    hot = places.where(F.col("copies") * HOT > total).select(F.col("text_id").alias("hot_id"))  # fewer than HOT rows, whatever the table
     rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), text_bytes(text).alias("t"))
     kinds = [f"k{i} {rows.schema[i].dataType.simpleString()}" for i in range(len(keep))]
     n = len(keep)
 
-    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = pa.array(map(digest, batch.column(n).to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "text_id"])
-
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, total, dropped = [], [], []
@@ -293,7 +319,10 @@ def drop_frequent_lines(docs: DataFrame, index: LineIndex, keep: list[str], text
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], [*batch.schema.names[:n], "kept", "n_lines", "n_dropped"])
 
     bounded_batches(spark)
-    tagged = rows.mapInArrow(tag, ", ".join([*kinds, "t binary", "text_id binary"]))
-    joined = tagged.join(places, "text_id", "left").select(*(f"k{i}" for i in range(n)), "t", "places")
+    tagged = rows.withColumn("text_id", F.unhex(F.sha2("t", 256))).join(F.broadcast(hot), F.col("text_id") == F.col("hot_id"), "left")
+    tagged = tagged.withColumn("salt", F.when(F.col("hot_id").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0))
+    spread = F.when(F.col("copies") * HOT > total, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = places.select("text_id", "places", F.explode(spread).alias("salt"))
+    joined = tagged.join(salted, ["text_id", "salt"], "left").select(*(f"k{i}" for i in range(n)), "t", "places")
     result = joined.mapInArrow(rebuild, ", ".join([*kinds, "kept binary", "n_lines long", "n_dropped long"]))
     return result.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("kept").cast("string").alias("kept_text"), "n_lines", "n_dropped")

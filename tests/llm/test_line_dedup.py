@@ -103,3 +103,25 @@ def test_cuckoo_filter_holds_all_keys_and_forgets_deleted_ones():
 
 def test_digests_are_two_words():
     assert words([line_dedup.digest(b"a"), line_dedup.digest(b"b")]).shape == (2, 2)
+
+
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_texts_that_many_rows_hold(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    rows = [(i, "one\ntwo\nthree") for i in range(300)] + [(300 + i, f"own {i}\ntwo") for i in range(100)] + [(400, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = sorted((tuple(r) for r in drop_frequent_lines(df, LineIndex.build(df, 10), ["doc_id"]).collect()), key=repr)
+    assert got == brute(rows, 10)
+    kept = {r.doc_id: r.kept_text for r in drop_frequent_lines(df, LineIndex.build(df, 10), ["doc_id"], keep_first=True).collect()}
+    assert len(kept) == 401 and sum("two" in t for t in kept.values()) in (1, 300)
+
+
+def test_a_full_filter_grows(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")
+    index = LineIndex.build(df, 2, shards=1)
+    small = CuckooFilter.from_bytes(bytes(index.filters.first()["filter"])).capacity
+    lines = "\n".join(f"line {i}" for i in range(20 * small))
+    grown = index.insert(spark.createDataFrame([(3, lines), (4, lines)], "doc_id long, text string"))
+    held = CuckooFilter.from_bytes(bytes(grown.filters.first()["filter"]))
+    assert held.capacity > 20 * small and not held.overflow
+    assert [r.n_dropped for r in drop_frequent_lines(df, grown, ["doc_id"]).collect()] == [1, 1]
