@@ -40,13 +40,6 @@ def weight(confidence: Column, content_type: Column, engagement: Column) -> Colu
     return F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1.0)) * title * reach
 
 
-def eligible_posts(posts: DataFrame) -> DataFrame:
-    """Posts that score, with ``w``."""
-    confidence = F.coalesce(F.col("confidence"), F.lit(0.5))
-    fine = is_classified(F.col("status"), F.col("sentiment")) & (confidence >= MIN_CONFIDENCE) & taxonomy.sentiment(F.col("sentiment")).isNotNull()
-    return posts.where(fine).withColumn("w", weight(confidence, F.col("content_type"), F.col("engagement")))
-
-
 def source_cap(total: Column, largest: Column) -> Column:
     """Factor of the largest source: its share of the rest's weight is capped, more loosely if the rest is light."""
     rest = total - largest
@@ -56,10 +49,23 @@ def source_cap(total: Column, largest: Column) -> Column:
 
 
 def cells(posts: DataFrame, period: Column) -> DataFrame:
-    """Weights of (model, period, source, sentiment, complaint) after the source cap."""
-    rows = eligible_posts(posts).withColumn("period_start", period).withColumn("source", F.coalesce("source", F.lit("unknown")))
-    rows = rows.withColumn("category", F.when(F.col("sentiment") == "negative", taxonomy.complaint(F.col("complaint"))))
-    small = rows.groupBy("model_id", "period_start", "source", "sentiment", "category").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
+    """Counts and weights of (model, period, source, sentiment, complaint), with weights after the source cap.
+
+    Posts that don't score stay as cells without a sentiment, so that one pass over the posts counts them too.
+    """
+    confidence = F.coalesce(F.col("confidence"), F.lit(0.5))
+    done = is_classified(F.col("status"), F.col("sentiment"))
+    fine = F.coalesce(done & (confidence >= MIN_CONFIDENCE) & taxonomy.sentiment(F.col("sentiment")).isNotNull(), F.lit(False))
+    rows = posts.select(
+        "model_id", period.alias("period_start"), F.coalesce("source", F.lit("unknown")).alias("source"), F.when(fine, F.col("sentiment")).alias("sentiment"),
+        F.when(fine & (F.col("sentiment") == "negative"), taxonomy.complaint(F.col("complaint"))).alias("category"),
+        F.when(fine, weight(confidence, F.col("content_type"), F.col("engagement"))).otherwise(0.0).alias("w"), fine.alias("fine"), done.alias("done"), "status",
+    )
+    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    small = rows.groupBy("model_id", "period_start", "source", "sentiment", "category").agg(
+        F.sum("w").alias("w"), count(F.col("fine"), "n"), count(F.col("done"), "classified"),
+        count(F.col("status").isin("pending", "retry"), "queued_posts"), count(F.col("status") == "failed", "failed_posts"),
+    )
     own = Window.partitionBy("model_id", "period_start", "source")
     every = Window.partitionBy("model_id", "period_start")
     small = small.withColumn("source_w", F.sum("w").over(own))
@@ -69,25 +75,22 @@ def cells(posts: DataFrame, period: Column) -> DataFrame:
 
 
 def raw_scores(posts: DataFrame, period: Column) -> DataFrame:
-    """model_id, period_start, raw_score, counts by sentiment, eligible_posts, top_complaint."""
+    """Of each period with posts that score: raw_score, counts by sentiment and by state, eligible_posts, top_complaint."""
+    key, states = ["model_id", "period_start"], ["classified", "queued_posts", "failed_posts"]
     parts = cells(posts, period)
-    of = lambda s: F.sum(F.when(F.col("sentiment") == s, F.col("capped")).otherwise(0.0))
-    count = lambda s: F.sum(F.when(F.col("sentiment") == s, F.col("n")).otherwise(0)).cast("long").alias(f"{s}_count")
-    whole = of("positive") + of("neutral") + of("negative")
-    score = F.when(whole > 0, half_up(100 * (of("positive") + 0.5 * of("neutral")) / whole)).otherwise(50)
-    scored = parts.groupBy("model_id", "period_start").agg(score.alias("raw_score"), count("positive"), count("negative"), count("neutral"), F.sum("n").cast("long").alias("eligible_posts"))
-    named = parts.where("category is not null").groupBy("model_id", "period_start", "category").agg(F.sum("capped").alias("cw"))
-    top = named.groupBy("model_id", "period_start").agg(F.min(F.struct((-F.round("cw", 9)).alias("order"), "category"))["category"].alias("top_complaint"))
-    return scored.join(top, ["model_id", "period_start"], "left")
-
-
-def volumes(posts: DataFrame, period: Column) -> DataFrame:
-    """Posts of each period by where they are in classification, coverage, basis and confidence but for the eligible count."""
-    done = is_classified(F.col("status"), F.col("sentiment"))
-    count = lambda c: F.count(F.when(c, 1)).alias
-    return posts.withColumn("period_start", period).groupBy("model_id", "period_start").agg(
-        count(done)("classified"), count(F.col("status").isin("pending", "retry"))("queued_posts"), count(F.col("status") == "failed")("failed_posts")
-    )
+    of = lambda s: F.sum(F.when(F.col("sentiment") == s, F.col("capped")).otherwise(0.0)).alias(f"{s}_w")
+    count = lambda s: F.sum(F.when(F.col("sentiment") == s, F.col("n")).otherwise(0)).alias(f"{s}_count")
+    kinds = ("positive", "negative", "neutral")
+    by_category = parts.groupBy(*key, "category").agg(*map(of, kinds), *map(count, kinds), F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in states))
+    total = lambda c: F.sum(f"{c}_w")
+    whole = total("positive") + total("neutral") + total("negative")
+    score = F.when(whole > 0, half_up(100 * (total("positive") + 0.5 * total("neutral")) / whole)).otherwise(50)
+    heaviest = F.min(F.when(F.col("category").isNotNull(), F.struct((-F.round("negative_w", 9)).alias("order"), "category")))["category"]
+    scored = by_category.groupBy(*key).agg(
+        score.alias("raw_score"), *(F.sum(f"{s}_count").cast("long").alias(f"{s}_count") for s in kinds), F.sum("n").cast("long").alias("eligible_posts"),
+        heaviest.alias("top_complaint"), *(F.sum(c).cast("long").alias(c) for c in states),
+    )
+    return scored.where("eligible_posts > 0")
 
 
 def quality(rows: DataFrame) -> DataFrame:
@@ -107,32 +110,49 @@ def smoothing_weight(n: Column) -> Column:
     return ramp.otherwise(0.4 + (n - MIN_POSTS + 1) / F.lit(float(MIN_POSTS + 1)) * 0.3)
 
 
-def smooth(scores: DataFrame) -> DataFrame:
-    """Add ``score``: each model's raw scores folded in order of time, each one mixed with the score before it."""
-    point = F.struct("period_start", "raw_score", "eligible_posts")
-    series = scores.groupBy("model_id").agg(F.array_sort(F.collect_list(point)).alias("points"))
+def smooth(scores: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """Add ``score``: each model's raw scores folded in order of time, each one mixed with the score before it.
+
+    seeds (model_id, seed): the score before the first one, where a model has one stored.
+    """
+    rest = [c for c in scores.columns if c not in ("model_id", "period_start")]
+    points = scores.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("period_start", F.struct(*rest).alias("rest")))).alias("points"))
+    points = points.join(F.broadcast(seeds.select("model_id", "seed")), "model_id", "left") if seeds is not None else points.withColumn("seed", F.lit(None).cast("int"))
 
     def step(done: Column, p: Column) -> Column:
-        before = F.try_element_at(done, F.lit(-1))["score"]
-        w = smoothing_weight(p["eligible_posts"])
-        score = F.when(before.isNull(), p["raw_score"]).otherwise(half_up(w * p["raw_score"] + (1 - w) * before))
-        return F.concat(done, F.array(F.struct(p["period_start"].alias("period_start"), score.alias("score"))))
+        before = F.coalesce(F.try_element_at(done, F.lit(-1)), F.col("seed"))
+        w = smoothing_weight(p["rest"]["eligible_posts"])
+        return F.concat(done, F.array(F.when(before.isNull(), p["rest"]["raw_score"]).otherwise(half_up(w * p["rest"]["raw_score"] + (1 - w) * before))))
 
-    empty = F.array().cast("array<struct<period_start:timestamp,score:int>>")
-    folded = series.select("model_id", F.explode(F.aggregate("points", empty, step)).alias("s")).select("model_id", "s.period_start", "s.score")
-    return scores.join(folded, ["model_id", "period_start"])
+    folded = points.withColumn("scores", F.aggregate("points", F.array().cast("array<int>"), step))
+    each = folded.select("model_id", F.explode(F.arrays_zip("points", "scores")).alias("x"))
+    return each.select("model_id", "x.points.period_start", *(F.col(f"x.points.rest.{c}").alias(c) for c in rest), F.col("x.scores").alias("score"))
 
 
-def daily(posts: DataFrame) -> DataFrame:
+def daily(posts: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """Daily scores; days without eligible posts have none, and smoothing goes on from the last day that has one."""
-    day = day_start(F.col("posted_at"))
-    rows = quality(raw_scores(posts, day).join(volumes(posts, day), ["model_id", "period_start"]))
-    return smooth(rows).withColumn("unclassified_posts", F.col("queued_posts") + F.col("failed_posts")).drop("classified")
+    rows = quality(raw_scores(posts, day_start(F.col("posted_at"))))
+    return smooth(rows, seeds).withColumn("unclassified_posts", F.col("queued_posts") + F.col("failed_posts")).drop("classified")
+
+
+def recompute(stored: DataFrame, posts: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """Stored daily scores with those of the last ``days`` days (zone days, today included) made anew from the posts.
+
+    Late and reclassified posts of these days thus heal their scores. The first day goes on from the score stored last before the
+    window, so that the result is that of scoring all posts at once. Only posts of the window are read.
+    """
+    first = day_start(now - F.make_dt_interval(days=F.lit(days)))
+    kept = stored.where(F.col("period_start") < first)
+    seeds = kept.groupBy("model_id").agg(F.max_by("score", "period_start").alias("seed"))
+    return kept.unionByName(daily(posts.where(F.col("posted_at") >= first), seeds).select(*stored.columns))
 
 
 def hourly(posts: DataFrame, since: Column) -> DataFrame:
     """Unsmoothed scores of UTC hours from ``since`` on."""
     hour = F.date_trunc("hour", F.col("posted_at"))
-    recent = posts.where(F.col("posted_at") >= since)
-    rows = quality(raw_scores(recent, hour).join(volumes(recent, hour), ["model_id", "period_start"]))
+    rows = quality(raw_scores(posts.where(F.col("posted_at") >= since), hour))
     return rows.withColumn("score", F.col("raw_score")).drop("classified", "raw_score")
+
+
+def vibe_label(score: Column) -> Column:
+    return F.when(score <= 40, "negative").when(score <= 65, "mixed").when(score.isNotNull(), "positive")

@@ -59,13 +59,20 @@ def score_daily(spark: SparkSession, folder: str) -> DataFrame:
     return daily(spark, folder).withColumn("classification_coverage", F.round("classification_coverage", 6))
 
 
+def score_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores stored a week ago, without the posts that came in since, brought up to date: the same as scoring all posts at once."""
+    p = posts(spark, folder)
+    stored = scoring.daily(p.where(F.col("posted_at") < ago(days=6)))
+    return scoring.recompute(stored, p, now()).withColumn("classification_coverage", F.round("classification_coverage", 6))
+
+
 def score_hourly(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.hourly(posts(spark, folder), ago(days=2)).withColumn("classification_coverage", F.round("classification_coverage", 6))
 
 
 def source_share_cap(spark: SparkSession, folder: str) -> DataFrame:
     parts = scoring.cells(posts(spark, folder), scoring.day_start(F.col("posted_at")))
-    return parts.groupBy("model_id", "period_start", "source").agg(F.round(F.sum("w"), 6).alias("weight"), F.round(F.sum("capped"), 6).alias("capped_weight"))
+    return parts.where("sentiment is not null").groupBy("model_id", "period_start", "source").agg(F.round(F.sum("w"), 6).alias("weight"), F.round(F.sum("capped"), 6).alias("capped_weight"))
 
 
 def top_complaint_weighted(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,13 +84,17 @@ def landing_scores(spark: SparkSession, folder: str) -> DataFrame:
     all_posts, recent = posts(spark, folder), F.col("posted_at") > ago(days=7)
     ranked = daily(spark, folder).where(F.col("period_start") > ago(days=90))
     ranked = ranked.withColumn("rn", F.row_number().over(Window.partitionBy("model_id").orderBy(F.desc("period_start"))))
-    latest = ranked.where("rn = 1").select("model_id", F.col("score").alias("latest_score"), F.col("period_start").alias("score_period_start"), "eligible_posts", "top_complaint", "score_basis_status", "score_confidence", F.col("total_posts").alias("latest_score_total_posts"))
-    before = ranked.where("rn = 2").select("model_id", F.col("score").alias("previous_score"))
-    week = all_posts.where(recent & (F.col("status") != "irrelevant")).groupBy("model_id").agg(F.count(F.lit(1)).alias("total_posts"), F.max("posted_at").alias("latest_post_posted_at"), F.max("created_at").alias("latest_post_ingested_at"))
-    waiting = all_posts.where(recent).groupBy("model_id").agg(F.count_if(F.col("status").isin("pending", "retry")).alias("pending_classifications"), F.count_if(F.col("status") == "failed").alias("failed_classifications"))
-    out = models(spark)
-    for part in (latest, before, week, waiting):
-        out = out.join(part, "model_id", "left")
+    of = lambda c, rn, name: F.max(F.when(F.col("rn") == rn, F.col(c))).alias(name)
+    same = ("eligible_posts", "top_complaint", "score_basis_status", "score_confidence")
+    last = ranked.where("rn <= 2").groupBy("model_id").agg(
+        of("score", 1, "latest_score"), of("score", 2, "previous_score"), of("period_start", 1, "score_period_start"), of("total_posts", 1, "latest_score_total_posts"), *(of(c, 1, c) for c in same)
+    )
+    relevant = F.col("status") != "irrelevant"
+    week = all_posts.where(recent).groupBy("model_id").agg(
+        F.count_if(relevant).alias("total_posts"), F.max(F.when(relevant, F.col("posted_at"))).alias("latest_post_posted_at"), F.max(F.when(relevant, F.col("created_at"))).alias("latest_post_ingested_at"),
+        F.count_if(F.col("status").isin("pending", "retry")).alias("pending_classifications"), F.count_if(F.col("status") == "failed").alias("failed_classifications"),
+    )
+    out = models(spark).join(last, "model_id", "left").join(week, "model_id", "left")
     today = scoring.day_start(now())
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select(
@@ -189,6 +200,7 @@ _S = f"{DAILY_SQL} SELECT "
 _ROUND = "* REPLACE (round(classification_coverage, 6) AS classification_coverage)"
 QUERIES = {
     "score_daily": score_daily,
+    "score_incremental": score_incremental,
     "score_hourly": score_hourly,
     "source_share_cap": source_share_cap,
     "top_complaint_weighted": top_complaint_weighted,
@@ -209,6 +221,7 @@ QUERIES = {
 _OLD = with_posts(DAILY_SQL.replace("FROM posts WHERE true", "FROM posts WHERE source <> 'reddit'") + " SELECT model_id, period_start, score FROM scores")
 ORACLE = {
     "score_daily": with_posts(_S + _ROUND + " FROM scores"),
+    "score_incremental": with_posts(_S + _ROUND + " FROM scores"),
     "score_hourly": with_posts(raw_sql(HOUR_SQL, f"posted_at >= {NOW_SQL} - INTERVAL 2 DAY") + " SELECT * EXCLUDE (raw_score, classified, failed_share) REPLACE (round(classification_coverage, 6) AS classification_coverage), raw_score AS score FROM rated"),
     "source_share_cap": with_posts(raw_sql(DAY_SQL) + " SELECT model_id, period_start, source, round(sum(w), 6) AS weight, round(sum(cw), 6) AS capped_weight FROM capped GROUP BY ALL"),
     "top_complaint_weighted": with_posts(_S + "model_id, period_start, top_complaint FROM scores WHERE top_complaint IS NOT NULL"),
