@@ -9,7 +9,7 @@ from pulsegrid.functions import text
 from pulsegrid.operators.graph import connected_components
 
 #: Lifecycle claims by precedence, strongest first.
-PRECEDENCE = ["delayed", "return", "launch", "in_testing", "capability", "sighting"]
+PRECEDENCE = ["delayed", "return", "imminent", "in_testing", "launch", "other"]
 
 
 def clusters(claims: DataFrame) -> DataFrame:
