@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import functools
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,39 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Bytes of one Arrow batch sent to a Python worker, so that a batch of very long texts stays small.
-BATCH_BYTES = "16m"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only a local session may leave that unset: it gets a temporary folder of this process. On a cluster executors wouldn't see
-    that folder, so there it's an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (named or local_dir()).rstrip("/")
-
-
-@functools.cache
-def local_dir() -> str:
-    """For local sessions without ``spark.checkpoint.dir``; removed when the process ends."""
-    folder = tempfile.mkdtemp(prefix="pulsegrid-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return f"file://{folder}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table that nothing reads any more, or all tables of the application: ``remove(spark, tables_dir(spark))``."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+from pulsegrid.operators.graph import connected_components, smallest_reached
+from pulsegrid.shared import cut, remove, shared_dir, tables_dir, write_table
 
+__all__ = ["connected_components", "cut", "remove", "shared_dir", "smallest_reached", "tables_dir", "write_table"]
 
-def tables_dir(spark: SparkSession) -> str:
-    """The application's own folder in the shared one; a job that has written its results may remove it as a whole."""
-    return f"{shared_dir(spark)}/pulsegrid-{spark.sparkContext.applicationId}"
+#: Bytes of one Arrow batch sent to a Python worker, so that a batch of very long texts stays small.
+BATCH_BYTES = "16m"
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -55,18 +24,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def write_table(df: DataFrame, name: str) -> str:
-    """Write ``df`` as Parquet to a fresh folder of the shared directory and return its path."""
-    path = f"{tables_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared directory and read it again."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
-
-
 def text_bytes(column: str = "text") -> Column:
     """A text as its UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
@@ -122,45 +79,6 @@ def map_texts(
     return result.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *names)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Label the nodes of ``edges`` (a, b) with the smallest node of their component: (node, root).
-
-    Alternates large-star and small-star steps. Each step finds every node's smallest neighbour by an aggregation that is
-    partial in each task, and hands it to the edges by a join on the node; after the first round a component's edges all end at
-    its few smallest nodes, and the edges are kept by their larger end, so that a join meets each key about once. A round's
-    result is written to the shared directory and the last one's removed. Rounds end when the edges no longer change; their
-    number grows with the logarithm of the longest chain.
-    """
-    spark = edges.sparkSession
-    flat = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    path, schema = write_table(flat, "edges"), flat.schema
-    last = None
-    for _ in range(max_rounds):
-        flat = spark.read.schema(schema).parquet(path)
-        # large star: each node hands its larger neighbours to its smallest neighbour
-        both = flat.select("a", "b").union(flat.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # an edge (a, b) asks its smaller end b for the smallest neighbour; ends that are roots already keep their edges as they are
-        moved = low.where("m < a").select(F.col("a").alias("b"), "m")
-        large = flat.join(moved, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
-        large = large.where("a > b").distinct()
-        # small star: each node hands its smaller neighbours, and itself, to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        new = write_table(small.distinct(), "edges")
-        remove(spark, path)
-        path, flat = new, spark.read.schema(schema).parquet(new)
-        now = flat.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if last == tuple(now):
-            break
-        last = tuple(now)
-    else:
-        raise RuntimeError("connected components did not settle")
-    roots = flat.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, fold: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, target) from at most ``bound`` labels, chosen by a hash of the id; of an id that repeats, the smallest text.
 

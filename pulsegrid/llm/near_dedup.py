@@ -9,7 +9,7 @@ so a text of whose shingles fewer occur in other texts is alone. Therefore
    each sequence of words, however many copies it has. Texts themselves are never shuffled for this;
 2. each node has two SimHash fingerprints, of its word pairs and of its distinct words. BK-trees in pigeonhole shards name, for each
    fingerprint, the smallest of its shard's group and the nearest; these pairs are compared by their shingles. One node of each
-   linked group goes on to a further round, until a round links nothing: so dense groups make few pairs in each round;
+   linked group goes on to a further round, as long as a fair part of the pairs proves right: so dense groups make few pairs;
 3. what these rounds leave apart is compared in full. With all shingles in one order, rare ones first, two sets as similar as ``least``
    share one of their first ``prefix_length``; so all nodes, also those that left the rounds, meet in the lists of these shingles, and
    every two of a list that can be similar and aren't in one group yet are compared, first those a few places apart and then those
@@ -39,6 +39,9 @@ from pulsegrid.llm.simhash_bktree import links
 
 #: Rows to leave out, up to which they are broadcast (some 100 bytes each); beyond that the rows meet them by a shuffle.
 BROADCAST_ROWS = 300_000
+#: Part of a round's pairs that must be linked for another round; how many times further apart the next pairs of the lists lie.
+WORTH = 0.05
+WIDER = 16
 
 
 class Shingles:
@@ -264,36 +267,32 @@ def proven_links(pairs: DataFrame, nodes: DataFrame, least: float, name: str) ->
     return held.mapInArrow(prove, "a binary, b binary")
 
 
-def groups(nodes: DataFrame, least: float, radius: int) -> DataFrame | None:
-    """(node, root) for the nodes (see ``nodes_of``) that are linked to others; None if there are none."""
+def groups(nodes: DataFrame, least: float, radius: int) -> DataFrame:
+    """(node, root) for the nodes (see ``nodes_of``) that are linked to others."""
     lists = cut(shared(nodes, least), "shared-shingles")
     active, proven = nodes.select("node", "fps"), []
     while True:
         pairs = cut(candidates(active, radius), "candidates")
         linked = cut(proven_links(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")), nodes, least, "node"), "links")
-        if linked.isEmpty():
-            break
         proven.append(linked)
+        if linked.count() < WORTH * pairs.count() or pairs.isEmpty():
+            break
         gone = linked.select(F.greatest("a", "b").alias("node")).distinct()  # each has a smaller one that it's linked to
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         active = cut(active.join(ends, "node", "left_semi").join(gone, "node", "left_anti"), "active")
 
-    roots = connected_components(reduce(DataFrame.union, proven)) if proven else None
+    roots = connected_components(reduce(DataFrame.union, proven))
     longest = lists.agg(F.max("many")).first()[0] or 0
-    low, high = 1, 8
+    low, high = 1, WIDER
     while low < longest:
-        apart = lists.where(F.col("many") > low)
-        if roots is None:
-            apart = apart.withColumn("root", F.col("id"))
-        else:
-            known = roots.select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("r"))
-            apart = apart.join(known, "id", "left").withColumn("root", F.coalesce("r", "id"))
+        known = roots.select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("r"))
+        apart = lists.where(F.col("many") > low).join(known, "id", "left").withColumn("root", F.coalesce("r", "id"))
         pairs = cut(near_in_lists(apart, least, low, high), "pairs-in-lists")
         linked = cut(proven_links(pairs, nodes, least, "id"), "links")
         if not linked.isEmpty():
             proven.append(linked)
             roots = connected_components(reduce(DataFrame.union, proven))
-        low, high = high, 8 * high
+        low, high = high, WIDER * high
     return roots
 
 
@@ -306,8 +305,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     nodes = spark.read.parquet(nodes_path)
     roots = groups(nodes, least, radius)
     first = rows.groupBy("node").agg(F.min(place_of()).alias("row"))
-    if roots is not None:
-        first = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row"))
+    first = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row"))
     stays = first.select(F.col("row.id").alias("x"), F.col("row.digest").alias("y"))
     same = F.col("id").eqNullSafe(F.col("x")) & (F.col("digest") == F.col("y"))
     counted_rows = rows.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import connected_components, cut, map_texts
+from pulsegrid.llm.common import connected_components, cut, map_texts, smallest_reached
 
 BITS = 64
 #: Fingerprints of a shard beyond which it is dealt out again, and pairs looked at in one step.
@@ -165,21 +165,6 @@ class Forest:
                 waiting.append((np.repeat(q, many), self.order[np.repeat(low, many) + step]))
 
 
-def groups_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest place that each of n places reaches over the links (a, b)."""
-    low = np.arange(n)
-    while True:
-        new = low.copy()
-        np.minimum.at(new, low[a], low[b])
-        np.minimum.at(new, low[b], low[a])
-        new = np.minimum(new, new[low])
-        while (new != new[new]).any():
-            new = new[new]
-        if (new == low).all():
-            return low
-        low = new
-
-
 def shard_edges(fp: np.ndarray, group: np.ndarray, radius: int, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Edges from each fingerprint to the smallest of its linked group in its shard, given in the order of (group, fp).
 
@@ -196,7 +181,7 @@ def shard_edges(fp: np.ndarray, group: np.ndarray, radius: int, nearest: bool =
                 q, node, other = q[other], node[other], np.ones(other.sum(), bool)
                 np.minimum.at(best, q, np.bitwise_count(fp[q] ^ fp[node]).astype(np.int64) * len(fp) + node)
             if other.any():
-                low = groups_of(len(fp), low[q[other]], low[node[other]])[low]
+                low = smallest_reached(len(fp), low[q[other]], low[node[other]])[low]
     joined = np.flatnonzero(low != np.arange(len(fp)))
     a, b = joined, low[joined]
     if nearest:
