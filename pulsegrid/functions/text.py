@@ -115,6 +115,26 @@ def plain_html_sql(html: str) -> str:
     return rf"trim(regexp_replace({out}, '[ \t\n\r]+', ' ', 'g'))"
 
 
+def decoded(said: Column) -> Column:
+    """Numeric entities, decimal and hexadecimal, as the characters that they stand for."""
+    parts = F.split(said, "&#")
+
+    def char(number: Column) -> Column:
+        return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+
+    def one(p: Column) -> Column:
+        rest, ten, six = F.regexp_replace(p, "^[^;]*;", ""), F.regexp_extract(p, "^([0-9]{1,6});", 1), F.regexp_extract(p, "^x([0-9a-fA-F]{1,5});", 1)
+        return F.when(ten != "", F.concat(char(ten.try_cast("long")), rest)).when(six != "", F.concat(char(F.conv(six, 16, 10).try_cast("long")), rest)).otherwise(F.concat(F.lit("&#"), p))
+
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, 1 << 20), one), ""))
+
+
+def decoded_sql(said: str) -> str:
+    rest = "regexp_replace(p, '^[^;]*;', '')"
+    one = f"CASE WHEN regexp_matches(p, '^[0-9]{{1,6}};') THEN chr(regexp_extract(p, '^([0-9]+)', 1)::INTEGER) || {rest} WHEN regexp_matches(p, '^x[0-9a-fA-F]{{1,5}};') THEN chr(('0x' || regexp_extract(p, '^x([0-9a-fA-F]+)', 1))::INTEGER) || {rest} ELSE '&#' || p END"
+    return f"(string_split({said}, '&#')[1] || array_to_string(list_transform(string_split({said}, '&#')[2:], lambda p: {one}), ''))"
+
+
 def squash(label: Column) -> Column:
     """A label's letters and digits in lower case."""
     return F.regexp_replace(F.lower(label), "[^a-z0-9]", "")

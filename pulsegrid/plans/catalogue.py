@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pulsegrid.plans import claims, queue, reads, rumors, scores, streams, texts
+from pulsegrid.plans import claims, landed, queue, reads, rumors, scores, streams, texts
 
-PARTS = (scores, queue, reads, texts, rumors, claims, streams)
+PARTS = (scores, queue, reads, texts, rumors, claims, landed, streams)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: sql for part in PARTS for name, sql in part.ORACLE.items()}

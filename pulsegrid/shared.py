@@ -52,3 +52,11 @@ def write_table(df: DataFrame, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared directory and read it again."""
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
+
+
+def write_text(lines: DataFrame, name: str, rows: int | None = None) -> str:
+    """Write one column of text to a fresh folder of the shared directory and return its path; rows: so many in a file at most."""
+    path = f"{tables_dir(lines.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    writer = lines.write if rows is None else lines.write.option("maxRecordsPerFile", rows)
+    writer.text(path)
+    return path
