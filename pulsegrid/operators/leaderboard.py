@@ -52,11 +52,12 @@ def verdicts(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("previous", "current", points(delta, "delta_points"), points(low, "lo_points"), points(high, "hi_points"), said.alias("verdict"))
 
 
-def scoring_dates(models: DataFrame, run_date: str) -> DataFrame:
-    """Labels by the date they were scored: that of their price, but not before the run."""
-    date = F.greatest(F.coalesce("price_date", F.lit("")), F.lit(run_date))
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "name")))
-    return models.groupBy(date.alias("scored_on")).agg(F.count(F.lit(1)).alias("n"), F.concat_ws(",", F.slice(F.transform(listed, lambda x: x["name"]), 1, 5)).alias("top_names"))
+def scoring_dates(models: DataFrame, run_date: str, top: int = 5) -> DataFrame:
+    """Labels by the date they were scored: that of their price, but not before the run; of each date the ``top`` best by name."""
+    dated = models.withColumn("scored_on", F.greatest(F.coalesce("price_date", F.lit("")), F.lit(run_date)))
+    placed = dated.withColumn("_r", F.row_number().over(Window.partitionBy("scored_on").orderBy(F.desc("score"), "name")))
+    best = F.array_sort(F.collect_list(F.when(F.col("_r") <= top, F.struct("_r", "name"))))
+    return placed.groupBy("scored_on").agg(F.count(F.lit(1)).alias("n"), F.concat_ws(",", F.transform(best, lambda x: x["name"])).alias("top_names"))
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:

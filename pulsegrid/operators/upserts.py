@@ -49,3 +49,25 @@ def stuck_runs(runs: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
 def retained(rows: DataFrame, at: str, now: Column, days: int) -> DataFrame:
     """Rows not older than ``days``."""
     return rows.where(F.col(at) >= now - F.make_dt_interval(days=F.lit(days)))
+
+
+def replace_range(path: str, new: DataFrame, part: str) -> None:
+    """Write ``new`` to a table in place of the partitions that it has rows for; all other partitions stay."""
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+
+
+def export_csv(rows: DataFrame, path: str) -> None:
+    """Rows as CSV with a header; cells with commas, quotes or line ends are quoted, and quotes doubled."""
+    rows.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
+
+
+def checked(stored: DataFrame, seen: DataFrame, now: Column, url: str = "source_url") -> DataFrame:
+    """Mark every row of a URL as checked if any of its rows was looked at."""
+    marks = seen.select(url).distinct().withColumn("_hit", F.lit(True))
+    return stored.join(marks, url, "left").withColumn("checked_at", F.coalesce(F.when(F.col("_hit"), now), F.col("checked_at"))).drop("_hit")
+
+
+def named_values(rows: DataFrame, key: list[str], array: str, document: str, path: str) -> DataFrame:
+    """The distinct values of an array column and of a field in each object of a JSON array column, as sorted text."""
+    of = F.transform(F.from_json(document, "array<string>"), lambda x: F.get_json_object(x, path))
+    return rows.select(*key, F.array_sort(F.array_distinct(F.array_compact(F.concat(F.coalesce(array, F.array().cast("array<string>")), F.coalesce(of, F.array().cast("array<string>")))))).alias("found"))
