@@ -196,17 +196,18 @@ def origin_tokens(platform: Column, handle: Column, url: Column, quoted: Column)
     return F.array_distinct(F.when(F.size(found) == 0, F.array(F.concat(kind, F.lit(":url:"), F.coalesce(url, F.lit("unknown"))))).otherwise(found))
 
 
-def token_links(rows: DataFrame, scope: Column, tokens: Column) -> DataFrame:
-    """Distinct (a, b): a row's first token with each of its tokens, within a scope. Tables of links add up, so they can be stored."""
-    named = rows.select(F.transform(tokens, lambda t: F.concat_ws("|", scope, t)).alias("t")).where(F.size("t") > 0)
-    return named.select(F.col("t")[0].alias("a"), F.explode("t").alias("b")).distinct()
+def token_links(rows: DataFrame, tokens: Column, scope: list[str]) -> DataFrame:
+    """Distinct (scope columns, a, b): a row's first token with each of its tokens. Tables of links add up, so they can be stored."""
+    named = rows.select(*scope, tokens.alias("t")).where(F.size("t") > 0)
+    return named.select(*scope, F.col("t")[0].alias("a"), F.explode("t").alias("b")).distinct()
 
 
-def with_component(rows: DataFrame, scope: Column, tokens: Column, name: str, links: DataFrame | None = None) -> DataFrame:
+def with_component(rows: DataFrame, scope: list[str], tokens: Column, name: str) -> DataFrame:
     """Add the smallest token of the component that a row's tokens form with those of others in its scope."""
-    links = token_links(rows, scope, tokens) if links is None else links
-    roots = connected_components(links.where("a <> b"))
-    marked = rows.withColumn("_first", F.when(F.size(tokens) > 0, F.concat_ws("|", scope, F.get(tokens, F.lit(0)))))
+    of = lambda c: F.concat_ws("|", *scope, c)
+    links = token_links(rows, tokens, scope).where("a <> b")
+    roots = connected_components(links.select(of("a").alias("a"), of("b").alias("b")))
+    marked = rows.withColumn("_first", F.when(F.size(tokens) > 0, of(F.get(tokens, F.lit(0)))))
     return marked.join(roots, F.col("_first") == F.col("node"), "left").withColumn(name, F.coalesce("root", "_first")).drop("_first", "node", "root")
 
 
@@ -233,9 +234,9 @@ def cards(claims: DataFrame) -> DataFrame:
     A card's sources count by origin; of claims the one with the best evidence leads, then the newer one.
     """
     spoken = claims.withColumn("tokens", identity_tokens(F.col("family"), F.col("key"), F.col("canon_label"), F.col("canon_codename")))
-    grouped = with_component(spoken, F.col("family"), F.col("tokens"), "card")
+    grouped = with_component(spoken, ["family"], F.col("tokens"), "card")
     from_ = origin_tokens(F.col("platform"), F.col("handle"), F.col("url"), F.col("quoted"))
-    sourced = with_component(grouped.withColumn("sources", from_), F.col("card"), F.col("sources"), "origin")
+    sourced = with_component(grouped.withColumn("sources", from_), ["card"], F.col("sources"), "origin")
     rank = evidence_rank(F.col("quality"), F.col("evidence_kind"), F.lit(False))
     sort = F.greatest(rank, account_rank(F.col("quality"), F.col("verified"), F.col("followers"), handle_of(F.col("handle"), F.col("url"))))
     lead = F.max(F.struct(rank.alias("rank"), sort.alias("sort"), "posted_at", "id", "claim_type"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import text
+from pulsegrid.operators import canon
 from pulsegrid.operators.graph import connected_components
 
 #: Lifecycle claims by precedence, strongest first.
@@ -40,24 +41,44 @@ def precedence(claim_type: Column) -> Column:
     return out
 
 
+PRODUCT = ["family", "cluster_key"]
+
+
+def source_tokens() -> Column:
+    return canon.origin_tokens(F.col("platform"), F.col("handle"), F.col("url"), F.col("quoted"))
+
+
+def origin_links(claims: DataFrame) -> DataFrame:
+    """(family, cluster_key, a, b): by what the claims' sources belong together, within a product. Links of later claims are simply added."""
+    return canon.token_links(claims, source_tokens(), PRODUCT)
+
+
+def origin_counts(links: DataFrame) -> DataFrame:
+    """(family, cluster_key, mention_count): how many independent origins the links leave."""
+    named = lambda c: F.concat_ws("|", *PRODUCT, c)
+    roots = connected_components(links.where("a <> b").select(named("a").alias("a"), named("b").alias("b")))
+    ends = links.select(*PRODUCT, named("a").alias("node")).distinct().join(roots, "node", "left")
+    return ends.groupBy(*PRODUCT).agg(F.count_distinct(F.coalesce("root", "node")).alias("mention_count"))
+
+
 def accumulate(claims: DataFrame) -> DataFrame:
-    """One row for each product: distinct handles, platforms, lead claim, span, whether a source is credible."""
+    """One row for each product: independent origins (accounts, quoted posts and domains tie sources together), platforms, lead claim, span, credibility."""
     lead = F.min(F.struct(precedence(F.col("claim_type")).alias("p"), (-F.col("posted_at").cast("long")).alias("t"), "claim_type"))["claim_type"]
-    return claims.groupBy("family", "cluster_key").agg(
-        F.count_distinct("handle").alias("mention_count"), F.array_sort(F.collect_set("platform")).alias("platforms"), lead.alias("claim_type"),
+    rest = claims.groupBy(*PRODUCT).agg(
+        F.array_sort(F.collect_set("platform")).alias("platforms"), lead.alias("claim_type"),
         F.min("posted_at").alias("first_seen_at"), F.max("posted_at").alias("last_seen_at"), F.bool_or("credible").alias("has_credible_source"),
     )
+    return rest.join(origin_counts(origin_links(claims)), PRODUCT).select(*PRODUCT, "mention_count", *(c for c in rest.columns if c not in PRODUCT))
 
 
-def absorb(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Merge newly accumulated products into stored ones: counts add up (a handle in both counts twice), platforms unite, the stronger claim leads."""
-    n = new.select("family", "cluster_key", *(F.col(c).alias(f"n_{c}") for c in ("mention_count", "platforms", "claim_type", "first_seen_at", "last_seen_at", "has_credible_source")))
-    both = stored.join(n, ["family", "cluster_key"], "full_outer")
+def absorb(stored: DataFrame, new: DataFrame, links: DataFrame) -> DataFrame:
+    """Merge newly accumulated products into stored ones: origins are those of all ``links``, stored and new; platforms unite, the stronger claim leads."""
+    n = new.select(*PRODUCT, *(F.col(c).alias(f"n_{c}") for c in ("platforms", "claim_type", "first_seen_at", "last_seen_at", "has_credible_source")))
+    both = stored.drop("mention_count").join(n, PRODUCT, "full_outer").join(origin_counts(links), PRODUCT, "left")
     empty = F.array().cast("array<string>")
     stronger = precedence(F.col("n_claim_type")) <= precedence(F.col("claim_type"))
     return both.select(
-        "family", "cluster_key",
-        (F.coalesce("mention_count", F.lit(0)) + F.coalesce("n_mention_count", F.lit(0))).alias("mention_count"),
+        *PRODUCT, F.coalesce("mention_count", F.lit(0)).alias("mention_count"),
         F.array_sort(F.array_union(F.coalesce("platforms", empty), F.coalesce("n_platforms", empty))).alias("platforms"),
         F.when(F.col("claim_type").isNull() | (F.col("n_claim_type").isNotNull() & stronger), F.col("n_claim_type")).otherwise(F.col("claim_type")).alias("claim_type"),
         F.least("first_seen_at", "n_first_seen_at").alias("first_seen_at"), F.greatest("last_seen_at", "n_last_seen_at").alias("last_seen_at"),
@@ -66,8 +87,8 @@ def absorb(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def board(products: DataFrame, now: Column, days: int, limit: int = 100) -> DataFrame:
-    """Products with enough evidence, seen lately: the most credible and most widely reported first."""
-    open_ = ((F.col("mention_count") >= 2) | F.col("has_credible_source")) & (F.col("last_seen_at") >= now - F.make_dt_interval(days=F.lit(days)))
+    """Products with enough evidence, seen lately and not known to be released (``is_released`` null or false): the most credible and most widely reported first."""
+    open_ = ~F.coalesce("is_released", F.lit(False)) & ((F.col("mention_count") >= 2) | F.col("has_credible_source")) & (F.col("last_seen_at") >= now - F.make_dt_interval(days=F.lit(days)))
     return products.where(open_).orderBy(F.desc("has_credible_source"), F.desc(F.size("platforms")), F.desc("mention_count"), F.desc("last_seen_at"), "family", "cluster_key").limit(limit)
 
 
@@ -100,3 +121,35 @@ def eta(said: Column, seen: Column) -> Column:
         .when(low.contains("next month"), F.add_months(F.to_date(F.date_trunc("month", seen)), 1))
         .when(low.contains("this month"), F.to_date(F.date_trunc("month", seen)))
     )
+
+
+def eta_label(said: Column, seen: Column) -> Column:
+    """A time that a text gives, in words: a week, a last day, part of a month, a month, a quarter or a day, counted from when it was seen."""
+    raw = F.nullif(F.trim(F.regexp_replace(said, r"\s+", " ")), F.lit(""))
+    low, seen = F.lower(raw), F.to_date(seen)
+    names = "(" + "|".join(f"{m}|{m[:3]}" for m in MONTHS) + ")"
+    part = lambda pattern, i: F.regexp_extract(low, pattern, i)
+    number = lambda name: F.nullif(F.array_position(F.array(*(F.lit(m[:3]) for m in MONTHS)), F.substring(name, 1, 3)), F.lit(0)).cast("int")
+    year = lambda n, given: F.coalesce(F.nullif(given, F.lit("")).cast("int"), F.when(n < F.month(seen), F.year(seen) + 1).otherwise(F.year(seen)))
+    day_of = lambda d: F.concat(F.date_format(d, "MMM "), F.dayofmonth(d), F.lit(", "), F.year(d))
+    month_of = lambda d: F.date_format(d, "MMMM yyyy")
+    full = rf"\b{names}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:,?\s*(\d{{4}}))?"
+    n = number(part(full, 1))
+    day = F.date_add(F.make_date(year(n, part(full, 3)), n, F.lit(1)), F.nullif(part(full, 2), F.lit("")).cast("int") - 1)
+    some, only, quarter = rf"\b(early|mid|late)[-\s]+{names}\b", rf"\b(in|into|during|through)\s+{names}\b", r"\bq([1-4])(?:\s*(\d{4}))?\b"
+    first = lambda name: F.make_date(year(number(name), F.lit("")), number(name), F.lit(1))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, "^~+", ""), r"(?i)^(?:new\s+)?target(?:\s+is)?\s+", ""), r"(?i)^expected\s+", ""))
+    week = lambda d: F.to_date(F.date_trunc("week", d))
+    return (
+        F.when(low.contains("week of") & day.isNotNull(), F.concat(F.lit("Week of "), day_of(day)))
+        .when(low.rlike(r"\bby\b") & day.isNotNull(), F.concat(F.lit("By "), day_of(day)))
+        .when(part(some, 1) != "", F.concat(F.initcap(part(some, 1)), F.lit("-"), month_of(first(part(some, 2)))))
+        .when(part(only, 2) != "", month_of(first(part(only, 2))))
+        .when(part(quarter, 1) != "", F.concat(F.lit("Q"), part(quarter, 1), F.lit(" "), F.coalesce(F.nullif(part(quarter, 2), F.lit("")), F.year(seen).cast("string"))))
+        .when(low.contains("next week"), F.concat(F.when(low.contains("as early as"), "As early as the week of ").otherwise("Week of "), day_of(week(F.date_add(seen, 7)))))
+        .when(low.contains("this week"), F.concat(F.lit("Week of "), day_of(week(seen))))
+        .when(low.contains("next month"), month_of(F.add_months(F.date_trunc("month", seen), 1)))
+        .when(low.contains("this month"), month_of(seen))
+        .when(day.isNotNull(), day_of(day))
+        .otherwise(F.when(plain == "", raw).otherwise(F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, 2, 1000))))
+    )

@@ -153,7 +153,7 @@ def valid(spark: SparkSession, folder: str) -> DataFrame:
 def origin_components(spark: SparkSession, folder: str) -> DataFrame:
     """How many independent origins each model of a family has."""
     rows = valid(spark, folder).withColumn("sources", canon.origin_tokens(F.col("platform"), F.col("handle"), F.col("url"), F.col("quoted")))
-    found = canon.with_component(rows, F.concat_ws(":", "family", "key"), F.col("sources"), "origin")
+    found = canon.with_component(rows, ["family", "key"], F.col("sources"), "origin")
     return found.groupBy("family", "key").agg(F.count(F.lit(1)).alias("n_claims"), F.count_distinct("origin").alias("n_origins"))
 
 
@@ -205,6 +205,27 @@ def claim_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return claims(spark, folder).select("id", canon.claim_kind(said).alias("kind"), canon.is_speculation(F.col("claim_mode"), F.col("text")).alias("speculative"))
 
 
+def eta_said(spark: SparkSession, folder: str) -> DataFrame:
+    """When claims expect their model, in words as exact as they allow, from the day they were made."""
+    return claims(spark, folder).select("id", "eta_text", "posted_at", rumors.eta_label(F.col("eta_text"), F.col("posted_at")).alias("eta"))
+
+
+_DAY = lambda x: f"strftime({x}, '%b ') || day({x}) || ', ' || year({x})"
+_MONTH = lambda x: f"strftime({x}, '%B %Y')"
+_M = "(" + "|".join(f"{m}|{m[:3]}" for m in rumors.MONTHS) + ")"
+_NUMBER = lambda x: "CASE " + " ".join(f"WHEN starts_with({x}, '{m[:3]}') THEN {i + 1}" for i, m in enumerate(rumors.MONTHS)) + " END"
+_YEAR = lambda m, y: f"coalesce(nullif({y}, '')::INTEGER, CASE WHEN {m} < month(r) THEN year(r) + 1 ELSE year(r) END)"
+_FULL = rf"\b{_M}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:,?\s*(\d{{4}}))?"
+ETA_SQL = rf"""WITH {CLAIMS_SQL}, e AS (SELECT id, eta_text, posted_at, posted_at::DATE AS r, trim(regexp_replace(eta_text, '\s+', ' ', 'g')) AS raw, lower(trim(regexp_replace(eta_text, '\s+', ' ', 'g'))) AS s FROM claims),
+p AS (SELECT *, regexp_extract(s, '{_FULL}', 1) AS dm, regexp_extract(s, '{_FULL}', 2) AS dd, regexp_extract(s, '{_FULL}', 3) AS dy, regexp_extract(s, '\b(early|mid|late)[-\s]+{_M}\b', 1) AS ww, regexp_extract(s, '\b(early|mid|late)[-\s]+{_M}\b', 2) AS wm,
+  regexp_extract(s, '\b(in|into|during|through)\s+{_M}\b', 2) AS om, regexp_extract(s, '\bq([1-4])(?:\s*(\d{{4}}))?\b', 1) AS q, regexp_extract(s, '\bq([1-4])(?:\s*(\d{{4}}))?\b', 2) AS qy FROM e),
+m AS (SELECT *, {_NUMBER('dm')} AS dn, {_NUMBER('wm')} AS wn, {_NUMBER('om')} AS onn FROM p),
+x AS (SELECT *, CASE WHEN dm <> '' THEN make_date({_YEAR('dn', 'dy')}, dn, 1) + (dd::INTEGER - 1) END AS d FROM m)
+SELECT id, eta_text, posted_at, CASE WHEN raw IS NULL OR raw = '' THEN NULL WHEN contains(s, 'week of') AND d IS NOT NULL THEN 'Week of ' || {_DAY('d')} WHEN regexp_matches(s, '\bby\b') AND d IS NOT NULL THEN 'By ' || {_DAY('d')}
+  WHEN ww <> '' THEN upper(ww[1]) || ww[2:] || '-' || {_MONTH(f"make_date({_YEAR('wn', chr(39) * 2)}, wn, 1)")} WHEN om <> '' THEN {_MONTH(f"make_date({_YEAR('onn', chr(39) * 2)}, onn, 1)")} WHEN q <> '' THEN 'Q' || q || ' ' || coalesce(nullif(qy, ''), year(r)::VARCHAR)
+  WHEN contains(s, 'next week') THEN CASE WHEN contains(s, 'as early as') THEN 'As early as the week of ' ELSE 'Week of ' END || {_DAY("date_trunc('week', r + 7)")} WHEN contains(s, 'this week') THEN 'Week of ' || {_DAY("date_trunc('week', r)")}
+  WHEN contains(s, 'next month') THEN {_MONTH("(date_trunc('month', r) + INTERVAL 1 MONTH)")} WHEN contains(s, 'this month') THEN {_MONTH('r')} WHEN d IS NOT NULL THEN {_DAY('d')}
+  ELSE (SELECT CASE WHEN t = '' THEN raw ELSE upper(t[1]) || t[2:] END FROM (SELECT trim(regexp_replace(regexp_replace(regexp_replace(raw, '^~+', ''), '(?i)^(?:new\s+)?target(?:\s+is)?\s+', ''), '(?i)^expected\s+', '')) AS t)) END AS eta FROM x"""
 _KIND = "CASE " + " ".join(f"WHEN {text.has_sql('s', p)} THEN '{k}'" for k, p in lex.CLAIM_KINDS) + " END"
 _C = f"WITH RECURSIVE {CANON_SQL}, {SOURCE_SQL}, {VALID_SQL} "
 QUERIES = {
@@ -216,11 +237,13 @@ QUERIES = {
     "released_tokens": released_tokens,
     "release_keys": release_keys,
     "claim_kinds": claim_kinds,
+    "eta_said": eta_said,
 }
 _ID = "CASE WHEN id % 3 = 0 THEN 'models/' ELSE '' END || lower(replace(coalesce(label, 'gpt-4o'), ' ', '-')) || CASE id % 4 WHEN 1 THEN '-20251001' WHEN 2 THEN '-preview' ELSE '' END"
 _FULL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(model_id, '^models/', ''), '[-@][0-9]{6,8}$', ''), '-(latest|preview|exp|experimental|thinking)$', ''), '[^a-z0-9]', '', 'g')"
 _STEMMED = ", ".join(f"CASE WHEN starts_with(s, '{x}') AND length(s) > {len(x) + 2} THEN s[{len(x) + 1}:] END" for x in ("claude", "gpt", "gemini", "grok"))
 ORACLE = {
+    "eta_said": ETA_SQL,
     "canonical_keys": f"WITH {CANON_SQL} SELECT id, key, canon_label, canon_codename, array_to_string({split_sql('label')}, '|') AS parts FROM canon",
     "source_identity": f"WITH {CANON_SQL}, {SOURCE_SQL} SELECT id, quality, account, array_to_string(tokens, ' ') AS tokens FROM tokened",
     "claim_validation": _C + "SELECT id, rejected FROM judged",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import text
 from pulsegrid.operators import leaderboard, rumors, series
+from pulsegrid.plans.claims import components_sql
 from pulsegrid.plans.views import pick, posts, read, with_posts
 
 PLATFORMS = ["twitter", "reddit", "bluesky", "web", "github"]
@@ -33,8 +34,11 @@ reach AS (SELECT family, label, label AS other FROM ids UNION SELECT r.family, r
 keyed AS (SELECT family, label, arg_min(other, (length(other), other)) AS cluster_key FROM reach GROUP BY family, label),
 clustered AS (SELECT c.*, k.cluster_key FROM claims c JOIN keyed k USING (family, label)),
 fresh AS (SELECT * FROM clustered c WHERE NOT EXISTS (SELECT 1 FROM clustered d WHERE d.family = c.family AND d.cluster_key = c.cluster_key AND d.url = c.quoted)),
-products AS (SELECT family, cluster_key, count(DISTINCT handle) AS mention_count, list_sort(list(DISTINCT platform)) AS pl, arg_min(claim_type, (list_position({str(rumors.PRECEDENCE)}, claim_type), -epoch(posted_at))) AS claim_type,
-  min(posted_at) AS first_seen_at, max(posted_at) AS last_seen_at, bool_or(credible) AS has_credible_source FROM fresh GROUP BY family, cluster_key)"""
+spoken AS (SELECT *, family || '|' || cluster_key AS scope_key, list_filter([platform || ':account:' || handle, platform || ':post:' || quoted], lambda t: t IS NOT NULL) AS tokens FROM fresh), {components_sql('spoken', 'scope_key', 'tokens', 'origin')},
+rooted AS (SELECT s.*, o.root FROM spoken s JOIN origin o ON o.scope = s.scope_key AND o.n = s.tokens[1]),
+products AS (SELECT family, cluster_key, count(DISTINCT root) AS mention_count, list_sort(list(DISTINCT platform)) AS pl, arg_min(claim_type, (list_position({str(rumors.PRECEDENCE)}, claim_type), -epoch(posted_at))) AS claim_type,
+  min(posted_at) AS first_seen_at, max(posted_at) AS last_seen_at, bool_or(credible) AS has_credible_source FROM rooted GROUP BY family, cluster_key)"""
+EVERY_SQL = CLAIMS_SQL.replace("AS tokens FROM fresh)", "AS tokens FROM clustered)")
 
 
 def clustered(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,11 +65,14 @@ def rumor_absorb(spark: SparkSession, folder: str) -> DataFrame:
     """Products of earlier claims, then later ones merged in."""
     c = clustered(spark, folder)
     early = F.col("posted_at") < F.lit("1996-01-01").cast("timestamp")
-    return flat(rumors.absorb(rumors.accumulate(c.where(early)), rumors.accumulate(c.where(~early))))
+    links = rumors.origin_links(c.where(early)).union(rumors.origin_links(c.where(~early))).distinct()
+    return flat(rumors.absorb(rumors.accumulate(c.where(early)), rumors.accumulate(c.where(~early)), links))
 
 
 def rumor_board(spark: SparkSession, folder: str) -> DataFrame:
+    """Products not known to be released; of some it isn't known."""
     products = rumors.accumulate(rumors.without_echoes(clustered(spark, folder)))
+    products = products.withColumn("is_released", F.when(F.col("cluster_key").endswith("7"), True).when(~F.col("cluster_key").endswith("3"), False))
     return flat(rumors.board(products, F.lit(LAST).cast("timestamp"), 21)).select("family", "cluster_key", "mention_count", "platforms", "claim_type")
 
 
@@ -170,8 +177,8 @@ ORACLE = {
     "cluster_products": _C + "SELECT id, family, cluster_key FROM clustered",
     "quote_echo_collapse": _C + "SELECT id, cluster_key FROM fresh",
     "rumor_accumulate": _C + f"SELECT * EXCLUDE (pl), {_PL} FROM products",
-    "rumor_absorb": _C + f"SELECT family, cluster_key, (count(DISTINCT handle) FILTER (WHERE e) + count(DISTINCT handle) FILTER (WHERE NOT e)) AS mention_count, array_to_string(list_sort(list(DISTINCT platform)), ',') AS platforms, arg_min(claim_type, list_position({rumors.PRECEDENCE}, claim_type)) AS claim_type, min(posted_at) AS first_seen_at, max(posted_at) AS last_seen_at, bool_or(credible) AS has_credible_source FROM (SELECT *, posted_at < TIMESTAMP '1996-01-01' AS e FROM clustered) GROUP BY family, cluster_key",
-    "rumor_board": _C + f"SELECT family, cluster_key, mention_count, {_PL}, claim_type FROM products WHERE (mention_count >= 2 OR has_credible_source) AND last_seen_at >= TIMESTAMP '{LAST}' - INTERVAL 21 DAY ORDER BY has_credible_source DESC, len(pl) DESC, mention_count DESC, last_seen_at DESC, family, cluster_key LIMIT 100",
+    "rumor_absorb": f"WITH RECURSIVE {EVERY_SQL} SELECT family, cluster_key, count(DISTINCT root) AS mention_count, array_to_string(list_sort(list(DISTINCT platform)), ',') AS platforms, arg_min(claim_type, list_position({rumors.PRECEDENCE}, claim_type)) AS claim_type, min(posted_at) AS first_seen_at, max(posted_at) AS last_seen_at, bool_or(credible) AS has_credible_source FROM rooted GROUP BY family, cluster_key",
+    "rumor_board": _C + f"SELECT family, cluster_key, mention_count, {_PL}, claim_type FROM products WHERE (mention_count >= 2 OR has_credible_source) AND last_seen_at >= TIMESTAMP '{LAST}' - INTERVAL 21 DAY AND NOT ends_with(cluster_key, '7') ORDER BY has_credible_source DESC, len(pl) DESC, mention_count DESC, last_seen_at DESC, family, cluster_key LIMIT 100",
     "rumor_sources": _C + "SELECT family, cluster_key, string_agg(url, ',' ORDER BY posted_at DESC, url) AS sources FROM (SELECT family, cluster_key, url, max(posted_at) AS posted_at FROM clustered GROUP BY family, cluster_key, url QUALIFY row_number() OVER (PARTITION BY family, cluster_key ORDER BY max(posted_at) DESC, url) <= 4) GROUP BY family, cluster_key",
     "rumor_candidates": with_posts("SELECT id, source_url, posted_at FROM (SELECT * FROM (SELECT * FROM posts WHERE regexp_matches(title, 'purchase|signup') ORDER BY posted_at DESC, id DESC LIMIT 1000) QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY posted_at DESC, id DESC) = 1) ORDER BY posted_at DESC, id DESC LIMIT 200"),
     "eta_normalize": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}', {repr(e) if e else 'NULL'})" for i, s, e in ETAS) + ") v(id, said, eta)",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.plans.views import SOURCES, pick, read, with_posts
-from pulsegrid.shared import shared_dir
+from pulsegrid.shared import tables_dir
 from pulsegrid.streaming import posts as stream
 
 
@@ -22,11 +22,11 @@ def arriving(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/pulsegrid-{name}-{uuid.uuid4().hex}"
+    return f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stream_hourly_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return stream.run_available(stream.hourly_counts(arriving(spark, folder)), fresh(spark, "stream-hours"), "complete")
+    return stream.run_available(stream.hourly_counts(arriving(spark, folder)), fresh(spark, "stream-hours"), ["hour", "source"])
 
 
 def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:

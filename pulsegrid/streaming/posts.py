@@ -30,15 +30,20 @@ def first_of_each(posts: DataFrame, key: list[str], lateness: str = LATENESS) ->
     return posts.withWatermark("posted_at", lateness).dropDuplicatesWithinWatermark(key)
 
 
-def run_available(rows: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+def run_available(rows: DataFrame, folder: str, key: list[str] | None = None) -> DataFrame:
     """Write all that has arrived to ``folder`` as Parquet with its checkpoint beside it; the batch table written so far.
 
-    Complete and update mode have no Parquet sink; there each batch replaces the table (complete only).
+    Without a key rows are appended. With one, rows may change until the watermark has passed them: each micro-batch writes those that did to
+    a folder of its own, again if it is repeated, and of a key the row of the latest batch counts.
     """
     writer = rows.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
-    if mode == "complete":
-        query = writer.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/table")).start()
+    if key:
+        query = writer.outputMode("update").foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/table/batch={i}")).start()
     else:
         query = writer.outputMode("append").format("parquet").option("path", f"{folder}/table").start()
     query.awaitTermination()
-    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/table")
+    if not key:
+        return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/table")
+    rest = [c for c in rows.columns if c not in key]
+    written = rows.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, batch long").parquet(f"{folder}/table")
+    return written.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*key, *(f"x.{c}" for c in rest))
