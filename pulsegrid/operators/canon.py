@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import lexicons as lex
 from pulsegrid.functions import text
 from pulsegrid.operators.graph import connected_components
+from pulsegrid.shared import cut
 
 SEPARATOR = r"(?i)\s*(?:/|\bor\b|\baka\b|,|&)\s*"
 GENERATION = r"(?i)^(?:(?:chatgpt|gpt)[\s-]*)?(?:v\s*)?(\d+(?:[.,]\d+)*)(.*)$"
@@ -33,13 +34,21 @@ def version_key(label: Column, codename: Column) -> Column:
     return F.when(F.length(key) >= 2, key)
 
 
-def split_label(label: Column) -> Column:
-    """The versions that a compound label names; a number after the last one holds for those without digits too."""
-    raw = F.coalesce(F.trim(label), F.lit(""))
-    parts = F.filter(F.transform(F.split(raw, lex.java(SEPARATOR)), F.trim), lambda p: p != "")
+def label_parts(label: Column) -> Column:
+    """The parts of a compound label as they are written."""
+    return F.filter(F.transform(F.split(F.coalesce(F.trim(label), F.lit("")), lex.java(SEPARATOR)), F.trim), lambda p: p != "")
+
+
+def numbered_parts(label: Column, parts: Column) -> Column:
+    """A number after the last of several parts holds for those without digits too."""
     last = F.regexp_extract(F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("")), r"\s(\d+(?:\.\d+)?)$", 1)
-    several = F.when(last == "", parts).otherwise(F.transform(parts, lambda p: F.when(p.rlike(r"\d"), p).otherwise(F.concat(p, F.lit(" "), last))))
-    return F.when(raw == "", F.array().cast("array<string>")).when(F.size(parts) <= 1, F.array(raw)).otherwise(several)
+    several = F.transform(parts, lambda p: F.when((last == "") | p.rlike(r"\d"), p).otherwise(F.concat(p, F.lit(" "), last)))
+    return F.when(F.size(parts) > 1, several).when(F.trim(label) != "", F.array(F.trim(label))).otherwise(F.array().cast("array<string>"))
+
+
+def split_label(label: Column) -> Column:
+    """The versions that a compound label names."""
+    return numbered_parts(label, label_parts(label))
 
 
 def catalogue(spark: SparkSession, versions: list[tuple] = lex.VERSIONS) -> DataFrame:
@@ -52,27 +61,27 @@ def catalogue(spark: SparkSession, versions: list[tuple] = lex.VERSIONS) -> Data
 
 
 def canonical(claims: DataFrame, known: DataFrame) -> DataFrame:
-    """Add key, canon_label, canon_codename, own and released to claims (family, label, codename).
+    """Add key, canon_label, canon_codename, own, released, label_parts and code_parts to claims (family, label, codename).
 
     The first part of label or codename that is a known spelling decides; else a numbered generation, whose suffix may only repeat
-    codenames; else the squashed label or codename itself.
+    codenames; else the squashed label or codename itself. Each step is a projection of its own, so that none is computed twice.
     """
-    rows = claims.join(known, "family", "left")
-    parts = F.concat(split_label(F.col("label")), split_label(F.col("codename")))
-    hits = F.filter(F.transform(parts, lambda p: F.try_element_at("spellings", text.squash(p))), lambda x: x.isNotNull())
-    hit = F.try_element_at(hits, F.lit(1))
-    label, code = cleaned(F.col("label")), cleaned(F.col("codename"))
-    number = F.replace(F.regexp_extract(F.coalesce(label, F.lit("")), GENERATION, 1), F.lit(","), F.lit("."))
-    suffix = cleaned(F.regexp_replace(F.regexp_extract(F.coalesce(label, F.lit("")), GENERATION, 2), STRIP, ""))
-    of = lambda c: F.filter(F.transform(split_label(c), text.squash), lambda p: p != "")
-    repeats = suffix.isNull() | (code.isNotNull() & (F.size(of(suffix)) > 0) & (F.size(F.array_except(of(suffix), of(code))) == 0))
-    numbered = (F.col("family") == "chatgpt") & (number != "") & repeats
-    choose = lambda a, b, c: F.when(hit.isNotNull(), a).when(numbered, b).otherwise(c)
+    given = F.coalesce(F.trim("label"), F.lit(""))
+    rows = claims.join(known, "family", "left").select("*", label_parts(F.col("label")).alias("_l"), label_parts(F.col("codename")).alias("_c"), cleaned(F.col("label")).alias("_label"), cleaned(F.col("codename")).alias("_code"),
+        F.replace(F.regexp_extract(given, GENERATION, 1), F.lit(","), F.lit(".")).alias("_number"), cleaned(F.regexp_replace(F.regexp_extract(given, GENERATION, 2), STRIP, "")).alias("_suffix"))
+    rows = rows.select("*", numbered_parts(F.col("label"), F.col("_l")).alias("label_parts"), numbered_parts(F.col("codename"), F.col("_c")).alias("code_parts"), label_parts(F.col("_suffix")).alias("_s"))
+    full = lambda parts: F.filter(F.transform(parts, text.squash), lambda p: p != "")
+    hits = F.filter(F.transform(F.concat("label_parts", "code_parts"), lambda p: F.try_element_at("spellings", text.squash(p))), lambda x: x.isNotNull())
+    rows = rows.select("*", F.try_element_at(hits, F.lit(1)).alias("_hit"), full(numbered_parts(F.col("_suffix"), F.col("_s"))).alias("_said"), full(F.col("code_parts")).alias("_known"))
+    repeats = F.col("_suffix").isNull() | (F.col("_code").isNotNull() & (F.size("_said") > 0) & (F.size(F.array_except("_said", "_known")) == 0))
+    rows = rows.withColumn("_numbered", (F.col("family") == "chatgpt") & (F.col("_number") != "") & repeats)
+    choose = lambda a, b, c: F.when(F.col("_hit").isNotNull(), a).when(F.col("_numbered"), b).otherwise(c)
+    hit, none = F.col("_hit"), F.array().cast("array<string>")
     return rows.select(
         *claims.columns,
-        choose(hit["key"], F.concat(F.lit("gpt"), F.regexp_replace(number, "[^0-9]", "")), version_key(F.col("label"), F.col("codename"))).alias("key"),
-        choose(hit["label"], F.concat(F.lit("GPT-"), number), label).alias("canon_label"), choose(hit["codename"], code, code).alias("canon_codename"),
-        F.coalesce("own", F.array().cast("array<string>")).alias("own"), F.coalesce("released", F.array().cast("array<string>")).alias("released"),
+        choose(hit["key"], F.concat(F.lit("gpt"), F.regexp_replace("_number", "[^0-9]", "")), version_key(F.col("label"), F.col("codename"))).alias("key"),
+        choose(hit["label"], F.concat(F.lit("GPT-"), "_number"), F.col("_label")).alias("canon_label"), choose(hit["codename"], F.col("_code"), F.col("_code")).alias("canon_codename"),
+        F.coalesce("own", none).alias("own"), F.coalesce("released", none).alias("released"), "label_parts", "code_parts",
     )
 
 
@@ -100,12 +109,11 @@ def is_released(key: Column, label: Column, codename: Column, released: Column)
     return found
 
 
-def scoped_text(body: Column, label: Column, codename: Column) -> Column:
+def scoped_text(body: Column, label_parts: Column, code_parts: Column) -> Column:
     """The sentences that speak of the claim's model; the whole text if none does."""
-    names = F.filter(F.transform(F.concat(split_label(label), split_label(codename)), text.squash), lambda x: F.length(x) >= 2)
+    names = F.filter(F.transform(F.concat(label_parts, code_parts), text.squash), lambda x: F.length(x) >= 2)
     chunks = F.filter(F.transform(F.split(F.regexp_replace(body, r"([.!?])\s+", "$1\n"), r"\n+"), F.trim), lambda x: x != "")
-    said = F.array_join(F.filter(chunks, lambda x: F.exists(names, lambda n: F.contains(text.squash(x), n))), " ")
-    return F.when(said == "", body).otherwise(said)
+    return F.coalesce(F.nullif(F.array_join(F.filter(chunks, lambda x: F.exists(names, lambda n: F.contains(text.squash(x), n))), " "), F.lit("")), body)
 
 
 def is_speculation(mode: Column, body: Column) -> Column:
@@ -120,9 +128,9 @@ def is_vetted(quality: Column, mode: Column, evidence: Column) -> Column:
 def rejection(claims: DataFrame, known: DataFrame) -> DataFrame:
     """Add ``rejected``, the first rule that a claim breaks or null, to claims with text, quality, claim_mode, evidence_kind, confidence, is_rumor, is_unreleased."""
     rows = canonical(claims, known)
-    label, code, mode = F.col("label"), F.col("codename"), F.col("claim_mode")
-    guess = mode.isNull() & ~is_vetted(F.col("quality"), mode, F.col("evidence_kind")) & text.any_of(scoped_text(F.col("text"), label, code), lex.SPECULATION)
-    name = squashed(label)
+    rows = rows.select("*", scoped_text(F.col("text"), F.col("label_parts"), F.col("code_parts")).alias("_scoped"), squashed(F.col("label")).alias("_name"), text.squash(F.col("text")).alias("_text"))
+    label, code, mode, name = F.col("label"), F.col("codename"), F.col("claim_mode"), F.col("_name")
+    guess = mode.isNull() & ~is_vetted(F.col("quality"), mode, F.col("evidence_kind")) & text.any_of(F.col("_scoped"), lex.SPECULATION)
     why = (
         F.when(~F.coalesce("is_rumor", F.lit(False)), "no rumour")
         .when(~F.coalesce("is_unreleased", F.lit(False)), "said to be released")
@@ -130,12 +138,12 @@ def rejection(claims: DataFrame, known: DataFrame) -> DataFrame:
         .when((mode == "speculation") | guess, "speculation")
         .when((mode == "inference") & (F.coalesce("evidence_kind", F.lit("none")) == "none"), "inference without evidence")
         .when(F.col("confidence") < LEAST_CONFIDENCE, "low confidence")
-        .when((F.length(name) >= 2) & ~F.contains(text.squash(F.col("text")), name), "label not in text")
+        .when((F.length(name) >= 2) & ~F.contains(F.col("_text"), name), "label not in text")
         .when(is_foreign(F.col("family"), label, code, F.col("own")), "foreign model")
         .when(F.col("key").isNull(), "no identity")
         .when(is_released(F.col("key"), F.col("canon_label"), F.col("canon_codename"), F.col("released")), "released")
     )
-    return rows.withColumn("rejected", why).drop("own", "released")
+    return rows.withColumn("rejected", why).drop("own", "released", "label_parts", "code_parts", "_scoped", "_name", "_text")
 
 
 def claim_kind(body: Column) -> Column:
@@ -233,10 +241,10 @@ def cards(claims: DataFrame) -> DataFrame:
 
     A card's sources count by origin; of claims the one with the best evidence leads, then the newer one.
     """
-    spoken = claims.withColumn("tokens", identity_tokens(F.col("family"), F.col("key"), F.col("canon_label"), F.col("canon_codename")))
-    grouped = with_component(spoken, ["family"], F.col("tokens"), "card")
     from_ = origin_tokens(F.col("platform"), F.col("handle"), F.col("url"), F.col("quoted"))
-    sourced = with_component(grouped.withColumn("sources", from_), ["card"], F.col("sources"), "origin")
+    spoken = claims.withColumn("tokens", identity_tokens(F.col("family"), F.col("key"), F.col("canon_label"), F.col("canon_codename"))).withColumn("sources", from_)
+    grouped = cut(with_component(cut(spoken, "claims"), ["family"], F.col("tokens"), "card"), "carded")
+    sourced = with_component(grouped, ["card"], F.col("sources"), "origin")
     rank = evidence_rank(F.col("quality"), F.col("evidence_kind"), F.lit(False))
     sort = F.greatest(rank, account_rank(F.col("quality"), F.col("verified"), F.col("followers"), handle_of(F.col("handle"), F.col("url"))))
     lead = F.max(F.struct(rank.alias("rank"), sort.alias("sort"), "posted_at", "id", "claim_type"))

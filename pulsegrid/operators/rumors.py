@@ -123,33 +123,41 @@ def eta(said: Column, seen: Column) -> Column:
     )
 
 
-def eta_label(said: Column, seen: Column) -> Column:
-    """A time that a text gives, in words: a week, a last day, part of a month, a month, a quarter or a day, counted from when it was seen."""
-    raw = F.nullif(F.trim(F.regexp_replace(said, r"\s+", " ")), F.lit(""))
-    low, seen = F.lower(raw), F.to_date(seen)
+def with_eta(rows: DataFrame, said: str, seen: str) -> DataFrame:
+    """Add ``eta``, a time that a text gives, in words: a week, a last day, part of a month, a month, a quarter or a day, counted from when it was seen."""
     names = "(" + "|".join(f"{m}|{m[:3]}" for m in MONTHS) + ")"
-    part = lambda pattern, i: F.regexp_extract(low, pattern, i)
+    full = rf"\b{names}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:,?\s*(\d{{4}}))?"
+    some, only, quarter = rf"\b(early|mid|late)[-\s]+{names}\b", rf"\b(in|into|during|through)\s+{names}\b", r"\bq([1-4])(?:\s*(\d{4}))?\b"
+    raw = F.nullif(F.trim(F.regexp_replace(said, r"\s+", " ")), F.lit(""))
+    low, on = F.col("_low"), F.col("_on")
+    part = lambda pattern, i: F.nullif(F.regexp_extract(low, pattern, i), F.lit(""))
     number = lambda name: F.nullif(F.array_position(F.array(*(F.lit(m[:3]) for m in MONTHS)), F.substring(name, 1, 3)), F.lit(0)).cast("int")
-    year = lambda n, given: F.coalesce(F.nullif(given, F.lit("")).cast("int"), F.when(n < F.month(seen), F.year(seen) + 1).otherwise(F.year(seen)))
+    out = rows.select("*", raw.alias("_raw"), F.lower(raw).alias("_low"), F.to_date(seen).alias("_on"))
+    out = out.select(
+        "*", number(part(full, 1)).alias("_m"), part(full, 2).cast("int").alias("_d"), part(full, 3).cast("int").alias("_y"), part(some, 1).alias("_part"), number(part(some, 2)).alias("_pm"),
+        number(part(only, 2)).alias("_om"), part(quarter, 1).alias("_q"), F.coalesce(part(quarter, 2), F.year(on).cast("string")).alias("_qy"),
+    )
+    # a month without a year that has gone by is next year's
+    first = lambda m, y: F.make_date(F.coalesce(y, F.year(on) + (F.col(m) < F.month(on)).cast("int")), F.col(m), F.lit(1))
+    none = F.lit(None).cast("int")
+    out = out.select("*", F.date_add(first("_m", F.col("_y")), F.col("_d") - 1).alias("_day"), first("_pm", none).alias("_pday"), first("_om", none).alias("_oday"))
     day_of = lambda d: F.concat(F.date_format(d, "MMM "), F.dayofmonth(d), F.lit(", "), F.year(d))
     month_of = lambda d: F.date_format(d, "MMMM yyyy")
-    full = rf"\b{names}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:,?\s*(\d{{4}}))?"
-    n = number(part(full, 1))
-    day = F.date_add(F.make_date(year(n, part(full, 3)), n, F.lit(1)), F.nullif(part(full, 2), F.lit("")).cast("int") - 1)
-    some, only, quarter = rf"\b(early|mid|late)[-\s]+{names}\b", rf"\b(in|into|during|through)\s+{names}\b", r"\bq([1-4])(?:\s*(\d{4}))?\b"
-    first = lambda name: F.make_date(year(number(name), F.lit("")), number(name), F.lit(1))
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, "^~+", ""), r"(?i)^(?:new\s+)?target(?:\s+is)?\s+", ""), r"(?i)^expected\s+", ""))
     week = lambda d: F.to_date(F.date_trunc("week", d))
-    return (
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("_raw", "^~+", ""), r"(?i)^(?:new\s+)?target(?:\s+is)?\s+", ""), r"(?i)^expected\s+", ""))
+    day = F.col("_day")
+    label = (
         F.when(low.contains("week of") & day.isNotNull(), F.concat(F.lit("Week of "), day_of(day)))
         .when(low.rlike(r"\bby\b") & day.isNotNull(), F.concat(F.lit("By "), day_of(day)))
-        .when(part(some, 1) != "", F.concat(F.initcap(part(some, 1)), F.lit("-"), month_of(first(part(some, 2)))))
-        .when(part(only, 2) != "", month_of(first(part(only, 2))))
-        .when(part(quarter, 1) != "", F.concat(F.lit("Q"), part(quarter, 1), F.lit(" "), F.coalesce(F.nullif(part(quarter, 2), F.lit("")), F.year(seen).cast("string"))))
-        .when(low.contains("next week"), F.concat(F.when(low.contains("as early as"), "As early as the week of ").otherwise("Week of "), day_of(week(F.date_add(seen, 7)))))
-        .when(low.contains("this week"), F.concat(F.lit("Week of "), day_of(week(seen))))
-        .when(low.contains("next month"), month_of(F.add_months(F.date_trunc("month", seen), 1)))
-        .when(low.contains("this month"), month_of(seen))
+        .when(F.col("_pday").isNotNull(), F.concat(F.initcap("_part"), F.lit("-"), month_of(F.col("_pday"))))
+        .when(F.col("_oday").isNotNull(), month_of(F.col("_oday")))
+        .when(F.col("_q").isNotNull(), F.concat(F.lit("Q"), "_q", F.lit(" "), "_qy"))
+        .when(low.contains("next week"), F.concat(F.when(low.contains("as early as"), "As early as the week of ").otherwise("Week of "), day_of(week(F.date_add(on, 7)))))
+        .when(low.contains("this week"), F.concat(F.lit("Week of "), day_of(week(on))))
+        .when(low.contains("next month"), month_of(F.add_months(F.date_trunc("month", on), 1)))
+        .when(low.contains("this month"), month_of(on))
         .when(day.isNotNull(), day_of(day))
-        .otherwise(F.when(plain == "", raw).otherwise(F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, 2, 1000))))
+        .when(plain == "", F.col("_raw"))
+        .otherwise(F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, 2, 1000)))
     )
+    return out.select(*rows.columns, label.alias("eta"))

@@ -10,6 +10,7 @@ from pulsegrid.functions import text
 from pulsegrid.operators import canon, rumors
 from pulsegrid.plans.texts import MENTIONS_SQL, mentions
 from pulsegrid.plans.views import pick, read
+from pulsegrid.shared import cut
 
 PLATFORMS = ["twitter", "bluesky", "web", "github", "reddit"]
 LABELS = ["Opus 5.5", "Mythos/Fable 5", "GPT-6 Sol", "GPT-6", "gpt 5.6", "Gemini 4 Pro", "Flash 5 or Pro 5", "Grok 6", "DeepSeek V5", "v7", "7", "Badoo", "Claude Sonnet 5", "o3", None, "GPT-6,5 (Sol)"]
@@ -152,7 +153,7 @@ def valid(spark: SparkSession, folder: str) -> DataFrame:
 
 def origin_components(spark: SparkSession, folder: str) -> DataFrame:
     """How many independent origins each model of a family has."""
-    rows = valid(spark, folder).withColumn("sources", canon.origin_tokens(F.col("platform"), F.col("handle"), F.col("url"), F.col("quoted")))
+    rows = cut(valid(spark, folder), "claims").withColumn("sources", canon.origin_tokens(F.col("platform"), F.col("handle"), F.col("url"), F.col("quoted")))
     found = canon.with_component(rows, ["family", "key"], F.col("sources"), "origin")
     return found.groupBy("family", "key").agg(F.count(F.lit(1)).alias("n_claims"), F.count_distinct("origin").alias("n_origins"))
 
@@ -201,13 +202,13 @@ def _announced_sql() -> str:
 
 def claim_kinds(spark: SparkSession, folder: str) -> DataFrame:
     """What claims say, by their wording in the sentences that name the model, and whether they only speculate."""
-    said = canon.scoped_text(F.col("text"), F.col("label"), F.col("codename"))
-    return claims(spark, folder).select("id", canon.claim_kind(said).alias("kind"), canon.is_speculation(F.col("claim_mode"), F.col("text")).alias("speculative"))
+    said = canon.scoped_text(F.col("text"), F.col("label_parts"), F.col("code_parts"))
+    return canon.canonical(claims(spark, folder), canon.catalogue(spark)).select("id", "claim_mode", "text", said.alias("said")).select("id", canon.claim_kind(F.col("said")).alias("kind"), canon.is_speculation(F.col("claim_mode"), F.col("text")).alias("speculative"))
 
 
 def eta_said(spark: SparkSession, folder: str) -> DataFrame:
     """When claims expect their model, in words as exact as they allow, from the day they were made."""
-    return claims(spark, folder).select("id", "eta_text", "posted_at", rumors.eta_label(F.col("eta_text"), F.col("posted_at")).alias("eta"))
+    return rumors.with_eta(claims(spark, folder).select("id", "eta_text", "posted_at"), "eta_text", "posted_at")
 
 
 _DAY = lambda x: f"strftime({x}, '%b ') || day({x}) || ', ' || year({x})"
