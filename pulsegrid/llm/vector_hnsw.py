@@ -35,7 +35,7 @@ from pulsegrid.llm.common import bounded_batches, cut
 SHARD_BYTES = 1 << 23
 QUERY_BLOCK = 256
 BLOCKS = 64
-TASKS = 24
+TASKS = 12
 #: Links of a node in a layer (twice as many at the bottom), nodes that an insertion looks at, nodes of a batch, decimals of a direction.
 LINKS = 20
 WIDE = 64
