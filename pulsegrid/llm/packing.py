@@ -12,6 +12,7 @@ id, piece and checksum, so a rerun of a lost task packs alike.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -53,8 +54,18 @@ class WordTokenizer:
     Such a tokenizer encodes a text as it encodes its words one by one, so words are looked up in a cache, and only
     new words reach the tokenizer. Words of plain letters and signs are split as the tokenizer's own pattern does and
     each part goes to its BPE model directly; all others (special tokens, marks, other scripts) take its full path.
+    That holds for a file whose normalizer and splitting are ``KNOWN``; with any other file, whole texts take the full path.
     """
 
+    #: Normal form C, white space as one blank, lower case; words, digits and signs apart, as bytes.
+    KNOWN = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+    }
+
     #: Characters that normal form C and lower-casing treat one by one, and the parts of words made of them.
     PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-įı-ž]+")
     PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:\W|_)+")
@@ -63,6 +74,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            settings = json.load(file)
+        self.by_word = all(settings[k] == v for k, v in self.KNOWN.items()) and settings["model"]["type"] == "BPE" and not any(t["lstrip"] or t["rstrip"] for t in settings["added_tokens"])
         self.tokenize = self.whole.model.tokenize
         # byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -87,6 +101,8 @@ class WordTokenizer:
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a whole text, four bytes each, lowest first."""
+        if not self.by_word:
+            return np.array(self.whole.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.words.__getitem__, text.split()))
 
 

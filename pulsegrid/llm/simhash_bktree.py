@@ -4,7 +4,8 @@ A text's fingerprint holds the majority bits of its shingles' XXH64 hashes. Two
 differ in at most r bits agree wholly in one of r + 1 blocks, so every fingerprint goes to r + 1 shards,
 one for each (block, value of the block), and each link is found in at least one of them. A shard with
 more than ``SHARD`` fingerprints is dealt out again by blocks of its remaining bits, as often as needed:
-exact at every step, with no cap on a bucket. In each shard a BK-tree (children keyed by their integer
+exact at every step, with no cap on a bucket; after four dealings what still shares all those blocks stays one shard,
+whatever its size, and its fingerprints differ in few of the bits that are left. In each shard a BK-tree (children keyed by their integer
 Hamming distance to the parent) answers which fingerprints lie within the radius; a search follows only
 edges from d - r to d + r. The trees of a batch of shards are built and searched together with numpy.
 

@@ -91,3 +91,13 @@ def test_several_groups_and_an_empty_table(spark):
         total[r.sequence_id] += r.length
     assert max(total.values()) <= 2048 and len(total) <= 1.03 * sum(total.values()) / 2048 + 5
     assert pack(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
+
+
+def test_another_tokenizer_takes_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    other, own = WordTokenizer(path), Tokenizer.from_file(path)
+    assert WORDS.by_word and not other.by_word
+    for text in ("Some words,  and  blanks\n\tÄ 12 <|endoftext|>", "", " "):
+        assert other.encode(text.encode()) == b"".join(i.to_bytes(4, "little") for i in own.encode(text, add_special_tokens=False).ids)
