@@ -243,7 +243,7 @@ def cards(claims: DataFrame) -> DataFrame:
     """
     from_ = origin_tokens(F.col("platform"), F.col("handle"), F.col("url"), F.col("quoted"))
     spoken = claims.withColumn("tokens", identity_tokens(F.col("family"), F.col("key"), F.col("canon_label"), F.col("canon_codename"))).withColumn("sources", from_)
-    grouped = cut(with_component(cut(spoken, "claims"), ["family"], F.col("tokens"), "card"), "carded")
+    grouped = cut(with_component(cut(spoken, "claims-and-tokens"), ["family"], F.col("tokens"), "card"), "carded")
     sourced = with_component(grouped, ["card"], F.col("sources"), "origin")
     rank = evidence_rank(F.col("quality"), F.col("evidence_kind"), F.lit(False))
     sort = F.greatest(rank, account_rank(F.col("quality"), F.col("verified"), F.col("followers"), handle_of(F.col("handle"), F.col("url"))))

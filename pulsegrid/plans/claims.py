@@ -148,12 +148,13 @@ judged AS (SELECT *, CASE WHEN NOT is_rumor THEN 'no rumour' WHEN NOT is_unrelea
 
 
 def valid(spark: SparkSession, folder: str) -> DataFrame:
-    return canon.rejection(qualified(spark, folder), canon.catalogue(spark)).where("rejected is null")
+    """Claims that hold; judged claims are written first, as a filter on the verdict would be pushed below the steps that lead to it."""
+    return cut(canon.rejection(qualified(spark, folder), canon.catalogue(spark)), "judged").where("rejected is null")
 
 
 def origin_components(spark: SparkSession, folder: str) -> DataFrame:
     """How many independent origins each model of a family has."""
-    rows = cut(valid(spark, folder), "claims").withColumn("sources", canon.origin_tokens(F.col("platform"), F.col("handle"), F.col("url"), F.col("quoted")))
+    rows = valid(spark, folder).withColumn("sources", canon.origin_tokens(F.col("platform"), F.col("handle"), F.col("url"), F.col("quoted")))
     found = canon.with_component(rows, ["family", "key"], F.col("sources"), "origin")
     return found.groupBy("family", "key").agg(F.count(F.lit(1)).alias("n_claims"), F.count_distinct("origin").alias("n_origins"))
 
