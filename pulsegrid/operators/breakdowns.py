@@ -33,10 +33,10 @@ def week_over_week(posts: DataFrame, category: Column, now: Column, least: int =
 def audit(posts: DataFrame, windows: list[int], now: Column) -> DataFrame:
     """Counts over several trailing windows, by source, by sentiment and in all, in one pass with grouping sets."""
     spread = posts.withColumn("days", F.explode(F.array(*map(F.lit, windows)))).where(F.col("posted_at") >= now - F.make_dt_interval(days=F.col("days")))
-    spread.createOrReplaceTempView("_audit")
-    return spread.sparkSession.sql("""
-        SELECT days, source, sentiment, count(*) AS n, count_if(confidence < 0.65) AS low_confidence, count_if(sentiment = 'negative' AND complaint IS NULL) AS uncategorised
-        FROM _audit GROUP BY GROUPING SETS ((days, source), (days, sentiment), (days))""")
+    sets = [[F.col("days"), F.col("source")], [F.col("days"), F.col("sentiment")], [F.col("days")]]
+    return spread.groupingSets(sets, "days", "source", "sentiment").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") < 0.65).alias("low_confidence"), F.count_if((F.col("sentiment") == "negative") & F.col("complaint").isNull()).alias("uncategorised")
+    )
 
 
 def stratified(rows: DataFrame, strata: list[str], quota: int, tie: str) -> DataFrame:

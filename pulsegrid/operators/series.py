@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,8 +75,3 @@ def y_domain(scores: DataFrame, pad: int = 5, step: int = 5, span: int = 30) ->
     width = F.col("hi") - F.col("lo")
     low = F.when(width < span, F.greatest(F.lit(0), F.col("lo") - F.floor((span - width) / 2))).otherwise(F.col("lo"))
     return bounds.select("model_id", low.cast("int").alias("y_min"), F.when(width < span, F.least(F.lit(100), low + span)).otherwise(F.col("hi")).cast("int").alias("y_max"))
-
-
-def same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
-    """Null-safe equality of columns."""
-    return reduce(Column.__and__, (a[c].eqNullSafe(b[c]) for c in columns))
