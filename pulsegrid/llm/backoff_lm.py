@@ -39,9 +39,9 @@ from pulsegrid.llm.common import bounded_batches, text_bytes, write_table
 from pulsegrid.llm.quality_rules import mixed
 
 #: Bytes of text in a block (a longer text is a block of its own), tokens that a shard is sized for, bits of an n-gram's number in its shard.
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 6 << 20
 SHARD_TOKENS = 1 << 21
-KEY_BITS = 40
+KEY_BITS = 36
 #: Tokens of a text that are read in one piece.
 PIECE = 256
 END = np.uint64(0xE0D)
