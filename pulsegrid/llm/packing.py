@@ -26,24 +26,29 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import cut, map_texts
 
-#: Pieces that a group is sized for, and words of a worker's cache.
+#: Pieces that a group is sized for.
 GROUP = 20_000
-CACHE = 250_000
+#: Bytes of a worker's cache of words, and what an entry takes besides its letters and ids.
+CACHE, ENTRY = 64 << 20, 220
 
 
 class Recent(dict):
-    """A cache that makes what it lacks and keeps the latest ``CACHE`` to twice as many entries."""
+    """A cache that makes what it lacks and keeps the latest entries of ``CACHE`` to twice as many bytes; a longer key isn't kept."""
 
-    def __init__(self, make: Callable):
-        self.make, self.old = make, {}
+    def __init__(self, make: Callable, most: int = CACHE):
+        self.make, self.most, self.held, self.old = make, most, 0, {}
 
     def __missing__(self, key):
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
-        if len(self) >= CACHE:
-            self.old = dict(self)
+        size = ENTRY + 5 * len(key)  # a key and at most one id for each of its bytes
+        if size > self.most:
+            return found
+        if self.held + size > self.most:
+            self.old, self.held = dict(self), 0
             self.clear()
+        self.held += size
         self[key] = found
         return found
 
@@ -84,14 +89,20 @@ class WordTokenizer:
         self.alphabet = {b: chr(b) if b in plain else chr(next(others)) for b in range(256)}
         self.parts, self.words = Recent(self.part), Recent(self.word)
 
+    def part_ids(self, letters: str) -> list[int]:
+        return [t.id for t in self.tokenize(letters)]
+
+    def full(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def part(self, part: str) -> bytes:
         letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
-        return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+        return array("I", self.part_ids(letters)).tobytes()
 
     def word(self, word: bytes) -> bytes:
         text = word.decode()
         if not self.PLAIN.fullmatch(text) or "<|" in text:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.full(text)
         text = text.lower()
         if text.isalpha():
             return self.parts[text]
@@ -102,7 +113,7 @@ class WordTokenizer:
     def encode(self, text: bytes) -> bytes:
         """The ids of a whole text, four bytes each, lowest first."""
         if not self.by_word:
-            return np.array(self.whole.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            return self.full(text.decode())
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
