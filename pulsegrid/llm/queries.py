@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import backoff_lm, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash_bktree, toxicity_fm, url_filter, vector_hnsw
+from pulsegrid.llm import backoff_lm, bpe_dp, filter_audit, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash_bktree, spelling, toxicity_fm, url_filter, vector_hnsw
 from pulsegrid.llm.common import held_out
 
 
@@ -163,6 +163,53 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = bpe_dp.encode(table(spark, folder, "documents"), tokenizer_path(), ["doc_id"])
+    decoded = bpe_dp.decode(encoded, tokenizer_path(), ["doc_id", "ids"])
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+OP12_SQL = r"""
+WITH docs AS (SELECT coalesce(lang, '') AS part, doc_id, coalesce(text, '') AS t FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM words LEFT JOIN marks USING (doc_id)
+), counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM masks GROUP BY part, mask),
+letters AS (SELECT i, chr((65 + i)::INTEGER) AS c FROM range(5) r(i)),
+orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS filters
+  FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), steps AS (
+  SELECT filter_order, s.step::INTEGER AS step, (1 << filters[s.step]::INTEGER)::BIGINT AS bit,
+         coalesce(list_sum([(1 << x::INTEGER)::BIGINT FOR x IN filters[1:s.step - 1]]), 0)::BIGINT AS before
+  FROM orders, range(1, 6) s(step)
+), found AS (
+  SELECT part, filter_order, step, any_value(bit) AS bit,
+    coalesce(sum(n) FILTER ((mask & (before | bit)) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER ((mask & bit) > 0 AND (mask & before) = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER ((mask & bit) > 0 AND (mask & before) > 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER ((mask & bit) > 0 AND (mask & before) = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER ((mask & bit) > 0 AND (mask & before) = 0), 0)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM found
+"""
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -174,5 +221,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
+    "op11_bpe": op11_bpe,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_spelling": op13_spelling,
 }
-ORACLE = {"op2_line_dedup": OP2_SQL, "op5_mixing": _op5_sql(), "op10_quality_rules": _op10_sql()}
+ORACLE = {"op2_line_dedup": OP2_SQL, "op5_mixing": _op5_sql(), "op10_quality_rules": _op10_sql(), "op12_filter_audit": OP12_SQL}
