@@ -16,13 +16,17 @@ LAST = "1998-11-01"
 
 def claims(spark: SparkSession, folder: str) -> DataFrame:
     """Claims from the first line items of orders."""
-    li = read(spark, folder, "lineitem").where("l_linenumber = 1")
+    return claims_from(read(spark, folder, "lineitem").where("l_linenumber = 1"))
+
+
+def claims_from(li: DataFrame, *more: str) -> DataFrame:
+    """Claims from line items, each with ``more`` columns of its own."""
     o, p, s = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     return li.select(
         o.alias("id"), F.concat(F.lit("f"), (o % 4).cast("string")).alias("family"), F.concat(F.lit("Model-"), (p % 400).cast("string")).alias("label"),
         F.when(o % 40 < 4, F.concat(F.lit("code "), (p * 7 % 300).cast("string"))).alias("codename"), F.concat(F.lit("o"), o.cast("string")).alias("url"),
         F.when(o % 5 == 0, F.concat(F.lit("o"), (o - o % 3).cast("string"))).alias("quoted"), pick(PLATFORMS, o % 5).alias("platform"), F.concat(F.lit("h"), (s % 37).cast("string")).alias("handle"),
-        pick(rumors.PRECEDENCE, p % 6).alias("claim_type"), (o % 11 == 0).alias("credible"), F.col("l_shipdate").cast("timestamp").alias("posted_at"),
+        pick(rumors.PRECEDENCE, p % 6).alias("claim_type"), (o % 11 == 0).alias("credible"), F.col("l_shipdate").cast("timestamp").alias("posted_at"), *more,
     )
 
 
