@@ -232,14 +232,22 @@ def id_lists(encoded: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)))
 
 
-def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
-    """The ``keep`` columns and ids (array of int) of each whole text."""
+def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", decoded: bool = False) -> DataFrame:
+    """The ``keep`` columns and ids (array of int) of each whole text; if asked for, also ``decoded``, the text that the ids give back."""
 
     def make() -> Callable[[list[bytes]], list]:
         one = tokenizer(path)
-        return lambda texts: [id_lists([one.encode(t) for t in texts])]
 
-    return map_texts(docs, make, "ids array<int>", keep, text)
+        def run(texts: list[bytes]) -> list:
+            encoded = [one.encode(t) for t in texts]
+            out = [id_lists(encoded)]
+            if decoded:
+                out.append(pa.array([one.decode(array("I", e).tolist()) for e in encoded], pa.string()))
+            return out
+
+        return run
+
+    return map_texts(docs, make, "ids array<int>, decoded string" if decoded else "ids array<int>", keep, text, 1 << 21)
 
 
 def decode(encoded: DataFrame, path: str, keep: list[str], ids: str = "ids") -> DataFrame:

@@ -164,10 +164,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = bpe_dp.encode(table(spark, folder, "documents"), tokenizer_path(), ["doc_id"])
-    decoded = bpe_dp.decode(encoded, tokenizer_path(), ["doc_id", "ids"])
+    encoded = bpe_dp.encode(table(spark, folder, "documents"), tokenizer_path(), ["doc_id"], decoded=True)
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
