@@ -1,11 +1,11 @@
-"""Which models a text speaks of: keywords in two tiers, folded to one pattern for each model and tier."""
+"""Which models a text speaks of: keywords in two tiers, folded to one pattern for each model and tier, or as a table of any size."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import text
@@ -35,7 +35,7 @@ def models_of(body: Column, keywords: list[Keyword]) -> Column:
 
     Most texts hold none of the words; one look for these, without regard to their bounds, spares them the exact patterns.
     """
-    words = sorted({re.sub(r"[-.]", lambda _: r"[-\\s.]?", k.word) for k in keywords})
+    words = sorted({re.sub(r"[-.]", lambda _: r"[-\s.]?", k.word) for k in keywords})
     slugs = sorted({k.slug for k in keywords})
     local = text.any_of(body, LOCAL_MODELS) & ~text.any_of(body, EXPLICIT)
     out = []
@@ -70,3 +70,35 @@ def models_of_sql(body: str, keywords: list[Keyword]) -> str:
     return f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
 
 
+def keyword_table(spark, keywords: list[Keyword]) -> DataFrame:
+    """Keywords as rows (slug, word, tier, context), the context words joined by commas."""
+    return spark.createDataFrame([(k.slug, k.word, k.tier, ",".join(k.context) or None) for k in keywords], "slug string, word string, tier string, context string")
+
+
+def attribute(posts: DataFrame, keywords: DataFrame, post_id: str = "id", body: str = "text", community: str | None = None, communities: DataFrame | None = None) -> DataFrame:
+    """(post_id, slug), each once: the models that posts name by a table of keywords (slug, word, tier, context), or by their community (community, slug).
+
+    The plan is the same for ten keywords and for a million. A keyword's words can only be met by a run of whole words of a text, so runs of at most as many
+    words as the longest keyword has meet the keywords in an equi-join on their letters and digits, and the pieces of text met are then held against
+    the keyword's own pattern (hyphens and dots may be missing, or be white space). Texts themselves aren't shuffled, but for posts that name an ambiguous
+    keyword, whose context words and veto need the whole text. Signs at a keyword's ends don't count; null texts name nothing.
+    """
+    own, low = F.lower("word"), F.lower(F.col(body))
+    plain = lambda c: F.regexp_replace(c, "[^a-z0-9_]+", "")
+    escaped = F.regexp_replace(F.regexp_replace(own, r"^[^a-z0-9_]+|[^a-z0-9_]+$", ""), r"[\^$*+?()\[\]{}|\\]", r"\\$0")
+    known = keywords.select("slug", "tier", "context", own.alias("word"), plain(own).alias("letters"), F.concat(F.lit("^(?:"), F.regexp_replace(escaped, "[-.]", r"[-\\s.]?"), F.lit(")$")).alias("pattern")).where("letters <> ''").distinct()
+    longest = keywords.agg(F.max(F.size(F.filter(F.split(own, "[^a-z0-9_]+"), lambda w: w != "")))).first()[0] or 0
+    # words with what follows them; a run of n of them without the last one's rest is a piece of the text
+    tokens = posts.select(F.col(post_id).alias("id"), F.regexp_extract_all(low, F.lit("([a-z0-9_]+)([^a-z0-9_]*)"), F.lit(0)).alias("w"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max(longest, 1))), lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("w", i, n), ""))))
+    pieces = tokens.select("id", F.explode(F.array_distinct(runs)).alias("piece")).select("id", F.regexp_replace("piece", "[^a-z0-9_]+$", "").alias("piece"))
+    met = pieces.withColumn("letters", plain(F.col("piece"))).join(known, "letters").where(F.expr("piece RLIKE pattern")).select("id", "slug", "tier", "word", "context").distinct()
+    unsure = met.where("tier <> 'high'").join(posts.select(F.col(post_id).alias("id"), low.alias("text")).distinct(), "id")
+    near = F.col("context").isNull() | F.exists(F.transform(F.split("context", ","), lambda c: F.lower(F.trim(c))), lambda c: F.col("text").contains(c))
+    local = text.any_of(F.col("text"), LOCAL_MODELS) & ~text.any_of(F.col("text"), EXPLICIT)
+    veto = (F.col("slug") == VETOED[0]) & F.col("word").isin(*VETOED[1]) & local
+    found = met.where("tier = 'high'").select("id", "slug").unionByName(unsure.where(near & ~veto).select("id", "slug"))
+    if community and communities is not None:
+        named = posts.select(F.col(post_id).alias("id"), F.col(community).alias("community"))
+        found = found.unionByName(named.join(communities.select("community", "slug"), "community").select("id", "slug"))
+    return found.distinct().select(F.col("id").alias(post_id), "slug")

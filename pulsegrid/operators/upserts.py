@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.shared import remove
+
 
 def insert_ignore(stored: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Stored rows and those new ones whose key isn't stored; of new rows with one key, the first."""
@@ -51,9 +53,22 @@ def retained(rows: DataFrame, at: str, now: Column, days: int) -> DataFrame:
     return rows.where(F.col(at) >= now - F.make_dt_interval(days=F.lit(days)))
 
 
-def replace_range(path: str, new: DataFrame, part: str) -> None:
-    """Write ``new`` to a table in place of the partitions that it has rows for; all other partitions stay."""
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+def replace_range(path: str, new: DataFrame, part: str, first: str, last: str) -> None:
+    """Put ``new`` in place of all partitions from ``first`` to ``last`` (as text, both included); all others stay.
+
+    A day of the range for which ``new`` has no rows is emptied too. The partitions that there are are listed from the table's folders, one for each day.
+    Rows are written first, then days without rows are removed, so a reader meets old or new days, and no half of one; a run that broke off is simply repeated.
+    """
+    spark = new.sparkSession
+    wanted = new.where(F.col(part).between(first, last))
+    held = [r[0] for r in wanted.select(F.col(part).cast("string")).distinct().collect()]  # at most one for each day of the range
+    wanted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)]
+    for name in names:
+        key, _, value = name.partition("=")
+        if key == part and first <= value <= last and value not in held:
+            remove(spark, f"{path}/{name}")
 
 
 def export_csv(rows: DataFrame, path: str) -> None:
@@ -62,9 +77,9 @@ def export_csv(rows: DataFrame, path: str) -> None:
 
 
 def checked(stored: DataFrame, seen: DataFrame, now: Column, url: str = "source_url") -> DataFrame:
-    """Mark every row of a URL as checked if any of its rows was looked at."""
+    """Mark every row of a URL as checked if any of its rows was looked at; a row that has a mark keeps it."""
     marks = seen.select(url).distinct().withColumn("_hit", F.lit(True))
-    return stored.join(marks, url, "left").withColumn("checked_at", F.coalesce(F.when(F.col("_hit"), now), F.col("checked_at"))).drop("_hit")
+    return stored.join(marks, url, "left").withColumn("checked_at", F.coalesce("checked_at", F.when(F.col("_hit"), now))).drop("_hit")
 
 
 def named_values(rows: DataFrame, key: list[str], array: str, document: str, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from pulsegrid.operators import events, results, runs, scoring, upserts
 from pulsegrid.plans import texts
 from pulsegrid.plans.scores import DAILY_SQL
 from pulsegrid.plans.views import NOW, ago, models, now, pick, posts, read, with_posts
-from pulsegrid.shared import write_table
+from pulsegrid.shared import tables_dir, write_table
 
 N = f"TIMESTAMP '{NOW}'"
 TIMES = ["08:00", "14:30", "20:00", "23:00"]
@@ -117,20 +119,20 @@ SELECT slug, title, a::VARCHAR AS from_day, CASE WHEN a <> b THEN b::VARCHAR END
 
 
 def score_replace_range(spark: SparkSession, folder: str) -> DataFrame:
-    """A table of daily scores by day, whose last week is wrong and then replaced by day, read back."""
+    """A table of daily scores by day, of which a week is wrong, with a day that has lost its posts, and then replaced, read back."""
     scored = scoring.daily(posts(spark, folder)).select("model_id", "period_start", "score", F.to_date("period_start").cast("string").alias("day"))
     late = F.col("period_start") >= ago(days=7)
-    wrong = scored.withColumn("score", F.when(late, -1).otherwise(F.col("score")))
-    path = write_table(wrong.limit(0), "scores") + "-by-day"
-    wrong.write.partitionBy("day").parquet(path)
-    upserts.replace_range(path, scored.where(late), "day")
+    gone = F.to_date(ago(days=3)).cast("string")
+    path = f"{tables_dir(spark)}/scores-by-day-{uuid.uuid4().hex}"
+    scored.withColumn("score", F.when(late, -1).otherwise(F.col("score"))).write.partitionBy("day").parquet(path)
+    upserts.replace_range(path, scored.where(late & (F.col("day") != gone)), "day", "2024-01-24", "2024-01-31")
     return spark.read.schema("model_id string, period_start timestamp, score int, day string").parquet(path).select("model_id", "period_start", "score")
 
 
 def surface_csv(spark: SparkSession, folder: str) -> DataFrame:
     """The surface dataset, with commas and quotes in its names, as CSV and back."""
     rows = texts.surface_dataset(spark, folder).withColumn("surface", F.concat(F.lit('"'), "surface", F.lit('", x')))
-    path = write_table(rows.limit(0), "surface") + "-csv"
+    path = f"{tables_dir(spark)}/surface-csv-{uuid.uuid4().hex}"
     upserts.export_csv(rows, path)
     return spark.read.option("header", True).option("escape", '"').schema(rows.schema).csv(path).withColumn("top_complaint", F.coalesce("top_complaint", F.lit("")))
 
@@ -190,9 +192,9 @@ ORACLE = {
     "result_zip": with_posts("SELECT id, CASE WHEN NOT m THEN 'r' || id END AS said, CASE WHEN m THEN 'missing_result_index' END AS result_error FROM (SELECT id, (id // 7) % 3 = 0 AND id % 7 >= 5 AS m FROM posts)"),
     "mention_texts": MENTION_SQL,
     "vendor_event_markers": with_posts(EVENTS_SQL),
-    "score_replace_range": with_posts(f"{DAILY_SQL} SELECT model_id, period_start, score FROM scores"),
+    "score_replace_range": with_posts(f"{DAILY_SQL} SELECT model_id, period_start, score FROM scores WHERE period_start::DATE <> DATE '2024-01-28'"),
     "surface_csv": texts.ORACLE["surface_dataset"].replace("SELECT n.*,", "SELECT n.* REPLACE ('\"' || n.surface || '\", x' AS surface),"),
-    "checked_markers": with_posts(f", u AS (SELECT DISTINCT source_url FROM posts WHERE id % 7 = 0) SELECT id, CASE WHEN u.source_url IS NOT NULL THEN {N} WHEN id % 10 = 0 THEN created_at END AS checked_at FROM posts LEFT JOIN u USING (source_url)"),
+    "checked_markers": with_posts(f", u AS (SELECT DISTINCT source_url FROM posts WHERE id % 7 = 0) SELECT id, CASE WHEN id % 10 = 0 THEN created_at WHEN u.source_url IS NOT NULL THEN {N} END AS checked_at FROM posts LEFT JOIN u USING (source_url)"),
     "low_information_cleanup": f"WITH {texts.MENTIONS_SQL} SELECT id, slug FROM (SELECT id, lower(text) AS t, CASE WHEN id % 2 = 1 THEN 'chatgpt' ELSE 'claude' END AS slug FROM mentions) WHERE NOT (slug = 'chatgpt' AND regexp_matches(t, '(gpt[: -]?oss|oss[- ]?(20b|120b)|self-?hosted|local llm|home lab|ollama|lm studio|huggingface\\.co/openai/gpt-oss)') AND NOT regexp_matches(t, '(chat ?gpt|gpt[- ]4o|gpt[- ]5(\\.4)?|o4(-mini)?)'))",
     "named_values": with_posts("SELECT id, array_to_string(list_sort(list_distinct(list_concat(CASE WHEN id % 4 <> 0 THEN [(id % 2)::VARCHAR, (id % 7)::VARCHAR] ELSE [] END, [(id % 3)::VARCHAR, (id % 5)::VARCHAR]))), ',') AS found FROM posts"),
     "score_labels": with_posts(f"{DAILY_SQL} SELECT model_id, period_start, CASE WHEN score <= 40 THEN 'negative' WHEN score <= 65 THEN 'mixed' ELSE 'positive' END AS label, CASE WHEN h < 1 THEN 'just now' WHEN h < 24 THEN h || 'h ago' ELSE (h // 24) || 'd ago' END AS age FROM (SELECT *, floor(epoch({N} - period_start) / 3600)::BIGINT AS h FROM scores)"),

@@ -26,6 +26,52 @@ def pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def items(spark: SparkSession, path: str, schema: str, field: str | None = None) -> DataFrame:
+    """The items of landed pages, each as a struct ``item`` beside its ``file``; a page that can't be read is one row with its text as ``unreadable``.
+
+    With a field, a page is one JSON object whose field lists the items; without, each line is one. A page of which only some fields have the wrong type keeps
+    its items, with nulls there.
+    """
+    kind = f"{schema}, _unreadable string"
+    rows = spark.read.schema(kind).option("columnNameOfCorruptRecord", "_unreadable").json(path).withColumn("file", F.col("_metadata.file_path"))
+    if field:
+        broken = F.col(field).isNull() & F.col("_unreadable").isNotNull()
+        none = F.array(F.lit(None).cast(rows.schema[field].dataType.elementType))
+        listed = rows.select("file", F.when(broken, F.col("_unreadable")).alias("unreadable"), F.explode(F.when(broken, none).otherwise(F.coalesce(F.col(field), F.array().cast(rows.schema[field].dataType)))).alias("item"))
+        return listed
+    own = [c for c in rows.columns if c not in ("_unreadable", "file")]
+    nothing = F.lit(True)
+    for c in own:
+        nothing = nothing & F.col(c).isNull()
+    broken = nothing & F.col("_unreadable").isNotNull()
+    return rows.select("file", F.when(broken, F.col("_unreadable")).alias("unreadable"), F.when(~broken, F.struct(*own)).alias("item"))
+
+
+def judged(items: DataFrame, url: Column, at: Column) -> DataFrame:
+    """Items with ``reason``: why one can't become a post (unreadable, no_url, no_time), null for those that can."""
+    reason = F.when(F.col("unreadable").isNotNull() | F.col("item").isNull(), "unreadable").when(F.coalesce(url, F.lit("")) == "", "no_url").when(at.isNull(), "no_time")
+    return items.withColumn("reason", reason)
+
+
+def quarantined(judged: DataFrame) -> DataFrame:
+    """(file, reason, record): what is put aside, for a table of its own."""
+    return judged.where("reason is not null").select("file", "reason", F.coalesce("unreadable", F.to_json("item")).alias("record"))
+
+
+def stories(spark: SparkSession, path: str) -> DataFrame:
+    """Stories of landed pages, judged; those without a title are no stories and play no part."""
+    given = items(spark, path, HACKER_NEWS, "hits").where("unreadable is not null or item is null or item.title is not null or item.comment_text is null")
+    return judged(given, F.col("item.objectID"), instant(F.col("item.created_at")))
+
+
+def story_posts(stories: DataFrame) -> DataFrame:
+    """The posts among judged stories."""
+    h = stories.where("reason is null and coalesce(item.title, '') <> ''").select("item.*")
+    body = F.nullif(text.decoded(text.plain_html(F.coalesce("story_text", F.lit("")))), F.lit(""))
+    kind = F.when(body.isNull(), "title_only").otherwise("title_and_body")
+    return post(h, "hackernews", {"link": F.col("url")}, source_url=F.concat(F.lit("https://news.ycombinator.com/item?id="), "objectID"), title=F.col("title"), body=body, content_type=kind, engagement=F.coalesce("points", F.lit(0)), posted_at=instant(F.col("created_at")), author_handle=F.col("author"))
+
+
 def one_each(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
     """Of rows with equal keys the first by an order."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
