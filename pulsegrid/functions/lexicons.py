@@ -188,3 +188,20 @@ BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 def java(pattern: str) -> str:
     """A pattern for Spark's engine, with ASCII word boundaries."""
     return pattern.replace(r"\b", BOUNDARY)
+
+
+# A version that is recovered from texts, and what its window says of it.
+VERSION_SAID = r"\b(?:gemini\s*)?3[.,]\s*5\s*pro\b"
+DELAY_SAID = r"\b(?:delays?|delayed|pushed back|slipped|postponed|stalled|no longer|give us until)\b"
+TESTING_SAID = r"\b(?:in testing|early access|EAP|enterprise partners?|partner testing|testing ahead of|canary|spotted|api|arena|model[-\s]?(?:string|id)|codename)\b"
+IMMINENT_SAID = r"\b(?:imminent|eta|next week|this week|any day now|coming soon|dropping|drops? (?:next|this)|rolling out|rolls? out|scheduled|wider launch)\b"
+LAUNCH_SAID = r"\b(?:rumou?red?|leaked?|incoming|release date)\b"
+# Times that a text gives, in the order they are tried, and in one spelling.
+ETA_SAID = [
+    (r"\b(?:the\s+)?(?:2nd|second)\s+week\s+of\s+july\b", "2nd week of July"),
+    (r"\bmid[-\s]?july\b", "mid-July"),
+    (r"\bnext week\b", "next week"),
+    (r"\bthis week\b", "this week"),
+    (r"\binto july\b", "into July"),
+    (r"\bjuly\b", "July"),
+]

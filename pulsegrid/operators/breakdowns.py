@@ -45,9 +45,43 @@ def stratified(rows: DataFrame, strata: list[str], quota: int, tie: str) -> Data
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy(order, tie))).where(F.col("_r") <= quota).drop("_r")
 
 
+def post_key(url: Column, source: Column, translated: Column, content: Column, title: Column) -> Column:
+    """By what rows of one post under several models are told: its URL, or else its source and the first 200 characters of its text."""
+    full = lambda c: F.nullif(c, F.lit(""))
+    said = F.coalesce(full(translated), full(content), full(title), F.lit(""))
+    return F.coalesce(full(url), F.concat(F.coalesce(source, F.lit("")), F.lit("::"), F.substring(said, 1, 200)))
+
+
+def agreement_report(reference: DataFrame, candidate: DataFrame, on: str) -> DataFrame:
+    """One row: how a candidate classifier's results (status, relevant, sentiment, complaint, praise, language, translation) agree with reference ones.
+
+    Of an id that repeats in either table one row counts, so none is multiplied. Failed and missing results are counted and nothing else; results that call a post irrelevant are
+    counted where the reference has a sentiment. Sentiments are also rated by the reference's class; complaints only under negative posts with one other than "other", praises under
+    positive ones. Languages agree if both are English or none, or the same; a translation is due for every other language and counts from ten characters on. Rates have three places, null without cases.
+    """
+    of = lambda rows, p, columns: rows.groupBy(on).agg(F.min(F.struct(*columns)).alias(p))
+    both = of(reference, "r", ["sentiment", "complaint", "praise", "language"]).join(of(candidate, "c", ["status", "relevant", "sentiment", "complaint", "praise", "language", "translation"]), on, "left")
+    failed = F.col("c").isNull() | (F.coalesce(F.col("c.status"), F.lit("ok")) != "ok")
+    seen, has = ~failed & F.coalesce(F.col("c.relevant"), F.lit(False)), F.col("r.sentiment").isNotNull()
+    same = lambda x: F.col(f"c.{x}").eqNullSafe(F.col(f"r.{x}"))
+    plain = lambda c: F.when(~c.isin("", "en"), c)
+    foreign = plain(F.col("r.language")).isNotNull()
+
+    def rate(cases: Column, hit: Column, name: str) -> Column:
+        return F.round(F.count_if(cases & hit) / F.nullif(F.count_if(cases), F.lit(0)), 3).alias(name)
+
+    return both.agg(
+        F.count(F.lit(1)).alias("sample_size"), F.count_if(failed).alias("failures"), F.count_if(~failed & ~seen & has).alias("newly_irrelevant"), F.count_if(seen & has).alias("comparable"), rate(seen & has, same("sentiment"), "sentiment_rate"),
+        *(rate(seen & (F.col("r.sentiment") == k), same("sentiment"), f"{k}_rate") for k in ("positive", "negative", "neutral")),
+        rate(seen & (F.col("r.sentiment") == "negative") & (F.coalesce(F.col("r.complaint"), F.lit("other")) != "other"), same("complaint"), "complaint_rate"), rate(seen & (F.col("r.sentiment") == "positive") & F.col("r.praise").isNotNull(), same("praise"), "praise_rate"),
+        rate(seen, plain(F.col("r.language")).eqNullSafe(plain(F.col("c.language"))), "language_rate"), rate(seen & foreign, F.coalesce(F.length(F.trim("c.translation")) >= 10, F.lit(False)), "translation_rate"),
+    )
+
+
 def agreement(a: DataFrame, b: DataFrame, on: str, columns: list[str]) -> DataFrame:
-    """How often two classifiers give one post the same values, to three places; nulls agree with nulls."""
-    both = a.alias("a").join(b.alias("b"), on)
+    """How often two classifiers give one post the same values, to three places; nulls agree with nulls. Of an id that repeats one row counts."""
+    one = lambda rows: rows.groupBy(on).agg(F.min(F.struct(*columns)).alias("x")).select(on, "x.*")
+    both = one(a).alias("a").join(one(b).alias("b"), on)
     return both.agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")).cast("double")), 3).alias(f"{c}_rate") for c in columns))
 
 

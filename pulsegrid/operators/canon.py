@@ -189,15 +189,27 @@ def handle_of(handle: Column, url: Column) -> Column:
     return F.coalesce(F.nullif(own, F.lit("")), F.nullif(F.regexp_replace(F.lower(told), "^@", ""), F.lit("")))
 
 
+def status_id(url: Column) -> Column:
+    """The id of a post in its URL on X or Bluesky; else null."""
+    name, path = text.host(F.coalesce(url, F.lit(""))), F.regexp_extract(F.coalesce(url, F.lit("")), "^[a-z]+://[^/?#]*([^?#]*)", 1)
+    found = F.when(name.isin("x.com", "twitter.com"), F.regexp_extract(path, "^/+[^/]+/+status/+([^/]+)", 1)).when(name == "bsky.app", F.regexp_extract(path, "^/+profile/+[^/]+/+post/+([^/]+)", 1))
+    return F.nullif(found, F.lit(""))
+
+
+def quoted_in_text(body: Column, own_url: Column) -> Column:
+    """The first id of a post on X that a text links and that isn't its own; else null."""
+    ids = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"(?i)(?:x|twitter)\.com/[A-Za-z0-9_]+/status/(\d+)"), F.lit(1))
+    return F.get(F.filter(ids, lambda i: F.coalesce(i != status_id(own_url), F.lit(True))), F.lit(0))
+
+
 def origin_tokens(platform: Column, handle: Column, url: Column, quoted: Column) -> Column:
     """Everything by which two sources can be one origin: account, own post, quoted post, domain; else the URL."""
     kind = F.coalesce(F.nullif(F.lower(F.trim(F.coalesce(platform, F.lit("")))), F.lit("")), F.lit("unknown"))
-    name, path = text.host(F.coalesce(url, F.lit(""))), F.regexp_extract(F.coalesce(url, F.lit("")), "^[a-z]+://[^/?#]*([^?#]*)", 1)
-    post = F.when(name.isin("x.com", "twitter.com"), F.regexp_extract(path, "^/+[^/]+/+status/+([^/]+)", 1)).when(name == "bsky.app", F.regexp_extract(path, "^/+profile/+[^/]+/+post/+([^/]+)", 1))
+    name, post = text.host(F.coalesce(url, F.lit(""))), status_id(url)
     account = handle_of(handle, url)
     found = F.array_compact(F.array(
         F.when(account.isNotNull(), F.concat(kind, F.lit(":account:"), account)),
-        F.when(post != "", F.concat(kind, F.lit(":post:"), post)),
+        F.when(post.isNotNull(), F.concat(kind, F.lit(":post:"), post)),
         F.when(quoted.isNotNull(), F.concat(F.when(quoted.rlike(r"^[0-9]+$"), "twitter").otherwise(kind), F.lit(":post:"), quoted)),
         F.when((name != "") & kind.isin("web", "press", "official"), F.concat(kind, F.lit(":domain:"), name)),
     ))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.shared import cut
+
 VERSION = r"(?<![a-z0-9.])k?(\d+(?:\.\d+)*)(?![a-z0-9.])"
 
 
@@ -28,6 +30,36 @@ def successors(models: DataFrame) -> DataFrame:
     return joined.withColumn("successor", F.when((F.col("top.version") > F.col("version")) & (F.col("top.name") != F.col("name")), F.col("top.name"))).drop("top", "version")
 
 
+def lineup(models: DataFrame) -> DataFrame:
+    """(name, successor, final): the model that comes after each one (name, label, ranked, is_baseline, superseded_by), and the one at the chain's end.
+
+    A declared successor that is ranked goes before the newest ranked model of the label's family. Baselines neither have one nor are one. ``final`` is null where a chain runs into a circle.
+    """
+    base = F.coalesce("is_baseline", F.lit(False))
+    real = models.where(~base).withColumn("ranked", F.coalesce("ranked", F.lit(True))).withColumn("label", F.coalesce(F.nullif("label", F.lit("")), "name"))
+    known = real.where("ranked").select(F.col("name").alias("superseded_by"), F.lit(True).alias("_known")).distinct()
+    inferred = successors(real).join(known, "superseded_by", "left")
+    declared = F.when(F.col("_known") & (F.col("superseded_by") != F.col("name")), F.col("superseded_by"))
+    nexts = inferred.select("name", F.coalesce(declared, "successor").alias("successor"))
+    rows = nexts.unionByName(models.where(base).select("name", F.lit(None).cast("string").alias("successor")))
+    return rows.join(chain_ends(nexts.where("successor is not null")), "name", "left")
+
+
+def chain_ends(links: DataFrame) -> DataFrame:
+    """(name, final) for links (name, successor), one for each name: the end of the chain, by pointer jumping; null for chains that run into a circle.
+
+    A round doubles the length followed, so after as many rounds as the number of links has binary digits only circles still go on.
+    """
+    now = cut(links.select("name", F.col("successor").alias("final")), "chains")
+    for _ in range(max(1, now.count()).bit_length() + 1):
+        onward = now.select(F.col("name").alias("_at"), F.col("final").alias("_end"))
+        if now.join(onward, F.col("final") == F.col("_at"), "left_semi").isEmpty():
+            return now
+        now = cut(now.join(onward, F.col("final") == F.col("_at"), "left").select("name", F.coalesce("_end", "final").alias("final")), "chains")
+    onward = now.select(F.col("name").alias("_at"))
+    return now.join(onward, F.col("final") == F.col("_at"), "left").select("name", F.when(F.col("_at").isNull(), F.col("final")).alias("final"))
+
+
 def leading_band(models: DataFrame, board: str) -> DataFrame:
     """On each board the models, from the top down to the first gap, whose interval reaches the leader's lower bound; none if alone."""
     order = Window.partitionBy(board).orderBy(F.desc("score"), "name")

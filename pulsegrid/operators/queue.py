@@ -71,6 +71,16 @@ def health(posts: DataFrame) -> DataFrame:
     )
 
 
+def exact_health(posts: DataFrame, now: Column) -> DataFrame:
+    """One row: the numbers of queued, retried and failed posts, of failed ones of the last day, and the oldest that waits."""
+    is_failed = F.col("status") == "failed"
+    return posts.agg(
+        F.count_if(F.col("status") == "pending").alias("queued"), F.count_if(F.col("status") == "retry").alias("retrying"), F.count_if(is_failed).alias("failed"),
+        F.count_if(is_failed & (F.col("posted_at") >= now - F.make_dt_interval(days=F.lit(1)))).alias("recent_failed"),
+        F.min(F.when(F.col("status").isin("pending", "retry"), F.col("created_at"))).alias("oldest_queued_at"),
+    )
+
+
 def error_group(error: Column) -> Column:
     low = F.lower(error)
     any_of = lambda *words: F.lit(False) if not words else low.rlike("|".join(words))

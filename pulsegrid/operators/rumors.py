@@ -17,20 +17,21 @@ def clusters(claims: DataFrame) -> DataFrame:
     """Add ``cluster_key``: claims of a family that share a label or a codename, directly or through others, are one product.
 
     Identities, not claims, are the nodes: claims collapse to their distinct (family, label, codename), so a product that a third
-    of all claims speak of is a few edges. The key is the cluster's shortest label.
+    of all claims speak of is a few edges. The key is the cluster's shortest label. A name without letters or digits is none; claims that have no
+    name at all are about no product and are left out.
     """
-    label, code = (F.concat("family", F.lit(kind), text.squash(F.col(c))) for c, kind in (("label", ":l:"), ("codename", ":c:")))
+    label, code = (F.concat("family", F.lit(kind), F.nullif(text.squash(F.col(c)), F.lit(""))) for c, kind in (("label", ":l:"), ("codename", ":c:")))
     tokens = claims.withColumn("_l", label).withColumn("_c", code)
     edges = tokens.where("_l is not null and _c is not null").select(F.col("_l").alias("a"), F.col("_c").alias("b")).distinct()
     roots = connected_components(edges)
     named = tokens.withColumn("_t", F.coalesce("_l", "_c")).join(roots, F.col("_t") == roots.node, "left").withColumn("_root", F.coalesce("root", "_t"))
-    best = named.groupBy("_root").agg(F.min(F.when(F.col("label").isNotNull(), F.struct(F.length("label"), "label")))["label"].alias("best_label"), F.min("codename").alias("best_codename"))
+    best = named.groupBy("_root").agg(F.min(F.when(F.col("_l").isNotNull(), F.struct(F.length("label"), "label")))["label"].alias("best_label"), F.min(F.when(F.col("_c").isNotNull(), F.col("codename"))).alias("best_codename"))
     return named.join(best, "_root").withColumn("cluster_key", F.coalesce("best_label", "best_codename")).drop("_l", "_c", "_t", "_root", "node", "root", "best_label", "best_codename")
 
 
 def without_echoes(claims: DataFrame) -> DataFrame:
-    """Without claims that quote a post which itself is a claim of their cluster."""
-    own = claims.select("family", "cluster_key", F.col("url").alias("quoted")).distinct()
+    """Without claims that quote a post, by its id, which itself is a claim of their cluster: its URL holds that id."""
+    own = claims.select("family", "cluster_key", canon.status_id(F.col("url")).alias("quoted")).where("quoted is not null").distinct()
     return claims.join(own, ["family", "cluster_key", "quoted"], "left_anti")
 
 

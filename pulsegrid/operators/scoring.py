@@ -28,6 +28,31 @@ def day_start(ts: Column, zone: str = ZONE) -> Column:
     return F.to_utc_timestamp(F.date_trunc("day", F.from_utc_timestamp(ts, zone)), zone)
 
 
+def day_label(ts: Column, zone: str = ZONE) -> Column:
+    """The zone's date of an instant, as text."""
+    return F.date_format(F.from_utc_timestamp(ts, zone), "yyyy-MM-dd")
+
+
+def with_instant(rows: DataFrame, label: str, time: str, zone: str, name: str) -> DataFrame:
+    """Add the instant at which a zone's clocks show a date (``label``) and a time (HH:mm).
+
+    It starts from the same numbers read as UTC and corrects them by the zone's offset there, up to four times. A time that comes twice is its first coming; one that is left out ends at
+    the hour before the gap, as the scores have always had it. Null if label or time can't be read.
+    """
+    base = F.try_to_timestamp(F.concat_ws(" ", label, time), F.lit("yyyy-MM-dd HH:mm"))
+    rows = rows.withColumn("_base", base).withColumn("_guess", F.col("_base"))
+    for _ in range(4):
+        offset = F.unix_micros(F.from_utc_timestamp("_guess", zone)) - F.unix_micros("_guess")
+        rows = rows.withColumn("_next", F.timestamp_micros(F.unix_micros("_base") - offset)).drop("_guess").withColumnRenamed("_next", "_guess")
+    return rows.withColumn(name, F.col("_guess")).drop("_base", "_guess")
+
+
+def day_window(rows: DataFrame, at: str, zone: str = ZONE) -> DataFrame:
+    """Add label, range_start and range_end of the zone's day of an instant: 23 or 25 hours where clocks change."""
+    labelled = rows.withColumn("label", day_label(F.col(at), zone)).withColumn("_next_day", F.date_format(F.date_add(F.to_date("label"), 1), "yyyy-MM-dd")).withColumn("_midnight", F.lit("00:00"))
+    return with_instant(with_instant(labelled, "label", "_midnight", zone, "range_start"), "_next_day", "_midnight", zone, "range_end").drop("_next_day", "_midnight")
+
+
 def is_classified(status: Column, sentiment: Column) -> Column:
     """Whether a post counts as classified; without a known status its sentiment decides."""
     known = F.when(status == "classified", True).when(status.isin("pending", "retry", "failed", "irrelevant"), False)

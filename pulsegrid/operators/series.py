@@ -60,6 +60,19 @@ def grid(keys: DataFrame, rows: DataFrame, last: str, days: int) -> DataFrame:
     return spine.join(rows, [*keys.columns, "day"], "left")
 
 
+def carried(basis: Column, total: Column) -> Column:
+    """Whether a day's score is one carried forward, by its basis or because it had no posts; a day without a score is not."""
+    return F.coalesce((basis == "carried_forward") | (total == 0), F.lit(False))
+
+
+def between(rows: DataFrame, at: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Rows from ``since`` to ``until``, both included, either of which may be open."""
+    for bound, keep in ((since, lambda t: F.col(at) >= t), (until, lambda t: F.col(at) <= t)):
+        if bound is not None:
+            rows = rows.where(keep(F.lit(bound).cast("timestamp")))
+    return rows
+
+
 def difference(old: DataFrame, new: DataFrame, key: list[str], value: str) -> DataFrame:
     """Keys whose value differs between two tables, or is in one alone."""
     a, b = old.select(*key, F.col(value).alias(f"old_{value}")), new.select(*key, F.col(value).alias(f"new_{value}"))

@@ -41,7 +41,7 @@ def listed(rows: DataFrame) -> DataFrame:
 
 
 PRODUCTS_SQL = f"""{claims_of.CLAIMS_SQL.replace('l_shipdate AS posted_at', "l_shipdate AS posted_at, 'claim ' || l_orderkey AS summary, CASE WHEN l_orderkey % 7 < 3 THEN " + str(SAID) + "[l_partkey % 4 + 1] END AS eta_text, CASE WHEN l_orderkey % 13 = 0 THEN '2026-07-0' || (l_partkey % 9 + 1) END AS eta_date, (l_orderkey % 10) / 10.0::DOUBLE AS confidence, (l_orderkey * 7) % 40 AS rank, l_orderkey % 500 AS reach").split(', fresh AS')[0].rpartition('fresh AS')[0]}
-spoken AS (SELECT *, family || '|' || cluster_key AS scope_key, list_filter([platform || ':account:' || handle, platform || ':post:' || quoted], lambda t: t IS NOT NULL) AS tokens, (rank, -list_position({rumors.PRECEDENCE}, claim_type), posted_at, confidence, id) AS ord,
+spoken AS (SELECT *, family || '|' || cluster_key AS scope_key, {claims_of.TOKENS_SQL} AS tokens, (rank, -list_position({rumors.PRECEDENCE}, claim_type), posted_at, confidence, id) AS ord,
   regexp_replace(lower(eta_text), '[^a-z0-9]', '', 'g') AS eta_key FROM clustered), {components_sql('spoken', 'scope_key', 'tokens', 'origin')},
 rooted AS (SELECT s.*, o.root FROM spoken s JOIN origin o ON o.scope = s.scope_key AND o.n = s.tokens[1]),
 lead AS (SELECT family, cluster_key, arg_max(claim_type, ord) AS claim_type, arg_max(summary, ord) AS claim_summary, count(DISTINCT eta_key) > 1 OR count(DISTINCT eta_date) > 1 AS eta_conflicting, count(DISTINCT root) AS mention_count,

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import lexicons as lex
 from pulsegrid.functions import text
 from pulsegrid.operators import leaderboard, rumors, series
 from pulsegrid.plans.claims import components_sql
-from pulsegrid.plans.views import pick, posts, read, with_posts
+from pulsegrid.plans.views import ago, pick, posts, read, with_posts
 
 PLATFORMS = ["twitter", "reddit", "bluesky", "web", "github"]
 LAST = "1998-11-01"
+#: Talk of rumours, releases and neither.
+TALK = ["spotted in the arena", "nothing of note", "now available to everyone", "delayed again", "plain talk"]
 
 
 def claims(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,21 +27,24 @@ def claims_from(li: DataFrame, *more: str) -> DataFrame:
     o, p, s = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     return li.select(
         o.alias("id"), F.concat(F.lit("f"), (o % 4).cast("string")).alias("family"), F.concat(F.lit("Model-"), (p % 400).cast("string")).alias("label"),
-        F.when(o % 40 < 4, F.concat(F.lit("code "), (p * 7 % 300).cast("string"))).alias("codename"), F.concat(F.lit("o"), o.cast("string")).alias("url"),
-        F.when(o % 5 == 0, F.concat(F.lit("o"), (o - o % 3).cast("string"))).alias("quoted"), pick(PLATFORMS, o % 5).alias("platform"), F.concat(F.lit("h"), (s % 37).cast("string")).alias("handle"),
+        F.when(o % 40 < 4, F.concat(F.lit("code "), (p * 7 % 300).cast("string"))).alias("codename"), 
+        F.when(o % 5 == 0, F.concat(F.lit("https://x.com/h"), s % 37, F.lit("/status/"), o)).when(o % 5 == 2, F.concat(F.lit("https://bsky.app/profile/h"), s % 37, F.lit("/post/"), o)).otherwise(F.concat(F.lit("https://site"), o % 50, F.lit(".org/"), o)).alias("url"),
+        F.when(o % 15 < 5, (o - o % 5 - 5 * (o % 3)).cast("string")).alias("quoted"), pick(PLATFORMS, o % 5).alias("platform"), F.concat(F.lit("h"), (s % 37).cast("string")).alias("handle"),
         pick(rumors.PRECEDENCE, p % 6).alias("claim_type"), (o % 11 == 0).alias("credible"), F.col("l_shipdate").cast("timestamp").alias("posted_at"), *more,
     )
 
 
-CLAIMS_SQL = f"""claims AS (SELECT l_orderkey AS id, 'f' || (l_orderkey % 4) AS family, 'Model-' || (l_partkey % 400) AS label, CASE WHEN l_orderkey % 40 < 4 THEN 'code ' || (l_partkey * 7 % 300) END AS codename, 'o' || l_orderkey AS url,
-  CASE WHEN l_orderkey % 5 = 0 THEN 'o' || (l_orderkey - l_orderkey % 3) END AS quoted, {str(PLATFORMS)}[l_orderkey % 5 + 1] AS platform, 'h' || (l_suppkey % 37) AS handle, {str(rumors.PRECEDENCE)}[l_partkey % 6 + 1] AS claim_type,
+TOKENS_SQL = "list_distinct(list_filter([platform || ':account:' || handle, platform || ':post:' || own_id, 'twitter:post:' || quoted, CASE WHEN platform = 'web' THEN 'web:domain:' || regexp_extract(url, '//([^/]*)', 1) END], lambda t: t IS NOT NULL))"
+CLAIMS_SQL = f"""claims AS (SELECT l_orderkey AS id, 'f' || (l_orderkey % 4) AS family, 'Model-' || (l_partkey % 400) AS label, CASE WHEN l_orderkey % 40 < 4 THEN 'code ' || (l_partkey * 7 % 300) END AS codename, 
+  CASE l_orderkey % 5 WHEN 0 THEN 'https://x.com/h' || (l_suppkey % 37) || '/status/' || l_orderkey WHEN 2 THEN 'https://bsky.app/profile/h' || (l_suppkey % 37) || '/post/' || l_orderkey ELSE 'https://site' || (l_orderkey % 50) || '.org/' || l_orderkey END AS url,
+  CASE WHEN l_orderkey % 5 IN (0, 2) THEN l_orderkey::VARCHAR END AS own_id, CASE WHEN l_orderkey % 15 < 5 THEN (l_orderkey - l_orderkey % 5 - 5 * (l_orderkey % 3))::VARCHAR END AS quoted, {str(PLATFORMS)}[l_orderkey % 5 + 1] AS platform, 'h' || (l_suppkey % 37) AS handle, {str(rumors.PRECEDENCE)}[l_partkey % 6 + 1] AS claim_type,
   l_orderkey % 11 = 0 AS credible, l_shipdate AS posted_at FROM lineitem WHERE l_linenumber = 1),
 ids AS (SELECT DISTINCT family, label, codename FROM claims),
 reach AS (SELECT family, label, label AS other FROM ids UNION SELECT r.family, r.label, b.label FROM reach r JOIN ids a ON a.family = r.family AND a.label = r.other JOIN ids b ON b.family = a.family AND b.codename = a.codename),
 keyed AS (SELECT family, label, arg_min(other, (length(other), other)) AS cluster_key FROM reach GROUP BY family, label),
 clustered AS (SELECT c.*, k.cluster_key FROM claims c JOIN keyed k USING (family, label)),
-fresh AS (SELECT * FROM clustered c WHERE NOT EXISTS (SELECT 1 FROM clustered d WHERE d.family = c.family AND d.cluster_key = c.cluster_key AND d.url = c.quoted)),
-spoken AS (SELECT *, family || '|' || cluster_key AS scope_key, list_filter([platform || ':account:' || handle, platform || ':post:' || quoted], lambda t: t IS NOT NULL) AS tokens FROM fresh), {components_sql('spoken', 'scope_key', 'tokens', 'origin')},
+fresh AS (SELECT * FROM clustered c WHERE NOT EXISTS (SELECT 1 FROM clustered d WHERE d.family = c.family AND d.cluster_key = c.cluster_key AND d.own_id = c.quoted)),
+spoken AS (SELECT *, family || '|' || cluster_key AS scope_key, {TOKENS_SQL} AS tokens FROM fresh), {components_sql('spoken', 'scope_key', 'tokens', 'origin')},
 rooted AS (SELECT s.*, o.root FROM spoken s JOIN origin o ON o.scope = s.scope_key AND o.n = s.tokens[1]),
 products AS (SELECT family, cluster_key, count(DISTINCT root) AS mention_count, list_sort(list(DISTINCT platform)) AS pl, arg_min(claim_type, (list_position({str(rumors.PRECEDENCE)}, claim_type), -epoch(posted_at))) AS claim_type,
   min(posted_at) AS first_seen_at, max(posted_at) AS last_seen_at, bool_or(credible) AS has_credible_source FROM rooted GROUP BY family, cluster_key)"""
@@ -85,21 +91,15 @@ def rumor_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rumor_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """Of the newest thousand matching posts the newest of each URL, of these the newest two hundred."""
-    match = posts(spark, folder).where(F.col("title").rlike("purchase|signup"))
+    """Of the newest thousand posts of ten days that weren't looked at and speak of rumours or releases the newest of each URL, of these the newest two hundred."""
+    p, i = posts(spark, folder), F.col("id")
+    said = F.concat_ws(" ", "title", pick(TALK, i % len(TALK)))
+    match = p.where((i % 9 != 0) & (F.col("posted_at") >= ago(days=10)) & F.col("source_url").isNotNull() & (text.is_rumor(said) | text.has(said, lex.RELEASED)))
     newest = match.orderBy(F.desc("posted_at"), F.desc("id")).limit(1000)
     each = series.latest(newest, ["source_url"], "posted_at", 1, "id")
     return each.orderBy(F.desc("posted_at"), F.desc("id")).limit(200).select("id", "source_url", "posted_at")
 
 
-ETAS = [(1, "Q3 2026", "2026-07-01"), (2, "early May 2026", "2026-05-01"), (3, "mid-june", "2026-06-11"), (4, "late February", "2027-02-21"), (5, "next week", "2026-05-18"), (6, "this month", "2026-05-01"), (7, "next month", "2026-06-01"), (8, "on 2026-08-15 maybe", "2026-08-15"), (9, "someday", None)]
-
-
-def eta_normalize(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.createDataFrame([x[:2] for x in ETAS], "id long, said string")
-    return rows.select("id", "said", rumors.eta(F.col("said"), F.lit("2026-05-14 10:00:00").cast("timestamp")).cast("string").alias("eta"))
-
-
 def board(spark: SparkSession, folder: str) -> DataFrame:
     """A leaderboard from parts."""
     p, k = read(spark, folder, "part"), F.col("p_partkey")
@@ -165,7 +165,6 @@ QUERIES = {
     "rumor_board": rumor_board,
     "rumor_sources": rumor_sources,
     "rumor_candidates": rumor_candidates,
-    "eta_normalize": eta_normalize,
     "board_lineup": board_lineup,
     "leader_band": leader_band,
     "generation_deltas": generation_deltas,
@@ -184,8 +183,7 @@ ORACLE = {
     "rumor_absorb": f"WITH RECURSIVE {EVERY_SQL} SELECT family, cluster_key, count(DISTINCT root) AS mention_count, array_to_string(list_sort(list(DISTINCT platform)), ',') AS platforms, arg_min(claim_type, list_position({rumors.PRECEDENCE}, claim_type)) AS claim_type, min(posted_at) AS first_seen_at, max(posted_at) AS last_seen_at, bool_or(credible) AS has_credible_source FROM rooted GROUP BY family, cluster_key",
     "rumor_board": _C + f"SELECT family, cluster_key, mention_count, {_PL}, claim_type FROM products WHERE (mention_count >= 2 OR has_credible_source) AND last_seen_at >= TIMESTAMP '{LAST}' - INTERVAL 21 DAY AND NOT ends_with(cluster_key, '7') ORDER BY has_credible_source DESC, len(pl) DESC, mention_count DESC, last_seen_at DESC, family, cluster_key LIMIT 100",
     "rumor_sources": _C + "SELECT family, cluster_key, string_agg(url, ',' ORDER BY posted_at DESC, url) AS sources FROM (SELECT family, cluster_key, url, max(posted_at) AS posted_at FROM clustered GROUP BY family, cluster_key, url QUALIFY row_number() OVER (PARTITION BY family, cluster_key ORDER BY max(posted_at) DESC, url) <= 4) GROUP BY family, cluster_key",
-    "rumor_candidates": with_posts("SELECT id, source_url, posted_at FROM (SELECT * FROM (SELECT * FROM posts WHERE regexp_matches(title, 'purchase|signup') ORDER BY posted_at DESC, id DESC LIMIT 1000) QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY posted_at DESC, id DESC) = 1) ORDER BY posted_at DESC, id DESC LIMIT 200"),
-    "eta_normalize": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}', {repr(e) if e else 'NULL'})" for i, s, e in ETAS) + ") v(id, said, eta)",
+    "rumor_candidates": with_posts("SELECT id, source_url, posted_at FROM (SELECT * FROM (SELECT * FROM posts WHERE id % 9 <> 0 AND posted_at >= TIMESTAMP '2024-01-21' AND id % 5 NOT IN (1, 4) ORDER BY posted_at DESC, id DESC LIMIT 1000) QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY posted_at DESC, id DESC) = 1) ORDER BY posted_at DESC, id DESC LIMIT 200"),
     "board_lineup": _B + ", t AS (SELECT fam, max(ver) AS tv, arg_max(name, (ver, name)) AS tn FROM board WHERE ranked GROUP BY fam) SELECT name, CASE WHEN tv > ver AND tn <> name THEN tn END AS successor FROM board LEFT JOIN t USING (fam)",
     "leader_band": _B + ", l AS (SELECT brand, name, score, hi >= first(lo) OVER w AS r, row_number() OVER w AS i FROM board WINDOW w AS (PARTITION BY brand ORDER BY score DESC, name)), f AS (SELECT brand, coalesce(min(i) FILTER (WHERE NOT r), 1000000000) AS cutoff FROM l GROUP BY brand), b AS (SELECT l.* FROM l JOIN f USING (brand) WHERE i < cutoff) SELECT brand, name, score FROM b QUALIFY count(*) OVER (PARTITION BY brand) > 1",
     "generation_deltas": DELTA_SQL,

@@ -82,10 +82,11 @@ def top_complaint_weighted(spark: SparkSession, folder: str) -> DataFrame:
 def landing_scores(spark: SparkSession, folder: str) -> DataFrame:
     """One row a model: latest and previous score, recent volumes, queue."""
     all_posts, recent = posts(spark, folder), F.col("posted_at") > ago(days=7)
-    ranked = daily(spark, folder).where(F.col("period_start") > ago(days=90))
+    # a day's score is computed five minutes after the day
+    ranked = daily(spark, folder).where(F.col("period_start") > ago(days=90)).withColumn("score_computed_at", F.col("period_start") + F.expr("interval 1445 minutes"))
     ranked = ranked.withColumn("rn", F.row_number().over(Window.partitionBy("model_id").orderBy(F.desc("period_start"))))
     of = lambda c, rn, name: F.max(F.when(F.col("rn") == rn, F.col(c))).alias(name)
-    same = ("eligible_posts", "top_complaint", "score_basis_status", "score_confidence")
+    same = ("eligible_posts", "top_complaint", "score_basis_status", "score_confidence", "queued_posts", "unclassified_posts", "failed_posts", "classification_coverage", "score_computed_at")
     last = ranked.where("rn <= 2").groupBy("model_id").agg(
         of("score", 1, "latest_score"), of("score", 2, "previous_score"), of("period_start", 1, "score_period_start"), of("total_posts", 1, "latest_score_total_posts"), *(of(c, 1, c) for c in same)
     )
@@ -101,6 +102,8 @@ def landing_scores(spark: SparkSession, folder: str) -> DataFrame:
         "model_id", F.col("name").alias("model_name"), F.col("slug").alias("model_slug"), "accent_color", F.coalesce("latest_score", F.lit(50)).alias("latest_score"), "previous_score",
         zero("total_posts"), "top_complaint", zero("eligible_posts"), "score_period_start", (F.col("score_period_start") + F.expr("interval 1 day")).alias("score_period_end"), zero("latest_score_total_posts"),
         "latest_post_posted_at", "latest_post_ingested_at", F.coalesce("score_basis_status", F.lit("stale_no_current_score")).alias("score_basis_status"), F.coalesce("score_confidence", F.lit("low")).alias("score_confidence"),
+        F.col("score_computed_at").alias("last_updated"), "score_computed_at", zero("eligible_posts").alias("latest_score_eligible_posts"), zero("total_posts").alias("recent_posts_7d"), F.col("score_period_start").alias("measurement_period_start"),
+        F.lit(None).cast("timestamp").alias("carried_from_period_start"), F.col("score_period_start").alias("latest_measurement_period_start"), zero("queued_posts"), zero("unclassified_posts"), zero("failed_posts"), F.round(F.coalesce("classification_coverage", F.lit(1.0)), 6).alias("classification_coverage"),
         (F.col("score_period_start").isNull() | (F.col("score_period_start") < today)).alias("is_stale"), zero("pending_classifications"), zero("failed_classifications"),
     )
 
@@ -111,12 +114,16 @@ waiting AS (SELECT model_id, count(*) FILTER (WHERE status IN ('pending', 'retry
 SELECT m.model_id, m.name AS model_name, m.slug AS model_slug, m.accent_color, coalesce(a.score, 50) AS latest_score, b.score AS previous_score, coalesce(w.total_posts, 0) AS total_posts, a.top_complaint, coalesce(a.eligible_posts, 0) AS eligible_posts,
  a.period_start AS score_period_start, a.period_start + INTERVAL 1 DAY AS score_period_end, coalesce(a.total_posts, 0) AS latest_score_total_posts, w.latest_post_posted_at, w.latest_post_ingested_at,
  coalesce(a.score_basis_status, 'stale_no_current_score') AS score_basis_status, coalesce(a.score_confidence, 'low') AS score_confidence,
+ a.period_start + INTERVAL 1445 MINUTE AS last_updated, a.period_start + INTERVAL 1445 MINUTE AS score_computed_at, coalesce(a.eligible_posts, 0) AS latest_score_eligible_posts, coalesce(w.total_posts, 0) AS recent_posts_7d, a.period_start AS measurement_period_start, NULL::TIMESTAMP AS carried_from_period_start, a.period_start AS latest_measurement_period_start,
+ coalesce(a.queued_posts, 0) AS queued_posts, coalesce(a.unclassified_posts, 0) AS unclassified_posts, coalesce(a.failed_posts, 0) AS failed_posts, round(coalesce(a.classification_coverage, 1.0::DOUBLE), 6) AS classification_coverage,
  a.period_start IS NULL OR a.period_start < date_trunc('day', {NOW_SQL} - INTERVAL 8 HOUR) + INTERVAL 8 HOUR AS is_stale, coalesce(q.p, 0) AS pending_classifications, coalesce(q.f, 0) AS failed_classifications
 FROM models m LEFT JOIN ranked a ON a.model_id = m.model_id AND a.rn = 1 LEFT JOIN ranked b ON b.model_id = m.model_id AND b.rn = 2 LEFT JOIN week w ON w.model_id = m.model_id LEFT JOIN waiting q ON q.model_id = m.model_id"""
 
 
 def score_sparkline(spark: SparkSession, folder: str) -> DataFrame:
-    return series.latest(daily(spark, folder), ["model_id"], "period_start", 7).select("model_id", "period_start", "score")
+    """Each model's last seven scores among those of so many days, at least two and at most ninety."""
+    days = max(2, series.clamp(400, 30, 90))
+    return series.latest(daily(spark, folder).where(F.col("period_start") > ago(days=days)), ["model_id"], "period_start", 7).select("model_id", "period_start", "score")
 
 
 def score_trend(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,12 +131,13 @@ def score_trend(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def score_history(spark: SparkSession, folder: str) -> DataFrame:
-    rows = daily(spark, folder).where((F.col("model_id") == "m1") & (F.col("period_start") <= F.lit("2024-01-25").cast("timestamp")))
+    rows = series.between(daily(spark, folder).where(F.col("model_id") == "m1"), "period_start", "2024-01-05", "2024-01-25")
     return rows.orderBy(F.desc("period_start")).limit(series.clamp(500, 30, 240)).select("model_id", "period_start", "score", "total_posts")
 
 
 def model_by_slug(spark: SparkSession, folder: str) -> DataFrame:
-    return models(spark).where(F.col("slug") == "gemini")
+    """The model of a slug, if any post is filed under it."""
+    return models(spark).where(F.col("slug") == "gemini").join(posts(spark, folder).select("model_id"), "model_id", "left_semi")
 
 
 def score_anomalies(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,9 +168,11 @@ FROM incidents e LEFT JOIN graded g ON g.model_id = e.model_id AND g.severity <>
 
 
 def daily_chart_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """Ten days of each model, with gaps as nulls."""
-    scored = daily(spark, folder).where("eligible_posts >= 5").select("model_id", F.to_date(F.from_utc_timestamp("period_start", scoring.ZONE)).alias("day"), "score")
-    return series.grid(models(spark).select("model_id"), scored, "2024-01-30", 10).withColumn("day", F.col("day").cast("string"))
+    """Ten days of each model, with gaps as nulls, and whether a day's score was only carried forward."""
+    basis = F.when(F.dayofmonth("period_start") % 5 == 0, "carried_forward").otherwise(F.col("score_basis_status"))
+    scored = daily(spark, folder).where("eligible_posts >= 5").select("model_id", F.to_date(F.from_utc_timestamp("period_start", scoring.ZONE)).alias("day"), "score", "eligible_posts", basis.alias("score_basis_status"), "total_posts")
+    made = series.grid(models(spark).select("model_id"), scored, "2024-01-30", 10)
+    return made.select("model_id", F.col("day").cast("string").alias("day"), "score", "eligible_posts", "score_basis_status", series.carried(F.col("score_basis_status"), F.col("total_posts")).alias("is_carry_forward"))
 
 
 def score_backfill_diff(spark: SparkSession, folder: str) -> DataFrame:
@@ -228,11 +238,11 @@ ORACLE = {
     "landing_scores": with_posts(LANDING_SQL),
     "score_sparkline": with_posts(_S + "model_id, period_start, score FROM scores QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY period_start DESC) <= 7"),
     "score_trend": with_posts(_S + "model_id, period_start, score, score - lag(score) OVER w AS change, CASE WHEN score > lag(score) OVER w THEN 'up' WHEN score < lag(score) OVER w THEN 'down' ELSE 'flat' END AS direction FROM scores WINDOW w AS (PARTITION BY model_id ORDER BY period_start)"),
-    "score_history": with_posts(_S + "model_id, period_start, score, total_posts FROM scores WHERE model_id = 'm1' AND period_start <= TIMESTAMP '2024-01-25' ORDER BY period_start DESC LIMIT 240"),
-    "model_by_slug": with_posts("SELECT model_id, slug, name, accent_color FROM models WHERE slug = 'gemini'"),
+    "score_history": with_posts(_S + "model_id, period_start, score, total_posts FROM scores WHERE model_id = 'm1' AND period_start >= TIMESTAMP '2024-01-05' AND period_start <= TIMESTAMP '2024-01-25' ORDER BY period_start DESC LIMIT 240"),
+    "model_by_slug": with_posts("SELECT model_id, slug, name, accent_color FROM models WHERE slug = 'gemini' AND model_id IN (SELECT model_id FROM posts)"),
     "score_anomalies_zscore": with_posts(f"{DAILY_SQL}{ANOMALY_SQL} SELECT model_id, period_start, score, round(baseline_mean, 6) AS baseline_mean, round(baseline_stddev, 6) AS baseline_stddev, round(z, 6) AS z, severity FROM graded"),
     "status_anomaly_correlation": with_posts(CORRELATION_SQL),
-    "daily_chart_grid": with_posts(f"{DAILY_SQL} SELECT m.model_id, d.day::DATE::VARCHAR AS day, s.score FROM models m CROSS JOIN generate_series(DATE '2024-01-21', DATE '2024-01-30', INTERVAL 1 DAY) d(day) LEFT JOIN scores s ON s.model_id = m.model_id AND s.eligible_posts >= 5 AND (s.period_start - INTERVAL 8 HOUR)::DATE = d.day::DATE"),
+    "daily_chart_grid": with_posts(f"{DAILY_SQL} SELECT m.model_id, d.day::DATE::VARCHAR AS day, s.score, s.eligible_posts, s.basis AS score_basis_status, coalesce(s.basis = 'carried_forward' OR s.total_posts = 0, false) AS is_carry_forward FROM models m CROSS JOIN generate_series(DATE '2024-01-21', DATE '2024-01-30', INTERVAL 1 DAY) d(day) LEFT JOIN (SELECT *, CASE WHEN day(period_start) % 5 = 0 THEN 'carried_forward' ELSE score_basis_status END AS basis FROM scores) s ON s.model_id = m.model_id AND s.eligible_posts >= 5 AND (s.period_start - INTERVAL 8 HOUR)::DATE = d.day::DATE"),
     "score_backfill_diff": DIFF_SQL.format(old=_OLD, new=with_posts(_S + "model_id, period_start, score FROM scores")),
     "dedup_scores": with_posts("SELECT source_url, model_id, id FROM posts QUALIFY row_number() OVER (PARTITION BY source_url, model_id ORDER BY created_at DESC, id DESC) = 1"),
     "as_of_seed": with_posts(_S + "model_id, arg_max(score, period_start) AS seed_score, max(period_start) AS seed_period_start FROM scores WHERE period_start < TIMESTAMP '2024-01-20' GROUP BY model_id"),

@@ -43,7 +43,7 @@ SAMPLES = [
     (17, "<p>I used <b>gpt 5</b> today</p> and it was fine"),
     (18, "ÉCLAUDE is not a model but claude is"),
 ]
-MARKERS = ["claude code", "claude.ai", "anthropic api", "codex", "chatgpt app", "openai api", "gemini cli", "ai studio", "grok app", ""]
+MARKERS = ["claude code", "claude.ai", "anthropic api", "codex", "chatgpt app", "openai api", "gemini cli", "ai studio", "grok app", "anthropic-sdk", ""]
 
 
 def sql_text(value: str) -> str:
@@ -97,18 +97,6 @@ def url_parts(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "pages").select("page_id", text.host(u).alias("host"), F.regexp_extract(u, r"^[a-z]+://[^/?#]*/([^/?#]*)", 1).alias("section"), F.regexp_extract(u, r"[?&]page=(\d+)", 1).alias("page"), text.safe_url(u).alias("safe_url"))
 
 
-SOURCE_ROWS = [
-    (1, "@AnthropicAI", "https://x.com/anthropicai/status/1", "twitter", False), (2, "apples_jimmy", None, "twitter", False), (3, None, "https://www.polymarket.com/e/1", "web", False), (4, None, "https://blog.google.com/a", "web", False),
-    (5, "someone", "https://www.theverge.com/1", "web", False), (6, "someone", None, "bluesky", True), (7, None, None, "github", False), (8, "axios", None, "twitter", True), (9, None, "https://notopenai.com/", "web", False), (10, None, None, None, False),
-]
-SOURCE_EXPECTED = ["official", "tracked_leaker", "prediction_market", "official", "press_echo", "press_echo", "artifact_leak", "press_scoop", "unknown", "unknown"]
-
-
-def source_quality(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.createDataFrame(SOURCE_ROWS, "id long, handle string, url string, platform string, quotes boolean")
-    return rows.select("id", text.source_quality(F.col("handle"), F.col("url"), F.col("platform"), F.col("quotes")).alias("quality"))
-
-
 def surfaced(spark: SparkSession, folder: str) -> DataFrame:
     """Posts with the product surface that their text names."""
     marker = F.element_at(F.array(*map(F.lit, MARKERS)), (F.col("k") % len(MARKERS)).cast("int") + 1)
@@ -133,6 +121,9 @@ def surface_dataset(spark: SparkSession, folder: str) -> DataFrame:
     return cells.join(top, key, "left").withColumn("top_complaint", F.coalesce("top_complaint", F.lit("")))
 
 
+KINDS = ["cli", "product_app", "api", "sdk"]
+
+
 def coverage_report(spark: SparkSession, folder: str) -> DataFrame:
     """For each model how many posts name a surface, and how many each kind of surface."""
     kind = F.lit("other")
@@ -140,9 +131,9 @@ def coverage_report(spark: SparkSession, folder: str) -> DataFrame:
         for _, name, label in patterns:
             kind = F.when(F.col("surface") == label, name).otherwise(kind)
     rows = surfaced(spark, folder)
-    wide = rows.where("surface is not null").withColumn("kind", kind).groupBy("slug").pivot("kind", ["cli", "product_app", "api"]).count()
+    wide = rows.where("surface is not null").withColumn("kind", kind).groupBy("slug").pivot("kind", KINDS).count()
     total = rows.groupBy("slug").agg(F.count(F.lit(1)).alias("n_posts"), F.count("surface").alias("n_matched"))
-    filled = [F.coalesce(c, F.lit(0)).alias(c) for c in ("cli", "product_app", "api")]
+    filled = [F.coalesce(c, F.lit(0)).alias(c) for c in KINDS]
     return total.join(wide, "slug", "left").select("slug", "n_posts", "n_matched", F.round(F.col("n_matched") / F.col("n_posts"), 6).alias("rate"), *filled)
 
 
@@ -159,7 +150,6 @@ QUERIES = {
     "attributed_posts": attributed_posts,
     "html_strip": html_strip,
     "url_parts": url_parts,
-    "source_quality": source_quality,
     "surface_dataset": surface_dataset,
     "coverage_report": coverage_report,
     "negative_surface_mix": negative_surface_mix,
@@ -176,11 +166,10 @@ ORACLE = {
     "attributed_posts": f"WITH {MENTIONS_SQL} SELECT id, model_id, m.slug FROM (SELECT id, unnest({models_of_sql('text', KEYWORDS)}) AS slug FROM mentions) a JOIN (VALUES {', '.join(str(m[:2]) for m in MODELS)}) m(model_id, slug) ON a.slug = m.slug",
     "html_strip": f"SELECT page_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, {text.plain_html_sql('coalesce(html, chr(0))').replace('chr(0)', chr(39) * 2)} AS t FROM pages)",
     "url_parts": r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') AS host, regexp_extract(url, '^[a-z]+://[^/?#]*/([^/?#]*)', 1) AS section, regexp_extract(url, '[?&]page=(\d+)', 1) AS page, CASE WHEN regexp_matches(url, '^https?://[^\s<>""'']+$') THEN url END AS safe_url FROM pages".replace('""', '"'),
-    "source_quality": f"SELECT * FROM (VALUES {', '.join(str((i + 1, q)) for i, q in enumerate(SOURCE_EXPECTED))}) v(id, quality)",
     "surface_dataset": with_posts(f"""{SURFACED_SQL}, c AS (SELECT *, strftime(posted_at, '%Y-%m-%d') AS day, status = 'classified' AND confidence >= 0.65 AS fine, {complaint_sql('complaint')} AS category FROM surfaced WHERE surface IS NOT NULL),
       n AS (SELECT day, slug, surface, count(*) AS total_posts, count(*) FILTER (WHERE fine AND sentiment = 'positive') AS positive, count(*) FILTER (WHERE fine AND sentiment = 'negative') AS negative, count(*) FILTER (WHERE fine AND sentiment = 'neutral') AS neutral FROM c GROUP BY day, slug, surface),
       t AS (SELECT day, slug, surface, category FROM (SELECT day, slug, surface, category, count(*) AS k FROM c WHERE fine AND category IS NOT NULL GROUP BY day, slug, surface, category) QUALIFY row_number() OVER (PARTITION BY day, slug, surface ORDER BY k DESC, category) = 1)
       SELECT n.*, floor(round(100.0::DOUBLE * (positive + 0.3::DOUBLE * neutral) / (positive + negative + neutral), 9) + 0.5::DOUBLE)::INTEGER AS score, coalesce(t.category, '') AS top_complaint FROM n LEFT JOIN t USING (day, slug, surface) WHERE positive + negative + neutral >= 5"""),
-    "coverage_report": with_posts(f"{SURFACED_SQL} SELECT slug, count(*) AS n_posts, count(surface) AS n_matched, round(count(surface) / count(*)::DOUBLE, 6) AS rate, count(*) FILTER (WHERE {_KIND} = 'cli') AS cli, count(*) FILTER (WHERE {_KIND} = 'product_app') AS product_app, count(*) FILTER (WHERE {_KIND} = 'api') AS api FROM surfaced GROUP BY slug"),
+    "coverage_report": with_posts(f"{SURFACED_SQL} SELECT slug, count(*) AS n_posts, count(surface) AS n_matched, round(count(surface) / count(*)::DOUBLE, 6) AS rate, count(*) FILTER (WHERE {_KIND} = 'cli') AS cli, count(*) FILTER (WHERE {_KIND} = 'product_app') AS product_app, count(*) FILTER (WHERE {_KIND} = 'api') AS api, count(*) FILTER (WHERE {_KIND} = 'sdk') AS sdk FROM surfaced GROUP BY slug"),
     "negative_surface_mix": with_posts(f"{SURFACED_SQL} SELECT model_id, surface, n, floor(round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY model_id), 9) + 0.5::DOUBLE)::INTEGER AS pct FROM (SELECT model_id, coalesce(surface, 'Unspecified') AS surface, count(*) AS n FROM surfaced WHERE sentiment = 'negative' AND posted_at >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY GROUP BY 1, 2)"),
 }
