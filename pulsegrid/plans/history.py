@@ -97,9 +97,9 @@ def cost_by_day(spark: SparkSession, folder: str) -> DataFrame:
     return prices.by_day(usage, held).withColumn("day", F.col("day").cast("string"))
 
 
-COST_SQL = """WITH u AS (SELECT l_orderkey AS a, l_linenumber AS b, 'm' || (l_suppkey % 3) AS model, l_shipdate AS tm, l_quantity * 100 AS i, l_extendedprice AS o, l_quantity AS c FROM lineitem),
+COST_SQL = """WITH u AS (SELECT row_number() OVER () AS a, 'm' || (l_suppkey % 3) AS model, l_shipdate AS tm, l_quantity * 100 AS i, l_extendedprice AS o, l_quantity AS c FROM lineitem),
 p AS (SELECT 'm' || m AS model, make_timestamp(y, 3, 1, 0, 0, 0) AS since, CASE WHEN y < 1998 THEN make_timestamp(y + 1, m + 2, 1, 0, 0, 0) END AS until, y - 1990.0::DOUBLE AS ip, y - 1985.0::DOUBLE AS op FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders), range(2) r(m)),
-c AS (SELECT u.*, ((i - c) * ip + c * ip * 0.1::DOUBLE + o * op) / 1000000 AS cost FROM u LEFT JOIN p ON p.model = u.model AND p.since <= u.tm AND (p.until IS NULL OR p.until > u.tm) QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY since DESC) = 1)
+c AS (SELECT u.*, ((i - c) * ip + c * ip * 0.1::DOUBLE + o * op) / 1000000 AS cost FROM u LEFT JOIN p ON p.model = u.model AND p.since <= u.tm AND (p.until IS NULL OR p.until > u.tm) QUALIFY row_number() OVER (PARTITION BY a ORDER BY since DESC) = 1)
 SELECT model, tm::DATE::VARCHAR AS day, count(*) AS calls, count(*) FILTER (cost IS NULL) AS unpriced, round(sum(cost), 9) AS cost, round(round(sum(cost), 9) / nullif(count(cost), 0) * 1000, 9) AS cost_per_1k FROM c GROUP BY ALL"""
 
 
