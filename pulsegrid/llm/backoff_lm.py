@@ -16,8 +16,10 @@ a task. There the states and arcs are laid out in flat arrays, and the texts are
 once: each carries its state and adds up log10 weights. A long text is read in pieces; a piece is led in by the
 last tokens before it, which alone settle its first state, so nothing differs from one walk.
 
-Words are named by their XXH64, longer n-grams by a 64-bit mix of those hashes, of which ``KEY_BITS`` bits count
-beside the shard's number; within a shard they travel as differences of sorted numbers.
+Words are named by their XXH64, longer n-grams by a 64-bit mix of those hashes, all bits of which count; within a shard they
+travel as differences of sorted numbers. A block asks a shard only for n-grams that it holds. The number of word types, which no
+block could learn from its own words, is counted by the shards and enters at the end: it weighs on unseen tokens and on the base score's divisor, which are
+sums over tokens. Blocks are written bucketed by their number, so that they meet their answers without being shuffled.
 
 Defined results: null and empty texts are the end token alone; repeated rows count each time; a null id hashes
 as empty text; without any training text every token is unseen and has probability one.
@@ -25,6 +27,8 @@ as empty text; without any training text every token is unseen and has probabili
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +39,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import bounded_batches, text_bytes, write_table
+from pulsegrid.llm.common import bounded_batches, cut, tables_dir, text_bytes
 from pulsegrid.llm.quality_rules import mixed
 
-#: Bytes of text in a block (a longer text is a block of its own), tokens that a shard is sized for, bits of an n-gram's number in its shard.
+#: Bytes of text in a block (a longer text is a block of its own), tokens that a shard is sized for.
 BLOCK_BYTES = 6 << 20
 SHARD_TOKENS = 1 << 21
-KEY_BITS = 36
+#: Over how many blocks below zero the shards' numbers of types are spread.
+SPREAD = 1024
 #: Tokens of a text that are read in one piece.
 PIECE = 256
 END = np.uint64(0xE0D)
@@ -63,10 +68,18 @@ class Encoder:
         self.size += len(text)
 
     def row(self) -> tuple[bytes, bytes, bytes]:
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in self.known), np.uint64, len(self.known))
-        hashes[0] = END
+        words = b" ".join(self.known)
         lengths = np.array([len(t) for t in self.texts], np.uint32)
-        return squeezed(np.concatenate(self.texts), 6), lengths.tobytes(), hashes.tobytes()
+        return squeezed(np.concatenate(self.texts), 6), lengths.tobytes(), len(words).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(words, asbytes=True)
+
+
+def word_hashes(words: bytes) -> np.ndarray:
+    """Hashes of a block's distinct words, the end token first."""
+    size = int.from_bytes(words[:8], "little")
+    known = pa.decompress(memoryview(words)[8:], size, "zstd", asbytes=True).split(b" ") if size else [b""]
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in known), np.uint64, len(known))
+    hashes[0] = END
+    return hashes
 
 
 def longer(histories: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -78,17 +91,16 @@ def longer(histories: np.ndarray, words: np.ndarray) -> np.ndarray:
 class Block:
     """The n-grams of a block: for each order, their distinct hashes and, for each token, which of them ends there."""
 
-    def __init__(self, tokens: bytes, lengths: bytes, hashes: bytes, trained: list[bool], order: int, shard_bits: int = 8):
+    def __init__(self, tokens: bytes, lengths: bytes, words: bytes, trained: list[bool], order: int):
         ids = unsqueezed(tokens, np.int32)
         self.lengths = np.frombuffer(lengths, np.uint32).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
-        words = np.frombuffer(hashes, np.uint64)
+        words = word_hashes(words)
         self.trained = np.asarray(trained, bool)[self.doc]
         begins = np.cumsum(self.lengths) - self.lengths
         # a token's place in its text
         self.into = np.arange(len(ids), dtype=np.int32) - np.repeat(begins, self.lengths).astype(np.int32)
         at = words[ids]
-        # words keep all bits; longer n-grams those of the shard's number and KEY_BITS more
         self.keys, self.which = [words], [ids]
         # an order-n gram that reaches over a text's beginning starts with its begin token, hash 0
         for n in range(2, order + 1):
@@ -98,7 +110,7 @@ class Block:
                 before[back:] = at[:-back]
                 before[self.into < back] = 0
                 history = longer(history, before)
-            keys, which = np.unique(longer(history, at) >> np.uint64(64 - KEY_BITS - shard_bits), return_inverse=True)
+            keys, which = np.unique(longer(history, at), return_inverse=True)
             self.keys.append(keys)
             self.which.append(which.astype(np.int32))
 
@@ -110,19 +122,18 @@ class Block:
         """The places of the order-n keys, sorted, and where each shard's part begins and the last ends."""
         keys = self.keys[n - 1]
         place = np.argsort(keys) if n == 1 else np.arange(len(keys))  # longer ones are sorted already
-        width = np.uint64(64 - shard_bits if n == 1 else KEY_BITS)
-        firsts = np.arange(1 << shard_bits, dtype=np.uint64) << width
+        firsts = np.arange(1 << shard_bits, dtype=np.uint64) << np.uint64(64 - shard_bits)
         return place, np.append(np.searchsorted(keys[place], firsts), len(keys))
 
 
 def encode(docs: DataFrame, keep: list[str], trained: Column, text: str = "text") -> DataFrame:
-    """Blocks (block, keep columns as lists, trained, size, tokens, lengths, hashes), written to the shared folder; size: training tokens."""
+    """Blocks (block, keep columns as lists, trained, size, tokens, lengths, words), written to the shared folder in buckets by block; size: training tokens."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), trained.alias("trained"), text_bytes(text).alias("t"))
     n = len(keep)
     kinds = [f"k{i} array<{rows.schema[i].dataType.simpleString()}>" for i in range(n)]
-    names = ["block", *(f"k{i}" for i in range(n)), "trained", "size", "tokens", "lengths", "hashes"]
+    names = ["block", *(f"k{i}" for i in range(n)), "trained", "size", "tokens", "lengths", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
@@ -146,25 +157,34 @@ def encode(docs: DataFrame, keep: list[str], trained: Column, text: str = "text"
         if encoder.texts:
             yield row(encoder, held)
 
-    schema = ", ".join(["block long", *kinds, "trained array<boolean>", "size long", "tokens binary", "lengths binary", "hashes binary"])
-    return spark.read.schema(schema).parquet(write_table(rows.mapInArrow(run, schema), "lm-blocks"))
+    schema = ", ".join(["block long", *kinds, "trained array<boolean>", "size long", "tokens binary", "lengths binary", "words binary"])
+    return write_buckets(rows.mapInArrow(run, schema), "lm_blocks", "block")
 
 
-def train_and_ask(blocks: DataFrame, order: int, shard_bits: int) -> DataFrame:
-    """(block, n, shard, counts, types): for each block, the training counts of its own n-grams in the order of ``by_shard``.
+def write_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write ``df`` to the shared folder in as many buckets by ``key`` as the session shuffles to, so that grouping by it needs no shuffle, and read it again.
 
-    types: how many n-grams of the shard occur in training texts. For unigrams every block asks every shard, so it learns all types.
+    The catalog knows the table only until it's read here; its files lie with the application's other tables.
     """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", f"{tables_dir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
+def train_and_ask(blocks: DataFrame, order: int, shard_bits: int) -> DataFrame:
+    """(block, n, shard, counts, types): for each block, the training counts of its own n-grams in the order of ``by_shard``; and rows of no block, as ``counted`` adds them."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # one block at a time in memory
-                x = batch.slice(i, 1).select(["block", "trained", "tokens", "lengths", "hashes"]).to_pylist()[0]
-                b = Block(x["tokens"], x["lengths"], x["hashes"], x["trained"], order, shard_bits)
+                x = batch.slice(i, 1).select(["block", "trained", "tokens", "lengths", "words"]).to_pylist()[0]
+                b = Block(x["tokens"], x["lengths"], x["words"], x["trained"], order)
                 for n in range(1, order + 1):
                     place, bounds = b.by_shard(n, shard_bits)
                     keys, count = b.keys[n - 1][place], b.counts(n)[place]
-                    some = np.flatnonzero(np.diff(bounds) >= (n > 1))
+                    some = np.flatnonzero(np.diff(bounds))
                     parts = [slice(bounds[s], bounds[s + 1]) for s in some]
                     yield pa.RecordBatch.from_pydict({
                         "block": np.full(len(some), x["block"]), "n": np.full(len(some), n, np.int32), "shard": some.astype(np.int32),
@@ -176,7 +196,10 @@ def train_and_ask(blocks: DataFrame, order: int, shard_bits: int) -> DataFrame:
 
 
 def counted(asked: DataFrame) -> DataFrame:
-    """(block, n, shard, counts, types) for rows (block, n, shard, keys, counts): the sums over all blocks of each block's own keys."""
+    """(block, n, shard, counts, types) for rows (block, n, shard, keys, counts): the sums over all blocks of each block's own keys.
+
+    For each shard of single words there is one row more, of a block below zero, with ``types``: how many of its words occur in training texts.
+    """
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         each = [unpacked(k) for k in pdf["keys"]]
@@ -185,7 +208,11 @@ def counted(asked: DataFrame) -> DataFrame:
         counts = np.concatenate([large(c) for c in pdf.counts])
         total = np.bincount(inverse, weights=counts, minlength=len(keys)).astype(np.uint64)
         answers = np.split(total[inverse].astype(np.uint32), np.cumsum(sizes)[:-1])
-        return pd.DataFrame({"block": pdf.block, "n": pdf.n, "shard": pdf.shard, "counts": [small(a) for a in answers], "types": int((total > 0).sum())})
+        out = pd.DataFrame({"block": pdf.block, "n": pdf.n, "shard": pdf.shard, "counts": [small(a) for a in answers], "types": 0})
+        if pdf.n.iloc[0] == 1:
+            shard = int(pdf.shard.iloc[0])
+            out.loc[len(out)] = [-1 - shard % SPREAD, 1, shard, small(answers[0][:0]), int((total > 0).sum())]
+        return out
 
     return asked.groupBy("n", "shard").applyInPandas(add, "block long, n int, shard int, counts binary, types long")
 
@@ -240,11 +267,11 @@ class Automaton:
     holds (state, word) as one sorted number beside ``weight`` and ``target``; the arcs of state 0 are arrays by word.
     """
 
-    def __init__(self, block: Block, counts: list[np.ndarray], docs: int, tokens: int, types: int, mus: tuple[float, ...], discount: float):
+    def __init__(self, block: Block, counts: list[np.ndarray], docs: int, tokens: int, mus: tuple[float, ...], discount: float):
         order = len(counts)
         self.words = len(block.keys[0])
         c = counts[0].astype(float)
-        share = np.where(c > 0, c - discount, discount * types) / tokens if tokens else np.ones(self.words)
+        share = np.where(c > 0, (c - discount) / max(tokens, 1), 1.0)  # an unseen token's weight is added at the end
         # states: number of each history among the begin states and the n-grams of each length
         self.begin = order - 1
         states = [np.full(len(x), -1, np.int64) for x in counts[: order - 1]]
@@ -356,29 +383,36 @@ def score(
     n = len(keep)
     names = [f"k{i}" for i in range(n)]
     kinds = [f"k{i} {blocks.schema[i + 1].dataType.elementType.simpleString()}" for i in range(n)]
-    schema = ", ".join(["block long", *kinds, "n_tokens long", "n_known long", "base_score double", "score double"])
+    schema = ", ".join(["block long", *kinds, "n_tokens long", "n_known long", "base double", "walked double", "types long"])
     arrow = [blocks.schema[i + 1].dataType.elementType for i in range(n)]
 
     def walk(key: tuple, mine: pa.Table, said: pa.Table) -> pa.Table:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        x = {c: mine.column(c)[0].as_py() for c in ("trained", "tokens", "lengths", "hashes")}
-        block = Block(x["tokens"], x["lengths"], x["hashes"], x["trained"], order, shard_bits)
+        made_names = ["block", *names, "n_tokens", "n_known", "base", "walked", "types"]
+        if not mine.num_rows:  # what shards say of their types
+            number = pa.array([sum(said.column("types").to_pylist())], pa.int64())
+            none = [pa.nulls(1, to_arrow_type(kind)) for kind in arrow]
+            return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), *none, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64()), number], made_names)
+        x = {c: mine.column(c)[0].as_py() for c in ("trained", "tokens", "lengths", "words")}
+        block = Block(x["tokens"], x["lengths"], x["words"], x["trained"], order)
         counts = [np.zeros(len(k), np.uint32) for k in block.keys]
         places = [block.by_shard(k, shard_bits) for k in range(1, order + 1)]
-        types = 0
-        for k, s, c, t in zip(*(said.column(c).to_pylist() for c in ("n", "shard", "counts", "types")), strict=True):
+        for k, s, c in zip(*(said.column(c).to_pylist() for c in ("n", "shard", "counts")), strict=True):
             place, bounds = places[k - 1]
             place = place[bounds[s] : bounds[s + 1]]
             counts[k - 1][place] = large(c)
-            types += t if k == 1 else 0
         known = counts[0][block.which[0]]
-        base = np.log10((known + 0.5) / (tokens + 0.5 * (types + 1)))
-        walked = Automaton(block, counts, trained_docs, tokens, types, mus, discount).traverse(block)
+        base = np.log10(known + 0.5)
+        walked = Automaton(block, counts, trained_docs, tokens, mus, discount).traverse(block)
         per = lambda v: np.bincount(block.doc, weights=v, minlength=len(block.lengths))
         lists = [pa.array(mine.column(f"k{i}")[0].as_py(), to_arrow_type(arrow[i])) for i in range(n)]
         made = [block.lengths, per(known > 0).astype(np.int64), per(base), walked]
-        return pa.Table.from_arrays([pa.array(np.full(len(block.lengths), key[0].as_py())), *lists, *map(pa.array, made)], ["block", *names, "n_tokens", "n_known", "base_score", "score"])
-
-    result = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(walk, schema)
-    return result.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+        return pa.Table.from_arrays([pa.array(np.full(len(block.lengths), key[0].as_py())), *lists, *map(pa.array, made), pa.nulls(len(block.lengths), pa.int64())], made_names)
+
+    result = cut(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(walk, schema), "lm-walked")
+    types = result.agg(F.sum("types")).first()[0] or 0
+    unseen = math.log10(discount * types / tokens) if tokens and types else 0.0
+    base = F.col("base") - F.col("n_tokens") * math.log10(tokens + 0.5 * (types + 1))
+    scored = F.col("walked") + (F.col("n_tokens") - F.col("n_known")) * unseen
+    return result.where("types is null").select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), scored.alias("score"))

@@ -15,7 +15,7 @@ so a text of whose shingles fewer occur in other texts is alone. Therefore
    every two of a list that can be similar and aren't in one group yet are compared, first those a few places apart and then those
    further off, as groups grow. No link is lost, and no list or group has a cap.
 
-Shingles are named by 64-bit mixes of their words' XXH64, of which the bits of a shard's number and ``backoff_lm.KEY_BITS`` more count.
+Shingles are named by 64-bit mixes of their words' XXH64.
 
 Defined results: of each group the row with the smallest id stays (null ids come last; of equal ids, the text with the smaller digest);
 rows of the same words are one group, null and empty texts too; texts of fewer words than a shingle are one shingle; rows that repeat
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.backoff_lm import KEY_BITS, SHARD_TOKENS, counted, encode, large, longer, packed, small, unsqueezed
+from pulsegrid.llm.backoff_lm import SHARD_TOKENS, counted, encode, large, longer, packed, small, unsqueezed, word_hashes
 from pulsegrid.llm.common import connected_components, cut, remove, write_table
 from pulsegrid.llm.simhash_bktree import links
 
@@ -49,7 +49,7 @@ class Shingles:
 
     def __init__(self, row: dict, shingle: int, shard_bits: int):
         ids = unsqueezed(row["tokens"], np.int32)
-        words = np.frombuffer(row["hashes"], np.uint64)
+        words = word_hashes(row["words"])
         self.at = words[ids[ids > 0]]  # without the end tokens
         self.lengths = np.frombuffer(row["lengths"], np.uint32).astype(np.int64) - 1
         self.begins = np.cumsum(self.lengths) - self.lengths
@@ -60,11 +60,11 @@ class Shingles:
         hashes = np.zeros(len(doc), np.uint64)
         for k in range(shingle):
             hashes = longer(hashes, np.where(into + k < self.lengths[doc], padded[self.begins[doc] + into + k], np.uint64(0)))
-        self.keys, which = np.unique(hashes >> np.uint64(64 - KEY_BITS - shard_bits), return_inverse=True)
+        self.keys, which = np.unique(hashes, return_inverse=True)
         pairs = np.unique(doc * len(self.keys) + which)
         self.doc, self.place = pairs // len(self.keys), pairs % len(self.keys)
         self.bounds = np.searchsorted(self.doc, np.arange(len(many) + 1))
-        self.cutoffs = np.append(np.searchsorted(self.keys, np.arange(1 << shard_bits, dtype=np.uint64) << np.uint64(KEY_BITS)), len(self.keys))
+        self.cutoffs = np.append(np.searchsorted(self.keys, np.arange(1 << shard_bits, dtype=np.uint64) << np.uint64(64 - shard_bits)), len(self.keys))
 
     def words_of(self, i: int) -> np.ndarray:
         return self.at[self.begins[i] : self.begins[i] + self.lengths[i]]
@@ -112,10 +112,10 @@ def sharing(docs: DataFrame, doc_id: str, text: str, shingle: int, least: float)
                     "keys": pa.array([packed(s.keys[p]) for p in parts], pa.binary()), "counts": pa.array([small(held[p]) for p in parts], pa.binary()),
                 })
 
-    asked = blocks.select("block", "tokens", "lengths", "hashes").mapInArrow(ask, "block long, n int, shard int, keys binary, counts binary")
+    asked = blocks.select("block", "tokens", "lengths", "words").mapInArrow(ask, "block long, n int, shard int, keys binary, counts binary")
 
     def answer(mine: pa.Table, said: pa.Table) -> pa.Table:
-        x = {c: mine.column(c)[0].as_py() for c in ("tokens", "lengths", "hashes")}
+        x = {c: mine.column(c)[0].as_py() for c in ("tokens", "lengths", "words")}
         s = Shingles(x, shingle, shard_bits)
         counts = np.zeros(len(s.keys), np.uint32)
         for shard, c in zip(said.column("shard").to_pylist(), said.column("counts").to_pylist(), strict=True):

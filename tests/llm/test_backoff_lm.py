@@ -97,3 +97,25 @@ def test_empty_table_and_no_training_text(spark):
     asked = next(i for i in range(1000) if not trains(i))
     r = backoff_lm.score(spark.createDataFrame([(asked, "a b", 1, 1)], schema), ["doc_id", "block"], ~held_out("doc_id", 1)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.score) == (3, 0, 0, 0.0) and r.base_score == pytest.approx(0.0)
+
+
+def test_ngrams_that_differ_in_the_last_bits_alone_are_told_apart(monkeypatch):
+    plain = backoff_lm.longer
+    low = backoff_lm.np.uint64(0xFFFFF)
+    monkeypatch.setattr(backoff_lm, "longer", lambda h, w: plain(h, w) & low)  # all in one shard, and equal but for twenty bits
+    e = backoff_lm.Encoder()
+    text = " ".join(f"w{k * k % 31}" for k in range(400))
+    e.add(text.encode())
+    block = backoff_lm.Block(*e.row(), [True], 2)
+    w = [BEGIN, *tokens(text)]
+    assert len(block.keys[1]) == len(set(zip(w, w[1:], strict=False)))
+    assert sorted(block.counts(2)) == sorted(Counter(zip(w, w[1:], strict=False)).values())
+
+
+def test_blocks_meet_their_answers_without_a_shuffle(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    blocks = backoff_lm.encode(df, ["doc_id"], ~held_out("doc_id", 1))
+    answers = backoff_lm.train_and_ask(blocks, 2, 2)
+    met = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: a.select(["block"]), "block long")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(block") == 1 and plan.count("Exchange hashpartitioning(n") == 1, plan
