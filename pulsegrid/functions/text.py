@@ -153,8 +153,10 @@ def domain_in(name: Column, domains: list[str]) -> Column:
     return name.rlike(r"(^|\.)(" + "|".join(d.replace(".", r"\.") for d in domains) + ")$")
 
 
-def source_quality(handle: Column, url: Column, platform: Column, quotes: Column) -> Column:
-    """What kind of source a post is: by its handle, then its domain, then its platform."""
+def source_quality(handle: Column, url: Column, platform: Column, quotes: Column, stored: Column | None = None) -> Column:
+    """What kind of source a post is: as stored, if that's a known kind, else by its handle, then its domain, then its platform."""
+    if stored is not None:
+        return F.when(stored.isin(*lex.QUALITY_RANK), stored).otherwise(source_quality(handle, url, platform, quotes))
     h, name = F.regexp_replace(F.lower(F.trim(F.coalesce(handle, F.lit("")))), "^@", ""), host(F.coalesce(url, F.lit("")))
     platform = F.coalesce(platform, F.lit(""))
     return (

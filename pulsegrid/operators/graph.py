@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.shared import remove, write_table
+from pulsegrid.shared import cut, remove, write_table
 
 #: Edges up to which one task labels all components at once (some 100 MB there, whatever the nodes are); beyond that, rounds of joins.
 ONE_TASK = 1 << 20
@@ -57,13 +57,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     partial in each task, and hands it to the edges by a join on the node; after the first round a component's edges all end at
     its few smallest nodes, and the edges are kept by their larger end, so that a join meets each key about once. A round's
     result is written to the shared directory and the last one's removed. Rounds end when the edges no longer change; their
-    number grows with the logarithm of the longest chain. Up to ``ONE_TASK`` edges are labelled by a single task instead.
+    number grows with the logarithm of the longest chain. Up to ``ONE_TASK`` edges are labelled by a single task instead. The labels are a
+    written table, so those who use them twice don't find them twice.
     """
     spark = edges.sparkSession
     flat = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     path, schema = write_table(flat, "edges"), flat.schema
     if spark.read.schema(schema).parquet(path).count() <= ONE_TASK:
-        return in_one_task(spark.read.schema(schema).parquet(path))
+        return cut(in_one_task(spark.read.schema(schema).parquet(path)), "roots")
     last = None
     for _ in range(max_rounds):
         flat = spark.read.schema(schema).parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import text
 from pulsegrid.operators import upserts
 from pulsegrid.operators.attribution import attribute
+from pulsegrid.shared import cut
 
 KEY = ["source_url", "model_id"]
 
@@ -20,6 +21,20 @@ def kept(posts: DataFrame) -> DataFrame:
     return posts.where(text.long_enough(said) & (~share | text.is_rumor(shared) | text.is_release(shared)))
 
 
+def named(posts: DataFrame, keywords: DataFrame, most: int | None = None, communities: DataFrame | None = None) -> DataFrame:
+    """(source_url, slug, posted_at) of comments (source_url, body, posted_at, maybe community) that pass the keep gate and themselves name a model, or stand in its community.
+
+    most: the latest so many comments, counted after gate and attribution, as a run takes them.
+    """
+    shape = posts.select("source_url", F.lit(None).cast("string").alias("title"), "body", F.lit(None).cast("string").alias("link"), "posted_at", *(["community"] if communities is not None else []))
+    fine = cut(kept(shape), "kept-comments")
+    found = attribute(fine, keywords, "source_url", "body", "community" if communities is not None else None, communities).join(fine.select("source_url", "posted_at"), "source_url")
+    if most is None:
+        return found
+    latest = found.select("source_url", "posted_at").distinct().orderBy(F.desc("posted_at"), "source_url").limit(most)
+    return found.join(latest.select("source_url"), "source_url", "left_semi")
+
+
 def title_key() -> Column:
     return F.concat("model_id", F.lit(":"), F.lower(F.substring("title", 1, 80)))
 
@@ -57,5 +72,5 @@ def with_state(rows: DataFrame, now: Column) -> DataFrame:
 
 def stored_after(stored: DataFrame, posts: DataFrame, keywords: DataFrame, models: DataFrame, now: Column, days: int = 2) -> DataFrame:
     """The stored rows and those that landed posts add: the whole way from a reader's posts to the table."""
-    rows = unseen(of_models(kept(posts), keywords, models), stored, now - F.make_dt_interval(days=F.lit(days)))
+    rows = unseen(of_models(cut(kept(posts), "kept-posts"), keywords, models), stored, now - F.make_dt_interval(days=F.lit(days)))
     return upserts.insert_ignore(stored, with_state(rows, now).select(*stored.columns), KEY, ["posted_at", "title"])

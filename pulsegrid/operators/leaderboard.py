@@ -97,3 +97,19 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     b, a = before.select("name", F.col("score").alias("old_score"), F.col("price").alias("old_price")), after.select("name", F.col("score").alias("new_score"), F.col("price").alias("new_price"))
     kind = F.when(F.col("old_score").isNull(), "added").when(F.col("new_score").isNull(), "removed").when(F.col("old_score") != F.col("new_score"), "rescored").when(F.col("old_price") != F.col("new_price"), "repriced")
     return b.join(a, "name", "full_outer").withColumn("change", kind).where("change is not null").select("name", "change", "old_score", "new_score")
+
+
+def priced(models: DataFrame, registry: DataFrame) -> DataFrame:
+    """Models (name, score, price_in, price_out at the test) with today's prices of a registry (name, price_in, price_out, pending_in, pending_out, effective).
+
+    A registry's price goes before that of the test, and a model without either costs nothing. Where both prices of the test are known and one has changed, they are kept as at_test prices; prices to
+    come are carried whatever their date. Scores have one place.
+    """
+    now = registry.select("name", F.col("price_in").alias("_in"), F.col("price_out").alias("_out"), "pending_in", "pending_out", "effective")
+    rows = models.join(now, "name", "left")
+    price_in, price_out = F.coalesce("_in", "price_in", F.lit(0.0)), F.coalesce("_out", "price_out", F.lit(0.0))
+    repriced = F.col("price_in").isNotNull() & F.col("price_out").isNotNull() & ((price_in != F.col("price_in")) | (price_out != F.col("price_out")))
+    return rows.select(
+        "name", F.round("score", 1).alias("score"), price_in.alias("price_in"), price_out.alias("price_out"), F.when(repriced, F.col("price_in")).alias("at_test_in"), F.when(repriced, F.col("price_out")).alias("at_test_out"),
+        "pending_in", "pending_out", F.when(F.col("pending_in").isNotNull() | F.col("pending_out").isNotNull(), F.col("effective")).alias("effective"),
+    )

@@ -19,6 +19,16 @@ def recent_errors(log: DataFrame, now: Column, hours: int) -> DataFrame:
     return found.orderBy(F.desc("error_count"), F.desc("last_seen"), "function_name", "context").limit(50)
 
 
+def is_noise(context: Column) -> Column:
+    """Contexts of the log that tell of no error: summaries, traces of matching, notices of another attempt."""
+    return F.coalesce(context.isin("summary", "match-debug") | context.endswith("-retry"), F.lit(False))
+
+
+def without_nulls(**fields: Column) -> Column:
+    """An object as JSON without the fields that are null."""
+    return F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())), {"ignoreNullFields": "true"})
+
+
 def latest_runs(runs: DataFrame, limit: int) -> DataFrame:
     rows = runs.orderBy(F.desc("started_at"), "id").limit(limit)
     seconds = (F.col("completed_at").cast("long") - F.col("started_at").cast("long")).cast("double")

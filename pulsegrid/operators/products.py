@@ -70,3 +70,20 @@ def origins(claims: DataFrame, keep: int) -> DataFrame:
     top = tied.withColumn("_r", F.row_number().over(Window.partitionBy(*PRODUCT).orderBy(F.desc("s"), "origin"))).where(F.col("_r") <= keep)
     listed = top.groupBy(*PRODUCT).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "s"))), lambda x: x["s"]["url"]).alias("sources"))
     return counts.join(listed, PRODUCT)
+
+
+def all_claims(said: Column, recovered: Column) -> Column:
+    """A post's claims from a model and those recovered from its text, in this order; null lists are empty."""
+    empty = lambda c: F.coalesce(c, F.filter(F.coalesce(said, recovered), lambda x: F.lit(False)))
+    return F.concat(empty(said), empty(recovered))
+
+
+def listed_sources(products: DataFrame, key: list[str], sources: str, keep: int = KEEP) -> DataFrame:
+    """For each product how many URLs its list of sources (structs with url, rank, score) shows, and the best ``keep`` in order; a product without a list stays, with none.
+
+    Of a URL that is listed more than once the better entry counts.
+    """
+    each = products.select(*key, F.explode_outer(sources).alias("s")).groupBy(*key, F.nullif(F.col("s.url"), F.lit("")).alias("url")).agg(F.max(F.struct(F.coalesce("s.rank", F.lit(0)).alias("rank"), F.coalesce("s.score", F.lit(0)).alias("score"))).alias("best"))
+    shown = F.when(F.col("url").isNotNull(), F.struct((-F.col("best.rank")).alias("rank"), (-F.col("best.score")).alias("score"), "url"))
+    # the list of a product is as long as its sources were, since these come from a list
+    return each.groupBy(*key).agg(F.count("url").alias("n_urls"), F.transform(F.slice(F.array_sort(F.array_compact(F.collect_list(shown))), 1, keep), lambda x: x["url"]).alias("top"))

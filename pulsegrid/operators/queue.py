@@ -93,6 +93,20 @@ def reset_failed(posts: DataFrame, marks: list[str] = TRANSIENT) -> DataFrame:
     return posts.where((F.col("status") == "failed") & passing).select("id", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("timestamp").alias("next_at"), F.lit(None).cast("string").alias("error"))
 
 
+def recent_targeted(posts: DataFrame, models: DataFrame, now: Column, days: int = 7, after: Column | None = None, before: Column | None = None, offset: int = 0, size: int = 100) -> DataFrame:
+    """(id, text, model_slug): a page of recent posts to be classified anew with the model they are filed under; those without text or known model are left out of the page.
+
+    The window is that from ``after`` (else so many days back, one to thirty) up to ``before``, which is excluded; the newest come first.
+    """
+    since = after if after is not None else now - F.make_dt_interval(days=F.lit(min(max(days, 1), 30)))
+    rows = posts.where(F.col("posted_at") >= since)
+    rows = rows.where(F.col("posted_at") < before) if before is not None else rows
+    page = rows.orderBy(F.desc("posted_at"), "id").offset(offset).limit(size)
+    said = F.trim(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit(""))))
+    known = page.select("id", said.alias("text"), "model_id").join(models.select("model_id", F.col("slug").alias("model_slug")), "model_id")
+    return known.where("text <> ''").select("id", "text", "model_slug")
+
+
 def many_models(posts: DataFrame) -> DataFrame:
     """URLs under two models or more whose classified rows all have one sentiment."""
     rows = posts.where("status = 'classified'").groupBy("source_url").agg(F.count_distinct("model_id").alias("n_models"), F.count_distinct("sentiment").alias("n_sentiments"), F.min("sentiment").alias("sentiment"))

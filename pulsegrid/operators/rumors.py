@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import text
 from pulsegrid.operators import canon
 from pulsegrid.operators.graph import connected_components
+from pulsegrid.shared import cut
 
 #: Lifecycle claims by precedence, strongest first.
 PRECEDENCE = ["delayed", "return", "imminent", "in_testing", "launch", "other"]
@@ -20,13 +21,15 @@ def clusters(claims: DataFrame) -> DataFrame:
     of all claims speak of is a few edges. The key is the cluster's shortest label. A name without letters or digits is none; claims that have no
     name at all are about no product and are left out.
     """
-    label, code = (F.concat("family", F.lit(kind), F.nullif(text.squash(F.col(c)), F.lit(""))) for c, kind in (("label", ":l:"), ("codename", ":c:")))
-    tokens = claims.withColumn("_l", label).withColumn("_c", code)
-    edges = tokens.where("_l is not null and _c is not null").select(F.col("_l").alias("a"), F.col("_c").alias("b")).distinct()
-    roots = connected_components(edges)
-    named = tokens.withColumn("_t", F.coalesce("_l", "_c")).join(roots, F.col("_t") == roots.node, "left").withColumn("_root", F.coalesce("root", "_t"))
-    best = named.groupBy("_root").agg(F.min(F.when(F.col("_l").isNotNull(), F.struct(F.length("label"), "label")))["label"].alias("best_label"), F.min(F.when(F.col("_c").isNotNull(), F.col("codename"))).alias("best_codename"))
-    return named.join(best, "_root").withColumn("cluster_key", F.coalesce("best_label", "best_codename")).drop("_l", "_c", "_t", "_root", "node", "root", "best_label", "best_codename")
+    names = ["family", "label", "codename"]
+    own, code = (F.concat("family", F.lit(kind), F.nullif(text.squash(F.col(c)), F.lit(""))) for c, kind in (("label", ":l:"), ("codename", ":c:")))
+    said = cut(claims.select(*names).distinct().withColumn("_l", own).withColumn("_c", code).where("_l is not null or _c is not null"), "identities")
+    roots = connected_components(said.where("_l is not null and _c is not null").select(F.col("_l").alias("a"), F.col("_c").alias("b")))
+    rooted = said.withColumn("_t", F.coalesce("_l", "_c")).join(roots, F.col("_t") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_t"))
+    best = rooted.groupBy("_root").agg(F.min(F.when(F.col("_l").isNotNull(), F.struct(F.length("label"), "label")))["label"].alias("best_label"), F.min(F.when(F.col("_c").isNotNull(), F.col("codename"))).alias("best_codename"))
+    keys = rooted.join(best, "_root").select(*(F.col(c).alias(f"_{c}") for c in names), F.coalesce("best_label", "best_codename").alias("cluster_key"))
+    same = F.col("family").eqNullSafe(F.col("_family")) & F.col("label").eqNullSafe(F.col("_label")) & F.col("codename").eqNullSafe(F.col("_codename"))
+    return claims.join(keys, same).drop(*(f"_{c}" for c in names))
 
 
 def without_echoes(claims: DataFrame) -> DataFrame:
@@ -57,6 +60,7 @@ def origin_links(claims: DataFrame) -> DataFrame:
 def origin_counts(links: DataFrame) -> DataFrame:
     """(family, cluster_key, mention_count): how many independent origins the links leave."""
     named = lambda c: F.concat_ws("|", *PRODUCT, c)
+    links = cut(links, "origin-links")
     roots = connected_components(links.where("a <> b").select(named("a").alias("a"), named("b").alias("b")))
     ends = links.select(*PRODUCT, named("a").alias("node")).distinct().join(roots, "node", "left")
     return ends.groupBy(*PRODUCT).agg(F.count_distinct(F.coalesce("root", "node")).alias("mention_count"))
@@ -64,6 +68,7 @@ def origin_counts(links: DataFrame) -> DataFrame:
 
 def accumulate(claims: DataFrame) -> DataFrame:
     """One row for each product: independent origins (accounts, quoted posts and domains tie sources together), platforms, lead claim, span, credibility."""
+    claims = cut(claims.select(*PRODUCT, "platform", "handle", "url", "quoted", "claim_type", "posted_at", "credible"), "accumulated")
     lead = F.min(F.struct(precedence(F.col("claim_type")).alias("p"), (-F.col("posted_at").cast("long")).alias("t"), "claim_type"))["claim_type"]
     rest = claims.groupBy(*PRODUCT).agg(
         F.array_sort(F.collect_set("platform")).alias("platforms"), lead.alias("claim_type"),

@@ -10,6 +10,7 @@ from pulsegrid.functions import text
 from pulsegrid.operators import leaderboard, rumors, series
 from pulsegrid.plans.claims import components_sql
 from pulsegrid.plans.views import ago, pick, posts, read, with_posts
+from pulsegrid.shared import cut
 
 PLATFORMS = ["twitter", "reddit", "bluesky", "web", "github"]
 LAST = "1998-11-01"
@@ -52,7 +53,7 @@ EVERY_SQL = CLAIMS_SQL.replace("AS tokens FROM fresh)", "AS tokens FROM clustere
 
 
 def clustered(spark: SparkSession, folder: str) -> DataFrame:
-    return rumors.clusters(claims(spark, folder))
+    return cut(rumors.clusters(claims(spark, folder)), "clustered")
 
 
 def cluster_products(spark: SparkSession, folder: str) -> DataFrame:

@@ -155,6 +155,18 @@ def reddit(spark: SparkSession, path: str, since: Column) -> DataFrame:
     return made.where(F.col("posted_at") >= since)
 
 
+def reddit_comments(spark: SparkSession, path: str, since: Column, least: int = 20) -> DataFrame:
+    """Comments of at least ``least`` characters with the community they stand in; each has a URL of its own, the post's with the comment's id where it has none."""
+    c = pages(spark, path, "id string, dataType string, body string, communityName string, parsedCommunityName string, upVotes int, score int, createdAt string, commentUrl string, permalink string, url string, postUrl string").where("dataType = 'comment'")
+    full = lambda *names: F.coalesce(*(F.nullif(F.col(n), F.lit("")) for n in names))
+    base = full("commentUrl", "permalink", "url", "postUrl")
+    url = F.when(F.coalesce(F.col("id"), F.lit("")).eqNullSafe("") | base.contains(F.col("id")), base).otherwise(F.concat(base, F.lit("#"), "id"))
+    said, votes = F.trim(F.coalesce("body", F.lit(""))), F.coalesce(F.nullif("upVotes", F.lit(0)), F.nullif("score", F.lit(0)), F.lit(0))
+    community = F.coalesce(full("communityName", "parsedCommunityName"), F.lit(""))
+    made = post(c.where(F.length(said) >= least), "reddit", {"community": community}, source_url=url, body=F.substring(said, 1, 2000), content_type=F.lit("comment"), engagement=votes, posted_at=instant(F.col("createdAt")))
+    return made.where(F.col("posted_at") >= since)
+
+
 def app_store(spark: SparkSession, path: str, now: Column, models: DataFrame, days: int = 7, most: int = 15) -> DataFrame:
     """The latest reviews of each app (app_id, slug, name in ``models``), at most ``most`` a run; the rating goes with the text."""
     e = pages(spark, path, "app_id string, id struct<label:string>, title struct<label:string>, content struct<label:string>, updated struct<label:string>, rating struct<label:string>")
@@ -260,10 +272,12 @@ def cloud_incidents(spark: SparkSession, path: str, since: Column) -> DataFrame:
     return rows.where(F.col("updated_at") >= since)
 
 
-def release_items(spark: SparkSession, path: str, category: str = "Product") -> DataFrame:
-    """Titles of a vendor's news items of one category."""
-    i = spark.read.format("xml").option("rowTag", "item").schema("title string, category string, pubDate string").load(path)
-    return i.where(F.col("category") == category).select(F.trim("title").alias("title"))
+def release_items(spark: SparkSession, path: str, category: str = "product") -> DataFrame:
+    """(title, description, link, published_at) of a vendor's news items of one category, written in any case; those without a title are left out."""
+    i = spark.read.format("xml").option("rowTag", "item").schema("title string, description string, link string, category string, pubDate string").load(path)
+    when = F.try_to_timestamp(F.regexp_replace("pubDate", "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss Z"))
+    rows = i.where((F.lower(F.trim("category")) == category) & (F.trim("title") != ""))
+    return rows.select(F.trim("title").alias("title"), F.trim(F.coalesce("description", F.lit(""))).alias("description"), F.trim("link").alias("link"), when.alias("published_at"))
 
 
 def model_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -289,6 +303,12 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
     return entries.select(F.map_from_entries(F.filter(F.transform(lines, pair), lambda p: p["value"] != "")).alias("entry"))
 
 
+def pairwise(spark: SparkSession, path: str) -> DataFrame:
+    """(a, b, delta, lo, hi, p, winner) of a ledger of compared pairs, a JSON array in a file; a pair without two names is no record."""
+    rows = spark.read.schema("a string, b string, delta double, lo double, hi double, holm_p double, winner string").option("multiLine", True).json(path)
+    return rows.where("a is not null and b is not null").withColumnRenamed("holm_p", "p")
+
+
 def last_run(spark: SparkSession, path: str) -> DataFrame:
     """Scores of the latest run in a leaderboard's ledger."""
     ledger = spark.read.schema("runs array<struct<run_id:string,finished_at:string,scores:array<struct<name:string,score:double>>>>").option("multiLine", True).json(path)
