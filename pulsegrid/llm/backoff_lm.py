@@ -233,16 +233,27 @@ def unsqueezed(data: bytes, kind: type) -> np.ndarray:
 
 
 def packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as the first one and the differences, of four bytes each where they all fit, else of eight."""
+    """Sorted keys as the first one and the differences: the low bytes of these, which nothing shortens, as they are, and the high ones squeezed."""
+    if not len(keys):
+        return b""
     steps = np.diff(keys)
-    wide = int(steps.max(initial=0) >= 1 << 32)
-    return keys[:1].tobytes() + bytes([wide]) + squeezed(steps.astype(np.uint64 if wide else np.uint32)) if len(keys) else b""
+    plain = min(7, (int(steps.mean()).bit_length() - 1) // 8) if len(steps) else 0
+    plain = max(plain, 0)
+    planes = np.ascontiguousarray(steps).view(np.uint8).reshape(len(steps), 8).T
+    low, high = np.ascontiguousarray(planes[:plain]).tobytes(), np.ascontiguousarray(planes[plain:]).tobytes()
+    return keys[:1].tobytes() + bytes([plain]) + len(steps).to_bytes(4, "little") + low + pa.Codec("zstd", compression_level=1).compress(high, asbytes=True)
 
 
 def unpacked(data: bytes) -> np.ndarray:
     if not data:
         return np.zeros(0, np.uint64)
-    steps = unsqueezed(data[9:], np.uint64 if data[8] else np.uint32)
+    plain, n = data[8], int.from_bytes(data[9:13], "little")
+    at = 13 + plain * n
+    planes = np.empty((8, n), np.uint8)
+    planes[:plain] = np.frombuffer(data, np.uint8, plain * n, 13).reshape(plain, n)
+    if n:
+        planes[plain:] = np.frombuffer(pa.decompress(memoryview(data)[at:], (8 - plain) * n, "zstd"), np.uint8).reshape(8 - plain, n)
+    steps = np.ascontiguousarray(planes.T).view(np.uint64).ravel()
     return np.cumsum(np.append(np.frombuffer(data, np.uint64, 1), steps), dtype=np.uint64)
 
 

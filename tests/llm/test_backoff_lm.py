@@ -119,3 +119,11 @@ def test_blocks_meet_their_answers_without_a_shuffle(spark):
     met = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: a.select(["block"]), "block long")
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(block") == 1 and plan.count("Exchange hashpartitioning(n") == 1, plan
+
+
+@pytest.mark.parametrize("bits", [1, 8, 33, 57, 64])
+def test_packed_keys_come_back(bits):
+    rng = backoff_lm.np.random.default_rng(bits)
+    for n in (0, 1, 2, 300, 9000):
+        keys = backoff_lm.np.unique(rng.integers(0, 1 << bits, n, dtype=backoff_lm.np.uint64, endpoint=bits < 64) if bits < 64 else rng.integers(0, 1 << 63, n, dtype=backoff_lm.np.uint64) * backoff_lm.np.uint64(2))
+        assert (backoff_lm.unpacked(backoff_lm.packed(keys)) == keys).all()
