@@ -1,8 +1,15 @@
 """A corpus pipeline: quality rules, line dedup, near-dedup, mixing and packing, each stage written as Parquet.
 
-Each stage takes the rows that its predecessor kept, with all their columns, and works on whole texts. Null and empty texts,
-repeated rows and further columns are treated as the operators say; columns are carried by position, so their names clash
-with nothing.
+Each stage takes the rows that its predecessor kept, with all their columns, and works on whole texts. An empty table gives an empty one at every stage, further
+columns are carried by position, so their names clash with nothing, and a very long text is one value in one task. The rest, stage by stage:
+
+- quality rules: null and empty texts have no words, too few, and go; repeated rows are judged alike;
+- line dedup: a null or empty text is one empty line, which is never dropped; repeated rows count as documents of their own; of documents that tie for the one copy of a
+  frequent line that of the smallest digest keeps it;
+- near duplicates: of each group the row with the smallest id stays, null ids last, of equal ids the text with the smaller digest; rows alike in id and text leave one; null and empty
+  texts are one group;
+- mixing: null sources and languages are leaves of their own; texts without words cost nothing and are taken while their leaf's share isn't met; ties go by the seeded digest;
+- packing: null and empty texts are the end id alone; repeated rows are packed each; ties of equal length go by id, piece and checksum.
 """
 
 from __future__ import annotations

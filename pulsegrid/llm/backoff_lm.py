@@ -22,7 +22,8 @@ block could learn from its own words, is counted by the shards and enters at the
 sums over tokens. Blocks are written bucketed by their number, so that they meet their answers without being shuffled.
 
 Defined results: null and empty texts are the end token alone; repeated rows count each time; a null id hashes
-as empty text; without any training text every token is unseen and has probability one.
+as empty text; without any training text every token is unseen and has probability one; an empty table gives an empty one; a very long text is a block
+of its own, in some fifty times its size; columns that aren't asked for, whatever their names, play no part.
 """
 
 from __future__ import annotations

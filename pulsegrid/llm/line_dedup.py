@@ -14,7 +14,8 @@ text that many rows hold, the rows are spread too when they meet the places of i
 
 Defined results: a null or empty text is one empty line; empty lines are never dropped (a key needs
 ``min_chars`` code points); repeated rows count as documents of their own; ids may be null or repeat,
-since rows meet their lines again by the text's digest.
+since rows meet their lines again by the text's digest; no documents, no rows; a very long text is one value in one task; columns that aren't
+asked for, whatever their names, play no part.
 """
 
 from __future__ import annotations

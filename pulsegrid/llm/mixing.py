@@ -12,7 +12,8 @@ of all rows is no single task.
 
 Defined results: null leaf values are a leaf of their own; null or empty texts hold no tokens, and are taken while the leaf's
 share isn't met; repeated rows are taken each, in their digest's order; a value without a weight has weight one, and weight
-zero gets nothing; an empty table gives an empty one.
+zero gets nothing; an empty table gives an empty one; the words of a very long text are counted within one task; the tree's columns are named anew, so names of the
+table clash with none.
 """
 
 from __future__ import annotations

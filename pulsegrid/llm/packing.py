@@ -7,7 +7,8 @@ a few sequences partly empty more than one global packing would, and no task see
 Token ids never travel: only lengths and checksums are shuffled.
 
 Defined results: null and empty texts are the end id alone; repeated rows are packed each; ties of equal length go by
-id, piece and checksum, so a rerun of a lost task packs alike.
+id, piece and checksum, so a rerun of a lost task packs alike; no documents, no rows; a very long text is one value in one task, in some ten times its size; further columns,
+whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -214,6 +215,8 @@ def assign(cut_up: DataFrame, most: int, groups: int | None = None) -> DataFrame
         sequence, offset = best_fit_decreasing(pdf.length.to_numpy(), most)
         return pdf.assign(sequence_id=pdf["group"] * (1 << 32) + sequence, offset=offset).drop(columns="group")
 
-    dealt = cut_up.withColumn("group", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups)))
+    # a row's place among the written pieces goes into the hash, so a row that repeats many times is dealt out too; the file's rows keep their places if a task is repeated
+    place = F.monotonically_increasing_id()
+    dealt = cut_up.withColumn("group", F.pmod(F.xxhash64("id", "piece", "ids_crc32", place), F.lit(groups)))
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return dealt.groupBy("group").applyInPandas(run, schema)

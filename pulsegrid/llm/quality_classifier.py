@@ -7,7 +7,8 @@ tokens' vectors. On a bounded sample of labelled documents a network with one hi
 it doesn't see sets the temperature that calibrates its probabilities.
 
 Defined results: null and empty texts have zero features and get the network's score for them; repeated rows score alike;
-without labels of both kinds every score is the share of label 1 (0 without labels).
+without labels of both kinds every score is the share of label 1 (0 without labels); no documents, no rows; a very long text is one value in one task,
+in some twenty times its size; further columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

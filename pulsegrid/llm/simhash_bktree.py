@@ -16,7 +16,8 @@ Components then form by connected components over these edges.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts with fewer
 words than a shingle are one shingle; repeated rows share their component; a null id plays no part in the
-smallest id of a component.
+smallest id of a component; no documents, no rows; a very long text is one value in one task, in some ten times its size; further columns, whatever
+their names, play no part.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ something with another term: the rows that hold both have label 1 more or less o
 errors, than either term alone and the two added up would have it.
 
 Defined results: null and empty texts get the score of no terms at all; repeated rows score alike; without labels of both kinds every
-score is the share of label 1 (0 without labels).
+score is the share of label 1 (0 without labels); no documents, no rows; a very long text is one value in one task, in some ten times its size;
+further columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ buckets. The regression is trained from a small table of labelled URLs whose siz
 each domain above it; the longest rule that fits wins, so a URL costs as many look-ups as its host has labels.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, which no rule fits and the model judges like any other;
-repeated rows are judged alike.
+repeated rows are judged alike; no pages, no rows; a very long url is judged whole, in some tens of times its size; further columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

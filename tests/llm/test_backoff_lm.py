@@ -127,3 +127,12 @@ def test_packed_keys_come_back(bits):
     for n in (0, 1, 2, 300, 9000):
         keys = backoff_lm.np.unique(rng.integers(0, 1 << bits, n, dtype=backoff_lm.np.uint64, endpoint=bits < 64) if bits < 64 else rng.integers(0, 1 << 63, n, dtype=backoff_lm.np.uint64) * backoff_lm.np.uint64(2))
         assert (backoff_lm.unpacked(backoff_lm.packed(keys)) == keys).all()
+
+
+def test_clashing_names(spark):
+    rows = [(i, f"a b c{i % 3}", "k", 1, [True]) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, block string, n int, trained array<boolean>")
+    plain = backoff_lm.score(df.select("doc_id", "text"), ["doc_id"], ~held_out("doc_id", 1)).collect()
+    clashing = backoff_lm.score(df, ["doc_id", "block", "trained"], ~held_out("doc_id", 1)).collect()
+    assert sorted((r.doc_id, r.score) for r in plain) == sorted((r.doc_id, r.score) for r in clashing)
+    assert {(r.block, tuple(r.trained)) for r in clashing} == {("k", (True,))}

@@ -101,3 +101,13 @@ def test_another_tokenizer_takes_whole_texts():
     assert WORDS.by_word and not other.by_word
     for text in ("Some words,  and  blanks\n\tÄ 12 <|endoftext|>", "", " "):
         assert other.encode(text.encode()) == b"".join(i.to_bytes(4, "little") for i in own.encode(text, add_special_tokens=False).ids)
+
+
+def test_clashing_names_and_a_row_that_repeats_many_times(spark):
+    rows = [(None, "the same row", "x", 1)] * 3000 + [(1, "another", "y", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, piece string, length int").repartition(3)
+    cut_up = packing.cut(packing.pieces(docs, ["doc_id"], lambda: WORDS.encode, 2048).withColumnRenamed("doc_id", "id"), "pieces")
+    packed = packing.assign(cut_up, 2048, groups=8).collect()
+    assert len(packed) == 3001
+    assert len({r.sequence_id >> 32 for r in packed}) == 8
+    assert len(pack(docs, tokenizer_path()).collect()) == 3001

@@ -94,3 +94,10 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = sorted(((r.doc_id, r.component_id) for r in sh.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
     assert got == sorted([(5, 5), (5, 5), (None, 5), (None, None)], key=repr)
     assert sh.components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_very_long_text_and_clashing_names(spark):
+    long = " ".join(f"w{k * k % 9973}" for k in range(400_000))
+    rows = [(1, long, 5, "a"), (2, long + " x", 5, "b"), (3, "another text of its own", 5, "c")]
+    got = sh.components(spark.createDataFrame(rows, "doc_id long, text string, fp long, node string"), shingle=3, radius=3).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (3, 3)]
