@@ -126,7 +126,7 @@ def decoded(said: Column) -> Column:
         rest, ten, six = F.regexp_replace(p, "^[^;]*;", ""), F.regexp_extract(p, "^([0-9]{1,6});", 1), F.regexp_extract(p, "^x([0-9a-fA-F]{1,5});", 1)
         return F.when(ten != "", F.concat(char(ten.try_cast("long")), rest)).when(six != "", F.concat(char(F.conv(six, 16, 10).try_cast("long")), rest)).otherwise(F.concat(F.lit("&#"), p))
 
-    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, 1 << 20), one), ""))
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
 
 
 def decoded_sql(said: str) -> str:

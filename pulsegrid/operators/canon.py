@@ -105,7 +105,7 @@ def is_released(key: Column, label: Column, codename: Column, released: Column)
         q = squashed(c)
         found = found | F.array_contains(released, q)
         for stem in lex.FAMILY_STEMS:
-            found = found | (q.startswith(stem) & F.array_contains(released, F.substring(q, len(stem) + 1, 1000)))
+            found = found | (q.startswith(stem) & F.array_contains(released, F.substring(q, F.lit(len(stem) + 1), F.length(q))))
     return found
 
 
@@ -177,7 +177,7 @@ def id_tokens(model_id: Column) -> Column:
     s = F.regexp_replace(F.regexp_replace(s, r"[-@][0-9]{6,8}$", ""), "-(latest|preview|exp|experimental|thinking)$", "")
     full = text.squash(s)
     out = [F.when(F.length(full) >= 3, full)]
-    out += [F.when(full.startswith(stem) & (F.length(full) > len(stem) + 2), F.substring(full, len(stem) + 1, 1000)) for stem in ("claude", "gpt", "gemini", "grok")]
+    out += [F.when(full.startswith(stem) & (F.length(full) > len(stem) + 2), F.substring(full, F.lit(len(stem) + 1), F.length(full))) for stem in ("claude", "gpt", "gemini", "grok")]
     return F.array_compact(F.array(*out))
 
 

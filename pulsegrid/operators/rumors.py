@@ -164,6 +164,6 @@ def with_eta(rows: DataFrame, said: str, seen: str) -> DataFrame:
         .when(low.contains("this month"), month_of(on))
         .when(day.isNotNull(), day_of(day))
         .when(plain == "", F.col("_raw"))
-        .otherwise(F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, 2, 1000)))
+        .otherwise(F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, F.lit(2), F.length(plain))))
     )
     return out.select(*rows.columns, label.alias("eta"))

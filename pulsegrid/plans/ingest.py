@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,25 @@ def quarantined_stories(spark: SparkSession, folder: str) -> DataFrame:
     return landed.quarantined(landed.stories(spark, story_pages(spark, folder))).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def quarantined_items(spark: SparkSession, folder: str) -> DataFrame:
+    """How many items of four sources' pages are put aside, and why: some lack a URL or a time, some lines broke off."""
+    i, rows = F.col("i"), base(spark, folder)
+    url, at = F.when(i % 7 != 0, F.concat(F.lit("https://x/"), i)), F.when(i % 11 == 0, "soon").when(i % 13 != 0, F.col("at"))
+    made = {
+        "mastodon": (struct(url=url, created_at=at, content=F.lit("toot"), favourites_count=F.col("n")), None),
+        "github": (struct(html_url=url, created_at=at, title=F.lit("it fails")), None),
+        "appstore": (struct(app_id=F.lit("1"), id=struct(label=url), updated=struct(label=at)), None),
+        "bluesky": (struct(uri=url, record=struct(text=F.lit("hi"), createdAt=at)), "posts"),
+    }
+    broken = write_text(rows.where(i % 9 == 0).select(F.concat(F.lit('{"url": '), i)), "broken").rpartition("/")
+    found = []
+    for source, (item, field) in made.items():
+        path = land(rows.where(i % 2 == 0), item, source, field).rpartition("/")
+        aside = landed.quarantine(spark, f"{path[0]}/{{{path[2]},{broken[2]}}}", source)
+        found.append(aside.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).select(F.lit(source).alias("source"), "reason", "n"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def stored_rows(spark: SparkSession, folder: str) -> DataFrame:
     i = F.col("i")
     rows = base(spark, folder).where(i % 10 == 0)
@@ -79,9 +100,10 @@ known AS (SELECT DISTINCT model_id, lower(title[1:80]) AS t FROM stored WHERE po
 new AS (SELECT f.*, bool_or(k.t IS NULL) OVER (PARTITION BY source_url) AS any_new FROM fresh f LEFT JOIN known k ON k.model_id = f.model_id AND k.t = lower(f.title[1:80]))
 SELECT source_url, model_id, title, 'classified' AS status, 1 AS attempts, NULL::TIMESTAMP AS next_at FROM stored UNION ALL SELECT source_url, model_id, title, 'pending', 0, {N} FROM new WHERE any_new"""
 
-QUERIES = {"attribution_table": attribution_table, "quarantined_stories": quarantined_stories, "ingest_path": ingest_path}
+QUERIES = {"attribution_table": attribution_table, "quarantined_stories": quarantined_stories, "quarantined_items": quarantined_items, "ingest_path": ingest_path}
 ORACLE = {
     "attribution_table": ATTRIBUTION_SQL,
     "quarantined_stories": with_posts(f", {BASE_SQL} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN i % 19 = 0 THEN 'no_url' WHEN i % 17 = 0 THEN 'no_time' END AS reason FROM base, range(2) UNION ALL SELECT 'unreadable' FROM base WHERE i % {PAGE} = 7) WHERE reason IS NOT NULL GROUP BY reason"),
+    "quarantined_items": with_posts(f", {BASE_SQL} SELECT source, reason, count(*) AS n FROM (SELECT CASE WHEN i % 7 = 0 THEN 'no_url' WHEN i % 11 = 0 OR i % 13 = 0 THEN 'no_time' END AS reason FROM base, range(2) WHERE i % 2 = 0 UNION ALL SELECT 'unreadable' FROM base WHERE i % 9 = 0), (VALUES ('mastodon'), ('github'), ('appstore'), ('bluesky')) s(source) WHERE reason IS NOT NULL GROUP BY ALL"),
     "ingest_path": with_posts(PATH_SQL),
 }

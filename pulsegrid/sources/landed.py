@@ -7,6 +7,9 @@ are made distinct by their URL. Text filters and attribution are operators of th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,13 @@ HEADINGS = "Environment|Version|Steps to reproduce|Expected behavior|Actual beha
 INCIDENT_PRODUCTS = "(?i)(gemini|generative|vertex|ai studio|generativelanguage)"
 
 
+MASTODON = "url string, content string, created_at string, favourites_count int, reblogs_count int, account struct<acct:string>"
+REDDIT = "title string, body string, communityName string, upVotes int, createdAt string, postUrl string, url string, username string"
+REVIEWS = "app_id string, id struct<label:string>, title struct<label:string>, content struct<label:string>, updated struct<label:string>, rating struct<label:string>"
+ISSUES = "repo string, html_url string, title string, body string, created_at string, comments int, reactions struct<total_count:int>, user struct<login:string,type:string>, pull_request struct<url:string>"
+CATALOGUE = "data array<struct<id:string,name:string,created:bigint,description:string,context_length:bigint,pricing:struct<prompt:string,completion:string>>>"
+
+
 def pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
@@ -58,6 +68,38 @@ def quarantined(judged: DataFrame) -> DataFrame:
     return judged.where("reason is not null").select("file", "reason", F.coalesce("unreadable", F.to_json("item")).alias("record"))
 
 
+@dataclass(frozen=True)
+class Shape:
+    """How a source's pages list items, and what of an item becomes a post's URL and time."""
+
+    schema: str
+    field: str | None
+    url: Callable[[Column], Column]
+    at: Callable[[Column], Column]
+
+
+def shapes() -> dict[str, Shape]:
+    """The sources whose pages are JSON, by name."""
+    first = lambda i, *names: F.coalesce(*(F.nullif(i[n], F.lit("")) for n in names))
+    return {
+        "hackernews": Shape(HACKER_NEWS, "hits", lambda i: i["objectID"], lambda i: instant(i["created_at"])),
+        "bluesky": Shape(BLUESKY, "posts", lambda i: i["uri"], lambda i: instant(i["record"]["createdAt"])),
+        "mastodon": Shape(MASTODON, None, lambda i: i["url"], lambda i: instant(i["created_at"])),
+        "twitter": Shape(TWITTER, None, lambda i: first(i, "url", "id"), lambda i: F.coalesce(instant(i["created_at"]), instant(i["createdAt"]))),
+        "reddit": Shape(REDDIT, None, lambda i: first(i, "postUrl", "url"), lambda i: instant(i["createdAt"])),
+        "appstore": Shape(REVIEWS, None, lambda i: i["id"]["label"], lambda i: instant(i["updated"]["label"])),
+        "github": Shape(ISSUES, None, lambda i: i["html_url"], lambda i: instant(i["created_at"])),
+        "openrouter": Shape(CATALOGUE, "data", lambda i: i["id"], lambda i: F.timestamp_seconds(i["created"])),
+    }
+
+
+def quarantine(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """(file, reason, record) of a source's landed items that can't become posts: pages that can't be read, items without URL or readable time."""
+    shape = shapes()[source]
+    item = F.col("item")
+    return quarantined(judged(items(spark, path, shape.schema, shape.field), shape.url(item), shape.at(item)))
+
+
 def stories(spark: SparkSession, path: str) -> DataFrame:
     """Stories of landed pages, judged; those without a title are no stories and play no part."""
     given = items(spark, path, HACKER_NEWS, "hits").where("unreadable is not null or item is null or item.title is not null or item.comment_text is null")
@@ -123,7 +165,7 @@ def bluesky(spark: SparkSession, path: str, since: Column) -> DataFrame:
 
 def mastodon(spark: SparkSession, path: str, since: Column) -> DataFrame:
     """Statuses of all instances, one for each URL, without those about the stars."""
-    s = pages(spark, path, "url string, content string, created_at string, favourites_count int, reblogs_count int, account struct<acct:string>")
+    s = pages(spark, path, MASTODON)
     plain = text.decoded(F.regexp_replace(F.coalesce("content", F.lit("")), "<[^>]*>", ""))
     made = post(s, "mastodon", source_url=F.col("url"), body=F.trim(plain), engagement=F.coalesce("favourites_count", F.lit(0)) + F.coalesce("reblogs_count", F.lit(0)), posted_at=instant(F.col("created_at")), author_handle=F.col("account.acct"))
     return made.where((F.col("posted_at") >= since) & ~F.lower("body").rlike("|".join(ASTROLOGY)))
@@ -147,7 +189,7 @@ def twitter(spark: SparkSession, path: str, since: Column) -> DataFrame:
 
 def reddit(spark: SparkSession, path: str, since: Column) -> DataFrame:
     """Posts with the model of their community, if it has one."""
-    r = pages(spark, path, "title string, body string, communityName string, upVotes int, createdAt string, postUrl string, url string, username string")
+    r = pages(spark, path, REDDIT)
     community = F.lower(F.regexp_replace(F.coalesce("communityName", F.lit("")), "^r/", ""))
     slug = F.try_element_at(F.create_map(*(F.lit(x) for pair in SUBREDDITS.items() for x in pair)), community)
     url = F.coalesce(F.nullif(F.col("postUrl"), F.lit("")), F.nullif(F.col("url"), F.lit("")))
@@ -169,7 +211,7 @@ def reddit_comments(spark: SparkSession, path: str, since: Column, least: int =
 
 def app_store(spark: SparkSession, path: str, now: Column, models: DataFrame, days: int = 7, most: int = 15) -> DataFrame:
     """The latest reviews of each app (app_id, slug, name in ``models``), at most ``most`` a run; the rating goes with the text."""
-    e = pages(spark, path, "app_id string, id struct<label:string>, title struct<label:string>, content struct<label:string>, updated struct<label:string>, rating struct<label:string>")
+    e = pages(spark, path, REVIEWS)
     e = e.join(F.broadcast(models), "app_id").where("id.label <> '' and trim(content.label) <> ''")
     label = F.concat(F.lit("App Store review of the "), "name", F.lit(" iOS app"))
     stars = F.col("rating.label").cast("int")
@@ -189,7 +231,7 @@ def issue_text(body: Column) -> Column:
 
 def github_issues(spark: SparkSession, path: str, now: Column, days: int = 3, most: int = 25) -> DataFrame:
     """The latest issues of each repository that people opened, at most ``most`` a run."""
-    g = pages(spark, path, "repo string, html_url string, title string, body string, created_at string, comments int, reactions struct<total_count:int>, user struct<login:string,type:string>, pull_request struct<url:string>")
+    g = pages(spark, path, ISSUES)
     g = g.where("pull_request is null and coalesce(user.type, '') <> 'Bot'")
     title = F.trim(F.regexp_replace(F.coalesce("title", F.lit("")), r"(?i)^\[(?:bug|feature|feat|question|docs?)[^\]]*\]\s*", ""))
     made = post(g, "github", source_url=F.col("html_url"), title=title, body=F.substring(issue_text(F.col("body")), 1, 1600), engagement=F.coalesce("reactions.total_count", F.lit(0)) + F.coalesce("comments", F.lit(0)), posted_at=instant(F.col("created_at")), author_handle=F.col("user.login"))
@@ -205,7 +247,7 @@ def per_million(price: Column) -> Column:
 
 def new_models(spark: SparkSession, path: str, known: DataFrame, now: Column, days: int = 7) -> DataFrame:
     """Models of a catalogue that aren't among the ``known`` source_urls, as posts: vendors' own ones, no aliases or variants."""
-    c = pages(spark, path, "data array<struct<id:string,name:string,created:bigint,description:string,context_length:bigint,pricing:struct<prompt:string,completion:string>>>").select(F.explode("data").alias("d")).select("d.*")
+    c = pages(spark, path, CATALOGUE).select(F.explode("data").alias("d")).select("d.*")
     slug = F.lit(None).cast("string")
     for prefix, name in VENDORS.items():
         slug = F.when(F.col("id").startswith(prefix), name).otherwise(slug)
@@ -292,7 +334,7 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
     A file is small and read as a row of its own; all files are parsed by the same expressions, none on the driver.
     """
     whole = spark.read.text(path, wholetext=True)
-    entries = whole.select(F.explode(F.slice(F.split("value", r"(?m)^\s*- "), 2, 1 << 20)).alias("entry"))
+    entries = whole.select(F.explode(F.slice(F.split("value", r"(?m)^\s*- "), F.lit(2), F.greatest(F.size(F.split("value", r"(?m)^\s*- ")), F.lit(1)))).alias("entry"))
     lines = F.filter(F.split("entry", "\n"), lambda x: F.trim(x) != "")
     # a nested key's indentation is deeper than that of the entry's own keys, which is four spaces in these files
     block = F.regexp_extract("entry", r"(?m)^ {4}([A-Za-z_]+):[ ]*$", 1)

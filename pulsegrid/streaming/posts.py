@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from pulsegrid.streaming.tables import read_newest, snapshot_into
+
 #: How late a post may come and still be counted.
 LATENESS = "7 days"
 
@@ -31,19 +33,17 @@ def first_of_each(posts: DataFrame, key: list[str], lateness: str = LATENESS) ->
 
 
 def run_available(rows: DataFrame, folder: str, key: list[str] | None = None) -> DataFrame:
-    """Write all that has arrived to ``folder`` as Parquet with its checkpoint beside it; the batch table written so far.
+    """Write all that has arrived to ``folder`` as Parquet with its checkpoint beside it; the table so far.
 
-    Without a key rows are appended. With one, rows may change until the watermark has passed them: each micro-batch writes those that did to
-    a folder of its own, again if it is repeated, and of a key the row of the latest batch counts.
+    Without a key rows are appended. With one, rows may change until the watermark has passed them: each micro-batch puts those that did in place of the former
+    ones, in a table of its own beside the last.
     """
     writer = rows.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
     if key:
-        query = writer.outputMode("update").foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/table/batch={i}")).start()
+        query = writer.outputMode("update").foreachBatch(snapshot_into(folder, key)).start()
     else:
         query = writer.outputMode("append").format("parquet").option("path", f"{folder}/table").start()
     query.awaitTermination()
     if not key:
         return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/table")
-    rest = [c for c in rows.columns if c not in key]
-    written = rows.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, batch long").parquet(f"{folder}/table")
-    return written.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*key, *(f"x.{c}" for c in rest))
+    return read_newest(rows.sparkSession, folder, rows.schema)

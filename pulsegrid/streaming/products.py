@@ -12,13 +12,13 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from pulsegrid.operators import products, rumors
-from pulsegrid.shared import remove
+from pulsegrid.streaming.tables import read_newest, snapshot_into
 
 #: Days after the last claim on which a product leaves the board.
 OPEN_DAYS = 21
@@ -171,44 +171,6 @@ def accumulate(claims: DataFrame, lateness: str, keep: int = products.KEEP, open
     return rows.groupBy(*products.PRODUCT).transformWithStateInPandas(Accumulator(keep, open_days), OUT, "Update", "EventTime")
 
 
-def snapshot_into(folder: str):
-    """A sink for ``foreachBatch``: each micro-batch writes the table anew beside the last one, so what is read never is half of it.
-
-    A repeated batch starts from the same table before it and writes the same; the table of the batch before that is removed.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = newest(spark, folder, number)
-        rows = batch.groupBy(*products.PRODUCT).agg(F.max(F.struct("last_us", "mention_count", F.struct(*(c for c in batch.columns if c not in products.PRODUCT)).alias("x")))["x"].alias("x"))
-        rows = rows.select(*products.PRODUCT, *(f"x.{c}" for c in batch.columns if c not in products.PRODUCT))
-        if before is not None:
-            old = spark.read.schema(batch.schema).parquet(f"{folder}/table-{before}")
-            rows = old.join(rows, products.PRODUCT, "left_anti").unionByName(rows)
-        rows.write.mode("overwrite").parquet(f"{folder}/table-{number}")
-        for old_number in numbers(spark, folder):
-            if old_number < (before or 0):
-                remove(spark, f"{folder}/table-{old_number}")
-
-    return write
-
-
-def numbers(spark: SparkSession, folder: str) -> list[int]:
-    """The micro-batches whose table lies in a folder, whole."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(place):
-        return []
-    done = [f for f in files.listStatus(place) if f.getPath().getName().startswith("table-") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
-    return sorted(int(f.getPath().getName().removeprefix("table-")) for f in done)
-
-
-def newest(spark: SparkSession, folder: str, before: int | None = None) -> int | None:
-    """The latest table's micro-batch, or the latest before one."""
-    found = [n for n in numbers(spark, folder) if before is None or n < before]
-    return found[-1] if found else None
-
-
 def run_available(changes: DataFrame, folder: str) -> DataFrame:
     """Take in all claims that have arrived; the products so far. A later call with the same folder goes on where this one ended."""
     spark = changes.sparkSession
@@ -216,9 +178,8 @@ def run_available(changes: DataFrame, folder: str) -> DataFrame:
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, PROVIDER)
     try:
-        changes.writeStream.trigger(availableNow=True).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(snapshot_into(folder)).start().awaitTermination()
+        changes.writeStream.trigger(availableNow=True).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(snapshot_into(folder, products.PRODUCT, F.col("last_us"), F.col("mention_count"))).start().awaitTermination()
     finally:
         spark.conf.set(provider, before) if before else spark.conf.unset(provider)
-    last = newest(spark, folder)
-    table = spark.createDataFrame([], changes.schema) if last is None else spark.read.schema(changes.schema).parquet(f"{folder}/table-{last}")
+    table = read_newest(spark, folder, changes.schema)
     return table.select(*(c for c in table.columns if not c.endswith("_us") and c != "is_open"), F.timestamp_micros("first_us").alias("first_seen_at"), F.timestamp_micros("last_us").alias("last_seen_at"), "is_open")

@@ -90,3 +90,21 @@ def test_a_mark_that_is_set_stays(spark):
     stored = spark.createDataFrame([(1, "u", t(1)), (2, "u", None), (3, "v", None)], "id long, source_url string, checked_at timestamp")
     got = upserts.checked(stored, stored.where("id = 2"), F.lit("2024-01-09").cast("timestamp"))
     assert {r.id: r.checked_at for r in got.collect()} == {1: t(1), 2: t(9), 3: None}
+
+
+def test_every_source_puts_aside_what_lacks_url_or_time(spark, tmp_path):
+    good = {
+        "hackernews": '{"hits": [{"objectID": "1", "created_at": "2024-01-01T00:00:00Z"}, {"objectID": "2"}, {"created_at": "2024-01-01T00:00:00Z"}]}',
+        "bluesky": '{"posts": [{"uri": "at://a/1", "record": {"createdAt": "2024-01-01T00:00:00Z"}}, {"uri": "at://a/2", "record": {"createdAt": "x"}}, {"record": {"createdAt": "2024-01-01T00:00:00Z"}}]}',
+        "openrouter": '{"data": [{"id": "a/b", "created": 1700000000}, {"id": "a/c"}, {"created": 1700000000}]}',
+        "mastodon": '{"url": "u", "created_at": "2024-01-01T00:00:00Z"}\n{"url": "u"}\n{"created_at": "2024-01-01T00:00:00Z"}',
+        "twitter": '{"id": "1", "createdAt": "2024-01-01T00:00:00Z"}\n{"id": "1"}\n{"createdAt": "2024-01-01T00:00:00Z"}',
+        "reddit": '{"url": "u", "createdAt": "2024-01-01T00:00:00Z"}\n{"postUrl": "u"}\n{"url": "", "createdAt": "2024-01-01T00:00:00Z"}',
+        "appstore": '{"id": {"label": "1"}, "updated": {"label": "2024-01-01T00:00:00Z"}}\n{"id": {"label": "1"}}\n{"updated": {"label": "2024-01-01T00:00:00Z"}}',
+        "github": '{"html_url": "u", "created_at": "2024-01-01T00:00:00Z"}\n{"html_url": "u", "created_at": 5}\n{"created_at": "2024-01-01T00:00:00Z"}',
+    }
+    assert set(good) == set(landed.shapes())
+    for source, lines in good.items():
+        (tmp_path / f"{source}.json").write_text(lines + "\n{broken\n")
+        got = sorted(r.reason for r in landed.quarantine(spark, f"file://{tmp_path}/{source}.json", source).collect())
+        assert got == ["no_time", "no_url", "unreadable"], source
