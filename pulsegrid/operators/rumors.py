@@ -18,7 +18,8 @@ def clusters(claims: DataFrame) -> DataFrame:
     """Add ``cluster_key``: claims of a family that share a label or a codename, directly or through others, are one product.
 
     Identities, not claims, are the nodes: claims collapse to their distinct (family, label, codename), so a product that a third
-    of all claims speak of is a few edges. The key is the cluster's shortest label. A name without letters or digits is none; claims that have no
+    of all claims speak of is a few edges. The key is the label of the identity that says most, one with a codename before one
+    without, and of these the shortest. A name without letters or digits is none; claims that have no
     name at all are about no product and are left out.
     """
     names = ["family", "label", "codename"]
@@ -26,7 +27,7 @@ def clusters(claims: DataFrame) -> DataFrame:
     said = cut(claims.select(*names).distinct().withColumn("_l", own).withColumn("_c", code).where("_l is not null or _c is not null"), "identities")
     roots = connected_components(said.where("_l is not null and _c is not null").select(F.col("_l").alias("a"), F.col("_c").alias("b")))
     rooted = said.withColumn("_t", F.coalesce("_l", "_c")).join(roots, F.col("_t") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_t"))
-    best = rooted.groupBy("_root").agg(F.min(F.when(F.col("_l").isNotNull(), F.struct(F.length("label"), "label")))["label"].alias("best_label"), F.min(F.when(F.col("_c").isNotNull(), F.col("codename"))).alias("best_codename"))
+    best = rooted.groupBy("_root").agg(F.min(F.when(F.col("_l").isNotNull(), F.struct(F.col("_c").isNull(), F.length("label"), "label")))["label"].alias("best_label"), F.min(F.when(F.col("_c").isNotNull(), F.col("codename"))).alias("best_codename"))
     keys = rooted.join(best, "_root").select(*(F.col(c).alias(f"_{c}") for c in names), F.coalesce("best_label", "best_codename").alias("cluster_key"))
     same = F.col("family").eqNullSafe(F.col("_family")) & F.col("label").eqNullSafe(F.col("_label")) & F.col("codename").eqNullSafe(F.col("_codename"))
     return claims.join(keys, same).drop(*(f"_{c}" for c in names))

@@ -42,7 +42,8 @@ CLAIMS_SQL = f"""claims AS (SELECT l_orderkey AS id, 'f' || (l_orderkey % 4) AS
   l_orderkey % 11 = 0 AS credible, l_shipdate AS posted_at FROM lineitem WHERE l_linenumber = 1),
 ids AS (SELECT DISTINCT family, label, codename FROM claims),
 reach AS (SELECT family, label, label AS other FROM ids UNION SELECT r.family, r.label, b.label FROM reach r JOIN ids a ON a.family = r.family AND a.label = r.other JOIN ids b ON b.family = a.family AND b.codename = a.codename),
-keyed AS (SELECT family, label, arg_min(other, (length(other), other)) AS cluster_key FROM reach GROUP BY family, label),
+told AS (SELECT family, label AS other, max(codename) IS NULL AS bare FROM ids GROUP BY ALL),
+keyed AS (SELECT family, label, arg_min(other, (bare, length(other), other)) AS cluster_key FROM reach JOIN told USING (family, other) GROUP BY family, label),
 clustered AS (SELECT c.*, k.cluster_key FROM claims c JOIN keyed k USING (family, label)),
 fresh AS (SELECT * FROM clustered c WHERE NOT EXISTS (SELECT 1 FROM clustered d WHERE d.family = c.family AND d.cluster_key = c.cluster_key AND d.own_id = c.quoted)),
 spoken AS (SELECT *, family || '|' || cluster_key AS scope_key, {TOKENS_SQL} AS tokens FROM fresh), {components_sql('spoken', 'scope_key', 'tokens', 'origin')},

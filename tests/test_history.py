@@ -149,6 +149,8 @@ def test_claims_without_a_name_are_no_product(spark):
     rows = [(1, "f", "A-1", None), (2, "f", "a1", "red"), (3, "f", None, "red"), (4, "f", None, None), (5, "f", "--", "??"), (6, "f", "", "red"), (7, "g", None, "red")]
     got = {r.id: r.cluster_key for r in rumors.clusters(spark.createDataFrame(rows, "id long, family string, label string, codename string")).collect()}
     assert got == {1: "a1", 2: "a1", 3: "a1", 6: "a1", 7: "red"}
+    both = spark.createDataFrame([(1, "f", "Opus five", "red"), (2, "f", "Opus", None), (3, "f", "opus", "red"), (4, "f", "Opus5", None), (5, "f", "opus 5", None)], "id long, family string, label string, codename string")
+    assert {r.id: r.cluster_key for r in rumors.clusters(both).collect()} == {1: "opus", 2: "opus", 3: "opus", 4: "Opus5", 5: "Opus5"}
 
 
 def test_alerts_by_source_with_partial_runs_and_no_runs(spark):
