@@ -16,7 +16,7 @@ further columns, whatever their names, play no part.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -31,11 +31,12 @@ FACTORS = 6
 SAMPLE = 20_000
 MIN_DOCS = 4
 LEAST_Z = 4.0
-#: For pairs, of which there are many more: rows that must hold both, standard errors, the share that counts as high, terms paired with all others in one step.
+#: For pairs, of which there are many more: rows that must hold both, standard errors, the share that counts as high, cells of one step's counts, terms whose rows are held as bits at once.
 PAIR_DOCS = 8
 PAIR_Z = 8.0
 HIGH = 0.2
-STEP = 256
+CELLS = 1 << 23
+HELD = 1 << 15
 SIGNS = b".,;:!?\"'()[]{}<>*#$%&|-_"
 
 
@@ -66,12 +67,13 @@ def counted_pairs(rows: list[np.ndarray], left: np.ndarray, right: np.ndarray, l
     partner, sizes = place[flat[kept]], np.bincount(of[kept], minlength=len(rows))
     begins = np.cumsum(sizes) - sizes
     lefts, width = np.flatnonzero(left), int(right.sum())
+    rows_at_once = max(1, min(256, CELLS // max(1, width)))  # so that counts take some tens of MB, however many terms there are
     order = np.flatnonzero(left[flat])
     order = order[np.argsort(flat[order], kind="stable")]
-    bounds = np.searchsorted(flat[order], np.append(lefts[::STEP], len(left)))
+    bounds = np.searchsorted(flat[order], np.append(lefts[::rows_at_once], len(left)))
     found = []
     for a, (start, end) in enumerate(pairwise(bounds)):
-        names, count = lefts[a * STEP : (a + 1) * STEP], 0
+        names, count = lefts[a * rows_at_once : (a + 1) * rows_at_once], 0
         at = order[start:end]
         many = sizes[of[at]]
         for part, n in ((x, y) for c in [np.flatnonzero(np.diff(np.cumsum(many) >> 22)) + 1] for x, y in zip(np.split(at, c), np.split(many, c), strict=True)):
@@ -86,6 +88,33 @@ def counted_pairs(rows: list[np.ndarray], left: np.ndarray, right: np.ndarray, l
     return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.int64),) * 3
 
 
+def by_few_terms(i: np.ndarray, j: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the pairs (i, j) in parts that have at most ``HELD`` terms: all at once if they do."""
+    if len(np.unique(np.concatenate([i, j]))) <= HELD:
+        if len(i):
+            yield np.arange(len(i))
+        return
+    order = np.lexsort((j, i))
+    for a in range(0, len(order), HELD // 2):
+        yield order[a : a + HELD // 2]
+
+
+def rows_as_bits(own: np.ndarray, flat: np.ndarray, of_row: np.ndarray, n: int) -> np.ndarray:
+    """For each of the sorted terms ``own`` the rows that hold it, as bits."""
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    hit = np.flatnonzero(own[at] == flat)
+    hit = hit[np.argsort(at[hit], kind="stable")]
+    at, row = at[hit], of_row[hit]
+    bits = np.zeros((len(own), (n + 63) // 64), np.uint64)
+    some = max(1, CELLS // max(1, n))  # terms whose rows are spread out at once
+    for begin in range(0, len(own), some):
+        a, b = np.searchsorted(at, (begin, begin + some))
+        spread = np.zeros((min(some, len(own) - begin), 64 * bits.shape[1]), bool)
+        spread[at[a:b] - begin, row[a:b]] = True
+        bits[begin : begin + some] = np.packbits(spread, axis=1, bitorder="little").view(np.uint64)
+    return bits
+
+
 def telling_pairs(texts: list[np.ndarray], target: np.ndarray, held: np.ndarray) -> np.ndarray:
     """Terms of pairs whose rows have label 1 more or less often than the terms by themselves let expect. Equal texts count once.
 
@@ -108,10 +137,9 @@ def telling_pairs(texts: list[np.ndarray], target: np.ndarray, held: np.ndarray)
     n1 = np.bincount(np.concatenate(ones), minlength=len(ids))
     p = (n1 + share) / (n + 1)  # as if each term had one more row of the mean
     odds, base = np.log(p / (1 - p)), np.log(share / (1 - share))
-    # the rows of each term as bits, those with label 1 first
-    bits = np.zeros((len(ids), (len(rows) + 63) // 64), np.uint64)
-    for r, t in enumerate(ones + [t for t, one in zip(rows, y, strict=True) if not one]):
-        bits[t, r // 64] |= np.uint64(1 << r % 64)
+    # the rows that hold a term, those with label 1 first
+    order = ones + [t for t, one in zip(rows, y, strict=True) if not one]
+    flat, of_row = np.concatenate(order), np.repeat(np.arange(len(order)), [len(t) for t in order])
     high = p > HIGH
     need = PAIR_Z**2 * (1 - np.minimum(p, HIGH)) / np.minimum(p, HIGH)
     many = n >= PAIR_Z**2 * (1 - HIGH) / HIGH
@@ -124,19 +152,23 @@ def telling_pairs(texts: list[np.ndarray], target: np.ndarray, held: np.ndarray)
         q = np.maximum(added, alone) if given else np.minimum(added, alone)
         can = (i != j) & (k * ((1 - q) / q if given else q / (1 - q)) > PAIR_Z**2)
         i, j, k, q = i[can], j[can], k[can], q[can]
-        for a in range(0, len(i), 4096):
-            part = slice(a, a + 4096)
-            if given:
-                have, of = k[part], np.bitwise_count(bits[i[part]] & bits[j[part]]).sum(1)
-            else:
-                whole = (len(ones) + 63) // 64
-                front = bits[i[part], :whole] & bits[j[part], :whole]
-                if len(ones) % 64:
-                    front[:, -1] &= np.uint64((1 << len(ones) % 64) - 1)
-                have, of = np.bitwise_count(front).sum(1), k[part]
-            off = (have - of * q[part]) / np.sqrt(of * q[part] * (1 - q[part]) + 1e-9)
-            tells = off > PAIR_Z if given else off < -PAIR_Z
-            told[i[part][tells]] = told[j[part][tells]] = True
+        whole = (len(ones) + 63) // 64
+        for few in by_few_terms(i, j):
+            own = np.unique(np.concatenate([i[few], j[few]]))
+            bits = rows_as_bits(own, flat, of_row, len(order))
+            for a in range(0, len(few), 4096):
+                part = few[a : a + 4096]
+                x, other = bits[np.searchsorted(own, i[part])], bits[np.searchsorted(own, j[part])]
+                if given:
+                    have, of = k[part], np.bitwise_count(x & other).sum(1)
+                else:
+                    front = x[:, :whole] & other[:, :whole]
+                    if len(ones) % 64:
+                        front[:, -1] &= np.uint64((1 << len(ones) % 64) - 1)
+                    have, of = np.bitwise_count(front).sum(1), k[part]
+                off = (have - of * q[part]) / np.sqrt(of * q[part] * (1 - q[part]) + 1e-9)
+                tells = off > PAIR_Z if given else off < -PAIR_Z
+                told[i[part][tells]] = told[j[part][tells]] = True
     return ids[told]
 
 
