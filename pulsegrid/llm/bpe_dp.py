@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import bounded_batches, map_texts
-from pulsegrid.llm.packing import WordTokenizer
+from pulsegrid.llm.packing import CACHE, Recent, WordTokenizer
 
 #: Results of pair tests that a worker keeps.
 PAIRS = 1 << 19
 
 
 class SuffixAutomaton:
-    """The factors of all given words: transitions, suffix links, and for each state the nearest state, by links, that is a whole word."""
+    """The factors of all given words: transitions, suffix links, the length of each state's longest text, and which word that is, if it is one."""
 
     def __init__(self, words: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
@@ -51,9 +51,6 @@ class SuffixAutomaton:
             for symbol in word:
                 state = self.extend(state, symbol)
             self.whole[state] = k
-        self.nearest = [-1] * len(self.link)
-        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            self.nearest[state] = state if self.whole[state] >= 0 else self.nearest[self.link[state]]
 
     def add(self, length: int, onward: dict[int, int], link: int) -> int:
         self.next.append(onward)
@@ -117,8 +114,16 @@ class PrefixEncoder:
         for k in range(self.base, len(names)):
             a, b = self.halves[k]
             self.itself.append(self.itself[a] and self.itself[b] and self.compatible(a, b, k))
-        self.automaton = SuffixAutomaton(spelt)
-        self.tested: dict[tuple[int, int], bool] = {}
+        # for each state the longest token that ends there, of those that encode themselves; and for each token the next shorter one
+        found = self.automaton = SuffixAutomaton(spelt)
+        self.ends, self.shorter = [-1] * len(found.link), [-1] * len(names)
+        for state in sorted(range(1, len(found.link)), key=found.length.__getitem__):
+            token, below = found.whole[state], self.ends[found.link[state]]
+            self.ends[state] = token if token >= 0 and self.itself[token] else below
+            if token >= 0:
+                self.shorter[token] = below
+        self.below = [-1, *(self.ends[up] for up in found.link[1:])]
+        self.tested: dict[int, bool] = {}
 
     def compatible(self, a: int, b: int, before: int | None = None) -> bool:
         """Whether no merge across the border of two tokens comes before both are whole (or before a later merge).
@@ -143,32 +148,30 @@ class PrefixEncoder:
         symbol = self.symbol
         text = [symbol[c] for c in word[:-1]]
         text.append(symbol[word[-1] + self.end])
-        onward, link, longest, nearest, whole, length = self.automaton.next, self.automaton.link, self.automaton.length, self.automaton.nearest, self.automaton.whole, self.length
+        onward, link, longest, length = self.automaton.next, self.automaton.link, self.automaton.length, self.length
+        ends, below, shorter, tested = self.ends, self.below, self.shorter, self.tested
         last, state, matched = [0] * (len(text) + 1), 0, 0
-        tested = self.tested
         for i, c in enumerate(text, 1):
-            while c not in onward[state]:
+            after = onward[state].get(c)
+            while after is None:
                 state = link[state]
                 matched = longest[state]
-            state, matched = onward[state][c], matched + 1
+                after = onward[state].get(c)
+            state, matched = after, matched + 1
             # the state's own longest text is met only if all of it is; its shorter ends always are
-            at = nearest[state] if matched == longest[state] else nearest[link[state]]
-            while True:
-                token = whole[at]
+            token = ends[state] if matched == longest[state] else below[state]
+            before = i - length[token]
+            while before:
+                pair = last[before] << 32 | token
+                fine = tested.get(pair)
+                if fine is None:
+                    if len(tested) >= PAIRS:
+                        tested.clear()
+                    fine = tested[pair] = self.compatible(last[before], token)
+                if fine:
+                    break
+                token = shorter[token]
                 before = i - length[token]
-                if not before:
-                    if self.itself[token]:
-                        break
-                elif self.itself[token]:
-                    pair = last[before], token
-                    fine = tested.get(pair)
-                    if fine is None:
-                        if len(tested) >= PAIRS:
-                            tested.clear()
-                        fine = tested[pair] = self.compatible(*pair)
-                    if fine:
-                        break
-                at = nearest[link[at]]
             last[i] = token
         ids, i = [], len(text)
         while i:
@@ -196,6 +199,7 @@ class PrefixTokenizer(WordTokenizer):
         self.special = special
         self.at_special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)")
         self.names = {**{k: t for t, k in vocabulary.items()}, **{k: t for t, k in special.items()}}
+        self.spelt = Recent(lambda ids: self.decode(array("I", ids).tolist()), CACHE // 2)
 
     def part_ids(self, letters: str) -> list[int]:
         return self.encoder.encode(letters)
@@ -215,6 +219,14 @@ class PrefixTokenizer(WordTokenizer):
                 at = found.end()
         return ids.tobytes()
 
+    def round_trip(self, text: bytes) -> tuple[bytes, str]:
+        """A text's ids, four bytes each, and what they decode to; where words decode one by one, from the ids of recent words."""
+        if not self.by_word or self.whole.decoder:
+            ids = self.encode(text)
+            return ids, self.decode(array("I", ids).tolist())
+        each = list(map(self.words.__getitem__, text.split()))
+        return b"".join(each), " ".join(filter(None, map(self.spelt.__getitem__, each)))
+
     def decode(self, ids: list[int]) -> str:
         """What the library's decode gives without skipping special tokens: ids that the file doesn't have are left out."""
         tokens = [t for t in map(self.names.get, ids) if t is not None]
@@ -239,11 +251,10 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", deco
         one = tokenizer(path)
 
         def run(texts: list[bytes]) -> list:
-            encoded = [one.encode(t) for t in texts]
-            out = [id_lists(encoded)]
-            if decoded:
-                out.append(pa.array([one.decode(array("I", e).tolist()) for e in encoded], pa.string()))
-            return out
+            if not decoded:
+                return [id_lists([one.encode(t) for t in texts])]
+            made = [one.round_trip(t) for t in texts]
+            return [id_lists([ids for ids, _ in made]), pa.array([said for _, said in made], pa.string())]
 
         return run
 

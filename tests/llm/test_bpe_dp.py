@@ -26,7 +26,9 @@ def test_same_ids_and_texts_as_the_library(parts, space):
     text = space.join(parts)
     found, expected = ids(text), OWN.whole.encode(text, add_special_tokens=False).ids
     assert found == expected
-    assert OWN.decode(found) == OWN.whole.decode(expected, skip_special_tokens=False)
+    said = OWN.whole.decode(expected, skip_special_tokens=False)
+    assert OWN.decode(found) == said
+    assert OWN.round_trip(text.encode()) == (OWN.encode(text.encode()), said)
 
 
 def test_long_words_of_few_letters():
