@@ -165,7 +165,7 @@ def encode(docs: DataFrame, keep: list[str], trained: Column, text: str = "text"
 def write_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
     """Write ``df`` to the shared folder in as many buckets by ``key`` as the session shuffles to, so that grouping by it needs no shuffle, and read it again.
 
-    The catalog knows the table only until it's read here; its files lie with the application's other tables.
+    The table stays in the session's catalog under a name of its own; its files lie with the application's other tables.
     """
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
