@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import bounded_batches, map_texts
-from pulsegrid.llm.packing import CACHE, Recent, WordTokenizer
+from pulsegrid.llm.packing import WordTokenizer
 
 #: Results of pair tests that a worker keeps.
 PAIRS = 1 << 19
@@ -199,7 +199,6 @@ class PrefixTokenizer(WordTokenizer):
         self.special = special
         self.at_special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)")
         self.names = {**{k: t for t, k in vocabulary.items()}, **{k: t for t, k in special.items()}}
-        self.spelt = Recent(lambda ids: self.decode(array("I", ids).tolist()), CACHE // 2)
 
     def part_ids(self, letters: str) -> list[int]:
         return self.encoder.encode(letters)
@@ -219,14 +218,6 @@ class PrefixTokenizer(WordTokenizer):
                 at = found.end()
         return ids.tobytes()
 
-    def round_trip(self, text: bytes) -> tuple[bytes, str]:
-        """A text's ids, four bytes each, and what they decode to; where words decode one by one, from the ids of recent words."""
-        if not self.by_word or self.whole.decoder:
-            ids = self.encode(text)
-            return ids, self.decode(array("I", ids).tolist())
-        each = list(map(self.words.__getitem__, text.split()))
-        return b"".join(each), " ".join(filter(None, map(self.spelt.__getitem__, each)))
-
     def decode(self, ids: list[int]) -> str:
         """What the library's decode gives without skipping special tokens: ids that the file doesn't have are left out."""
         tokens = [t for t in map(self.names.get, ids) if t is not None]
@@ -251,10 +242,9 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", deco
         one = tokenizer(path)
 
         def run(texts: list[bytes]) -> list:
-            if not decoded:
-                return [id_lists([one.encode(t) for t in texts])]
-            made = [one.round_trip(t) for t in texts]
-            return [id_lists([ids for ids, _ in made]), pa.array([said for _, said in made], pa.string())]
+            encoded = [one.encode(t) for t in texts]
+            said = [pa.array([one.decode(array("I", e).tolist()) for e in encoded], pa.string())] if decoded else []
+            return [id_lists(encoded), *said]
 
         return run
 
