@@ -131,7 +131,7 @@ def score_trend(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def score_history(spark: SparkSession, folder: str) -> DataFrame:
-    rows = series.between(daily(spark, folder).where(F.col("model_id") == "m1"), "period_start", "2024-01-05", "2024-01-25")
+    rows = series.between(daily(spark, folder).where(F.col("model_id") == "m1"), "period_start", until="2024-01-25")
     return rows.orderBy(F.desc("period_start")).limit(series.clamp(500, 30, 240)).select("model_id", "period_start", "score", "total_posts")
 
 
@@ -238,7 +238,7 @@ ORACLE = {
     "landing_scores": with_posts(LANDING_SQL),
     "score_sparkline": with_posts(_S + "model_id, period_start, score FROM scores QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY period_start DESC) <= 7"),
     "score_trend": with_posts(_S + "model_id, period_start, score, score - lag(score) OVER w AS change, CASE WHEN score > lag(score) OVER w THEN 'up' WHEN score < lag(score) OVER w THEN 'down' ELSE 'flat' END AS direction FROM scores WINDOW w AS (PARTITION BY model_id ORDER BY period_start)"),
-    "score_history": with_posts(_S + "model_id, period_start, score, total_posts FROM scores WHERE model_id = 'm1' AND period_start >= TIMESTAMP '2024-01-05' AND period_start <= TIMESTAMP '2024-01-25' ORDER BY period_start DESC LIMIT 240"),
+    "score_history": with_posts(_S + "model_id, period_start, score, total_posts FROM scores WHERE model_id = 'm1' AND period_start <= TIMESTAMP '2024-01-25' ORDER BY period_start DESC LIMIT 240"),
     "model_by_slug": with_posts("SELECT model_id, slug, name, accent_color FROM models WHERE slug = 'gemini' AND model_id IN (SELECT model_id FROM posts)"),
     "score_anomalies_zscore": with_posts(f"{DAILY_SQL}{ANOMALY_SQL} SELECT model_id, period_start, score, round(baseline_mean, 6) AS baseline_mean, round(baseline_stddev, 6) AS baseline_stddev, round(z, 6) AS z, severity FROM graded"),
     "status_anomaly_correlation": with_posts(CORRELATION_SQL),

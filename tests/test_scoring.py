@@ -7,7 +7,9 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import scoring
+from pulsegrid.operators import scoring, series
+from pulsegrid.plans import catalogue, scores
+from tests.conftest import DATA
 
 SCHEMA = "model_id string, source string, posted_at timestamp, sentiment string, status string, confidence double, engagement int, content_type string, complaint string"
 
@@ -66,3 +68,16 @@ def test_pacific_days_begin_with_the_zone(spark):
 
 def test_no_posts_give_no_scores(spark):
     assert scoring.daily(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_history_begins_with_the_first_scored_day(spark):
+    wanted = scores.daily(spark, f"{DATA}/sf0.01").where("model_id = 'm1' AND period_start <= TIMESTAMP '2024-01-25'").select("period_start").collect()
+    found = [r.period_start for r in catalogue.QUERIES["score_history"](spark, f"{DATA}/sf0.01").collect()]
+    assert found == sorted((r.period_start for r in wanted), reverse=True)
+    assert found[-1] < datetime.datetime(2024, 1, 5)
+
+
+def test_both_ends_of_a_range_are_included_and_may_be_open(spark):
+    rows = spark.createDataFrame([(datetime.datetime(2024, 1, d),) for d in range(1, 6)], "at timestamp")
+    days = lambda *ends: sorted(r.at.day for r in series.between(rows, "at", *ends).collect())
+    assert (days("2024-01-02", "2024-01-04"), days("2024-01-04"), days(None, "2024-01-02")) == ([2, 3, 4], [4, 5], [1, 2])
