@@ -11,7 +11,8 @@ what must agree; words meet by an equi-join on a key, and each pair met is verif
 length meet among themselves, shorter ones meet words one longer.
 
 Keys of common beginnings don't pile up: what must agree is about half of the word besides the bigram. All is joined as
-DataFrames; the only thing every task sees is the order of the bigrams, at most the square of the alphabet's 90 letters.
+DataFrames; the only thing every task sees is the order of the bigrams, at most the square of the alphabet's 90 letters. Joins are
+hinted to merge, so that no table goes through the driver: Spark guesses the keys' size by that of the words, as if each had one, and would broadcast them.
 
 Chains of forms are followed by pointer jumping: a form is at least ``ratio`` times as frequent as its word, so a chain's length is
 bounded by the logarithm of the largest count, and the rounds by the logarithm of that.
@@ -175,7 +176,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     keys = words.select("word", "n").mapInArrow(run, "key long, role byte, word string, n long")
     left = keys.where(F.col("role") != LONGER).select("key", F.col("word").alias("a"), F.col("n").alias("a_n"))
     right = keys.where(F.col("role") != SHORTER).select("key", F.col("word").alias("b"), F.col("n").alias("b_n"))
-    met = left.join(right, (left["key"] == right["key"]) & ((F.length("a") != F.length("b")) | (F.col("a") < F.col("b"))))
+    met = left.join(right.hint("merge"), (left["key"] == right["key"]) & ((F.length("a") != F.length("b")) | (F.col("a") < F.col("b"))))
     met = met.where(F.levenshtein("a", "b", 1) == 1).groupBy("a", "b").agg(F.any_value("a_n").alias("a_n"), F.any_value("b_n").alias("b_n"))
     both = (F.struct(F.col(x).alias("word"), F.col(y).alias("near"), F.col(f"{y}_n").alias("near_n")) for x, y in ("ab", "ba"))
     return met.select(F.inline(F.array(*both)))
@@ -187,7 +188,7 @@ def last_forms(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     path = write_table(now, "roots")
     for _ in range(max_rounds):
         now = spark.read.schema(now.schema).parquet(path)
-        onward = now.select(F.col("word").alias("via"), F.col("root").alias("end"))
+        onward = now.select(F.col("word").alias("via"), F.col("root").alias("end")).hint("merge")
         if onward.join(now, now["root"] == onward["via"], "left_semi").isEmpty():
             return now
         stepped = now.join(onward, now["root"] == onward["via"], "left").select("word", F.coalesce("end", "root").alias("root"))
@@ -205,7 +206,7 @@ def variants(docs: DataFrame, min_chars: int = 5, min_count: int = 3, ratio: int
     best = F.min(F.struct((-F.col("near_n")).alias("minus"), F.col("near").alias("near")))
     around = near_pairs(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
     fits = -F.col("best.minus") >= ratio * F.col("n")
-    found = words.join(around, "word", "left").select(
+    found = words.join(around.hint("merge"), "word", "left").select(
         "word",
         F.when(fits, F.col("best.near")).alias("form"),
         "n",
@@ -214,4 +215,4 @@ def variants(docs: DataFrame, min_chars: int = 5, min_count: int = 3, ratio: int
     )
     found = cut(found, "variants")
     roots = last_forms(found.where("form IS NOT NULL"))
-    return found.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

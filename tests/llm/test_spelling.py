@@ -88,3 +88,19 @@ def test_every_pair_at_one_edit_shares_a_key():
             for c in "abcd":
                 for x in {w[:i] + c + w[i:], w[:i] + c + w[i + 1 :] if i < len(w) else w} & known - {w}:
                     assert left[w] & right[x], (w, x)
+
+
+def executed(spark) -> dict[int, str]:
+    """The plans of the session's executions so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return {found.apply(i).executionId(): found.apply(i).physicalPlanDescription() for i in range(found.size())}
+
+
+def test_no_join_passes_a_table_through_the_driver(spark):
+    docs = [(k, f"{'chazzz ' * 24} {'chaizz ' * 12} {'chaimz ' * 6} {'chaims ' * 3}") for k in range(3)]
+    frame, before = spark.createDataFrame(docs, "doc_id long, text string"), executed(spark)
+    assert sorted(map(tuple, spelling.variants(frame).collect())) == by_hand(docs)
+    plans = [plan for key, plan in executed(spark).items() if key not in before]
+    assert sum("SortMergeJoin" in plan for plan in plans) >= 4  # pairs, forms met, rounds of roots, the result
+    assert not any("Broadcast" in plan for plan in plans)
