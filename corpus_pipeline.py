@@ -20,11 +20,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import line_dedup, mixing, near_dedup, packing, quality_rules
-from pulsegrid.llm.common import cut
+from pulsegrid.llm.common import BATCH_OPTION, bounded_batches, cut
 from pulsegrid.llm.queries import MIX_WEIGHTS, mix_levels, tokenizer_path
 
 #: The part of all tokens that mixing spends, from one epoch.
 MIX_SHARE = 0.9
+#: Bytes of the Arrow batches: a batch is held several times at once by a task and its worker, which keep that room through all stages.
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches of this session's steps as the stages need it."""
+    spark.conf.set(BATCH_OPTION, BATCH_BYTES)
+    bounded_batches(spark)
 
 
 def by_position(docs: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
@@ -35,6 +43,7 @@ def by_position(docs: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
+    small_batches(spark)
     rows, new, of = by_position(docs)
     judged = quality_rules.quality_rules(rows, new, text=of["text"])
     return judged.where("kept").select(*new).toDF(*docs.columns)
@@ -42,6 +51,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents or more hold stay in one of them only; n_chars follows the text."""
+    small_batches(spark)
     rows, new, of = by_position(docs)
     index = line_dedup.LineIndex.build(rows, min_docs=10, min_chars=1, text=of["text"])
     kept = line_dedup.drop_frequent_lines(rows, index, new, of["text"], keep_first=True)
@@ -54,11 +64,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    small_batches(spark)
     return near_dedup.one_of_each(docs, "doc_id", "text", shingle=5, least=0.8)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents chosen for the target weights of domains, languages and sources."""
+    small_batches(spark)
     rows, new, of = by_position(docs)
     levels = mix_levels(of["lang"], of["source"])
     return mixing.mix(rows, new, levels, MIX_WEIGHTS, MIX_SHARE, doc_id=of["doc_id"], text=of["text"]).select(*new).toDF(*docs.columns)
@@ -66,6 +78,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences: one row for each piece of a document."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path(), most=2048, end_id=0)
 
 

@@ -15,13 +15,14 @@ from pulsegrid.shared import cut, remove, shared_dir, tables_dir, write_table
 
 __all__ = ["connected_components", "cut", "remove", "shared_dir", "smallest_reached", "tables_dir", "write_table"]
 
-#: Bytes of one Arrow batch sent to a Python worker, so that a batch of very long texts stays small.
+#: Bytes of one Arrow batch sent to a Python worker, so that a batch of very long texts stays small; the session's option for others.
 BATCH_BYTES = "16m"
+BATCH_OPTION = "spark.pulsegrid.batchBytes"
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by bytes, not only by rows (a text may be very long)."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get(BATCH_OPTION, BATCH_BYTES))
 
 
 def text_bytes(column: str = "text") -> Column:

@@ -42,6 +42,8 @@ BROADCAST_ROWS = 300_000
 #: Part of a round's pairs that must be linked for another round; how many times further apart the next pairs of the lists lie.
 WORTH = 0.05
 WIDER = 16
+#: Shingles of a block that are hashed at a time.
+PART = 1 << 16
 
 
 class Shingles:
@@ -50,19 +52,26 @@ class Shingles:
     def __init__(self, row: dict, shingle: int, shard_bits: int):
         ids = unsqueezed(row["tokens"], np.int32)
         words = word_hashes(row["words"])
-        self.at = words[ids[ids > 0]]  # without the end tokens
+        self.at = np.append(words[ids[ids > 0]], np.zeros(shingle, np.uint64))  # without the end tokens; a shingle may begin at the last word
         self.lengths = np.frombuffer(row["lengths"], np.uint32).astype(np.int64) - 1
         self.begins = np.cumsum(self.lengths) - self.lengths
         many = np.maximum(1, self.lengths - shingle + 1)
-        doc = np.repeat(np.arange(len(many)), many)
-        into = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-        padded = np.append(self.at, np.zeros(shingle, np.uint64))
+        first = np.cumsum(many) - many
+        doc = np.repeat(np.arange(len(many), dtype=np.int32), many)
         hashes = np.zeros(len(doc), np.uint64)
-        for k in range(shingle):
-            hashes = longer(hashes, np.where(into + k < self.lengths[doc], padded[self.begins[doc] + into + k], np.uint64(0)))
-        self.keys, which = np.unique(hashes, return_inverse=True)
-        pairs = np.unique(doc * len(self.keys) + which)
-        self.doc, self.place = pairs // len(self.keys), pairs % len(self.keys)
+        for a in range(0, len(doc), PART):  # only results are as long as the block
+            d, h = doc[a : a + PART], hashes[a : a + PART]
+            into = np.arange(a, a + len(d)) - first[d]
+            for k in range(shingle):
+                h[:] = longer(h, np.where(into + k < self.lengths[d], self.at[self.begins[d] + into + k], np.uint64(0)))
+        self.keys, pairs = np.unique(hashes, return_inverse=True)  # where each shingle is among the keys,
+        del hashes
+        for a in range(0, len(doc), PART):  # and whose it is
+            pairs[a : a + PART] += doc[a : a + PART].astype(np.int64) * len(self.keys)
+        pairs.sort()
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
+        self.doc, self.place = (pairs // len(self.keys)).astype(np.int32), (pairs % len(self.keys)).astype(np.int32)
+        del pairs
         self.bounds = np.searchsorted(self.doc, np.arange(len(many) + 1))
         self.cutoffs = np.append(np.searchsorted(self.keys, np.arange(1 << shard_bits, dtype=np.uint64) << np.uint64(64 - shard_bits)), len(self.keys))
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import near_dedup as nd
+from pulsegrid.llm.backoff_lm import Encoder
 
 
 def jaccard(a: str, b: str, n: int) -> float:
@@ -102,3 +106,34 @@ def test_more_leave_than_are_broadcast(spark, monkeypatch):
     monkeypatch.setattr(nd, "BROADCAST_ROWS", 0)
     rows = [(i, f"text number {i // 3} of a few words and no more than that") for i in range(60)]
     assert sorted(r.doc_id for r in nd.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == list(range(0, 60, 3))
+
+
+def block(texts: list[str]) -> dict:
+    encoder = Encoder()
+    for t in texts:
+        encoder.add(t.encode())
+    return dict(zip(("tokens", "lengths", "words"), encoder.row(), strict=True))
+
+
+@pytest.mark.parametrize("part", [3, 1 << 16])
+def test_shingles_of_a_block(part, monkeypatch):
+    monkeypatch.setattr(nd, "PART", part)
+    texts = ["a b c d e f", "", "a b", "a b c d e a b c d e", "x", "f " * 9, "a b c d e f"]
+    s = nd.Shingles(block(texts), 5, 3)
+    own = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    of = [set(s.place[s.bounds[i] : s.bounds[i + 1]].tolist()) for i in range(len(texts))]
+    assert [len(x) for x in of] == [len(x) for x in own] and len(s.keys) == len(set().union(*own))
+    assert all(len(of[i] & of[j]) == len(own[i] & own[j]) for i in range(len(texts)) for j in range(len(texts)))
+    assert (np.diff(s.keys) > 0).all() and s.cutoffs[-1] == len(s.keys)
+
+
+def test_shingles_take_ten_numbers_a_word_at_most():
+    rng = np.random.default_rng(2)
+    x = block([" ".join(f"w{i}" for i in rng.integers(0, 3000, 500)) for _ in range(1000)])
+    tracemalloc.start()
+    try:
+        nd.Shingles(x, 5, 6)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 500_000 * 80

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,12 @@ def test_odd_tables_pass_every_stage(spark, name, empty):
     assert (not rows) if empty else True
     if name == "near_dedup" and not empty:
         assert sorted((r.doc_id for r in rows), key=repr) == sorted([1, 3, None], key=repr)
+
+
+@pytest.mark.parametrize("name", list(STAGES))
+def test_batches_of_a_stage_are_small(spark, name):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    STAGES[name](spark, spark.createDataFrame(table()[:20], SCHEMA), "").count()
+    long = spark.range(0, 80, 1, 1).select(F.repeat(F.lit("word "), 50_000).alias("text"))  # 20 MB in one task
+    sizes = long.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert len(sizes) > 1 and max(r.n for r in sizes) < 5 << 20
