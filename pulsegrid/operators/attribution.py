@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.functions import text
 
@@ -14,6 +19,10 @@ from pulsegrid.functions import text
 LOCAL_MODELS = [r"\bgpt[:\-\s]?oss\b", r"\boss[-\s]?(?:20b|120b)\b", r"\bself-?hosted\b", r"\blocal llms?\b", r"\bhome lab\b", r"\bollama\b", r"\blm studio\b", r"huggingface\.co/openai/gpt-oss"]
 EXPLICIT = [r"\bchat\s?gpt\b", r"\bgpt[-\s]?4o\b", r"\bgpt[-\s]?5(?:\.4)?\b", r"\bo4(?:-mini)?\b"]
 VETOED = ("chatgpt", {"gpt", "openai"})
+SIGNS = re.compile("([^a-z0-9_]+)")
+#: Up to so many keywords are sent to the runs of words; with more, both are dealt out by their letters.
+FEW = 100_000
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @dataclass(frozen=True)
@@ -75,30 +84,71 @@ def keyword_table(spark, keywords: list[Keyword]) -> DataFrame:
     return spark.createDataFrame([(k.slug, k.word, k.tier, ",".join(k.context) or None) for k in keywords], "slug string, word string, tier string, context string")
 
 
+def runs_met(low: str, longest: int, known: Callable[[str], bool]) -> set[tuple[str, str]]:
+    """(letters, piece): the runs of at most ``longest`` words of a text in lower case whose letters and digits may be a keyword's, with the piece of text that they are."""
+    parts = SIGNS.split(low)  # words and the signs between them in turn; what is outside the first and the last word falls away
+    parts = parts[0 if parts[0] else 2 : None if parts[-1] else -2]
+    words, letters, met = parts[::2], parts[::2], set()
+    for n in range(1, min(longest, len(words)) + 1):
+        if n > 1:
+            letters = list(map(str.__add__, letters, words[n - 1 :]))
+        if hits := set(filter(known, set(letters))):
+            met.update((x, "".join(parts[2 * i : 2 * (i + n) - 1])) for i, x in enumerate(letters) if x in hits)
+    return met
+
+
+def places_of(known: DataFrame, places: int) -> bytes:
+    """A bit for each of ``places``, set where a keyword's letters fall by their checksum: of bounded size, whatever the number of keywords."""
+    place = F.crc32(F.col("letters").cast("binary")) % places
+    words = known.select(place.alias("p")).groupBy(F.expr("p div 64").alias("k")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).collect()
+    out = np.zeros(places // 64, "<i8")
+    for w in words:
+        out[w["k"]] = w["bits"]
+    return out.tobytes()
+
+
 def attribute(posts: DataFrame, keywords: DataFrame, post_id: str = "id", body: str = "text", community: str | None = None, communities: DataFrame | None = None) -> DataFrame:
     """(post_id, slug), each once: the models that posts name by a table of keywords (slug, word, tier, context), or by their community (community, slug).
 
-    The plan is the same for ten keywords and for a million. A keyword's words can only be met by a run of whole words of a text, so runs of at most as many
-    words as the longest keyword has meet the keywords in an equi-join on their letters and digits, and the pieces of text met are then held against
-    the keyword's own pattern (hyphens and dots may be missing, or be white space). Texts themselves aren't shuffled, but for posts that name an ambiguous
-    keyword, whose context words and veto need the whole text. Signs at a keyword's ends don't count; null texts name nothing.
+    The plan serves ten keywords and a million. A keyword's words can only be met by a run of whole words of a text, so of the runs of at most as many
+    words as the longest keyword has those meet the keywords in an equi-join on their letters and digits that a bounded filter of all keywords lets through, and the pieces of
+    text met are then held against the keyword's own pattern (hyphens and dots may be missing, or be white space). Texts are dealt out by their id, so that the texts of one large file
+    are read in many tasks, and an ambiguous keyword's context words and veto find the whole text there. Signs at a keyword's ends don't count; null texts name nothing.
     """
+    spark = posts.sparkSession
     own, low = F.lower("word"), F.lower(F.col(body))
-    plain = lambda c: F.regexp_replace(c, "[^a-z0-9_]+", "")
     escaped = F.regexp_replace(F.regexp_replace(own, r"^[^a-z0-9_]+|[^a-z0-9_]+$", ""), r"[\^$*+?()\[\]{}|\\]", r"\\$0")
-    known = keywords.select("slug", "tier", "context", own.alias("word"), plain(own).alias("letters"), F.concat(F.lit("^(?:"), F.regexp_replace(escaped, "[-.]", r"[-\\s.]?"), F.lit(")$")).alias("pattern")).where("letters <> ''").distinct()
-    longest = keywords.agg(F.max(F.size(F.filter(F.split(own, "[^a-z0-9_]+"), lambda w: w != "")))).first()[0] or 0
-    # words with what follows them; a run of n of them without the last one's rest is a piece of the text
-    tokens = posts.select(F.col(post_id).alias("id"), F.regexp_extract_all(low, F.lit("([a-z0-9_]+)([^a-z0-9_]*)"), F.lit(0)).alias("w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max(longest, 1))), lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("w", i, n), ""))))
-    pieces = tokens.select("id", F.explode(F.array_distinct(runs)).alias("piece")).select("id", F.regexp_replace("piece", "[^a-z0-9_]+$", "").alias("piece"))
-    met = pieces.withColumn("letters", plain(F.col("piece"))).join(known, "letters").where(F.expr("piece RLIKE pattern")).select("id", "slug", "tier", "word", "context").distinct()
-    unsure = met.where("tier <> 'high'").join(posts.select(F.col(post_id).alias("id"), low.alias("text")).distinct(), "id")
-    near = F.col("context").isNull() | F.exists(F.transform(F.split("context", ","), lambda c: F.lower(F.trim(c))), lambda c: F.col("text").contains(c))
+    known = keywords.select("slug", "tier", "context", own.alias("word"), F.regexp_replace(own, "[^a-z0-9_]+", "").alias("letters"), F.concat(F.lit("^(?:"), F.regexp_replace(escaped, "[-.]", r"[-\\s.]?"), F.lit(")$")).alias("pattern")).where("letters <> '' and tier is not null").distinct()
+    n, longest = known.agg(F.count(F.lit(1)), F.max(F.size(F.filter(F.split("word", "[^a-z0-9_]+"), lambda w: w != "")))).first()
+    places = 1 << min(24, max(16, (16 * n).bit_length()))
+    bits, longest = places_of(known, places), longest or 0
+    kind = T.StructType([T.StructField("id", posts.schema[post_id].dataType), *(T.StructField(c, T.StringType()) for c in ("letters", "piece"))])
+    if spark.conf.get(BATCH_BYTES, None) is None:  # a batch of very long texts stays small
+        spark.conf.set(BATCH_BYTES, "4m")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = np.unpackbits(np.frombuffer(bits, "u1"), bitorder="little").tobytes()
+        may = lambda x: at[crc32(x.encode()) & (places - 1)]
+        for batch in batches:
+            row, letters, piece = [], [], []
+            for i, said in enumerate(batch.column(1).to_pylist()):
+                for x, p in runs_met(said, longest, may):
+                    row.append(i)
+                    letters.append(x)
+                    piece.append(p)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), pa.array(letters, pa.string()), pa.array(piece, pa.string())], ["id", "letters", "piece"])
+
+    texts = posts.where(F.col(body).isNotNull()).select(F.col(post_id).alias("id"), low.alias("text")).repartition("id")
+    pieces = texts.mapInArrow(runs, kind).join(F.broadcast(known) if n <= FEW else known.hint("merge"), "letters").where(F.expr("piece RLIKE pattern"))
+    sure = F.col("tier") == "high"
+    unless_sure = lambda c: F.when(~sure, c)
+    met = pieces.select("id", F.struct("slug", sure.alias("sure"), unless_sure(F.col("context")).alias("context"), unless_sure((F.col("slug") == VETOED[0]) & F.col("word").isin(*VETOED[1])).alias("vetoed")).alias("m"))
+    named = met.groupBy("id").agg(F.collect_set("m").alias("met"))
     local = text.any_of(F.col("text"), LOCAL_MODELS) & ~text.any_of(F.col("text"), EXPLICIT)
-    veto = (F.col("slug") == VETOED[0]) & F.col("word").isin(*VETOED[1]) & local
-    found = met.where("tier = 'high'").select("id", "slug").unionByName(unsure.where(near & ~veto).select("id", "slug"))
+    near = lambda c: c.isNull() | F.exists(F.transform(F.split(c, ","), lambda w: F.lower(F.trim(w))), lambda w: F.col("text").contains(w))
+    holds = lambda m: m["sure"] | (F.col("text").isNotNull() & near(m["context"]) & ~(m["vetoed"] & local))
+    found = named.join(texts.hint("merge"), "id", "left").select("id", F.explode(F.transform(F.filter("met", holds), lambda m: m["slug"])).alias("slug"))
     if community and communities is not None:
-        named = posts.select(F.col(post_id).alias("id"), F.col(community).alias("community"))
-        found = found.unionByName(named.join(communities.select("community", "slug"), "community").select("id", "slug"))
+        inside = posts.select(F.col(post_id).alias("id"), F.col(community).alias("community"))
+        found = found.unionByName(inside.join(communities.select("community", "slug"), "community").select("id", "slug"))
     return found.distinct().select(F.col("id").alias(post_id), "slug")

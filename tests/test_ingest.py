@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import ingest, upserts
-from pulsegrid.operators.attribution import Keyword, attribute, keyword_table, models_of
+from pulsegrid.operators.attribution import Keyword, attribute, keyword_table, models_of, runs_met
 from pulsegrid.sources import landed
 
 
@@ -55,6 +55,35 @@ def test_ten_thousand_keywords_name_what_their_patterns_name(spark):
     assert found == expected
 
 
+def most_rows(df) -> int:
+    """The largest number of rows that a step of a run query made."""
+    todo, most = [df._jdf.queryExecution().executedPlan().finalPhysicalPlan()], 0
+    while todo:
+        node = todo.pop()
+        made = node.metrics().get("numOutputRows")
+        most = max(most, made.get().value() if made.isDefined() else 0)
+        todo += [node.plan()] if node.getClass().getSimpleName().endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_only_runs_that_may_be_keywords_leave_their_texts(spark):
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)) + (" Gpt 5" if i % 10 == 0 else "") for i in range(50)]
+    posts = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    found = attribute(posts, keyword_table(spark, [Keyword("chatgpt", "gpt-5"), Keyword("claude", "claude", "ambiguous", ("model",))]))
+    assert sorted(map(tuple, found.collect())) == [(i, "chatgpt") for i in range(0, 50, 10)]
+    assert most_rows(found) <= 200  # of 20,000 words
+    assert "hashpartitioning(id" in found._jdf.queryExecution().executedPlan().toString().partition("MapInArrow")[2]
+
+
+def test_runs_of_words_with_their_pieces():
+    known = {"ab", "abcd", "x1y", "q"}.__contains__
+    cases = {"ab-cd, ab": {("ab", "ab"), ("abcd", "ab-cd")}, "": set(), "--": set(), "!x.1 y": {("x1y", "x.1 y")}, "q": {("q", "q")}, "x1 y q ": {("x1y", "x1 y"), ("q", "q")}, "a b cd abcd": {("ab", "a b"), ("abcd", "a b cd"), ("abcd", "abcd")}}
+    for low, expected in cases.items():
+        assert runs_met(low, 3, known) == expected, low
+    assert runs_met("ab cd", 1, known) == {("ab", "ab")}
+
+
 def test_veto_of_local_models_and_communities(spark):
     keywords = [Keyword("chatgpt", "gpt", "ambiguous"), Keyword("chatgpt", "openai", "ambiguous")]
     rows = [(1, "gpt-oss on ollama", "a"), (2, "gpt-oss beside chat gpt", None), (3, "nothing", "a"), (4, None, "b"), (5, "openai and gpt", "zz")]
