@@ -150,5 +150,5 @@ def attribute(posts: DataFrame, keywords: DataFrame, post_id: str = "id", body:
     found = named.join(texts.hint("merge"), "id", "left").select("id", F.explode(F.transform(F.filter("met", holds), lambda m: m["slug"])).alias("slug"))
     if community and communities is not None:
         inside = posts.select(F.col(post_id).alias("id"), F.col(community).alias("community"))
-        found = found.unionByName(inside.join(communities.select("community", "slug"), "community").select("id", "slug"))
+        found = found.unionByName(inside.join(communities.select("community", "slug").hint("merge"), "community").select("id", "slug"))
     return found.distinct().select(F.col("id").alias(post_id), "slug")

@@ -1,4 +1,7 @@
-"""From landed posts to stored rows of (post, model): keep gate, attribution, known titles, initial state, insert-ignore."""
+"""From landed posts to stored rows of (post, model): keep gate, attribution, known titles, initial state, insert-ignore.
+
+Joins with posts and stored rows are hinted to merge: compressed, such tables look small enough to be sent through the driver, whose memory they then fill.
+"""
 
 from __future__ import annotations
 
@@ -42,7 +45,8 @@ def title_key() -> Column:
 def of_models(posts: DataFrame, keywords: DataFrame, models: DataFrame) -> DataFrame:
     """One row for each post and model (model_id, slug) that it names."""
     said = posts.withColumn("_said", F.concat_ws(" ", "title", F.coalesce("body", F.lit("")), F.coalesce("link", F.lit(""))))
-    return posts.join(attribute(said, keywords, "source_url", "_said"), "source_url").join(models.select("slug", "model_id"), "slug").drop("slug")
+    named = attribute(said, keywords, "source_url", "_said").join(F.broadcast(models.select("slug", "model_id")), "slug").drop("slug")
+    return posts.join(named.hint("merge"), "source_url")
 
 
 def unseen(rows: DataFrame, stored: DataFrame, since: Column) -> DataFrame:
@@ -51,8 +55,8 @@ def unseen(rows: DataFrame, stored: DataFrame, since: Column) -> DataFrame:
     A post stays whole: if one of its models hasn't seen the title, all its rows stay, as the collectors do it.
     """
     titles = stored.where((F.col("posted_at") >= since) & F.col("title").isNotNull()).select(title_key().alias("_key"), F.lit(True).alias("_known")).distinct()
-    rows = rows.join(stored.select("source_url").distinct(), "source_url", "left_anti")
-    rows = rows.withColumn("_key", title_key()).join(titles, "_key", "left")
+    rows = rows.join(stored.select("source_url").distinct().hint("merge"), "source_url", "left_anti")
+    rows = rows.withColumn("_key", title_key()).join(titles.hint("merge"), "_key", "left")
     new = F.max(F.col("_known").isNull()).over(Window.partitionBy("source_url"))
     return rows.withColumn("_new", new).where("_new").drop("_key", "_known", "_new")
 

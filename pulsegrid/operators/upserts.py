@@ -10,9 +10,9 @@ from pulsegrid.shared import remove
 
 
 def insert_ignore(stored: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Stored rows and those new ones whose key isn't stored; of new rows with one key, the first."""
+    """Stored rows and those new ones whose key isn't stored; of new rows with one key, the first. Neither table passes through the driver."""
     first = new.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
-    return stored.unionByName(first.join(stored.select(*key), key, "left_anti"))
+    return stored.unionByName(first.join(stored.select(*key).hint("merge"), key, "left_anti"))
 
 
 def merge(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

@@ -92,6 +92,19 @@ def test_veto_of_local_models_and_communities(spark):
     assert sorted(map(tuple, found.collect())) == [(1, "claude"), (2, "chatgpt"), (3, "claude"), (4, "grok"), (5, "chatgpt")]
 
 
+def test_posts_and_stored_rows_do_not_pass_through_the_driver(spark):
+    at = datetime(2024, 1, 30)
+    kind = "source_url string, model_id string, title string, posted_at timestamp, status string, attempts int, next_at timestamp"
+    stored = spark.createDataFrame([(f"u{i}", "m0", f"I tested claude on task {i}", at, "classified", 1, None) for i in range(20)], kind)
+    posts = spark.createDataFrame([(f"u{i}", f"I tested Claude on task {i % 30}" + " and grok" * (i % 2), None, None, at) for i in range(10, 60)], "source_url string, title string, body string, link string, posted_at timestamp")
+    models = spark.createDataFrame([("m0", "claude"), ("m1", "grok")], "model_id string, slug string")
+    found = ingest.stored_after(stored, posts, keyword_table(spark, [Keyword("claude", "claude"), Keyword("grok", "grok")]), models, F.lit("2024-01-31").cast("timestamp"))
+    new = {(f"u{i}", m) for i in range(20, 60) for m in ["m0", "m1"][: 1 + i % 2] if i % 30 >= 20 or i % 2}
+    assert {(r.source_url, r.model_id) for r in found.collect()} == {(f"u{i}", "m0") for i in range(20)} | new
+    plan = found._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString()
+    assert set(re.findall(r"BroadcastHashJoin \[(\w+)", plan)) == {"letters", "slug"}
+
+
 def test_first_state_of_a_row(spark):
     now = F.lit("2024-01-31").cast("timestamp")
     bare = ingest.with_state(spark.createDataFrame([(1,)], "id long"), now).collect()[0]
