@@ -148,13 +148,13 @@ def landed_incidents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def landed_registry(spark: SparkSession, folder: str) -> DataFrame:
-    """Entries of registry files that hold models of the catalogue of parts."""
+    """Entries of registries of 40 models each, which land as the documents of YAML streams: a file for each would cost more than its content."""
     i = F.col("i")
     p = base(spark, folder)
     lines = F.concat(F.lit("  - name: \"model "), i, F.lit("\"\n    vendor: v"), i % 3, F.lit("\n    price_pending:\n      date: "), F.substring("at", 1, 10), F.lit("\n      price: "), F.col("n"), F.lit("\n    ranked: "), (i % 2 == 0).cast("string"), F.lit("\n"))
-    files = p.groupBy(F.floor(i / 40)).agg(F.concat(F.lit("models:\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", lines.alias("l")))), lambda x: x["l"]), "")).alias("value"))
+    documents = p.groupBy(F.floor(i / 40)).agg(F.concat(F.lit("---\nmodels:\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", lines.alias("l")))), lambda x: x["l"]), "")).alias("value"))
     e = F.col("entry")
-    found = landed.registry(spark, write_text(files.select("value"), "registry", 1))
+    found = landed.registry(spark, write_text(documents.select("value"), "registry"))
     return found.select(e["name"].alias("name"), e["vendor"].alias("vendor"), e["price_pending.date"].alias("price_date"), e["price_pending.price"].alias("price"), e["ranked"].alias("ranked"))
 
 

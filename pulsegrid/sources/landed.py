@@ -331,16 +331,17 @@ def model_ids(spark: SparkSession, path: str) -> DataFrame:
 def registry(spark: SparkSession, path: str) -> DataFrame:
     """Entries of registry files in plain YAML: a list of flat maps, where a map may hold one nested block, whose keys come with its name.
 
-    A file is small and read as a row of its own; all files are parsed by the same expressions, none on the driver.
+    A file holds one registry or, as a YAML stream, several documents with lines of three dashes between them; each document is small and read as a row of its own,
+    and a long file in several tasks. All are parsed by the same expressions, none on the driver.
     """
-    whole = spark.read.text(path, wholetext=True)
-    entries = whole.select(F.explode(F.slice(F.split("value", r"(?m)^\s*- "), F.lit(2), F.greatest(F.size(F.split("value", r"(?m)^\s*- ")), F.lit(1)))).alias("entry"))
+    documents = spark.read.option("lineSep", "\n---\n").text(path)
+    entries = documents.select(F.explode(F.slice(F.split("value", r"(?m)^\s*- "), 2, 1 << 30)).alias("entry"))
     lines = F.filter(F.split("entry", "\n"), lambda x: F.trim(x) != "")
     # a nested key's indentation is deeper than that of the entry's own keys, which is four spaces in these files
     block = F.regexp_extract("entry", r"(?m)^ {4}([A-Za-z_]+):[ ]*$", 1)
     pair = lambda x: F.struct(
-        F.concat(F.when(x.rlike("^ {6}"), F.concat(block, F.lit("."))).otherwise(""), F.trim(F.split_part(x, F.lit(":"), F.lit(1)))).alias("key"),
-        F.regexp_replace(F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)), "^[\"']|[\"']$", "").alias("value"),
+        F.concat(F.when(x.startswith(" " * 6), F.concat(block, F.lit("."))).otherwise(""), F.trim(F.substring_index(x, ":", 1))).alias("key"),
+        F.regexp_extract(x, r"^[^:]*: *[\"']?(.*?)[\"']? *$", 1).alias("value"),
     )
     return entries.select(F.map_from_entries(F.filter(F.transform(lines, pair), lambda p: p["value"] != "")).alias("entry"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import taxonomy, text
 from pulsegrid.operators import ingest, leaderboard, monitor, products, queue
 from pulsegrid.operators.attribution import Keyword, keyword_table
+from pulsegrid.plans import landed as plans_landed
 from pulsegrid.sources import landed
 
 
@@ -43,6 +44,34 @@ def test_release_feed_and_pairs(spark, tmp_path):
     assert sorted((r.a, r.b, r.p) for r in landed.pairwise(spark, f"file://{tmp_path}/pairs.json").collect()) == [("x", "y", 0.01), ("z", "q", None)]
 
 
+def test_registries_of_one_file_each_and_in_streams(spark, tmp_path):
+    entry = "  - name: \"model {}\"\n    vendor: 'v'\n    price_pending:\n      date: 2024-01-01\n      note: a: \"b\n    none:\n    ranked: true \n"
+    one = {"name": "model {}", "vendor": "v", "price_pending.date": "2024-01-01", "price_pending.note": 'a: "b', "ranked": "true"}
+    files = {"alone.yml": ["models:\n" + entry.format(0)], "empty.yml": [""], "stream.yml": [f"---\nmodels:\n{''.join(entry.format(f'{d}.{i}') for i in range(d % 3))}\n" for d in range(2000)], "loose.yml": ["models:\n" + entry.format("a") + "--- \nmodels:\n" + entry.format("b") + "---\n"]}
+    for name, documents in files.items():
+        (tmp_path / name).write_text("".join(documents))
+    names = ["0", "a", "b", *(f"{d}.{i}" for d in range(2000) for i in range(d % 3))]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")  # a stream is read in many tasks
+    try:
+        read = landed.registry(spark, f"file://{tmp_path}")
+        assert read.rdd.getNumPartitions() > 10
+        found = [r.entry for r in read.collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    by_name = lambda rows: sorted(rows, key=lambda x: x["name"])
+    assert by_name(found) == by_name([one | {"name": f"model {n}"} for n in names])
+
+
+def test_registries_land_in_few_files(spark, tmp_path, monkeypatch):
+    landed_in = []
+    monkeypatch.setattr(plans_landed, "write_text", lambda *a, f=plans_landed.write_text: landed_in.append(f(*a)) or landed_in[-1])
+    rows = plans_landed.landed_registry(spark, "/root/testdata/sf0.01")
+    assert rows.count() == rows.select("name").distinct().count() == 10_000
+    text = spark.read.text(landed_in[0])
+    assert text.where("value = 'models:'").count() == 250
+    assert len(text.inputFiles()) <= spark.sparkContext.defaultParallelism  # not 250
+
+
 def test_prices_of_the_test_and_to_come(spark):
     models = spark.createDataFrame([("same", 1.25, 1.0, 2.0), ("dearer", 2.0, 1.0, 2.0), ("untested", 3.0, None, 2.0), ("alone", 4.0, 5.0, 6.0), ("free", 5.0, None, None)], "name string, score double, price_in double, price_out double")
     registry = spark.createDataFrame([("same", 1.0, 2.0, None, None, None), ("dearer", 1.5, None, 9.0, None, "2026-01-01"), ("untested", 7.0, 8.0, None, None, "2026-01-01")], "name string, price_in double, price_out double, pending_in double, pending_out double, effective string")
