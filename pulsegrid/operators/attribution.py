@@ -84,15 +84,15 @@ def keyword_table(spark, keywords: list[Keyword]) -> DataFrame:
     return spark.createDataFrame([(k.slug, k.word, k.tier, ",".join(k.context) or None) for k in keywords], "slug string, word string, tier string, context string")
 
 
-def runs_met(low: str, longest: int, known: Callable[[str], bool]) -> set[tuple[str, str]]:
-    """(letters, piece): the runs of at most ``longest`` words of a text in lower case whose letters and digits may be a keyword's, with the piece of text that they are."""
+def runs_met(low: str, longest: int, known: Callable[[set[str]], set[str]]) -> set[tuple[str, str]]:
+    """(letters, piece): the runs of at most ``longest`` words of a text in lower case whose letters and digits are among those that may be a keyword's, with the piece of text that they are."""
     parts = SIGNS.split(low)  # words and the signs between them in turn; what is outside the first and the last word falls away
     parts = parts[0 if parts[0] else 2 : None if parts[-1] else -2]
     words, letters, met = parts[::2], parts[::2], set()
     for n in range(1, min(longest, len(words)) + 1):
         if n > 1:
             letters = list(map(str.__add__, letters, words[n - 1 :]))
-        if hits := set(filter(known, set(letters))):
+        if hits := known(set(letters)):
             met.update((x, "".join(parts[2 * i : 2 * (i + n) - 1])) for i, x in enumerate(letters) if x in hits)
     return met
 
@@ -111,7 +111,7 @@ def attribute(posts: DataFrame, keywords: DataFrame, post_id: str = "id", body:
     """(post_id, slug), each once: the models that posts name by a table of keywords (slug, word, tier, context), or by their community (community, slug).
 
     The plan serves ten keywords and a million. A keyword's words can only be met by a run of whole words of a text, so of the runs of at most as many
-    words as the longest keyword has those meet the keywords in an equi-join on their letters and digits that a bounded filter of all keywords lets through, and the pieces of
+    words as the longest keyword has those meet the keywords in an equi-join on their letters and digits that the set of ``FEW`` keywords or a bounded filter of more lets through, and the pieces of
     text met are then held against the keyword's own pattern (hyphens and dots may be missing, or be white space). Texts are dealt out by their id, so that the texts of one large file
     are read in many tasks, and an ambiguous keyword's context words and veto find the whole text there. Signs at a keyword's ends don't count; null texts name nothing.
     """
@@ -120,15 +120,15 @@ def attribute(posts: DataFrame, keywords: DataFrame, post_id: str = "id", body:
     escaped = F.regexp_replace(F.regexp_replace(own, r"^[^a-z0-9_]+|[^a-z0-9_]+$", ""), r"[\^$*+?()\[\]{}|\\]", r"\\$0")
     known = keywords.select("slug", "tier", "context", own.alias("word"), F.regexp_replace(own, "[^a-z0-9_]+", "").alias("letters"), F.concat(F.lit("^(?:"), F.regexp_replace(escaped, "[-.]", r"[-\\s.]?"), F.lit(")$")).alias("pattern")).where("letters <> '' and tier is not null").distinct()
     n, longest = known.agg(F.count(F.lit(1)), F.max(F.size(F.filter(F.split("word", "[^a-z0-9_]+"), lambda w: w != "")))).first()
-    places = 1 << min(24, max(16, (16 * n).bit_length()))
-    bits, longest = places_of(known, places), longest or 0
+    few, places, longest = n <= FEW, 1 << min(24, max(16, (16 * n).bit_length())), longest or 0
+    held = frozenset(r[0] for r in known.select("letters").distinct().collect()) if few else places_of(known, places)
     kind = T.StructType([T.StructField("id", posts.schema[post_id].dataType), *(T.StructField(c, T.StringType()) for c in ("letters", "piece"))])
     if spark.conf.get(BATCH_BYTES, None) is None:  # a batch of very long texts stays small
         spark.conf.set(BATCH_BYTES, "4m")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = np.unpackbits(np.frombuffer(bits, "u1"), bitorder="little").tobytes()
-        may = lambda x: at[crc32(x.encode()) & (places - 1)]
+        at = b"" if few else np.unpackbits(np.frombuffer(held, "u1"), bitorder="little").tobytes()
+        may = held.intersection if few else lambda words: {x for x in words if at[crc32(x.encode()) & (places - 1)]}
         for batch in batches:
             row, letters, piece = [], [], []
             for i, said in enumerate(batch.column(1).to_pylist()):
@@ -139,7 +139,7 @@ def attribute(posts: DataFrame, keywords: DataFrame, post_id: str = "id", body:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), pa.array(letters, pa.string()), pa.array(piece, pa.string())], ["id", "letters", "piece"])
 
     texts = posts.where(F.col(body).isNotNull()).select(F.col(post_id).alias("id"), low.alias("text")).repartition("id")
-    pieces = texts.mapInArrow(runs, kind).join(F.broadcast(known) if n <= FEW else known.hint("merge"), "letters").where(F.expr("piece RLIKE pattern"))
+    pieces = texts.mapInArrow(runs, kind).join(F.broadcast(known) if few else known.hint("merge"), "letters").where(F.expr("piece RLIKE pattern"))
     sure = F.col("tier") == "high"
     unless_sure = lambda c: F.when(~sure, c)
     met = pieces.select("id", F.struct("slug", sure.alias("sure"), unless_sure(F.col("context")).alias("context"), unless_sure((F.col("slug") == VETOED[0]) & F.col("word").isin(*VETOED[1])).alias("vetoed")).alias("m"))

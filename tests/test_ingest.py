@@ -8,7 +8,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import ingest, upserts
+from pulsegrid.operators import attribution, ingest, upserts
 from pulsegrid.operators.attribution import Keyword, attribute, keyword_table, models_of, runs_met
 from pulsegrid.sources import landed
 
@@ -76,8 +76,20 @@ def test_only_runs_that_may_be_keywords_leave_their_texts(spark):
     assert "hashpartitioning(id" in found._jdf.queryExecution().executedPlan().toString().partition("MapInArrow")[2]
 
 
+def test_keywords_too_many_to_be_sent_name_the_same(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("ab1") for _ in range(rng.randint(1, 3)))
+    keywords = keyword_table(spark, [Keyword(f"s{i % 20}", word() + rng.choice(["-", " ", ""]) + word(), rng.choice(["high", "ambiguous"]), rng.choice([(), ("aab", "1b")])) for i in range(300)])
+    posts = spark.createDataFrame([(i, " ".join(word() + rng.choice(["", "-", ","]) for _ in range(rng.randint(0, 8)))) for i in range(200)], "id long, text string")
+    few = sorted(map(tuple, attribute(posts, keywords).collect()))
+    monkeypatch.setattr(attribution, "FEW", 0)
+    many = attribute(posts, keywords)
+    assert sorted(map(tuple, many.collect())) == few and len(few) > 100
+    assert "Broadcast" not in many._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString()
+
+
 def test_runs_of_words_with_their_pieces():
-    known = {"ab", "abcd", "x1y", "q"}.__contains__
+    known = {"ab", "abcd", "x1y", "q"}.intersection
     cases = {"ab-cd, ab": {("ab", "ab"), ("abcd", "ab-cd")}, "": set(), "--": set(), "!x.1 y": {("x1y", "x.1 y")}, "q": {("q", "q")}, "x1 y q ": {("x1y", "x1 y"), ("q", "q")}, "a b cd abcd": {("ab", "a b"), ("abcd", "a b cd"), ("abcd", "abcd")}}
     for low, expected in cases.items():
         assert runs_met(low, 3, known) == expected, low
